@@ -220,3 +220,253 @@ def panel_queries() -> dict[str, str]:
     q["lookup_entity"] = W(*[(n, s) for n, s in [("s2", slice_sql("slice_2p"))]],
                            body="SELECT * FROM s2 WHERE entity_id = 42")
     return q
+
+
+# ---------------------------------------------------------------------------
+# Binning and WoE / IV
+# ---------------------------------------------------------------------------
+RULE_SQL = {
+    "completed_trip_discrete": COMPLETED_TRIP, "total_fare_discrete": TOTAL_FARE,
+    "total_ETA_discrete": TOTAL_ETA, "distance_travelled_discrete": DISTANCE_TRAVELLED, "segment": SEGMENT,
+}
+TRAIN_1P = ("tr", "SELECT * FROM (" + slice_sql("slice_1p") + ") s WHERE NOT is_test")
+
+
+def d(x: str) -> str:
+    return f"CAST({x} AS DOUBLE)"
+
+
+def zdiv(n: str, dd: str) -> str:
+    """n / d as DOUBLE, NULL when d = 0."""
+    return f"(CASE WHEN ({dd}) <> 0 THEN {d(n)} / {d(dd)} END)"
+
+
+def woe_ctes(lv: str, grp: list[str]) -> list[tuple[str, str]]:
+    """Counts CTE ``lv(grp..., level cols, n_obs, n_good)`` -> st (per level) and ivs (per group)."""
+    g = ", ".join(grp)
+    gsel = (g + ", ") if grp else ""
+    gby = f"GROUP BY {g}" if grp else ""
+    on = " AND ".join(f"c.{x} = t.{x}" for x in grp) or "TRUE"
+    mixed = "(n_good > 0 AND n_good < n_obs)"
+    return [
+        ("c", f"SELECT *, n_obs - n_good AS n_bad FROM {lv}"),
+        ("tot", f"SELECT {gsel}SUM(n_obs) AS N_, SUM(n_good) AS G_, SUM(n_bad) AS B_, "
+                f"SUM(CASE WHEN {mixed} THEN n_good END) AS G2_, SUM(CASE WHEN {mixed} THEN n_bad END) AS B2_ "
+                f"FROM c {gby}"),
+        ("st0", f"SELECT c.*, t.N_, t.G_, t.B_, t.G2_, t.B2_, {zdiv('n_good', 'n_obs')} AS prop_good, "
+                f"{zdiv('n_obs', 't.N_')} AS prop_n_obs, {zdiv('n_good', 't.G_')} AS prop_n_good, "
+                f"{zdiv('n_bad', 't.B_')} AS prop_n_bad, {zdiv('n_good', 't.G2_')} AS pg2, "
+                f"{zdiv('n_bad', 't.B2_')} AS pb2 FROM c JOIN tot t ON {on}"),
+        ("st", f"SELECT *, CASE WHEN n_good > 0 AND n_bad > 0 THEN ROUND(LN(prop_n_good / prop_n_bad), {LOG_DIGITS}) "
+               f"WHEN n_bad = 0 THEN CAST('inf' AS DOUBLE) WHEN n_good = 0 THEN CAST('-inf' AS DOUBLE) END AS WoE, "
+               f"CASE WHEN n_good > 0 AND n_bad > 0 THEN (prop_n_good - prop_n_bad) * LN(prop_n_good / prop_n_bad) "
+               f"ELSE CAST('inf' AS DOUBLE) END AS iv_, "
+               f"CASE WHEN {mixed} THEN (pg2 - pb2) * LN(pg2 / pb2) END AS iv2_ FROM st0"),
+        ("ivs", f"SELECT {gsel}COUNT(*) AS n_levels, ROUND(SUM(iv_), {LOG_DIGITS}) AS IV, "
+                f"ROUND(SUM(iv2_), {LOG_DIGITS}) AS IV_adjusted FROM st {gby}"),
+    ]
+
+
+WOE_OUT = ("n_obs, prop_good, prop_n_obs, n_good, n_bad, prop_n_good, prop_n_bad, WoE, "
+           "i.IV, i.IV_adjusted")
+
+
+def edges_sql(mn: str = "mn", mx: str = "mx", k: str = "k") -> str:
+    const = f"({mn} = {mx})"
+    lo = f"(CASE WHEN {const} THEN (CASE WHEN {mn} <> 0 THEN {mn} - abs({mn}) * 0.001 ELSE {mn} - 0.001 END) ELSE {mn} END)"
+    hi = f"(CASE WHEN {const} THEN (CASE WHEN {mx} <> 0 THEN {mx} + abs({mx}) * 0.001 ELSE {mx} + 0.001 END) ELSE {mx} END)"
+    adj = f"(CASE WHEN {const} THEN 0.0 ELSE ({mx} - {mn}) * 0.001 END)"
+    step = f"(({hi} - {lo}) / CAST({k} AS DOUBLE))"
+    return (f"list_transform(range(0, {k} + 1), lambda i: CASE WHEN i = {k} THEN {hi} "
+            f"WHEN i = 0 THEN {lo} - {adj} ELSE CAST(i AS DOUBLE) * {step} + {lo} END)")
+
+
+def binned_ctes(src: str, cols: list[str], ks: list[int]) -> list[tuple[str, str]]:
+    """Long (var, x, y) -> per-(var, k) edges -> counts per bin (oracle of V4/V5/V7)."""
+    unions = " UNION ALL ".join(f"SELECT '{c}' AS var, CAST({c} AS DOUBLE) AS x, not_churn_1w AS y FROM {src}"
+                                for c in cols)
+    return [
+        ("lng", unions),
+        ("rng", "SELECT var, CAST(MIN(x) AS DOUBLE) AS mn, CAST(MAX(x) AS DOUBLE) AS mx FROM lng GROUP BY var"),
+        ("ks", "SELECT unnest([" + ", ".join(str(k) for k in ks) + "]) AS k"),
+        ("ed", f"SELECT var, k, {edges_sql()} AS edges FROM rng CROSS JOIN ks"),
+        ("bn", "SELECT l.var, e.k, len(list_filter(e.edges, lambda q: q < l.x)) AS bin, l.y, e.edges "
+               "FROM lng l JOIN ed e ON e.var = l.var"),
+        ("lv", "SELECT var, k, CAST(bin AS INTEGER) AS bin, edges[bin] AS bin_lo, edges[bin + 1] AS bin_hi, "
+               "COUNT(y) AS n_obs, CAST(SUM(y) AS BIGINT) AS n_good FROM bn GROUP BY var, k, bin, edges"),
+    ]
+
+
+MEASURE_LIST = list(M)
+DISCRETE_CANDIDATES = ["ops_city_id", "device_type", "vehicle_model", "vehicle_brand", "segment"]
+
+
+def woe_queries() -> dict[str, str]:
+    q: dict[str, str] = {}
+    for name, src in (("bin_completed_trip", "completed_trip"), ("bin_total_fare", "total_fare"),
+                      ("bin_total_eta", "total_ETA"), ("bin_distance", "distance_travelled")):
+        out = {"bin_completed_trip": "completed_trip_discrete", "bin_total_fare": "total_fare_discrete",
+               "bin_total_eta": "total_ETA_discrete", "bin_distance": "distance_travelled_discrete"}[name]
+        q[name] = W(*P1, body=f"SELECT entity_id, period, {src}, {RULE_SQL[out].sql(src)} AS {out} FROM panel")
+    q["bin_segment"] = W(*PM, body=f"SELECT entity_id, period, sum_sh, {SEG} AS segment FROM panel")
+    q["bin_equal_width"] = W(*P1,
+        ("rng", "SELECT MIN(total_fare) AS mn, MAX(total_fare) AS mx FROM panel"),
+        ("ed", f"SELECT {edges_sql(k='50')} AS edges FROM rng"),
+        ("b", "SELECT entity_id, period, total_fare, CAST(len(list_filter(edges, lambda q: q < total_fare)) AS INTEGER) "
+              "AS total_fare_fine_classing, edges FROM panel CROSS JOIN ed"),
+        body="SELECT entity_id, period, total_fare, total_fare_fine_classing, "
+             "edges[total_fare_fine_classing] AS total_fare_fine_classing_lo, "
+             "edges[total_fare_fine_classing + 1] AS total_fare_fine_classing_hi FROM b")
+    for key, var in (("woe_discrete", "segment"), ("woe_iv_adjusted", "completed_trip")):
+        q[key] = W(TRAIN_1P,
+                   ("lv", f"SELECT {var}, COUNT(not_churn_1w) AS n_obs, CAST(SUM(not_churn_1w) AS BIGINT) AS n_good "
+                          f"FROM tr GROUP BY {var}"),
+                   *woe_ctes("lv", []),
+                   body=f"SELECT {var}, {WOE_OUT} FROM st CROSS JOIN ivs i")
+    q["woe_continuous"] = W(TRAIN_1P, *binned_ctes("tr", ["total_fare"], [50]), *woe_ctes("lv", ["var", "k"]),
+                            body=f"SELECT bin AS total_fare_fine_classing, bin_lo, bin_hi, {WOE_OUT} "
+                                 f"FROM st JOIN ivs i ON i.var = st.var AND i.k = st.k")
+    best = ("SELECT var, k AS best_k, IV, IV_adjusted FROM (SELECT *, ROW_NUMBER() OVER "
+            "(PARTITION BY var ORDER BY IV_adjusted DESC NULLS LAST, k ASC) AS r FROM ivs) x WHERE r = 1")
+    q["woe_best_class_count"] = W(TRAIN_1P, *binned_ctes("tr", ["completed_trip"], list(range(3, 20))),
+                                  *woe_ctes("lv", ["var", "k"]), body=best)
+    q["iv_by_class_count"] = W(TRAIN_1P, *binned_ctes("tr", MEASURE_LIST, list(range(3, 20))),
+                               *woe_ctes("lv", ["var", "k"]), body="SELECT var, k, IV, IV_adjusted FROM ivs")
+    q["iv_rank_continuous"] = W(TRAIN_1P, *binned_ctes("tr", MEASURE_LIST, list(range(3, 20))),
+                                *woe_ctes("lv", ["var", "k"]), ("bst", best),
+                                body="SELECT var AS CONTINUOUS_COL, best_k AS BEST_CUT, IV, IV_adjusted AS IV_ADJUSTED "
+                                     "FROM bst")
+    unions = " UNION ALL ".join(f"SELECT '{c}' AS var, CAST({c} AS VARCHAR) AS level, not_churn_1w FROM tr"
+                                for c in DISCRETE_CANDIDATES)
+    q["iv_rank_discrete"] = W(TRAIN_1P, ("lng", unions),
+                              ("lv", "SELECT var, level, COUNT(not_churn_1w) AS n_obs, "
+                                     "CAST(SUM(not_churn_1w) AS BIGINT) AS n_good FROM lng GROUP BY var, level"),
+                              *woe_ctes("lv", ["var"]),
+                              body="SELECT var AS DISCRETE_COL, n_levels AS DISTINCT, IV, IV_adjusted AS IV_ADJUSTED "
+                                   "FROM ivs")
+    return q
+
+
+# ---------------------------------------------------------------------------
+# Evaluation on the deterministic score
+# ---------------------------------------------------------------------------
+TH = "(CASE WHEN is_test THEN CAST(0.5 AS DOUBLE) ELSE CAST(0.6 AS DOUBLE) END)"
+PRED = SCORED + [("pr", f"SELECT *, CASE WHEN score > {TH} THEN 1 ELSE 0 END AS predict FROM scored")]
+CNT = PRED + [("cnt", "SELECT is_test, "
+                      "COUNT(*) FILTER (WHERE not_churn_1w = 1 AND predict = 1) AS tp, "
+                      "COUNT(*) FILTER (WHERE not_churn_1w = 0 AND predict = 1) AS fp, "
+                      "COUNT(*) FILTER (WHERE not_churn_1w = 1 AND predict = 0) AS fn, "
+                      "COUNT(*) FILTER (WHERE not_churn_1w = 0 AND predict = 0) AS tn FROM pr GROUP BY is_test")]
+HIST = SCORED + [("hist", "SELECT is_test, score, COUNT(*) FILTER (WHERE not_churn_1w = 1) AS n_pos, "
+                          "COUNT(*) FILTER (WHERE not_churn_1w = 0) AS n_neg FROM scored GROUP BY is_test, score"),
+                 ("tots", "SELECT is_test, SUM(n_pos) AS P, SUM(n_neg) AS N FROM hist GROUP BY is_test")]
+
+
+def z0(n: str, dd: str) -> str:
+    return f"COALESCE({zdiv(n, dd)}, 0.0)"
+
+
+def report_cols(tp="tp", fp="fp", fn="fn", tn="tn") -> dict[str, str]:
+    s1, s0 = f"({tp} + {fn})", f"({tn} + {fp})"
+    p1, r1, f1 = z0(tp, f"{tp} + {fp}"), z0(tp, s1), z0(f"2 * {tp}", f"2 * {tp} + {fp} + {fn}")
+    p0, r0, f0 = z0(tn, f"{tn} + {fn}"), z0(tn, s0), z0(f"2 * {tn}", f"2 * {tn} + {fn} + {fp}")
+    tot = d(f"{s0} + {s1}")
+    return {
+        "precision_0": p0, "recall_0": r0, "f1_0": f0, "support_0": s0,
+        "precision_1": p1, "recall_1": r1, "f1_1": f1, "support_1": s1,
+        "accuracy": z0(f"{tp} + {tn}", f"{s0} + {s1}"),
+        "macro_precision": f"({p0} + {p1}) / 2", "macro_recall": f"({r0} + {r1}) / 2",
+        "macro_f1": f"({f0} + {f1}) / 2",
+        "weighted_precision": f"({p0} * {s0} + {p1} * {s1}) / {tot}",
+        "weighted_recall": f"({r0} * {s0} + {r1} * {s1}) / {tot}",
+        "weighted_f1": f"({f0} * {s0} + {f1} * {s1}) / {tot}",
+    }
+
+
+def eval_queries() -> dict[str, str]:
+    q: dict[str, str] = {}
+    q["score_threshold"] = W(*PRED, body="SELECT entity_id, period, is_test, score, not_churn_1w, predict FROM pr")
+    q["value_counts_pred"] = W(*PRED, body="SELECT is_test, predict, COUNT(*) AS n FROM pr GROUP BY is_test, predict")
+    q["confusion_matrix"] = W(*PRED, ("cells", "SELECT a.actual, p.predicted, s.is_test FROM (VALUES (0), (1)) a(actual) "
+                                               "CROSS JOIN (VALUES (0), (1)) p(predicted) "
+                                               "CROSS JOIN (SELECT DISTINCT is_test FROM pr) s"),
+                              body="SELECT c.is_test, CAST(c.actual AS INTEGER) AS actual, "
+                                   "CAST(c.predicted AS INTEGER) AS predicted, COUNT(pr.entity_id) AS n FROM cells c "
+                                   "LEFT JOIN pr ON pr.is_test = c.is_test AND pr.not_churn_1w = c.actual "
+                                   "AND pr.predict = c.predicted GROUP BY c.is_test, c.actual, c.predicted")
+    rc = report_cols()
+    rows = [("'0'", rc["precision_0"], rc["recall_0"], rc["f1_0"], rc["support_0"]),
+            ("'1'", rc["precision_1"], rc["recall_1"], rc["f1_1"], rc["support_1"]),
+            ("'accuracy'", "CAST(NULL AS DOUBLE)", "CAST(NULL AS DOUBLE)", rc["accuracy"], "(tp + fp + fn + tn)"),
+            ("'macro avg'", rc["macro_precision"], rc["macro_recall"], rc["macro_f1"], "(tp + fp + fn + tn)"),
+            ("'weighted avg'", rc["weighted_precision"], rc["weighted_recall"], rc["weighted_f1"], "(tp + fp + fn + tn)")]
+    q["classification_report"] = W(*CNT, body=" UNION ALL ".join(
+        f"SELECT is_test, {r} AS row, {p} AS precision, {rr} AS recall, {f} AS f1_score, "
+        f"CAST({s} AS BIGINT) AS support FROM cnt" for r, p, rr, f, s in rows))
+    q["roc_curve"] = W(*HIST, ("c", "SELECT h.is_test, h.score, "
+                                    "SUM(n_pos) OVER (PARTITION BY h.is_test ORDER BY score DESC ROWS UNBOUNDED PRECEDING) AS cp, "
+                                    "SUM(n_neg) OVER (PARTITION BY h.is_test ORDER BY score DESC ROWS UNBOUNDED PRECEDING) AS cn "
+                                    "FROM hist h"),
+                       body=f"SELECT c.is_test, c.score AS threshold, {zdiv('cn', 't.N')} AS fpr, "
+                            f"{zdiv('cp', 't.P')} AS tpr FROM c JOIN tots t ON t.is_test = c.is_test")
+    auc = W(*HIST, ("c", "SELECT *, SUM(n_neg) OVER (PARTITION BY is_test ORDER BY score ROWS UNBOUNDED PRECEDING) "
+                         "AS cn FROM hist"),
+            ("a", "SELECT is_test, SUM(CAST(n_pos AS HUGEINT) * (2 * (cn - n_neg) + n_neg)) AS num, "
+                  "SUM(n_pos) AS P, SUM(n_neg) AS N FROM c GROUP BY is_test"),
+            ("au", "SELECT is_test, CASE WHEN P > 0 AND N > 0 THEN CAST(num AS DOUBLE) / "
+                   "(CAST(2.0 AS DOUBLE) * CAST(P AS DOUBLE) * CAST(N AS DOUBLE)) END AS auroc FROM a"),
+            body="SELECT is_test, auroc, CAST(2.0 AS DOUBLE) * auroc - CAST(1.0 AS DOUBLE) AS gini FROM au")
+    q["auroc"] = f"SELECT is_test, auroc FROM ({auc}) x"
+    q["gini"] = f"SELECT is_test, gini FROM ({auc}) x"
+    gains = W(*HIST, ("c", "SELECT h.is_test, h.score, "
+                           "SUM(n_pos + n_neg) OVER w AS cum_n_population, SUM(n_pos) OVER w AS cum_n_good, "
+                           "SUM(n_neg) OVER w AS cum_n_bad FROM hist h "
+                           "WINDOW w AS (PARTITION BY h.is_test ORDER BY score ROWS UNBOUNDED PRECEDING)"),
+              body=f"SELECT c.is_test, c.score, CAST(cum_n_population AS BIGINT) AS cum_n_population, "
+                   f"CAST(cum_n_good AS BIGINT) AS cum_n_good, CAST(cum_n_bad AS BIGINT) AS cum_n_bad, "
+                   f"{zdiv('cum_n_population', 't.P + t.N')} AS cum_perc_population, "
+                   f"{zdiv('cum_n_good', 't.P')} AS cum_perc_good, {zdiv('cum_n_bad', 't.N')} AS cum_perc_bad "
+                   f"FROM c JOIN tots t ON t.is_test = c.is_test")
+    q["gains_curve"] = gains
+    q["ks_stat"] = f"SELECT is_test, MAX(cum_perc_bad - cum_perc_good) AS ks FROM ({gains}) g GROUP BY is_test"
+    q["gains_predicted_bad"] = W(*HIST,
+        ("h0", f"SELECT *, CASE WHEN score > {TH} THEN 0 ELSE n_pos + n_neg END AS n0 FROM hist"),
+        ("c", "SELECT is_test, score, SUM(n0) OVER (PARTITION BY is_test ORDER BY score ROWS UNBOUNDED PRECEDING) AS cum0, "
+              "SUM(n0) OVER (PARTITION BY is_test) AS t0 FROM h0"),
+        body=f"SELECT is_test, score, {zdiv('cum0', 't0')} AS cum_perc_predicted_bad FROM c")
+    ths = ", ".join(f"CAST('{t!r}' AS DOUBLE)" for t in linspace_thresholds(11))
+    sc = report_cols()
+    q["threshold_sweep"] = W(*SCORED, ("th", f"SELECT unnest([{ths}]) AS threshold"),
+        ("cnt", "SELECT s.is_test, th.threshold, "
+                "COUNT(*) FILTER (WHERE not_churn_1w = 1 AND score > threshold) AS tp, "
+                "COUNT(*) FILTER (WHERE not_churn_1w = 0 AND score > threshold) AS fp, "
+                "COUNT(*) FILTER (WHERE not_churn_1w = 1 AND NOT score > threshold) AS fn, "
+                "COUNT(*) FILTER (WHERE not_churn_1w = 0 AND NOT score > threshold) AS tn "
+                "FROM scored s CROSS JOIN th GROUP BY s.is_test, th.threshold"),
+        body="SELECT is_test, threshold, tp, fp, fn, tn, " + ", ".join(
+            f"{sc[k]} AS {k}" for k in ("accuracy", "precision_0", "recall_0", "f1_0",
+                                        "precision_1", "recall_1", "f1_1")) + " FROM cnt")
+    q["psi_label"] = W(*SCORED, ("s", "SELECT COUNT(*) FILTER (WHERE not_churn_1w = 0 AND NOT is_test) AS d0, "
+                                      "COUNT(*) FILTER (WHERE NOT is_test) AS dn, "
+                                      "COUNT(*) FILTER (WHERE not_churn_1w = 0 AND is_test) AS t0, "
+                                      "COUNT(*) FILTER (WHERE is_test) AS tn FROM scored"),
+                       ("r", f"SELECT {zdiv('d0', 'dn')} AS d, {zdiv('t0', 'tn')} AS t FROM s"),
+                       body=f"SELECT ROUND((t - d) * LN(t / d), {LOG_DIGITS}) AS psi_churn, "
+                            f"ROUND((d - t) * LN((1.0 - t) / (1.0 - d)), {LOG_DIGITS}) AS psi_not_churn, "
+                            f"d AS dev_churn_share, t AS oot_churn_share FROM r")
+    res = PRED + [("result", "SELECT entity_id, period, not_churn_1w, predict, is_test FROM pr WHERE not_churn = 1")]
+    q["result_scored_active"] = W(*res, body="SELECT entity_id, period, not_churn_1w, predict FROM result "
+                                             "WHERE NOT is_test")
+    q["result_union"] = W(*res, body="SELECT * FROM result WHERE NOT is_test UNION ALL "
+                                     "SELECT * FROM result WHERE is_test")
+    q["rate_actual_vs_predicted"] = W(*res,
+        ("t1", "SELECT period, COUNT(*) AS not_churn FROM result WHERE not_churn_1w = 1 GROUP BY period"),
+        ("t2", "SELECT period, COUNT(*) AS churn FROM result WHERE not_churn_1w = 0 GROUP BY period"),
+        ("t3", "SELECT t1.period, t2.churn * CAST(100.0 AS DOUBLE) / (t1.not_churn + t2.churn) AS churn_actual "
+               "FROM t1 LEFT JOIN t2 ON t1.period = t2.period"),
+        ("t4", "SELECT period, COUNT(*) AS not_churn FROM result WHERE predict = 1 GROUP BY period"),
+        ("t5", "SELECT period, COUNT(*) AS churn FROM result WHERE predict = 0 GROUP BY period"),
+        ("t6", "SELECT t4.period, t5.churn * CAST(100.0 AS DOUBLE) / (t4.not_churn + t5.churn) AS churn_predict "
+               "FROM t4 LEFT JOIN t5 ON t4.period = t5.period"),
+        body="SELECT t3.*, t6.churn_predict FROM t3 LEFT JOIN t6 ON t3.period = t6.period")
+    return q

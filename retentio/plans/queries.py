@@ -152,3 +152,185 @@ def panel_queries() -> dict[str, Query]:
     }
     q.update(S.SLICES)
     return q
+
+
+# ---------------------------------------------------------------------------
+# Binning and WoE / IV (on the 1-period slice, development split)
+# ---------------------------------------------------------------------------
+from ..operators import binning as B  # noqa: E402
+from ..operators import evaluate as D  # noqa: E402
+from ..operators import woe as V  # noqa: E402
+
+DISCRETE_CANDIDATES = ["ops_city_id", "device_type", "vehicle_model", "vehicle_brand", "segment"]
+
+
+def train_1p(spark, sf):
+    return S.slice_1p(spark, sf).where(~F.col("is_test"))
+
+
+def _bin_rule(name, source):
+    def q(spark, sf):
+        base = S.panel_measures(spark, sf) if name == "segment" else S.panel_1p(spark, sf)
+        return B.apply_rule(base, name).select("entity_id", "period", source, name)
+    return q
+
+
+def q_bin_equal_width(spark, sf):
+    b = B.equal_width(S.panel_1p(spark, sf), "total_fare", k=50)
+    return b.select("entity_id", "period", "total_fare", "total_fare_fine_classing",
+                    "total_fare_fine_classing_lo", "total_fare_fine_classing_hi")
+
+
+def q_woe_discrete(spark, sf):
+    return V.woe_discrete(train_1p(spark, sf), "segment")
+
+
+def q_woe_iv_adjusted(spark, sf):
+    return V.woe_discrete(train_1p(spark, sf), "completed_trip")
+
+
+def q_woe_continuous(spark, sf):
+    return V.woe_continuous(train_1p(spark, sf), "total_fare", k=50)
+
+
+def q_woe_best_class_count(spark, sf):
+    return V.best_class_count(train_1p(spark, sf), ["completed_trip"])
+
+
+def q_iv_by_class_count(spark, sf):
+    return V.iv_by_class_count(train_1p(spark, sf), DAILY_MEASURES)
+
+
+def q_iv_rank_discrete(spark, sf):
+    return V.iv_rank_discrete(train_1p(spark, sf), DISCRETE_CANDIDATES)
+
+
+def q_iv_rank_continuous(spark, sf):
+    return V.iv_rank_continuous(train_1p(spark, sf), DAILY_MEASURES)
+
+
+def woe_queries() -> dict[str, Query]:
+    return {
+        "bin_completed_trip": _bin_rule("completed_trip_discrete", "completed_trip"),
+        "bin_total_fare": _bin_rule("total_fare_discrete", "total_fare"),
+        "bin_total_eta": _bin_rule("total_ETA_discrete", "total_ETA"),
+        "bin_distance": _bin_rule("distance_travelled_discrete", "distance_travelled"),
+        "bin_segment": _bin_rule("segment", "sum_sh"),
+        "bin_equal_width": q_bin_equal_width,
+        "woe_discrete": q_woe_discrete,
+        "woe_iv_adjusted": q_woe_iv_adjusted,
+        "woe_continuous": q_woe_continuous,
+        "woe_best_class_count": q_woe_best_class_count,
+        "iv_by_class_count": q_iv_by_class_count,
+        "iv_rank_discrete": q_iv_rank_discrete,
+        "iv_rank_continuous": q_iv_rank_continuous,
+    }
+
+
+# ---------------------------------------------------------------------------
+# Evaluation on the deterministic score (dev threshold .6, out-of-time .5)
+# ---------------------------------------------------------------------------
+KEYS = ["is_test"]
+DEV_T, OOT_T = 0.6, 0.5
+
+
+def split_threshold():
+    return F.when(F.col("is_test"), F.lit(OOT_T)).otherwise(F.lit(DEV_T))
+
+
+def _hist(spark, sf):
+    return D.score_histogram(S.scored(spark, sf), KEYS)
+
+
+def _counts(spark, sf):
+    return D.threshold_counts(_hist(spark, sf), KEYS, split_threshold())
+
+
+def q_score_threshold(spark, sf):
+    s = D.predict(S.scored(spark, sf), split_threshold())
+    return s.select("entity_id", "period", "is_test", "score", S.LABEL, "predict")
+
+
+def q_value_counts_pred(spark, sf):
+    c = _counts(spark, sf)
+    cells = F.array(F.struct(F.lit(1).alias("predict"), (F.col("tp") + F.col("fp")).alias("n")),
+                    F.struct(F.lit(0).alias("predict"), (F.col("fn") + F.col("tn")).alias("n")))
+    return c.select(*KEYS, F.inline(cells)).where(F.col("n") > 0)
+
+
+def q_confusion_matrix(spark, sf):
+    return D.confusion(_counts(spark, sf), KEYS)
+
+
+def q_classification_report(spark, sf):
+    return D.classification_report(_counts(spark, sf), KEYS)
+
+
+def q_roc_curve(spark, sf):
+    return D.roc_points(_hist(spark, sf), KEYS)
+
+
+def q_auroc(spark, sf):
+    return D.auroc(_hist(spark, sf), KEYS).select(*KEYS, "auroc")
+
+
+def q_gini(spark, sf):
+    return D.auroc(_hist(spark, sf), KEYS).select(*KEYS, "gini")
+
+
+def q_gains_curve(spark, sf):
+    return D.gains(_hist(spark, sf), KEYS)
+
+
+def q_gains_predicted_bad(spark, sf):
+    return D.gains_predicted_bad(_hist(spark, sf), KEYS, split_threshold())
+
+
+def q_ks_stat(spark, sf):
+    return D.ks(_hist(spark, sf), KEYS)
+
+
+def q_threshold_sweep(spark, sf):
+    return D.threshold_sweep(_hist(spark, sf), KEYS)
+
+
+def q_psi_label(spark, sf):
+    return D.psi_label(S.scored(spark, sf))
+
+
+def _result(spark, sf):
+    s = D.predict(S.scored(spark, sf), split_threshold())
+    return s.where(F.col("not_churn") == 1).select("entity_id", "period", S.LABEL, "predict", "is_test")
+
+
+def q_result_scored_active(spark, sf):
+    return _result(spark, sf).where(~F.col("is_test")).drop("is_test")
+
+
+def q_result_union(spark, sf):
+    r = _result(spark, sf)
+    return r.where(~F.col("is_test")).unionByName(r.where(F.col("is_test")))
+
+
+def q_rate_actual_vs_predicted(spark, sf):
+    return D.rates_by_period(_result(spark, sf))
+
+
+def eval_queries() -> dict[str, Query]:
+    return {
+        "score_threshold": q_score_threshold,
+        "value_counts_pred": q_value_counts_pred,
+        "confusion_matrix": q_confusion_matrix,
+        "classification_report": q_classification_report,
+        "roc_curve": q_roc_curve,
+        "auroc": q_auroc,
+        "gini": q_gini,
+        "gains_curve": q_gains_curve,
+        "gains_predicted_bad": q_gains_predicted_bad,
+        "ks_stat": q_ks_stat,
+        "threshold_sweep": q_threshold_sweep,
+        "psi_label": q_psi_label,
+        "result_scored_active": q_result_scored_active,
+        "result_union": q_result_union,
+        "rate_actual_vs_predicted": q_rate_actual_vs_predicted,
+    }

@@ -9,10 +9,14 @@ from . import queries as Q
 def all_queries() -> dict:
     q = {}
     q.update(Q.panel_queries())
+    q.update(Q.woe_queries())
+    q.update(Q.eval_queries())
     return q
 
 
 def all_oracle_sql() -> dict[str, str]:
     o = {}
     o.update(O.panel_queries())
+    o.update(O.woe_queries())
+    o.update(O.eval_queries())
     return o
