@@ -470,3 +470,43 @@ def eval_queries() -> dict[str, str]:
                "FROM t4 LEFT JOIN t5 ON t4.period = t5.period"),
         body="SELECT t3.*, t6.churn_predict FROM t3 LEFT JOIN t6 ON t3.period = t6.period")
     return q
+
+
+# ---------------------------------------------------------------------------
+# Encoding with the training vocabulary
+# ---------------------------------------------------------------------------
+SELECTED_1P = ["segment", "completed_trip_discrete", "total_fare_discrete", "total_ETA_discrete",
+               "distance_travelled_discrete"]
+
+
+def _binned_split(test: bool) -> tuple[str, str]:
+    rules = ", ".join(f"{RULE_SQL[c].sql(RULE_SQL[c].source)} AS {c}" for c in SELECTED_1P[1:])
+    cond = "is_test" if test else "NOT is_test"
+    return ("te" if test else "tr",
+            "SELECT *, " + rules + " FROM (" + slice_sql("slice_1p") + f") s WHERE {cond}")
+
+
+VOCAB = [
+    _binned_split(False),
+    ("lv", " UNION ALL ".join(f"SELECT DISTINCT '{c}' AS variable, {i} AS ci, CAST({c} AS VARCHAR) AS level "
+                              f"FROM tr WHERE {c} IS NOT NULL" for i, c in enumerate(SELECTED_1P))),
+    ("rk", "SELECT *, ROW_NUMBER() OVER (PARTITION BY variable ORDER BY level) AS r, "
+           "COUNT(*) OVER (PARTITION BY variable) AS n FROM lv"),
+    ("voc", "SELECT variable, level, variable || ':' || level AS feature, "
+            "CAST(ROW_NUMBER() OVER (ORDER BY ci, r) - 1 AS INTEGER) AS position FROM rk WHERE r < n"),
+]
+
+
+def _encoded(src: str) -> str:
+    longs = " UNION ALL ".join(f"SELECT entity_id, period, '{c}' AS variable, CAST({c} AS VARCHAR) AS level "
+                               f"FROM {src}" for c in SELECTED_1P)
+    return (f"SELECT l.entity_id, l.period, v.feature FROM ({longs}) l "
+            f"JOIN voc v ON v.variable = l.variable AND v.level = l.level")
+
+
+def encode_queries() -> dict[str, str]:
+    return {
+        "encode_vocabulary": W(*VOCAB, body="SELECT * FROM voc"),
+        "encode_dummies": W(*VOCAB, body=_encoded("tr")),
+        "encode_pinned_vocab": W(*VOCAB, _binned_split(True), body=_encoded("te")),
+    }

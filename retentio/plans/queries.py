@@ -334,3 +334,128 @@ def eval_queries() -> dict[str, Query]:
         "result_union": q_result_union,
         "rate_actual_vs_predicted": q_rate_actual_vs_predicted,
     }
+
+
+# ---------------------------------------------------------------------------
+# Encoding (exact oracles) and models (rows-only checks + unit tests)
+# ---------------------------------------------------------------------------
+from ..operators import encode as E  # noqa: E402
+from ..operators import models as M  # noqa: E402
+from . import variants as VR  # noqa: E402
+
+V1P = VR.VARIANTS["1p"]
+ENC_KEYS = ["entity_id", "period"]
+
+
+def _model_frames(spark, sf):
+    base = VR.model_base(spark, sf, V1P)
+    return VR.split(base)
+
+
+def q_encode_vocabulary(spark, sf):
+    train, _ = _model_frames(spark, sf)
+    return E.vocabulary(train, V1P.selected)
+
+
+def q_encode_dummies(spark, sf):
+    train, _ = _model_frames(spark, sf)
+    return E.encode_long(train, E.vocabulary(train, V1P.selected), ENC_KEYS, V1P.selected)
+
+
+def q_encode_pinned_vocab(spark, sf):
+    train, test = _model_frames(spark, sf)
+    return E.encode_long(test, E.vocabulary(train, V1P.selected), ENC_KEYS, V1P.selected)
+
+
+def q_logit_fit(spark, sf):
+    *_, fit = VR.fit_variant_logit(spark, sf, "1p")
+    return fit.summary(spark).select("feature_no", "feature_name", "coefficient")
+
+
+def q_logit_summary(spark, sf):
+    *_, fit = VR.fit_variant_logit(spark, sf, "1p")
+    return fit.summary(spark)
+
+
+def q_logit_significant(spark, sf):
+    *_, fit = VR.fit_variant_logit(spark, sf, "1p")
+    return fit.summary(spark).where(F.col("p_value") < 0.05)
+
+
+def q_logit_score(spark, sf):
+    v, base, train, test, vocab, fit = VR.fit_variant_logit(spark, sf, "1p")
+    return fit.score(test).select("entity_id", "period", S.LABEL, "score")
+
+
+def q_logit_rates(spark, sf):
+    """Steps 9-10 end to end: LR scores -> dev/OOT result -> weekly actual vs predicted."""
+    v, base, train, test, vocab, fit = VR.fit_variant_logit(spark, sf, "1p")
+    res = VR.scored_result(v, fit.score, train, test, v.lr_thresholds)
+    return D.rates_by_period(res)
+
+
+def q_logit_evaluation(spark, sf):
+    """AUROC / Gini / KS of the fitted LR on development and out-of-time rows."""
+    v, base, train, test, vocab, fit = VR.fit_variant_logit(spark, sf, "1p")
+    sc = fit.score(train).unionByName(fit.score(test))
+    h = D.score_histogram(sc, KEYS)
+    return D.auroc(h, KEYS).join(D.ks(h, KEYS), KEYS)
+
+
+def _forest(spark, sf):
+    base = VR.model_base(spark, sf, V1P)
+    train, test = VR.split(base)
+    vocab = E.collect_vocabulary(E.vocabulary(train, V1P.selected))
+    return train, test, vocab, M.fit_forest(train, vocab)
+
+
+def q_rf_fit_score(spark, sf):
+    train, test, vocab, model = _forest(spark, sf)
+    return M.forest_score(model, test, vocab).select("entity_id", "period", S.LABEL, "score")
+
+
+def q_rf_importance(spark, sf):
+    train, test, vocab, model = _forest(spark, sf)
+    return M.importances(spark, model, vocab)
+
+
+def q_rf_rates(spark, sf):
+    train, test, vocab, model = _forest(spark, sf)
+    res = VR.scored_result(V1P, lambda d: M.forest_score(model, d, vocab), train, test, V1P.rf_thresholds)
+    return D.rates_by_period(res)
+
+
+def q_kmeans_elbow(spark, sf):
+    v = VR.VARIANTS["1p_attrs"]
+    train, _ = VR.split(VR.model_base(spark, sf, v))
+    rows = M.kmeans_elbow(train, list(v.kmeans_columns))
+    return spark.createDataFrame([(int(k), float(c)) for k, c in rows], "k int, inertia double")
+
+
+def q_kmeans_assign(spark, sf):
+    v, labelled, _ = VR.cluster_frames(spark, sf, "1p_attrs")
+    return labelled.select("entity_id", "period", "cluster")
+
+
+def q_cluster_logit_summary(spark, sf):
+    return VR.cluster_logit_summary(spark, sf, "1p_attrs")
+
+
+def model_queries() -> dict[str, Query]:
+    return {
+        "encode_vocabulary": q_encode_vocabulary,
+        "encode_dummies": q_encode_dummies,
+        "encode_pinned_vocab": q_encode_pinned_vocab,
+        "logit_fit": q_logit_fit,
+        "logit_summary": q_logit_summary,
+        "logit_significant": q_logit_significant,
+        "logit_score": q_logit_score,
+        "logit_rates": q_logit_rates,
+        "logit_evaluation": q_logit_evaluation,
+        "rf_fit_score": q_rf_fit_score,
+        "rf_importance": q_rf_importance,
+        "rf_rates": q_rf_rates,
+        "kmeans_elbow": q_kmeans_elbow,
+        "kmeans_assign": q_kmeans_assign,
+        "cluster_logit_summary": q_cluster_logit_summary,
+    }

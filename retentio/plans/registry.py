@@ -11,6 +11,7 @@ def all_queries() -> dict:
     q.update(Q.panel_queries())
     q.update(Q.woe_queries())
     q.update(Q.eval_queries())
+    q.update(Q.model_queries())
     return q
 
 
@@ -19,4 +20,5 @@ def all_oracle_sql() -> dict[str, str]:
     o.update(O.panel_queries())
     o.update(O.woe_queries())
     o.update(O.eval_queries())
+    o.update(O.encode_queries())
     return o
