@@ -35,6 +35,8 @@ HELPER_COLUMNS = (PERIOD_IDX, N_PERIODS, FIRST_PERIOD)
 
 # Upper bound on distinct periods that may be broadcast (100k days = 270 years).
 MAX_PERIODS = 100_000
+# Decimals kept on trailing means (order-independent results across engines).
+MEAN_DIGITS = 9
 
 
 def _ord(df: DataFrame, period: str) -> Column:
@@ -139,15 +141,22 @@ def densify_on_grid(obs: DataFrame, fills: Mapping[str, object], attrs: Iterable
 
 
 def trailing_mean(panel: DataFrame, measures: Iterable[str], n_periods: int, step: int = 1,
-                  entity: str = ENTITY, period: str = PERIOD) -> DataFrame:
+                  entity: str = ENTITY, period: str = PERIOD, digits: int | None = MEAN_DIGITS) -> DataFrame:
     """W1 (+P7): mean of each measure over the calendar range [t - (n-1)*step, t].
 
     One RANGE window per entity replaces the reference's loop of per-period
-    merges; with n = 1 it is the identity on the measures.
+    merges; with n = 1 it is the identity on the measures. Means are rounded
+    to ``digits`` decimals so the value does not depend on the order in which
+    an engine adds the frame's rows (``None`` keeps the raw double).
     """
     w = (Window.partitionBy(entity).orderBy(_ord(panel, period))
          .rangeBetween(-(n_periods - 1) * step, 0))
-    return panel.withColumns({m: F.avg(F.col(m)).over(w) for m in measures})
+    if n_periods == 1:
+        return panel
+    def mean(m):
+        a = F.avg(F.col(m)).over(w)
+        return a if digits is None else F.round(a, digits)
+    return panel.withColumns({m: mean(m) for m in measures})
 
 
 def offset_flag(panel: DataFrame, col: str, out: str, offset: int = 1, step: int = 1,

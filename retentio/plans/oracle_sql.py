@@ -119,7 +119,7 @@ def prev_flag(src: str, out: str = "not_churn_pre_1w") -> str:
 
 def trailing(n: int, src: str = "panel") -> str:
     """Mean over the panel rows of the same entity with period in [t-(n-1), t]."""
-    avgs = ", ".join(f"AVG(p.{m}) AS {m}" for m in M)
+    avgs = ", ".join(f"ROUND(AVG(p.{m}), 9) AS {m}" for m in M)
     return (f"SELECT c.entity_id, c.period, {avgs}, c.not_churn, c.period_idx, c.n_periods, c.first_period "
             f"FROM {src} c JOIN {src} p ON p.entity_id = c.entity_id "
             f"AND p.period <= c.period AND p.period >= c.period - {n - 1} "
