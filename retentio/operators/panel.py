@@ -31,7 +31,9 @@ from ..sources.fixtures import ENTITY, PERIOD
 PERIOD_IDX = "period_idx"
 N_PERIODS = "n_periods"
 FIRST_PERIOD = "first_period"
-HELPER_COLUMNS = (PERIOD_IDX, N_PERIODS, FIRST_PERIOD)
+# index of the newest period whose calendar successor (one step later) exists
+LAST_PAIRED = "last_paired_idx"
+HELPER_COLUMNS = (PERIOD_IDX, N_PERIODS, FIRST_PERIOD, LAST_PAIRED)
 
 # Upper bound on distinct periods that may be broadcast (100k days = 270 years).
 MAX_PERIODS = 100_000
@@ -43,22 +45,29 @@ def _ord(df: DataFrame, period: str) -> Column:
     return period_ordinal(df.schema[period].dataType, F.col(period))
 
 
-def period_index(obs: DataFrame, period: str = PERIOD, max_periods: int = MAX_PERIODS) -> DataFrame:
+def period_index(obs: DataFrame, period: str = PERIOD, max_periods: int = MAX_PERIODS,
+                 step: int = 1) -> DataFrame:
     """Distinct periods numbered 1..n in calendar order, with n on every row.
 
-    The window runs over the distinct periods only (bounded by the calendar and
+    Also ``last_paired_idx``: the newest period whose successor one ``step``
+    later is also observed (the newest period a next-period label exists for).
+    The windows run over the distinct periods only (bounded by the calendar and
     checked against ``max_periods`` at run time), never over data rows.
     """
     d = obs.select(period).where(F.col(period).isNotNull()).distinct()
-    n = F.count(F.lit(1)).over(Window.partitionBy(F.lit(0)))
+    whole = Window.partitionBy(F.lit(0))
+    ordered = whole.orderBy(period)
+    o = _ord(d, period)
     idx = d.select(
         period,
-        F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(period)).alias(PERIOD_IDX),
-        n.alias(N_PERIODS),
+        F.row_number().over(ordered).alias(PERIOD_IDX),
+        F.count(F.lit(1)).over(whole).alias(N_PERIODS),
+        (F.lead(o).over(ordered) == o + step).alias("_paired"),
     )
+    idx = idx.withColumn(LAST_PAIRED, F.max(F.when(F.col("_paired"), F.col(PERIOD_IDX))).over(whole)).drop("_paired")
     guard = F.when(F.col(N_PERIODS) <= max_periods, F.col(N_PERIODS)).otherwise(
         F.raise_error(F.lit(f"more than {max_periods} distinct periods; refusing to broadcast")))
-    return idx.withColumn(N_PERIODS, guard.cast("int"))
+    return idx.withColumns({N_PERIODS: guard.cast("int"), LAST_PAIRED: F.col(LAST_PAIRED).cast("int")})
 
 
 def first_seen(obs: DataFrame, entity: str = ENTITY, period: str = PERIOD) -> DataFrame:
@@ -67,16 +76,20 @@ def first_seen(obs: DataFrame, entity: str = ENTITY, period: str = PERIOD) -> Da
 
 
 def densify(obs: DataFrame, fills: Mapping[str, object], entity: str = ENTITY,
-            period: str = PERIOD) -> DataFrame:
+            period: str = PERIOD, periods: DataFrame | None = None, step: int = 1) -> DataFrame:
     """J1 + J2 + J4 + P10 in one pass: gap-free panel from each entity's first period.
 
     ``fills`` maps each measure/flag column to the value of a gap row; observed
     NULLs in those columns get the same value (the reference's blanket fill).
     Every other column is carried from the entity's preceding observation
-    (static attributes). Adds ``period_idx``, ``n_periods``, ``first_period``.
+    (static attributes). Adds ``period_idx``, ``n_periods``, ``first_period``,
+    ``last_paired_idx``.
+
+    ``periods`` may give the distinct periods from a cheaper plan (e.g. one
+    pruned column of the raw table); by default they come from ``obs``.
     """
-    pidx = period_index(obs, period)
-    o = obs.join(F.broadcast(pidx), period)
+    pidx = F.broadcast(period_index(obs if periods is None else periods, period, step=step))
+    o = obs.join(pidx, period)
     w = Window.partitionBy(entity).orderBy(PERIOD_IDX)
     o = o.withColumns({
         "_next": F.coalesce(F.lead(PERIOD_IDX).over(w), F.col(N_PERIODS) + 1),
@@ -87,11 +100,11 @@ def densify(obs: DataFrame, fills: Mapping[str, object], entity: str = ENTITY,
     is_obs = F.col("_q") == F.col(PERIOD_IDX)
     filled = {c: F.when(is_obs, F.coalesce(F.col(c), F.lit(v))).otherwise(F.lit(v)).cast(obs.schema[c].dataType)
               for c, v in fills.items()}
-    g = g.withColumns(filled).drop(period, PERIOD_IDX, N_PERIODS, "_next")
-    back = F.broadcast(pidx.withColumnRenamed(PERIOD_IDX, "_q"))
-    out = g.join(back, "_q").withColumnRenamed("_q", PERIOD_IDX)
+    g = g.withColumns(filled).drop(period, PERIOD_IDX, N_PERIODS, LAST_PAIRED, "_next")
+    # the same broadcast period table maps the generated index back to its period
+    out = g.join(pidx.alias("_pi"), F.col("_q") == F.col(f"_pi.{PERIOD_IDX}")).drop("_q")
     return out.select(entity, period, *[c for c in obs.columns if c not in (entity, period)],
-                      PERIOD_IDX, N_PERIODS, FIRST_PERIOD)
+                      PERIOD_IDX, N_PERIODS, FIRST_PERIOD, LAST_PAIRED)
 
 
 def grid(obs: DataFrame, keys: Iterable[str] = (), entity: str = ENTITY,
@@ -102,15 +115,14 @@ def grid(obs: DataFrame, keys: Iterable[str] = (), entity: str = ENTITY,
     by ``sequence`` over period indexes instead of a Cartesian product.
     """
     keys = list(keys)
-    pidx = period_index(obs, period)
-    o = obs.join(F.broadcast(pidx), period)
-    firsts = o.groupBy(entity).agg(F.min(PERIOD_IDX).alias("_first"), F.max(N_PERIODS).alias(N_PERIODS),
+    pidx = F.broadcast(period_index(obs, period))
+    o = obs.join(pidx, period)
+    firsts = o.groupBy(entity).agg(F.min(PERIOD_IDX).alias("_first"), F.max(N_PERIODS).alias("_n"),
                                    F.min(period).alias(FIRST_PERIOD))
     tuples = obs.select(entity, *keys).distinct()
-    g = tuples.join(firsts, entity).withColumn("_q", F.explode(F.sequence("_first", N_PERIODS)))
-    back = F.broadcast(pidx.select(F.col(PERIOD_IDX).alias("_q"), period))
-    return (g.join(back, "_q").withColumnRenamed("_q", PERIOD_IDX)
-            .select(entity, period, *keys, PERIOD_IDX, N_PERIODS, FIRST_PERIOD))
+    g = tuples.join(firsts, entity).withColumn("_q", F.explode(F.sequence("_first", "_n")))
+    out = g.join(pidx.alias("_pi"), F.col("_q") == F.col(f"_pi.{PERIOD_IDX}")).drop("_q")
+    return out.select(entity, period, *keys, PERIOD_IDX, N_PERIODS, FIRST_PERIOD, LAST_PAIRED)
 
 
 def densify_on_grid(obs: DataFrame, fills: Mapping[str, object], attrs: Iterable[str] = (),
@@ -137,7 +149,7 @@ def densify_on_grid(obs: DataFrame, fills: Mapping[str, object], attrs: Iterable
         j = g.join(o, [entity, period], "left")
     filled = {c: F.coalesce(F.col(c), F.lit(v)).cast(obs.schema[c].dataType) for c, v in fills.items()}
     j = j.withColumns(filled)
-    return j.select(entity, period, *attrs, *measures, PERIOD_IDX, N_PERIODS, FIRST_PERIOD)
+    return j.select(entity, period, *attrs, *measures, PERIOD_IDX, N_PERIODS, FIRST_PERIOD, LAST_PAIRED)
 
 
 def trailing_mean(panel: DataFrame, measures: Iterable[str], n_periods: int, step: int = 1,
@@ -199,11 +211,28 @@ def with_period_max(df: DataFrame, period: str = PERIOD, out: str = "_max_period
 
 
 def split_oot(df: DataFrame, period: str = PERIOD) -> DataFrame:
-    """``is_test`` = row belongs to the newest period (out-of-time test)."""
+    """T1 (generic): ``is_test`` = row belongs to the newest period of ``df``.
+
+    Needs a global max, i.e. a second pass over ``df``; panel-derived frames
+    use :func:`split_oot_indexed` instead.
+    """
     return (with_period_max(df, period)
             .withColumn("is_test", F.col(period) == F.col("_max_period")).drop("_max_period"))
 
 
+def split_oot_indexed(df: DataFrame, newest: str = "labelled") -> DataFrame:
+    """T1 on a panel-derived frame, row-local (no second pass).
+
+    ``newest='labelled'``: the newest period after dropping the panel's newest
+    (filled next-period label) is index n-1. ``newest='paired'``: after an
+    inner next-period label it is the newest period whose successor exists.
+    Every entity has rows at all periods from its first one, so these periods
+    are present in the frame.
+    """
+    idx = F.col(N_PERIODS) - 1 if newest == "labelled" else F.col(LAST_PAIRED)
+    return df.withColumn("is_test", F.col(PERIOD_IDX) == idx)
+
+
 def warmup_entity(df: DataFrame, k: int = 0, step: int = 1, period: str = PERIOD) -> DataFrame:
     """Keep rows later than the entity's first period + k steps."""
     first = period_ordinal(df.schema[FIRST_PERIOD].dataType, F.col(FIRST_PERIOD))
@@ -211,7 +240,7 @@ def warmup_entity(df: DataFrame, k: int = 0, step: int = 1, period: str = PERIOD
 
 
 def warmup_global(df: DataFrame, k: int, period: str = PERIOD) -> DataFrame:
-    """Drop the first k distinct periods of the frame.
+    """T3 / O4 (generic): drop the first k distinct periods of the frame.
 
     The k periods come from a top-k over the distinct periods (``limit`` is the
     feature here) and are removed with a broadcast anti join of k rows.
@@ -220,5 +249,11 @@ def warmup_global(df: DataFrame, k: int, period: str = PERIOD) -> DataFrame:
     return df.join(F.broadcast(first_k), period, "left_anti")
 
 
+def warmup_global_indexed(df: DataFrame, k: int, already_dropped: int = 0) -> DataFrame:
+    """T3 on a panel-derived frame: the first k periods still present are the
+    panel's indexes ``already_dropped + 1 .. already_dropped + k``."""
+    return df.where(F.col(PERIOD_IDX) > already_dropped + k)
+
+
 def drop_helpers(df: DataFrame) -> DataFrame:
     return df.drop(*[c for c in HELPER_COLUMNS if c in df.columns])

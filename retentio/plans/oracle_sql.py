@@ -510,3 +510,12 @@ def encode_queries() -> dict[str, str]:
         "encode_dummies": W(*VOCAB, body=_encoded("tr")),
         "encode_pinned_vocab": W(*VOCAB, _binned_split(True), body=_encoded("te")),
     }
+
+
+def stats_queries() -> dict[str, str]:
+    lng = " UNION ALL ".join(f"SELECT '{m}' AS measure, CAST({m} AS DOUBLE) AS x FROM panel WHERE {m} IS NOT NULL"
+                             for m in M)
+    qs = ", ".join(f"ROUND(QUANTILE_CONT(x, {q}), 9) AS p{int(q * 100)}" for q in (0.25, 0.5, 0.75))
+    return {"describe_measures": W(*P1, ("lng", lng), body=(
+        f"SELECT measure, COUNT(x) AS count, ROUND(AVG(x), 6) AS mean, ROUND(STDDEV_SAMP(x), 6) AS std, "
+        f"MIN(x) AS min, {qs}, MAX(x) AS max FROM lng GROUP BY measure"))}

@@ -37,11 +37,11 @@ def q_panel_grid(spark, sf):
 
 
 def q_panel_densify(spark, sf):
-    return S.panel_measures(spark, sf)
+    return S.panel_measures(spark, sf).select(*PM_COLS, P.PERIOD_IDX, P.N_PERIODS, P.FIRST_PERIOD)
 
 
 def q_panel_fill(spark, sf):
-    return S.panel_1p(spark, sf)
+    return S.panel_1p(spark, sf).select(*P1_COLS, P.PERIOD_IDX, P.N_PERIODS, P.FIRST_PERIOD)
 
 
 def q_panel_densify_attrs(spark, sf):
@@ -117,9 +117,8 @@ def q_churn_rate_ttc(spark, sf):
 
 def q_audit_null_count(spark, sf):
     """Total NULL count over all columns, one pass."""
-    src = activity_daily(spark, sf)
-    total = sum(F.count_if(F.col(c).isNull()) for c in src.columns)
-    return src.agg(total.cast("bigint").alias("total_nulls"), F.count(F.lit(1)).alias("n_rows"))
+    from ..operators.stats import null_audit
+    return null_audit(activity_daily(spark, sf))
 
 
 def q_lookup_entity(spark, sf):
@@ -459,3 +458,15 @@ def model_queries() -> dict[str, Query]:
         "kmeans_assign": q_kmeans_assign,
         "cluster_logit_summary": q_cluster_logit_summary,
     }
+
+
+from ..operators import stats as ST  # noqa: E402
+
+
+def q_describe_measures(spark, sf):
+    """describe() of the measures of the dense 1-period panel."""
+    return ST.describe(S.panel_1p(spark, sf), DAILY_MEASURES)
+
+
+def stats_queries() -> dict[str, Query]:
+    return {"describe_measures": q_describe_measures}

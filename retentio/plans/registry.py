@@ -12,6 +12,7 @@ def all_queries() -> dict:
     q.update(Q.woe_queries())
     q.update(Q.eval_queries())
     q.update(Q.model_queries())
+    q.update(Q.stats_queries())
     return q
 
 
@@ -21,4 +22,5 @@ def all_oracle_sql() -> dict[str, str]:
     o.update(O.woe_queries())
     o.update(O.eval_queries())
     o.update(O.encode_queries())
+    o.update(O.stats_queries())
     return o

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from ..functions.rules import SEGMENT, SEGMENT_FILL, VEHICLE_MODEL_FILL
 from ..operators import panel as P
-from ..sources.fixtures import DAILY_ATTRS, DAILY_MEASURES, activity_daily
+from ..sources.fixtures import DAILY_ATTRS, DAILY_MEASURES, activity_daily, daily_periods
 
 LABEL = "not_churn_1w"
 PREV = "not_churn_pre_1w"
@@ -53,21 +53,22 @@ def zero_fills(extra: dict | None = None) -> dict:
 
 def panel_1p(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dense panel with attributes; observed NULL and gap segments -> 'Parttime'."""
-    return P.densify(source_1p(spark, sf_dir), zero_fills({"segment": SEGMENT_FILL}))
+    return P.densify(source_1p(spark, sf_dir), zero_fills({"segment": SEGMENT_FILL}),
+                     periods=daily_periods(spark, sf_dir))
 
 
 def panel_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.densify(source_measures(spark, sf_dir), zero_fills())
+    return P.densify(source_measures(spark, sf_dir), zero_fills(), periods=daily_periods(spark, sf_dir))
 
 
-def _finish(df: DataFrame) -> DataFrame:
-    return P.split_oot(P.drop_helpers(df))
+def _finish(df: DataFrame, newest: str = "labelled") -> DataFrame:
+    return P.drop_helpers(P.split_oot_indexed(df, newest))
 
 
 def slice_1p(spark: SparkSession, sf_dir: str) -> DataFrame:
     pn = panel_1p(spark, sf_dir)
     lab = P.offset_flag(pn, FLAG, LABEL, +1, how="inner")
-    return _finish(lab)
+    return _finish(lab, "paired")
 
 
 def _sliced(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
@@ -98,14 +99,14 @@ def slice_1p_attrs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def slice_2p_global(spark: SparkSession, sf_dir: str) -> DataFrame:
     lab = _sliced(spark, sf_dir, 2).withColumn("segment", SEGMENT.expr("sum_sh"))
-    return _finish(P.warmup_global(lab, 1))
+    return _finish(P.warmup_global_indexed(lab, 1))
 
 
 def slice_3p_global(spark: SparkSession, sf_dir: str) -> DataFrame:
     lab = _sliced(spark, sf_dir, 3)
     lab = P.drop_oldest(P.offset_flag(lab, FLAG, PREV, -1, how="filled"))
     lab = lab.withColumn("segment", SEGMENT.expr("sum_sh"))
-    return _finish(P.warmup_global(lab, 2))
+    return _finish(P.warmup_global_indexed(lab, 2, already_dropped=1))
 
 
 SLICES = {
