@@ -149,7 +149,7 @@ def sse_one_cluster(df: DataFrame, columns: Sequence[str]) -> float:
 
 
 def kmeans_elbow(df: DataFrame, columns: Sequence[str], ks=range(1, 11), restarts: int = 10,
-                 max_iter: int = 300, seed: int = 0, parallel: int = 4) -> list[tuple[int, float]]:
+                 max_iter: int = 300, seed: int = 0, parallel: int = 8) -> list[tuple[int, float]]:
     """M8: best inertia over ``restarts`` seeds for each k (unscaled features).
 
     The restarts are independent MLlib jobs over one persisted frame and are

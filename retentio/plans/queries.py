@@ -440,8 +440,31 @@ def q_cluster_logit_summary(spark, sf):
     return VR.cluster_logit_summary(spark, sf, "1p_attrs")
 
 
+def _variant_rates(name, model):
+    def q(spark, sf):
+        return VR.variant_rates(spark, sf, name, model)
+    return q
+
+
+def _cluster_summary(name):
+    def q(spark, sf):
+        return VR.cluster_logit_summary(spark, sf, name)
+    return q
+
+
+def q_cluster_rf_importance(spark, sf):
+    return VR.cluster_forest_importance(spark, sf, "1p_attrs")
+
+
 def model_queries() -> dict[str, Query]:
     return {
+        "logit_rates_2p": _variant_rates("2p", "logit"),
+        "logit_rates_3p": _variant_rates("3p", "logit"),
+        "rf_rates_2p": _variant_rates("2p", "forest"),
+        "rf_rates_3p": _variant_rates("3p", "forest"),
+        "cluster_logit_summary_2p": _cluster_summary("2p_global"),
+        "cluster_logit_summary_3p": _cluster_summary("3p_global"),
+        "cluster_rf_importance": q_cluster_rf_importance,
         "encode_vocabulary": q_encode_vocabulary,
         "encode_dummies": q_encode_dummies,
         "encode_pinned_vocab": q_encode_pinned_vocab,

@@ -113,6 +113,46 @@ def cluster_logit_summary(spark: SparkSession, sf_dir: str, name: str = "1p_attr
     return out
 
 
+def variant_rates(spark: SparkSession, sf_dir: str, name: str, model: str = "logit") -> DataFrame:
+    """Steps 8-10 of a global variant: fit on development rows, score dev and
+    out-of-time rows with the variant's thresholds, weekly actual vs predicted."""
+    v = VARIANTS[name]
+    base = model_base(spark, sf_dir, v)
+    train, test = split(base)
+    vocab = E.collect_vocabulary(E.vocabulary(train, v.selected))
+    if model == "logit":
+        fit = M.fit_logit(train, _non_empty(train, vocab))
+        res = scored_result(v, fit.score, train, test, v.lr_thresholds)
+    else:
+        rf = M.fit_forest(train, vocab)
+        res = scored_result(v, lambda d: M.forest_score(rf, d, vocab), train, test, v.rf_thresholds)
+    return D.rates_by_period(res)
+
+
+def export_rates(spark: SparkSession, sf_dir: str, out_dir: str, name: str = "1p") -> dict[str, str]:
+    """S3: the reference's ``logistic_<n>w.csv`` / ``rf_<n>w.csv`` reports."""
+    from ..sources.tables import write_small_csv
+    paths = {}
+    for model, stem in (("logit", "logistic"), ("forest", "rf")):
+        path = f"{out_dir.rstrip('/')}/{stem}_{name}.csv"
+        write_small_csv(variant_rates(spark, sf_dir, name, model).orderBy("period"), path)
+        paths[model] = path
+    return paths
+
+
+def cluster_forest_importance(spark: SparkSession, sf_dir: str, name: str = "1p_attrs", k: int = 3) -> DataFrame:
+    """M6/M7 per cluster: one forest per cluster, importances stacked with the cluster id."""
+    v, labelled, test = cluster_frames(spark, sf_dir, name, k)
+    out = None
+    for c in range(k):
+        tr = labelled.where(F.col("cluster") == c)
+        vocab = E.collect_vocabulary(E.vocabulary(tr, v.selected))
+        rf = M.fit_forest(tr, vocab)
+        t = M.importances(spark, rf, vocab).select(F.lit(c).alias("cluster"), "*")
+        out = t if out is None else out.unionByName(t)
+    return out
+
+
 def _non_empty(train: DataFrame, vocab):
     """Drop dummies constant within a cluster (they make the information matrix singular)."""
     if not vocab:

@@ -1,0 +1,65 @@
+"""Weekly actual-vs-predicted churn report over arriving scored results.
+
+The reference has no streaming operator; its last step (D12 + S3) recomputes
+a per-period rate table from the union of scored development and
+out-of-time rows. When scored rows arrive as files (one drop per scoring
+run), the same report is maintained with Structured Streaming: a streaming
+``groupBy(period)`` keeps the four per-period counts in the state store, and
+each micro-batch rewrites the small report with the reference's NULL rules.
+No new operator: the counts and the final projection are those of
+:func:`retentio.operators.evaluate.rates_by_period`.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQuery
+
+from ..session import ensure_checkpoint_dir
+from ..sources.tables import write_small_csv
+
+RESULT_SCHEMA = T.StructType([
+    T.StructField("entity_id", T.LongType()),
+    T.StructField("period", T.DateType()),
+    T.StructField("not_churn_1w", T.IntegerType()),
+    T.StructField("predict", T.IntegerType()),
+])
+
+
+def period_counts(result: DataFrame, period: str = "period") -> DataFrame:
+    """The four per-period counts behind the rates (works on batch and stream)."""
+    y, p = F.col("not_churn_1w"), F.col("predict")
+    return result.groupBy(period).agg(
+        F.count_if(y == 1).alias("y1"), F.count_if(y == 0).alias("y0"),
+        F.count_if(p == 1).alias("p1"), F.count_if(p == 0).alias("p0"))
+
+
+def rates_from_counts(counts: DataFrame, period: str = "period") -> DataFrame:
+    pct = F.lit(100.0)
+    return counts.where(F.col("y1") > 0).select(
+        period,
+        F.when(F.col("y0") > 0, F.col("y0") * pct / (F.col("y1") + F.col("y0"))).alias("churn_actual"),
+        F.when((F.col("p1") > 0) & (F.col("p0") > 0),
+               F.col("p0") * pct / (F.col("p1") + F.col("p0"))).alias("churn_predict"))
+
+
+def start_rates_monitor(spark: SparkSession, source_dir: str, report_dir: str,
+                        checkpoint: str | None = None, available_now: bool = False) -> StreamingQuery:
+    """Stream scored-result Parquet files from ``source_dir`` into a CSV report.
+
+    State (counts per period) lives in the checkpoint under the cluster's
+    shared ``spark.checkpoint.dir``, so a restarted query resumes exactly.
+    """
+    ckpt = checkpoint or f"{ensure_checkpoint_dir(spark).rstrip('/')}/rates_monitor"
+    stream = spark.readStream.schema(RESULT_SCHEMA).parquet(source_dir)
+
+    def publish(batch: DataFrame, _batch_id: int) -> None:
+        write_small_csv(rates_from_counts(batch).orderBy("period"), report_dir)
+
+    writer = (period_counts(stream).writeStream.outputMode("complete")
+              .option("checkpointLocation", ckpt).foreachBatch(publish))
+    if available_now:
+        writer = writer.trigger(availableNow=True)
+    return writer.start()
