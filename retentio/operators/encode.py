@@ -46,8 +46,10 @@ def vocabulary(train: DataFrame, columns: Sequence[str], drop_last: bool = True)
     if drop_last:
         lv = lv.where(F.col("_r") < F.col("_n"))
     pos = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("_ci", "_r")) - 1
+    guarded = F.when(pos < MAX_VOCAB, pos).otherwise(
+        F.raise_error(F.lit(f"more than {MAX_VOCAB} dummies; refusing to broadcast the vocabulary")))
     return lv.select("variable", "level", F.concat_ws(":", "variable", "level").alias("feature"),
-                     pos.cast("int").alias("position"))
+                     guarded.cast("int").alias("position"))
 
 
 def collect_vocabulary(vocab: DataFrame) -> list[tuple[str, str, str]]:
