@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.exprs import LOG_DIGITS, linspace_thresholds, ratio, strict_threshold
+from ..session import keep
 from .cumulative import running_sums
 
 SCORE, LABEL = "score", "not_churn_1w"
@@ -25,8 +26,12 @@ SCORE, LABEL = "score", "not_churn_1w"
 
 def score_histogram(df: DataFrame, keys: Sequence[str] = (), score: str = SCORE,
                     label: str = LABEL) -> DataFrame:
+    """(keys..., score, n_pos, n_neg). Persisted: every metric reads it from
+    several branches, and without it each branch would re-run the whole
+    upstream plan (the branches prune it differently, so exchanges are not reused)."""
     y = F.col(label)
-    return df.groupBy(*keys, score).agg(F.count_if(y == 1).alias("n_pos"), F.count_if(y == 0).alias("n_neg"))
+    return keep(df.groupBy(*keys, score).agg(F.count_if(y == 1).alias("n_pos"),
+                                             F.count_if(y == 0).alias("n_neg")))
 
 
 def _totals(hist: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -112,12 +112,18 @@ def wald_no_intercept(model, pat: DataFrame, coef, names):
 # ------------------------------------------------------------------ forest ---
 def fit_forest(train: DataFrame, vocab_list, label: str = LABEL, num_trees: int = 100, seed: int = 42,
                max_depth: int = 30):
-    """M6: 100 gini trees, sqrt features per split, bootstrap, fixed seed."""
+    """M6: 100 gini trees, sqrt features per split, bootstrap, fixed seed.
+
+    ``cacheNodeIds`` keeps each row's node id between levels instead of
+    re-walking the trees (same trees, about half the time for deep forests);
+    the cache is checkpointed every 10 levels into the shared checkpoint dir.
+    """
     x = train.select(array_to_vector(design_array(vocab_list)).alias("_features"),
                      F.col(label).cast("double").alias("label"))
     rf = RandomForestClassifier(featuresCol="_features", labelCol="label", numTrees=num_trees,
                                 impurity="gini", featureSubsetStrategy="sqrt", maxDepth=max_depth,
-                                minInstancesPerNode=1, bootstrap=True, subsamplingRate=1.0, seed=seed)
+                                minInstancesPerNode=1, bootstrap=True, subsamplingRate=1.0, seed=seed,
+                                cacheNodeIds=True, checkpointInterval=10)
     return rf.fit(x)
 
 

@@ -15,6 +15,7 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import keep
 from .cumulative import running_sums
 
 STAT_DIGITS = 9
@@ -35,16 +36,27 @@ def value_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def describe(df: DataFrame, columns: Iterable[str], qs: Sequence[float] = QUARTILES) -> DataFrame:
-    """(measure, count, mean, std, min, p25, p50, p75, max) per column (long form)."""
+    """(measure, count, mean, std, min, p25, p50, p75, max) per column (long form).
+
+    The data is read once, into ``(measure, value, count)`` (partial
+    aggregation; persisted, it is read by every branch below). Moments are
+    computed from it in two passes (mean, then squared deviations), so the
+    standard deviation does not suffer from cancellation.
+    """
     cols = list(columns)
     long = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).unpivot(
         [], cols, "measure", "x").where(F.col("x").isNotNull())
-    basic = long.groupBy("measure").agg(
-        F.count("x").alias("count"),
-        F.round(F.avg("x"), MOMENT_DIGITS).alias("mean"),
-        F.round(F.stddev_samp("x"), MOMENT_DIGITS).alias("std"),
-        F.min("x").alias("min"), F.max("x").alias("max"))
-    vc = long.groupBy("measure", "x").agg(F.count(F.lit(1)).alias("c"))
+    vc = keep(long.groupBy("measure", "x").agg(F.count(F.lit(1)).alias("c")))
+    first = vc.groupBy("measure").agg(
+        F.sum("c").alias("count"), F.min("x").alias("min"), F.max("x").alias("max"),
+        (F.sum(F.col("x") * F.col("c")) / F.sum("c")).alias("_mean"))
+    dev = vc.join(F.broadcast(first.select("measure", "_mean")), "measure").groupBy("measure").agg(
+        F.sum(F.col("c") * (F.col("x") - F.col("_mean")) * (F.col("x") - F.col("_mean"))).alias("_ss"))
+    basic = first.join(F.broadcast(dev), "measure").select(
+        "measure", "count", F.round("_mean", MOMENT_DIGITS).alias("mean"),
+        F.round(F.when(F.col("count") > 1, F.sqrt(F.col("_ss") / (F.col("count") - 1))), MOMENT_DIGITS).alias("std"),
+        "min", "max")
+    basic = keep(basic)
     ranked = running_sums(vc, ["measure"], "x", ["c"])          # rows [cum_c - c, cum_c - 1]
     need = basic.select("measure", F.col("count").alias("n")).select(
         "measure", F.explode(F.array(*[F.lit(float(q)) for q in qs])).alias("q"), "n")

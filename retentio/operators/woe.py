@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import LOG_DIGITS, ieee_log_ratio, ratio
+from ..session import keep
 from .binning import bin_edges, bin_of, value_ranges
 
 LABEL = "not_churn_1w"
@@ -41,7 +42,8 @@ def woe_from_counts(counts: DataFrame, group: Sequence[str], per_level: bool = T
     """
     group = list(group)
     mixed = (F.col("n_good") > 0) & (F.col("n_good") < F.col("n_obs"))
-    c = counts.withColumn("n_bad", F.col("n_obs") - F.col("n_good"))
+    # read by the totals and the per-level branch: persisted so the upstream runs once
+    c = keep(counts.withColumn("n_bad", F.col("n_obs") - F.col("n_good")))
     agg = [F.sum("n_obs").alias("_N"), F.sum("n_good").alias("_G"), F.sum("n_bad").alias("_B"),
            F.sum(F.when(mixed, F.col("n_good"))).alias("_G2"),
            F.sum(F.when(mixed, F.col("n_bad"))).alias("_B2")]
@@ -101,6 +103,7 @@ def binned_counts(values: DataFrame, ks: Iterable[int]) -> DataFrame:
     Edges per (var, k) are a small broadcast table; every distinct value is
     binned for every k, then counts are re-aggregated per bin.
     """
+    values = keep(values)  # read by the ranges and the binning branch
     edges = bin_edges(value_ranges(values), ks)
     b = values.join(F.broadcast(edges), "var").withColumn("bin", bin_of(F.col("x"), F.col("edges")))
     b = b.withColumns({"bin_lo": F.element_at("edges", F.col("bin")),
