@@ -63,11 +63,12 @@ def bin_edges(ranges: DataFrame, ks: Iterable[int], var: str = "var") -> DataFra
 def equal_width(df: DataFrame, column: str, k: int = 50, out: str | None = None) -> DataFrame:
     """B6 on one column: adds ``<out>`` (bin 1..k) and its ``_lo``/``_hi`` edges.
 
-    The range is one global aggregate joined back as a one-row broadcast.
+    The edges are one global aggregate inlined as a scalar subquery.
     """
     out = out or f"{column}_fine_classing"
-    rng = df.agg(F.min(column).alias("_mn"), F.max(column).alias("_mx"))
-    rng = rng.select(edges_expr(F.col("_mn"), F.col("_mx"), F.lit(k)).alias("_edges"))
-    b = df.crossJoin(F.broadcast(rng)).withColumn(out, bin_of(F.col(column).cast("double"), F.col("_edges")))
+    x = F.col(column).cast("double")
+    rng = df.agg(F.min(x).alias("_mn"), F.max(x).alias("_mx"))
+    edges = rng.select(edges_expr(F.col("_mn"), F.col("_mx"), F.lit(k)).alias("_edges")).scalar()
+    b = df.withColumn("_edges", edges).withColumn(out, bin_of(x, F.col("_edges")))
     return (b.withColumn(f"{out}_lo", F.element_at("_edges", F.col(out)))
             .withColumn(f"{out}_hi", F.element_at("_edges", F.col(out) + 1)).drop("_edges"))

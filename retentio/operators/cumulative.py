@@ -24,6 +24,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scalars import attach
+
 N_BUCKETS = 64
 
 
@@ -40,7 +42,7 @@ def running_sums(df: DataFrame, keys: Sequence[str], order: str, cols: Sequence[
     qa = [F.percentile_approx("_o", probs, 10000).alias("_bounds")]
     bounds = d.groupBy(*keys).agg(*qa) if keys else d.agg(*qa)
     bounds = bounds.withColumn("_bounds", F.array_sort(F.array_distinct("_bounds")))
-    d = (d.join(F.broadcast(bounds), keys) if keys else d.crossJoin(F.broadcast(bounds)))
+    d = attach(d, bounds, keys)
     d = d.withColumn("_b", F.size(F.filter("_bounds", lambda b: b < F.col("_o")))).drop("_bounds")
     btot = d.groupBy(*keys, "_b").agg(*[F.sum(c).alias(f"_t_{c}") for c in cols])
     wb = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from ..functions.exprs import LOG_DIGITS, linspace_thresholds, ratio, strict_threshold
 from ..session import keep
 from .cumulative import running_sums
+from .scalars import attach
 
 SCORE, LABEL = "score", "not_churn_1w"
 
@@ -40,8 +41,7 @@ def _totals(hist: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def _attach(df: DataFrame, small: DataFrame, keys: Sequence[str]) -> DataFrame:
-    keys = list(keys)
-    return df.join(F.broadcast(small), keys) if keys else df.crossJoin(F.broadcast(small))
+    return attach(df, small, keys)
 
 
 def predict(df: DataFrame, threshold: Column | float, score: str = SCORE, out: str = "predict") -> DataFrame:
@@ -105,10 +105,8 @@ def classification_report(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def threshold_sweep(hist: DataFrame, keys: Sequence[str], thresholds: Sequence[float] | None = None) -> DataFrame:
     """The report at each threshold (11 by default), from the histogram x thresholds."""
-    spark = hist.sparkSession
     th = thresholds or linspace_thresholds(11)
-    tdf = spark.createDataFrame([(float(t),) for t in th], "threshold double")
-    j = hist.crossJoin(F.broadcast(tdf))
+    j = hist.withColumn("threshold", F.explode(F.array(*[F.lit(float(t)) for t in th])))
     counts = threshold_counts(j, [*keys, "threshold"], F.col("threshold"))
     cols = _report_cols(F.col("tp"), F.col("fp"), F.col("fn"), F.col("tn"))
     return counts.select(*keys, "threshold", "tp", "fp", "fn", "tn",
@@ -201,5 +199,3 @@ def rates_by_period(result: DataFrame, period: str = "period", label: str = LABE
                F.col("_p0") * pct / (F.col("_p1") + F.col("_p0"))).alias("churn_predict"))
 
 
-def thresholds_frame(spark: SparkSession, values: Sequence[float]) -> DataFrame:
-    return spark.createDataFrame([(float(v),) for v in values], "threshold double")

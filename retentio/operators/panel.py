@@ -207,9 +207,8 @@ def drop_oldest(df: DataFrame) -> DataFrame:
 
 
 def with_period_max(df: DataFrame, period: str = PERIOD, out: str = "_max_period") -> DataFrame:
-    """A3: attach the global newest period as a column (one-row broadcast)."""
-    mx = df.agg(F.max(period).alias(out))
-    return df.crossJoin(F.broadcast(mx))
+    """A3: attach the global newest period as a column (scalar subquery)."""
+    return df.withColumn(out, df.agg(F.max(period)).scalar())
 
 
 def split_oot(df: DataFrame, period: str = PERIOD) -> DataFrame:

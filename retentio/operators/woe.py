@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from ..functions.exprs import LOG_DIGITS, ieee_log_ratio, ratio
 from ..session import keep
 from .binning import bin_edges, bin_of, value_ranges
+from .scalars import attach
 
 LABEL = "not_churn_1w"
 WOE_COLUMNS = ["n_obs", "prop_good", "prop_n_obs", "n_good", "n_bad", "prop_n_good",
@@ -48,7 +49,7 @@ def woe_from_counts(counts: DataFrame, group: Sequence[str], per_level: bool = T
            F.sum(F.when(mixed, F.col("n_good"))).alias("_G2"),
            F.sum(F.when(mixed, F.col("n_bad"))).alias("_B2")]
     tot = c.groupBy(*group).agg(*agg) if group else c.agg(*agg)
-    st = c.join(F.broadcast(tot), group) if group else c.crossJoin(F.broadcast(tot))
+    st = attach(c, tot, group)
     pg, pb = ratio("n_good", "_G"), ratio("n_bad", "_B")
     pg2, pb2 = ratio("n_good", "_G2"), ratio("n_bad", "_B2")
     st = st.withColumns({
@@ -69,7 +70,7 @@ def woe_from_counts(counts: DataFrame, group: Sequence[str], per_level: bool = T
     ivs = st.groupBy(*group).agg(*iv_agg) if group else st.agg(*iv_agg)
     if not per_level:
         return st.groupBy(*group).agg(F.count(F.lit(1)).alias("n_levels"), *iv_agg)
-    out = st.join(F.broadcast(ivs), group) if group else st.crossJoin(F.broadcast(ivs))
+    out = attach(st, ivs, group)
     return out.drop("_N", "_G", "_B", "_G2", "_B2", "_ln", "_ln2", "_iv", "_iv2")
 
 
