@@ -154,6 +154,19 @@ def sse_one_cluster(df: DataFrame, columns: Sequence[str]) -> float:
     return float(sum((r[c] or 0.0) for c in columns))
 
 
+def kmeans_tol(df: DataFrame, columns: Sequence[str], k: int, rel_tol: float = 1e-4) -> float:
+    """Spark tolerance matching the reference's stopping rule.
+
+    The reference stops when the summed squared centre shift is at most
+    ``rel_tol * mean(feature variances)``; Spark stops when every centre moves
+    less than ``tol``. ``tol = sqrt(rel_tol * mean_var / k)`` makes Spark's
+    rule imply the reference's (one small aggregate over the features).
+    """
+    r = df.agg(*[F.var_pop(F.col(c).cast("double")).alias(c) for c in columns]).first()
+    mean_var = sum((r[c] or 0.0) for c in columns) / max(1, len(columns))
+    return max(math.sqrt(rel_tol * mean_var / k), 1e-12)
+
+
 def kmeans_elbow(df: DataFrame, columns: Sequence[str], ks=range(1, 11), restarts: int = 10,
                  max_iter: int = 300, seed: int = 0, parallel: int = 8) -> list[tuple[int, float]]:
     """M8: best inertia over ``restarts`` seeds for each k (unscaled features).
@@ -164,9 +177,14 @@ def kmeans_elbow(df: DataFrame, columns: Sequence[str], ks=range(1, 11), restart
     x = keep(assemble(df, columns).select("_kfeatures"))
     x.count()
 
+    r = df.agg(*[F.var_pop(F.col(c).cast("double")).alias(c) for c in columns]).first()
+    mean_var = sum((r[c] or 0.0) for c in columns) / max(1, len(columns))
+
     def cost(args):
         k, s = args
-        m = KMeans(featuresCol="_kfeatures", k=k, maxIter=max_iter, seed=s, initMode="k-means||").fit(x)
+        tol = max(math.sqrt(1e-4 * mean_var / k), 1e-12)
+        m = KMeans(featuresCol="_kfeatures", k=k, maxIter=max_iter, seed=s, tol=tol,
+                   initMode="k-means||").fit(x)
         return k, m.summary.trainingCost
 
     out = {}
@@ -184,7 +202,8 @@ def kmeans_assign(df: DataFrame, columns: Sequence[str], k: int = 3, seed: int =
                   out: str = "cluster") -> DataFrame:
     """M9: k-means labels, renumbered by centre norm so labels do not depend on the seed order."""
     x = assemble(df, columns)
-    model = KMeans(featuresCol="_kfeatures", predictionCol="_c", k=k, maxIter=max_iter, seed=seed).fit(x)
+    model = KMeans(featuresCol="_kfeatures", predictionCol="_c", k=k, maxIter=max_iter, seed=seed,
+                   tol=kmeans_tol(df, columns, k)).fit(x)
     centres = model.clusterCenters()
     order = sorted(range(len(centres)), key=lambda i: (float(np.linalg.norm(centres[i])), i))
     relabel = {old: new for new, old in enumerate(order)}
