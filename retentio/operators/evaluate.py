@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.exprs import LOG_DIGITS, linspace_thresholds, ratio, strict_threshold
-from ..session import keep
+from ..session import keep_fanout
 from .cumulative import running_sums
 from .scalars import attach
 
@@ -31,7 +31,7 @@ def score_histogram(df: DataFrame, keys: Sequence[str] = (), score: str = SCORE,
     several branches, and without it each branch would re-run the whole
     upstream plan (the branches prune it differently, so exchanges are not reused)."""
     y = F.col(label)
-    return keep(df.groupBy(*keys, score).agg(F.count_if(y == 1).alias("n_pos"),
+    return keep_fanout(df.groupBy(*keys, score).agg(F.count_if(y == 1).alias("n_pos"),
                                              F.count_if(y == 0).alias("n_neg")))
 
 

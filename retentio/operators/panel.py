@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import period_ordinal
-from ..session import keep
+from ..session import keep_fanout
 from ..sources.fixtures import ENTITY, PERIOD
 
 PERIOD_IDX = "period_idx"
@@ -69,7 +69,7 @@ def period_index(obs: DataFrame, period: str = PERIOD, max_periods: int = MAX_PE
     guard = F.when(F.col(N_PERIODS) <= max_periods, F.col(N_PERIODS)).otherwise(
         F.raise_error(F.lit(f"more than {max_periods} distinct periods; refusing to broadcast")))
     # tiny (one row per period) and read by two broadcasts: persisted once
-    return keep(idx.withColumns({N_PERIODS: guard.cast("int"), LAST_PAIRED: F.col(LAST_PAIRED).cast("int")}))
+    return keep_fanout(idx.withColumns({N_PERIODS: guard.cast("int"), LAST_PAIRED: F.col(LAST_PAIRED).cast("int")}))
 
 
 def first_seen(obs: DataFrame, entity: str = ENTITY, period: str = PERIOD) -> DataFrame:

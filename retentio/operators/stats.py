@@ -15,7 +15,7 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import keep
+from ..session import keep_fanout
 from .cumulative import running_sums
 
 STAT_DIGITS = 9
@@ -46,7 +46,7 @@ def describe(df: DataFrame, columns: Iterable[str], qs: Sequence[float] = QUARTI
     cols = list(columns)
     long = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).unpivot(
         [], cols, "measure", "x").where(F.col("x").isNotNull())
-    vc = keep(long.groupBy("measure", "x").agg(F.count(F.lit(1)).alias("c")))
+    vc = keep_fanout(long.groupBy("measure", "x").agg(F.count(F.lit(1)).alias("c")))
     first = vc.groupBy("measure").agg(
         F.sum("c").alias("count"), F.min("x").alias("min"), F.max("x").alias("max"),
         (F.sum(F.col("x") * F.col("c")) / F.sum("c")).alias("_mean"))
@@ -56,7 +56,7 @@ def describe(df: DataFrame, columns: Iterable[str], qs: Sequence[float] = QUARTI
         "measure", "count", F.round("_mean", MOMENT_DIGITS).alias("mean"),
         F.round(F.when(F.col("count") > 1, F.sqrt(F.col("_ss") / (F.col("count") - 1))), MOMENT_DIGITS).alias("std"),
         "min", "max")
-    basic = keep(basic)
+    basic = keep_fanout(basic)
     ranked = running_sums(vc, ["measure"], "x", ["c"])          # rows [cum_c - c, cum_c - 1]
     need = basic.select("measure", F.col("count").alias("n")).select(
         "measure", F.explode(F.array(*[F.lit(float(q)) for q in qs])).alias("q"), "n")

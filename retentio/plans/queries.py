@@ -164,7 +164,10 @@ DISCRETE_CANDIDATES = ["ops_city_id", "device_type", "vehicle_model", "vehicle_b
 
 
 def train_1p(spark, sf):
-    return S.slice_1p(spark, sf).where(~F.col("is_test"))
+    """Development rows of the 1-period slice: the analysis base that the WoE
+    steps read several times (totals, levels, ranges), persisted once."""
+    from ..session import keep_fanout
+    return keep_fanout(S.slice_1p(spark, sf).where(~F.col("is_test")))
 
 
 def _bin_rule(name, source):

@@ -77,5 +77,17 @@ def keep(df: DataFrame) -> DataFrame:
     return df.persist(StorageLevel.MEMORY_AND_DISK)
 
 
+def keep_fanout(df: DataFrame) -> DataFrame:
+    """Persist a small aggregate read by several branches of one plan.
+
+    Without it each branch re-runs the upstream plan (Catalyst prunes the
+    branches differently, so their exchanges are not reused). Switched off
+    with RETENTIO_PERSIST_FANOUT=0 (useful to compare plans).
+    """
+    if os.environ.get("RETENTIO_PERSIST_FANOUT", "1") == "0":
+        return df
+    return keep(df)
+
+
 def default_sf_dir() -> str:
     return os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
