@@ -109,6 +109,39 @@ def densify(obs: DataFrame, fills: Mapping[str, object], entity: str = ENTITY,
                       PERIOD_IDX, N_PERIODS, FIRST_PERIOD, LAST_PAIRED)
 
 
+def densify_by_tuple(obs: DataFrame, fills: Mapping[str, object], attrs: Iterable[str],
+                     entity: str = ENTITY, period: str = PERIOD, periods: DataFrame | None = None,
+                     step: int = 1) -> DataFrame:
+    """J2b without a grid or a join: one panel per (entity, attribute tuple).
+
+    Same rows as ``densify_on_grid(..., join_on_attrs=True)``: every tuple of
+    an entity gets all periods from the *entity's* first period; measures only
+    where that tuple was observed (NULL attributes match NULL). Both windows
+    run on one hash exchange on the entity: partitioning by the entity also
+    clusters every (entity, tuple) group.
+    """
+    attrs = list(attrs)
+    pidx = F.broadcast(period_index(obs if periods is None else periods, period, step=step))
+    o = obs.join(pidx, period)
+    we = Window.partitionBy(entity)
+    wt = Window.partitionBy(entity, *attrs).orderBy(PERIOD_IDX)
+    o = o.withColumns({
+        "_efirst": F.min(PERIOD_IDX).over(we),
+        FIRST_PERIOD: F.min(period).over(we),
+        "_next": F.coalesce(F.lead(PERIOD_IDX).over(wt), F.col(N_PERIODS) + 1),
+        "_tfirst": F.row_number().over(wt) == 1,
+    })
+    start = F.when(F.col("_tfirst"), F.col("_efirst")).otherwise(F.col(PERIOD_IDX))
+    g = o.withColumn("_q", F.explode(F.sequence(start, F.greatest(F.col(PERIOD_IDX), F.col("_next") - 1))))
+    is_obs = F.col("_q") == F.col(PERIOD_IDX)
+    filled = {c: F.when(is_obs, F.coalesce(F.col(c), F.lit(v))).otherwise(F.lit(v)).cast(obs.schema[c].dataType)
+              for c, v in fills.items()}
+    g = g.withColumns(filled).drop(period, PERIOD_IDX, N_PERIODS, LAST_PAIRED, "_next", "_efirst", "_tfirst")
+    out = g.join(pidx.alias("_pi"), F.col("_q") == F.col(f"_pi.{PERIOD_IDX}")).drop("_q")
+    measures = [c for c in obs.columns if c not in (entity, period, *attrs)]
+    return out.select(entity, period, *attrs, *measures, PERIOD_IDX, N_PERIODS, FIRST_PERIOD, LAST_PAIRED)
+
+
 def grid(obs: DataFrame, keys: Iterable[str] = (), entity: str = ENTITY,
          period: str = PERIOD) -> DataFrame:
     """J1 + A1 + J4: every (entity[, keys], period) with period >= the entity's first.

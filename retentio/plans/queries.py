@@ -46,7 +46,7 @@ def q_panel_fill(spark, sf):
 
 def q_panel_densify_attrs(spark, sf):
     src = S.source_1p(spark, sf)
-    pn = P.densify_on_grid(src, S.zero_fills({"segment": "Parttime"}), S.DAILY_ATTRS, join_on_attrs=True)
+    pn = P.densify_by_tuple(src, S.zero_fills({"segment": "Parttime"}), S.DAILY_ATTRS)
     return pn.select(*P1_COLS, P.PERIOD_IDX)
 
 

@@ -92,7 +92,8 @@ def slice_3p(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def slice_1p_attrs(spark: SparkSession, sf_dir: str) -> DataFrame:
     src = source_1p(spark, sf_dir)
-    pn = P.densify_on_grid(src, zero_fills({"segment": SEGMENT_FILL}), DAILY_ATTRS, join_on_attrs=True)
+    pn = P.densify_by_tuple(src, zero_fills({"segment": SEGMENT_FILL}), DAILY_ATTRS,
+                            periods=daily_periods(spark, sf_dir))
     lab = P.drop_newest(P.offset_flag(pn, FLAG, LABEL, +1, how="filled"))
     return _finish(lab)
 

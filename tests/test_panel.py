@@ -72,6 +72,22 @@ def test_attrs_change_fanout_and_attr_keyed_join(spark):
     got = {(r.attr, str(r.period)): r.m for r in keyed.collect()}
     assert got[("a", "2024-01-03")] == 0.0       # observed under 'b': zero gap row for 'a'
     assert got[("b", "2024-01-03")] == 3.0
+    assert got[("b", "2024-01-01")] == 0.0       # tuple 'b' starts at the entity's first period
+    cols = ["entity_id", "period", "attr", "m", "not_churn", P.PERIOD_IDX]
+    by_tuple = P.densify_by_tuple(df, fills(), ["attr"]).select(*cols)
+    assert by_tuple.exceptAll(keyed.select(*cols)).count() == 0
+    assert keyed.select(*cols).exceptAll(by_tuple).count() == 0
+
+
+def test_densify_by_tuple_null_attrs_and_multiple_entities(spark):
+    rows = [(1, D(2024, 1, 1), None, 1.0, 1), (1, D(2024, 1, 3), None, 2.0, 0), (1, D(2024, 1, 4), "x", 4.0, 1),
+            (2, D(2024, 1, 2), "y", 5.0, 1), (3, D(2024, 1, 4), "z", 6.0, 1)]
+    df = obs(spark, rows)
+    cols = ["entity_id", "period", "attr", "m", "not_churn", P.PERIOD_IDX]
+    a = P.densify_by_tuple(df, fills(), ["attr"]).select(*cols)
+    b = P.densify_on_grid(df, fills(), ["attr"], join_on_attrs=True).select(*cols)
+    assert a.count() == b.count() == 4 + 4 + 3 + 1
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
 
 
 def test_split_and_warmups(spark):
