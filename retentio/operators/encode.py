@@ -35,12 +35,11 @@ def vocabulary(train: DataFrame, columns: Sequence[str], drop_last: bool = True)
     reference's dummies do; ``feature`` is ``<column>:<level>``.
     """
     cols = list(columns)
-    parts = [train.select(F.lit(c).alias("variable"), F.lit(i).alias("_ci"),
-                          F.col(c).cast("string").alias("level"), _sort_key(train, c).alias("_num"))
-             .where(F.col(c).isNotNull()).distinct() for i, c in enumerate(cols)]
-    lv = parts[0]
-    for p in parts[1:]:
-        lv = lv.unionByName(p)
+    # one scan: every column becomes (level text, numeric sort key, column order), unpivoted together
+    packed = train.select(*[F.struct(F.col(c).cast("string").alias("level"), _sort_key(train, c).alias("_num"),
+                                     F.lit(i).alias("_ci")).alias(c) for i, c in enumerate(cols)])
+    lv = (packed.unpivot([], cols, "variable", "_v").select("variable", "_v.*")
+          .where(F.col("level").isNotNull()).distinct())
     wc = Window.partitionBy("variable").orderBy(F.col("_num").asc_nulls_last(), F.col("level"))
     lv = lv.withColumns({"_r": F.row_number().over(wc), "_n": F.count(F.lit(1)).over(Window.partitionBy("variable"))})
     if drop_last:

@@ -54,11 +54,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     used as is. Only when it is unset -- tests, a laptop -- do we point it at a
     fresh local folder.
     """
-    sc = spark.sparkContext
-    current = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 -- Spark Connect: no SparkContext, the server owns the setting
+        sc = None
+    current = (sc.getCheckpointDir() if sc is not None else None) or spark.conf.get("spark.checkpoint.dir", None)
     if not current:
         current = tempfile.mkdtemp(prefix="retentio-ckpt-")
-    sc.setCheckpointDir(current)
+        spark.conf.set("spark.checkpoint.dir", current)
+    if sc is not None:
+        sc.setCheckpointDir(current)
     return current
 
 
