@@ -58,7 +58,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         sc = spark.sparkContext
     except Exception:  # noqa: BLE001 -- Spark Connect: no SparkContext, the server owns the setting
         sc = None
-    current = (sc.getCheckpointDir() if sc is not None else None) or spark.conf.get("spark.checkpoint.dir", None)
+    active = sc.getCheckpointDir() if sc is not None else None
+    if active:
+        return active
+    current = spark.conf.get("spark.checkpoint.dir", None)
     if not current:
         current = tempfile.mkdtemp(prefix="retentio-ckpt-")
         spark.conf.set("spark.checkpoint.dir", current)
