@@ -336,6 +336,20 @@ def woe_queries() -> dict[str, str]:
                                 *woe_ctes("lv", ["var", "k"]), ("bst", best),
                                 body="SELECT var AS CONTINUOUS_COL, best_k AS BEST_CUT, IV, IV_adjusted AS IV_ADJUSTED "
                                      "FROM bst")
+    for sl, disc in (("2p", ["segment", "not_churn"]), ("3p", ["segment", "not_churn", "not_churn_pre_1w"])):
+        tr = ("tr", "SELECT * FROM (" + slice_sql(f"slice_{sl}") + ") s WHERE NOT is_test")
+        q[f"iv_rank_continuous_{sl}"] = W(tr, *binned_ctes("tr", MEASURE_LIST, list(range(3, 20))),
+                                          *woe_ctes("lv", ["var", "k"]), ("bst", best),
+                                          body="SELECT var AS CONTINUOUS_COL, best_k AS BEST_CUT, IV, "
+                                               "IV_adjusted AS IV_ADJUSTED FROM bst")
+        un = " UNION ALL ".join(f"SELECT '{c}' AS var, CAST({c} AS VARCHAR) AS level, not_churn_1w FROM tr"
+                                for c in disc)
+        q[f"iv_rank_discrete_{sl}"] = W(tr, ("lng", un),
+                                        ("lv", "SELECT var, level, COUNT(not_churn_1w) AS n_obs, "
+                                               "CAST(SUM(not_churn_1w) AS BIGINT) AS n_good FROM lng GROUP BY var, level"),
+                                        *woe_ctes("lv", ["var"]),
+                                        body="SELECT var AS DISCRETE_COL, n_levels AS DISTINCT, IV, "
+                                             "IV_adjusted AS IV_ADJUSTED FROM ivs")
     unions = " UNION ALL ".join(f"SELECT '{c}' AS var, CAST({c} AS VARCHAR) AS level, not_churn_1w FROM tr"
                                 for c in DISCRETE_CANDIDATES)
     q["iv_rank_discrete"] = W(TRAIN_1P, ("lng", unions),

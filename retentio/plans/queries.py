@@ -211,8 +211,34 @@ def q_iv_rank_continuous(spark, sf):
     return V.iv_rank_continuous(train_1p(spark, sf), DAILY_MEASURES)
 
 
+# Discrete candidates of the sliced variants (2-period, 3-period).
+DISCRETE_2P = ["segment", "not_churn"]
+DISCRETE_3P = ["segment", "not_churn", "not_churn_pre_1w"]
+
+
+def _train_slice(name):
+    def train(spark, sf):
+        from ..session import keep_fanout
+        return keep_fanout(S.SLICES[name](spark, sf).where(~F.col("is_test")))
+    return train
+
+
+def _rank(name, kind, cols):
+    train = _train_slice(name)
+
+    def q(spark, sf):
+        if kind == "discrete":
+            return V.iv_rank_discrete(train(spark, sf), cols)
+        return V.iv_rank_continuous(train(spark, sf), cols)
+    return q
+
+
 def woe_queries() -> dict[str, Query]:
     return {
+        "iv_rank_discrete_2p": _rank("slice_2p", "discrete", DISCRETE_2P),
+        "iv_rank_continuous_2p": _rank("slice_2p", "continuous", DAILY_MEASURES),
+        "iv_rank_discrete_3p": _rank("slice_3p", "discrete", DISCRETE_3P),
+        "iv_rank_continuous_3p": _rank("slice_3p", "continuous", DAILY_MEASURES),
         "bin_completed_trip": _bin_rule("completed_trip_discrete", "completed_trip"),
         "bin_total_fare": _bin_rule("total_fare_discrete", "total_fare"),
         "bin_total_eta": _bin_rule("total_ETA_discrete", "total_ETA"),
