@@ -27,7 +27,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import keep
+from ..session import keep, sized_for_iterations
 from .encode import design_array
 
 LABEL = "not_churn_1w"
@@ -118,8 +118,8 @@ def fit_forest(train: DataFrame, vocab_list, label: str = LABEL, num_trees: int
     re-walking the trees (same trees, about half the time for deep forests);
     the cache is checkpointed every 10 levels into the shared checkpoint dir.
     """
-    x = train.select(array_to_vector(design_array(vocab_list)).alias("_features"),
-                     F.col(label).cast("double").alias("label"))
+    x = sized_for_iterations(train.select(array_to_vector(design_array(vocab_list)).alias("_features"),
+                                          F.col(label).cast("double").alias("label")))
     rf = RandomForestClassifier(featuresCol="_features", labelCol="label", numTrees=num_trees,
                                 impurity="gini", featureSubsetStrategy="sqrt", maxDepth=max_depth,
                                 minInstancesPerNode=1, bootstrap=True, subsamplingRate=1.0, seed=seed,
@@ -174,8 +174,7 @@ def kmeans_elbow(df: DataFrame, columns: Sequence[str], ks=range(1, 11), restart
     The restarts are independent MLlib jobs over one persisted frame and are
     submitted concurrently from a small thread pool.
     """
-    x = keep(assemble(df, columns).select("_kfeatures"))
-    x.count()
+    x = sized_for_iterations(assemble(df, columns).select("_kfeatures"))
 
     r = df.agg(*[F.var_pop(F.col(c).cast("double")).alias(c) for c in columns]).first()
     mean_var = sum((r[c] or 0.0) for c in columns) / max(1, len(columns))
@@ -203,7 +202,7 @@ def kmeans_assign(df: DataFrame, columns: Sequence[str], k: int = 3, seed: int =
     """M9: k-means labels, renumbered by centre norm so labels do not depend on the seed order."""
     x = assemble(df, columns)
     model = KMeans(featuresCol="_kfeatures", predictionCol="_c", k=k, maxIter=max_iter, seed=seed,
-                   tol=kmeans_tol(df, columns, k)).fit(x)
+                   tol=kmeans_tol(df, columns, k)).fit(sized_for_iterations(x.select("_kfeatures")))
     centres = model.clusterCenters()
     order = sorted(range(len(centres)), key=lambda i: (float(np.linalg.norm(centres[i])), i))
     relabel = {old: new for new, old in enumerate(order)}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import os
 import tempfile
 
@@ -99,3 +100,19 @@ def keep_fanout(df: DataFrame) -> DataFrame:
 
 def default_sf_dir() -> str:
     return os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
+
+
+# Rows per task for the inputs of iterative MLlib fits: every iteration is a
+# job over the cached input, so tiny partitions only add scheduling cost.
+ROWS_PER_TASK = 1_000_000
+
+
+def sized_for_iterations(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """Persisted copy of an iterative fit's input with ``ceil(rows / ROWS_PER_TASK)``
+    partitions (never more than it has): one task on a laptop sample,
+    thousands on a cluster. ``coalesce`` merges partitions without a shuffle."""
+    n = df.count() if rows is None else rows
+    parts = max(1, min(df.rdd.getNumPartitions(), math.ceil(n / ROWS_PER_TASK)))
+    out = keep(df.coalesce(parts))
+    out.count()
+    return out
