@@ -184,7 +184,8 @@ def q_bin_equal_width(spark, sf):
 
 
 def q_woe_discrete(spark, sf):
-    return V.woe_discrete(train_1p(spark, sf), "segment")
+    """V1, shown in WoE order as the reference sorts it."""
+    return V.woe_discrete(train_1p(spark, sf), "segment").orderBy("WoE", "segment")
 
 
 def q_woe_iv_adjusted(spark, sf):
@@ -192,7 +193,8 @@ def q_woe_iv_adjusted(spark, sf):
 
 
 def q_woe_continuous(spark, sf):
-    return V.woe_continuous(train_1p(spark, sf), "total_fare", k=50)
+    """V4, in bin order."""
+    return V.woe_continuous(train_1p(spark, sf), "total_fare", k=50).orderBy("total_fare_fine_classing")
 
 
 def q_woe_best_class_count(spark, sf):
@@ -204,11 +206,13 @@ def q_iv_by_class_count(spark, sf):
 
 
 def q_iv_rank_discrete(spark, sf):
-    return V.iv_rank_discrete(train_1p(spark, sf), DISCRETE_CANDIDATES)
+    """V6 + O2: ranked IV_ADJUSTED desc, IV asc, DISTINCT asc (name breaks ties)."""
+    return V.rank_order(V.iv_rank_discrete(train_1p(spark, sf), DISCRETE_CANDIDATES), "DISCRETE_COL", "DISTINCT")
 
 
 def q_iv_rank_continuous(spark, sf):
-    return V.iv_rank_continuous(train_1p(spark, sf), DAILY_MEASURES)
+    """V7 + O2: ranked IV_ADJUSTED desc, IV asc, BEST_CUT asc (name breaks ties)."""
+    return V.rank_order(V.iv_rank_continuous(train_1p(spark, sf), DAILY_MEASURES), "CONTINUOUS_COL", "BEST_CUT")
 
 
 # Discrete candidates of the sliced variants (2-period, 3-period).
@@ -228,8 +232,8 @@ def _rank(name, kind, cols):
 
     def q(spark, sf):
         if kind == "discrete":
-            return V.iv_rank_discrete(train(spark, sf), cols)
-        return V.iv_rank_continuous(train(spark, sf), cols)
+            return V.rank_order(V.iv_rank_discrete(train(spark, sf), cols), "DISCRETE_COL", "DISTINCT")
+        return V.rank_order(V.iv_rank_continuous(train(spark, sf), cols), "CONTINUOUS_COL", "BEST_CUT")
     return q
 
 
@@ -283,7 +287,7 @@ def q_value_counts_pred(spark, sf):
     c = _counts(spark, sf)
     cells = F.array(F.struct(F.lit(1).alias("predict"), (F.col("tp") + F.col("fp")).alias("n")),
                     F.struct(F.lit(0).alias("predict"), (F.col("fn") + F.col("tn")).alias("n")))
-    return c.select(*KEYS, F.inline(cells)).where(F.col("n") > 0)
+    return c.select(*KEYS, F.inline(cells)).where(F.col("n") > 0).orderBy(*KEYS, F.col("n").desc())
 
 
 def q_confusion_matrix(spark, sf):
@@ -341,7 +345,7 @@ def q_result_union(spark, sf):
 
 
 def q_rate_actual_vs_predicted(spark, sf):
-    return D.rates_by_period(_result(spark, sf))
+    return D.rates_by_period(_result(spark, sf)).orderBy("period")
 
 
 def eval_queries() -> dict[str, Query]:
@@ -443,8 +447,9 @@ def q_rf_fit_score(spark, sf):
 
 
 def q_rf_importance(spark, sf):
+    """M7 + O3: importances, largest first."""
     train, test, vocab, model = _forest(spark, sf)
-    return M.importances(spark, model, vocab)
+    return M.importances(spark, model, vocab).orderBy(F.col("importance").desc(), "feature_name")
 
 
 def q_rf_rates(spark, sf):
