@@ -118,8 +118,10 @@ def fit_forest(train: DataFrame, vocab_list, label: str = LABEL, num_trees: int
     re-walking the trees (same trees, about half the time for deep forests);
     the cache is checkpointed every 10 levels into the shared checkpoint dir.
     """
-    x = sized_for_iterations(train.select(array_to_vector(design_array(vocab_list)).alias("_features"),
-                                          F.col(label).cast("double").alias("label")))
+    # not coalesced: a forest level does heavy work per row (all trees' node statistics), so
+    # it keeps the input's parallelism; the estimator caches its own bagged input
+    x = train.select(array_to_vector(design_array(vocab_list)).alias("_features"),
+                     F.col(label).cast("double").alias("label"))
     rf = RandomForestClassifier(featuresCol="_features", labelCol="label", numTrees=num_trees,
                                 impurity="gini", featureSubsetStrategy="sqrt", maxDepth=max_depth,
                                 minInstancesPerNode=1, bootstrap=True, subsamplingRate=1.0, seed=seed,
