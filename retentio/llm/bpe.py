@@ -333,54 +333,6 @@ def lists(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(offsets, np.concatenate(arrays) if arrays else np.zeros(0, np.int32))
 
 
-def decode(self, ids: Iterable[int]) -> str:
-        self.reset()
-        ids = list(ids)
-        try:
-            return "".join(map(self.complete.__getitem__, ids))
-        except KeyError:
-            return "".join(self.feed(ids)) + self.finish()
-
-
-_MACHINES: dict = {}
-
-
-def _machine(kind: type, data: bytes, *more):
-    """One machine per worker: its tables serve all tasks of the worker."""
-    key = (kind.__name__, hash(data), *more)
-    if key not in _MACHINES:
-        _MACHINES[key] = kind(parse_ranks(data), *more)
-    return _MACHINES[key]
-
-
-def _read(path: str) -> bytes:
-    with open(path, "rb") as f:
-        return f.read()
-
-
-def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id_col, ids array<int>)`` per row. The rank file is read where the job is
-    described and travels with it (its size does not depend on the data)."""
-    small_batches(docs.sparkSession)
-    data = _read(ranks_path)
-
-    def run(batches):
-        encoder = _machine(Encoder, data, pattern)
-        for batch in batches:
-            ids = [encoder.encode(t or "") for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists(ids)], ["id", "ids"])
-
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "id long, ids array<int>").withColumnRenamed("id", id_col)
-
-
-def lists(arrays: list[pa.Array]) -> pa.Array:
-    offsets = [0]
-    for a in arrays:
-        offsets.append(offsets[-1] + len(a))
-    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.concat_arrays(arrays) if arrays else pa.array([], pa.int32()))
-
-
 def decode(tokens: DataFrame, ranks_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """``(id_col, ids_col, decoded string)`` per row; null ids decode to an empty text."""
     data = _read(ranks_path)
