@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from retentio.session import ensure_checkpoint_dir
@@ -81,3 +81,33 @@ def packed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def real_id(c: str = "_id") -> Column:
     return F.when(F.col(c) != LAST_ID, F.col(c))
+
+
+# Slices of the hash space whose row counts tell where one key is too frequent for a task.
+HASH_SLICES = 65_536
+
+
+def crowded_slices(rows: DataFrame, key: str) -> list[int]:
+    """Slices of the hash ``key`` that hold more rows than half an even share of a task; there are
+    at most twice as many of them as partitions."""
+    counts = saved(rows.groupBy(F.pmod(key, F.lit(HASH_SLICES)).alias("s")).agg(F.count("*").alias("n")))
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("t")).first().t
+    share = 2 * partitions(rows.sparkSession)
+    return [r.s for r in counts.where(F.col("n") * share > F.lit(total)).select("s").collect()]
+
+
+def with_span(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Adds ``first_id`` and ``last_id``, the smallest and largest ``_id`` of the row's key. ``rows`` is a written
+    table; ``keys`` are 64-bit hashes.
+
+    The hashes are range-partitioned and sorted by document, and a window streams over each key.
+    Keys in a slice too crowded for one task (held by a third of the corpus, say) are
+    pre-aggregated instead and joined back; both sides of that join are tables, so adaptive execution splits it.
+    Keys in crowded slices that only one document holds drop out there."""
+    crowded = F.pmod(keys[0], F.lit(HASH_SLICES)).isin(crowded_slices(rows, keys[0]))
+    stream = Window.partitionBy(*keys).orderBy("_id").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    spread = (rows.where(~crowded).repartitionByRange(partitions(rows.sparkSession), *keys)
+              .withColumns({"first_id": F.first("_id").over(stream), "last_id": F.last("_id").over(stream)}))
+    hot = rows.where(crowded)
+    spans = saved(hot.groupBy(*keys).agg(F.min("_id").alias("first_id"), F.max("_id").alias("last_id")).where("first_id < last_id"))
+    return spread.unionByName(hot.join(spans, keys).select(*spread.columns))

@@ -24,11 +24,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from retentio.llm.common import WHITE, ascii_lower, keyed, packed, partitions, real_id, saved
+from retentio.llm.common import WHITE, ascii_lower, keyed, packed, real_id, saved, with_span
 
 MIN_CHARS = 10
-# Slices of the hash space whose row counts tell where one key is too frequent.
-HASH_SLICES = 65_536
 
 
 def lines_of(text: Column) -> Column:
@@ -47,32 +45,9 @@ def line_rows(rows: DataFrame, min_chars: int) -> DataFrame:
     )
 
 
-def crowded_slices(lines: DataFrame) -> list[int]:
-    """Hash slices that hold more rows than half an even share of a task; at
-    most twice as many as there are partitions."""
-    counts = lines.groupBy(F.pmod("h1", F.lit(HASH_SLICES)).alias("s")).agg(F.count("*").alias("n"))
-    share = 2 * partitions(lines.sparkSession)
-    counts = saved(counts)
-    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("t")).scalar()
-    return [r.s for r in counts.where(F.col("n") * share > total).select("s").collect()]
-
-
 def dropped_lines(rows: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """``(_id, _th, pos)`` of the lines that go."""
-    lines = saved(line_rows(rows, min_chars))
-    crowded = F.pmod("h1", F.lit(HASH_SLICES)).isin(crowded_slices(lines))
-    stream = Window.partitionBy("h1", "h2").orderBy("_id", "pos")
-    spread = (
-        lines.where(~crowded)
-        .repartitionByRange(partitions(lines.sparkSession), "h1", "h2")
-        .withColumn("first_id", F.first("_id").over(stream))
-    )
-    hot = lines.where(crowded)
-    keeper = saved(hot.groupBy("h1", "h2").agg(F.min("_id").alias("first_id"), F.max("_id").alias("last_id"))
-                   .where("first_id < last_id").drop("last_id"))
-    hot = hot.join(keeper, ["h1", "h2"])
-    cols = ["_id", "_th", "pos", "first_id"]
-    return spread.select(*cols).unionByName(hot.select(*cols)).where("_id > first_id").drop("first_id")
+    return with_span(saved(line_rows(rows, min_chars)), ["h1", "h2"]).where("_id > first_id").select("_id", "_th", "pos")
 
 
 def drop_runs(rows: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:

@@ -34,4 +34,86 @@ FROM shingles d JOIN shingles i ON d.kind = 'd' AND i.kind = 'i' AND d.s = i.s J
 GROUP BY d.id, i.id, n HAVING 100 * count(*) >= 75 * n
 """
 
-ORACLES = {"op2_line_dedup": OP2, "op8_decontaminate": OP8}
+
+# Sharding: a binary search over capacities that walks one greedy step per recursion, then the cuts.
+OP1 = r"""
+WITH RECURSIVE bits(k, b, v) AS (
+  SELECT 0, b, b FROM range(256) r(b)
+  UNION ALL
+  SELECT k + 1, b, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END FROM bits WHERE k < 8
+), crc_table AS (SELECT list(v ORDER BY b) AS x FROM bits WHERE k = 8),
+crcs AS (
+  SELECT t, xor(list_reduce(list_transform(range(strlen(t)), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT),
+                            lambda c, b: xor(c >> 8, x[(xor(c, b) & 255) + 1]), 4294967295), 4294967295) AS crc
+  FROM (SELECT DISTINCT coalesce(text, '') AS t, hex(encode(coalesce(text, ''))) AS h FROM documents), crc_table
+), rows AS (
+  SELECT doc_id, coalesce(text, '') AS t, strlen(coalesce(text, '')) + 1 AS size,
+         md5(coalesce(text, '')) AS grp
+  FROM documents
+), groups AS (
+  SELECT grp, min(doc_id) AS first_id, sum(size)::BIGINT AS bytes FROM rows GROUP BY grp
+), ends AS MATERIALIZED (
+  SELECT grp, sum(bytes) OVER (ORDER BY first_id, grp)::BIGINT AS e FROM groups
+), total AS (SELECT max(e) AS t FROM ends),
+search(lo, hi, pos, used) AS (
+  SELECT (t + 7) // 8, t, 0::BIGINT, 0 FROM total
+  UNION ALL
+  SELECT CASE WHEN pos < t AND used = 8 THEN (lo + hi) // 2 + 1 ELSE lo END,
+         CASE WHEN pos = t THEN (lo + hi) // 2 ELSE hi END,
+         CASE WHEN pos = t OR used = 8 THEN 0
+              ELSE greatest(pos, coalesce((SELECT max(e) FROM ends WHERE e <= pos + (lo + hi) // 2), 0)) END,
+         CASE WHEN pos = t OR used = 8 THEN 0 ELSE used + 1 END
+  FROM search, total WHERE lo < hi
+), capacity AS (SELECT min(hi) AS c FROM search WHERE lo >= hi),
+tail(j, e) AS (
+  SELECT 8, t FROM total
+  UNION ALL
+  SELECT j - 1, CASE WHEN e - c <= 0 THEN 0 ELSE (SELECT min(x.e) FROM ends x WHERE x.e >= tail.e - c) END
+  FROM tail, capacity WHERE j > 1
+), cuts(j, e) AS (
+  SELECT 0, 0::BIGINT
+  UNION ALL
+  SELECT cuts.j + 1,
+         greatest(cuts.e, coalesce((SELECT max(x.e) FROM ends x WHERE x.e <= least(
+           greatest(coalesce((SELECT max(y.e) FROM ends y WHERE y.e <= (SELECT t FROM total) * (cuts.j + 1) // 8), 0), l.e),
+           cuts.e + c)), 0))
+  FROM cuts JOIN tail l ON l.j = cuts.j + 1, capacity WHERE cuts.j < 7
+), placed AS (
+  SELECT grp, (SELECT count(*) FROM cuts WHERE cuts.j >= 1 AND cuts.e < ends.e)::INT AS shard FROM ends
+)
+SELECT doc_id, size::BIGINT AS size, crc AS text_crc32, 'bytes' AS law, shard,
+       row_number() OVER (PARTITION BY shard ORDER BY doc_id) - 1 AS slot, NULL::INT AS grown_shard
+FROM (SELECT * FROM rows JOIN placed USING (grp) JOIN crcs USING (t))
+"""
+
+OP3 = r"""
+WITH p AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
+), f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 100 AND first_id < page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND first_id < page_id THEN first_id END AS refers_to
+FROM f
+"""
+
+OP7 = r"""
+WITH cut AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), windows AS (
+  SELECT doc_id, i, md5(array_to_string(w[i : i + 49], ' ')) AS s
+  FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 49)) AS i FROM cut WHERE len(w) >= 50)
+), firsts AS (SELECT s, min(doc_id) AS first_id FROM windows GROUP BY s),
+gone AS (
+  SELECT DISTINCT doc_id, unnest(generate_series(i, i + 49)) AS i FROM windows JOIN firsts USING (s) WHERE first_id < doc_id
+), words AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM cut),
+kept AS (
+  SELECT words.doc_id, count(*) FILTER (WHERE gone.i IS NOT NULL) AS n_removed,
+         string_agg(word, ' ' ORDER BY words.i) FILTER (WHERE gone.i IS NULL) AS t
+  FROM words LEFT JOIN gone ON gone.doc_id = words.doc_id AND gone.i = words.i GROUP BY words.doc_id
+)
+SELECT cut.doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM cut LEFT JOIN kept ON kept.doc_id = cut.doc_id
+"""
+
+ORACLES = {"op1_sharding": OP1, "op2_line_dedup": OP2, "op3_warc": OP3, "op7_substring_dedup": OP7, "op8_decontaminate": OP8}
+
