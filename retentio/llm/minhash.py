@@ -51,3 +51,13 @@ def band_keys(shingles: np.ndarray) -> np.ndarray:
         return np.zeros(0, np.int64)
     rows = mix(signature(shingles)).reshape(BANDS, ROWS)
     return mix((rows * _ODD).sum(axis=1, dtype=np.uint64) + _BAND).view(np.int64)
+
+
+# Bits of the parity map of a set: two sets differ in at least as many elements as their maps differ in bits.
+MAP_BITS = 2048
+
+
+def parity_map(shingles: np.ndarray) -> np.ndarray:
+    """``MAP_BITS`` bits; each tells whether an odd number of elements fall on it."""
+    at = np.bincount((mix(shingles + _GOLD) % np.uint64(MAP_BITS)).astype(np.int64), minlength=MAP_BITS)
+    return np.packbits((at & 1).astype(bool))

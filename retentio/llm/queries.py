@@ -8,9 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retentio.llm import bpe, decontaminate, line_dedup, sharding, substring_dedup, toxicity, warc
+from retentio.llm import bpe, decontaminate, line_dedup, near_dedup, pii, sharding, substring_dedup, topk, toxicity, warc
 from retentio.llm.common import table
 
+# The key of the surrogates; a caller with real data passes a secret of its own.
+KEY = b"retentio surrogate key"
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
@@ -30,10 +32,18 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op4_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymised(table(spark, sf_dir, "documents"), KEY)
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings"))
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digests(substring_dedup.dedup_passages(table(spark, sf_dir, "documents")))
 
@@ -48,7 +58,11 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.decode(tokens, path))
 
 
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sharding, op2_line_dedup, op3_warc, op5_toxicity, op7_substring_dedup,
-                             op8_decontaminate, op9_byte_bpe)
+    f.__name__: f for f in (op1_sharding, op2_line_dedup, op3_warc, op4_pii_surrogates, op5_toxicity, op6_topk,
+                             op7_substring_dedup, op8_decontaminate, op9_byte_bpe, op10_near_dedup)
 }
