@@ -34,8 +34,8 @@ from pyspark.sql import functions as F
 from retentio.llm.common import small_batches
 
 # Looked-up entries kept per worker before a table is started afresh.
-MAX_PIECES = 400_000
-MAX_STEPS = 2_000_000
+MAX_PIECES = 150_000
+MAX_STEPS = 250_000
 # Bytes read before settled tokens are emitted; above twice the longest token, so some always are.
 LOOKAHEAD = 4096
 # Texts up to this many characters are cut in one call; longer ones piece by piece.
