@@ -348,9 +348,9 @@ def decode(tokens: DataFrame, ranks_path: str, id_col: str = "doc_id", ids_col:
     return out.withColumnsRenamed({"id": id_col, "ids": ids_col})
 
 
-def digests(coded: DataFrame, id_col: str = "doc_id") -> DataFrame:
+def digests(coded: DataFrame, id_col: str = "doc_id", *more: str) -> DataFrame:
     return coded.select(
-        id_col, F.size("ids").cast("long").alias("n_tokens"),
+        id_col, *more, F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )

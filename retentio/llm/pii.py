@@ -193,8 +193,8 @@ def surrogate(key: bytes, kind: str, norm: str, attempt: int) -> str:
         part, script = kind.split("-", 1)[1].rsplit("-", 1)
         if part.startswith("given-"):
             names = GIVEN[script, part[-1]]
-            # Past the list, a second given name keeps people apart.
-            more = [names[draw.below(len(names))] for _ in range(1 + (attempt > 2))]
+            # Where the list does not suffice, further given names keep people apart.
+            more = [names[draw.below(len(names))] for _ in range(1 + attempt // 3)]
             return "-".join(more).casefold()
         parts = SYLLABLES[script]
         return ("".join(parts[draw.below(len(parts))] for _ in range(2 + attempt // 8)) + ENDINGS[script][draw.below(len(ENDINGS[script]))]).casefold()

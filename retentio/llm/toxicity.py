@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from retentio.llm.common import saved, small_batches
+from retentio.llm.common import LAST_ID, packed, saved, small_batches
 
 PER_CLASS = 4096        # labelled examples taken of each class
 TERMS = 4096            # terms selected
@@ -102,7 +102,7 @@ def select_terms(texts: DataFrame) -> list[str]:
 
 
 def vectors(docs: DataFrame, terms: list[str], id_col: str, text_col: str) -> DataFrame:
-    """``(doc, terms array<int>, counts array<int>)`` of every row."""
+    """``(doc, th, terms array<int>, counts array<int>)`` of every row, ``th`` being a hash of its text."""
     small_batches(docs.sparkSession)
     numbers = {t: i for i, t in enumerate(terms)}
 
@@ -110,14 +110,14 @@ def vectors(docs: DataFrame, terms: list[str], id_col: str, text_col: str) -> Da
         ids = TermIds(numbers)
         for batch in batches:
             found = []
-            for text in batch.column(1).to_pylist():
+            for text in batch.column(2).to_pylist():
                 hits = [x for x in map(ids.__getitem__, WORD.findall((text or "").lower())) if x]
                 found.append(sorted(Counter(i for x in hits for i in x).items()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([[i for i, _ in x] for x in found], pa.list_(pa.int32())),
-                                              pa.array([[n for _, n in x] for x in found], pa.list_(pa.int32()))], ["doc", "terms", "counts"])
+            numbers_, counts = (pa.array([[p[k] for p in x] for x in found], pa.list_(pa.int32())) for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), numbers_, counts], ["doc", "th", "terms", "counts"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc long, terms array<int>, counts array<int>")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(F.col(text_col)).alias("th"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(run, "doc long, th long, terms array<int>, counts array<int>")
 
 
 class Index:
@@ -247,16 +247,16 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def score(counted: DataFrame, model: Model, id_col: str = "doc_id") -> DataFrame:
-    """``(id_col, score, evidence)`` per row of ``counted``."""
+    """``(id_col, th, score, evidence)`` per row of ``counted``."""
     kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("toxic", pa.int32())]))
 
     def run(batches):
         for batch in batches:
-            out = [model.score(np.asarray(t.values, np.int64), np.asarray(c.values, float)) for t, c in zip(batch.column(1), batch.column(2))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s for s, _ in out], pa.float64()),
-                                              pa.array([e for _, e in out], kind)], ["doc", "score", "evidence"])
+            out = [model.score(np.asarray(t.values, np.int64), np.asarray(c.values, float)) for t, c in zip(batch.column(2), batch.column(3))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([s for s, _ in out], pa.float64()),
+                                              pa.array([e for _, e in out], kind)], ["doc", "th", "score", "evidence"])
 
-    schema = "doc long, score double, evidence array<struct<doc_id: long, cosine: double, toxic: int>>"
+    schema = "doc long, th long, score double, evidence array<struct<doc_id: long, cosine: double, toxic: int>>"
     return counted.mapInArrow(run, schema).withColumnRenamed("doc", id_col)
 
 
@@ -267,3 +267,13 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     return score(counted, model, id_col).select(
         id_col, held_out(id_col).alias("held_out"), "score",
         (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "evidence")
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                  label_id: str = "doc_id", label_col: str = "toxic") -> DataFrame:
+    """The documents, with all their columns, that score below ``THRESHOLD``."""
+    model, counted = fit(docs, labels, id_col, text_col, label_id, label_col)
+    bad = score(counted, model, "_id").where(F.col("score") >= THRESHOLD)
+    bad = saved(bad.select(F.coalesce("_id", F.lit(LAST_ID)).alias("_id"), F.col("th").alias("_th")).distinct())
+    clean = packed(docs, id_col, text_col).join(bad, ["_id", "_th"], "left_anti")
+    return clean.select(*[F.col("_row")[c].alias(c) for c in docs.columns])
