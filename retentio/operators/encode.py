@@ -13,13 +13,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-MAX_VOCAB = 10_000
-
 
 def _sort_key(df: DataFrame, c: str) -> Column:
     t = df.schema[c].dataType
@@ -44,39 +41,36 @@ def vocabulary(train: DataFrame, columns: Sequence[str], drop_last: bool = True)
     lv = lv.withColumns({"_r": F.row_number().over(wc), "_n": F.count(F.lit(1)).over(Window.partitionBy("variable"))})
     if drop_last:
         lv = lv.where(F.col("_r") < F.col("_n"))
-    pos = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("_ci", "_r")) - 1
-    guarded = F.when(pos < MAX_VOCAB, pos).otherwise(
-        F.raise_error(F.lit(f"more than {MAX_VOCAB} dummies; refusing to broadcast the vocabulary")))
-    return lv.select("variable", "level", F.concat_ws(":", "variable", "level").alias("feature"),
-                     guarded.cast("int").alias("position"))
+    # a column's first position: how many dummies the columns before it have (one row per column)
+    sizes = lv.groupBy("_ci").agg(F.count(F.lit(1)).alias("_k"))
+    upto = Window.orderBy("_ci").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("_ci", F.coalesce(F.sum("_k").over(upto), F.lit(0)).alias("_start"))
+    return lv.join(F.broadcast(starts), "_ci").select(
+        "variable", "level", F.concat_ws(":", "variable", "level").alias("feature"),
+        (F.col("_start") + F.col("_r") - 1).cast("int").alias("position"))
 
 
 def collect_vocabulary(vocab: DataFrame) -> list[tuple[str, str, str]]:
-    """(variable, level, feature) in position order, size-checked before collection."""
-    rows = vocab.orderBy("position").limit(MAX_VOCAB + 1).collect()
-    if len(rows) > MAX_VOCAB:
-        raise ValueError(f"vocabulary larger than {MAX_VOCAB} dummies")
-    return [(r["variable"], r["level"], r["feature"]) for r in rows]
+    """(variable, level, feature) in position order: the columns of a design
+    matrix, which a model's coefficient vector holds on the driver anyway."""
+    return [(r["variable"], r["level"], r["feature"]) for r in vocab.orderBy("position").collect()]
 
 
 def encode_long(df: DataFrame, vocab: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """E1/E2 sparse form: (keys..., feature) for every dummy equal to 1.
 
-    Rows are unpivoted to (column, level) and matched against the vocabulary
-    (broadcast: bounded by MAX_VOCAB); unseen levels and baselines produce no row.
+    Rows are unpivoted to (column, level) and matched against the vocabulary;
+    adaptive execution picks the join by the vocabulary's size. Unseen levels
+    and baselines produce no row.
     """
     cols = list(columns)
     long = df.select(*keys, *[F.col(c).cast("string").alias(c) for c in cols]).unpivot(
         list(keys), cols, "variable", "level")
-    return long.join(F.broadcast(vocab.select("variable", "level", "feature")), ["variable", "level"]).select(
+    return long.join(vocab.select("variable", "level", "feature"), ["variable", "level"]).select(
         *keys, "feature")
 
 
 def design_array(vocab_list: Sequence[tuple[str, str, str]], df: DataFrame | None = None) -> Column:
     """array<double> of the dummies in vocabulary order (one CASE per entry)."""
     return F.array(*[F.when(F.col(c).cast("string") == F.lit(lvl), F.lit(1.0)).otherwise(F.lit(0.0))
-                     for c, lvl, _ in vocab_list])
-
-
-def design_vector(vocab_list: Sequence[tuple[str, str, str]]) -> Column:
-    return array_to_vector(design_array(vocab_list))
+                     for c, lvl, _ in vocab_list]).cast("array<double>")

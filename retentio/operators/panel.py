@@ -4,17 +4,16 @@ Physical design (see README):
 
 * Periods are a calendar dimension, not data: their distinct set is small
   (days/weeks/quarters of the observed span) and is enumerated once into a
-  ``(period, period_idx, n_periods)`` table that is broadcast *behind a size
-  guard* (``MAX_PERIODS``; the job fails loudly instead of broadcasting an
-  unbounded table).
+  ``(period, period_idx, n_periods)`` table. It is persisted and counted; a
+  table counted small is broadcast, any other is joined by shuffle.
 * The dense panel is built **without a cross join and without a join back to
   the observations**: each observed row knows the index of the entity's next
   observation (``lead`` over a window partitioned by entity) and emits itself
   plus the gap rows up to it (``explode(sequence(...))``). One hash shuffle on
   the entity key; the trailing windows and the guarded lead/lag that follow
   partition on the same key and reuse it.
-* ``(entity, period)`` must be unique in the observations (aggregate first);
-  then a window partition holds at most ``n_periods`` rows per entity, so a hot
+* ``(entity, period)`` must be unique in the observations (aggregate first; a
+  repeated one fails the job); then a window partition holds at most ``n_periods`` rows per entity, so a hot
   entity cannot make a task unbounded.
 """
 
@@ -26,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import period_ordinal
-from ..session import keep_fanout
+from ..session import keep_fanout, small_side
 from ..sources.fixtures import ENTITY, PERIOD
 
 PERIOD_IDX = "period_idx"
@@ -36,8 +35,6 @@ FIRST_PERIOD = "first_period"
 LAST_PAIRED = "last_paired_idx"
 HELPER_COLUMNS = (PERIOD_IDX, N_PERIODS, FIRST_PERIOD, LAST_PAIRED)
 
-# Upper bound on distinct periods that may be broadcast (100k days = 270 years).
-MAX_PERIODS = 100_000
 # Decimals kept on trailing means (order-independent results across engines).
 MEAN_DIGITS = 9
 
@@ -46,14 +43,13 @@ def _ord(df: DataFrame, period: str) -> Column:
     return period_ordinal(df.schema[period].dataType, F.col(period))
 
 
-def period_index(obs: DataFrame, period: str = PERIOD, max_periods: int = MAX_PERIODS,
-                 step: int = 1) -> DataFrame:
+def period_index(obs: DataFrame, period: str = PERIOD, step: int = 1) -> DataFrame:
     """Distinct periods numbered 1..n in calendar order, with n on every row.
 
     Also ``last_paired_idx``: the newest period whose successor one ``step``
     later is also observed (the newest period a next-period label exists for).
-    The windows run over the distinct periods only (bounded by the calendar and
-    checked against ``max_periods`` at run time), never over data rows.
+    The windows run over the distinct periods only (bounded by the calendar),
+    never over data rows.
     """
     d = obs.select(period).where(F.col(period).isNotNull()).distinct()
     whole = Window.partitionBy(F.lit(0))
@@ -66,10 +62,8 @@ def period_index(obs: DataFrame, period: str = PERIOD, max_periods: int = MAX_PE
         (F.lead(o).over(ordered) == o + step).alias("_paired"),
     )
     idx = idx.withColumn(LAST_PAIRED, F.max(F.when(F.col("_paired"), F.col(PERIOD_IDX))).over(whole)).drop("_paired")
-    guard = F.when(F.col(N_PERIODS) <= max_periods, F.col(N_PERIODS)).otherwise(
-        F.raise_error(F.lit(f"more than {max_periods} distinct periods; refusing to broadcast")))
-    # tiny (one row per period) and read by two broadcasts: persisted once
-    return keep_fanout(idx.withColumns({N_PERIODS: guard.cast("int"), LAST_PAIRED: F.col(LAST_PAIRED).cast("int")}))
+    # one row per period, read by two joins: persisted once
+    return keep_fanout(idx.withColumns({N_PERIODS: F.col(N_PERIODS).cast("int"), LAST_PAIRED: F.col(LAST_PAIRED).cast("int")}))
 
 
 def first_seen(obs: DataFrame, entity: str = ENTITY, period: str = PERIOD) -> DataFrame:
@@ -77,6 +71,15 @@ def first_seen(obs: DataFrame, entity: str = ENTITY, period: str = PERIOD) -> Da
     return obs.groupBy(entity).agg(F.min(period).alias(FIRST_PERIOD))
 
 
+def _next_index(w, entity: str) -> Column:
+    """Index of the following observation (one past the last period at the end). Two rows with
+    the same index fail the job: they would corrupt leads, lags and means silently."""
+    nxt = F.lead(PERIOD_IDX).over(w)
+    message = F.concat(F.lit(f"repeated observation of one period: {entity} "), F.coalesce(F.col(entity).cast("string"), F.lit("NULL")))
+    return (F.when(nxt == F.col(PERIOD_IDX), F.raise_error(message).cast("int"))
+            .otherwise(F.coalesce(nxt, F.col(N_PERIODS) + 1)))
+
+
 def densify(obs: DataFrame, fills: Mapping[str, object], entity: str = ENTITY,
             period: str = PERIOD, periods: DataFrame | None = None, step: int = 1) -> DataFrame:
     """J1 + J2 + J4 + P10 in one pass: gap-free panel from each entity's first period.
@@ -90,11 +93,11 @@ def densify(obs: DataFrame, fills: Mapping[str, object], entity: str = ENTITY,
     ``periods`` may give the distinct periods from a cheaper plan (e.g. one
     pruned column of the raw table); by default they come from ``obs``.
     """
-    pidx = F.broadcast(period_index(obs if periods is None else periods, period, step=step))
+    pidx = small_side(period_index(obs if periods is None else periods, period, step=step))
     o = obs.join(pidx, period)
     w = Window.partitionBy(entity).orderBy(PERIOD_IDX)
     o = o.withColumns({
-        "_next": F.coalesce(F.lead(PERIOD_IDX).over(w), F.col(N_PERIODS) + 1),
+        "_next": _next_index(w, entity),
         FIRST_PERIOD: F.min(period).over(w),
     })
     q = F.explode(F.sequence(F.col(PERIOD_IDX), F.greatest(F.col(PERIOD_IDX), F.col("_next") - 1)))
@@ -103,7 +106,7 @@ def densify(obs: DataFrame, fills: Mapping[str, object], entity: str = ENTITY,
     filled = {c: F.when(is_obs, F.coalesce(F.col(c), F.lit(v))).otherwise(F.lit(v)).cast(obs.schema[c].dataType)
               for c, v in fills.items()}
     g = g.withColumns(filled).drop(period, PERIOD_IDX, N_PERIODS, LAST_PAIRED, "_next")
-    # the same broadcast period table maps the generated index back to its period
+    # the same period table maps the generated index back to its period
     out = g.join(pidx.alias("_pi"), F.col("_q") == F.col(f"_pi.{PERIOD_IDX}")).drop("_q")
     return out.select(entity, period, *[c for c in obs.columns if c not in (entity, period)],
                       PERIOD_IDX, N_PERIODS, FIRST_PERIOD, LAST_PAIRED)
@@ -121,14 +124,14 @@ def densify_by_tuple(obs: DataFrame, fills: Mapping[str, object], attrs: Iterabl
     clusters every (entity, tuple) group.
     """
     attrs = list(attrs)
-    pidx = F.broadcast(period_index(obs if periods is None else periods, period, step=step))
+    pidx = small_side(period_index(obs if periods is None else periods, period, step=step))
     o = obs.join(pidx, period)
     we = Window.partitionBy(entity)
     wt = Window.partitionBy(entity, *attrs).orderBy(PERIOD_IDX)
     o = o.withColumns({
         "_efirst": F.min(PERIOD_IDX).over(we),
         FIRST_PERIOD: F.min(period).over(we),
-        "_next": F.coalesce(F.lead(PERIOD_IDX).over(wt), F.col(N_PERIODS) + 1),
+        "_next": _next_index(wt, entity),
         "_tfirst": F.row_number().over(wt) == 1,
     })
     start = F.when(F.col("_tfirst"), F.col("_efirst")).otherwise(F.col(PERIOD_IDX))
@@ -150,7 +153,7 @@ def grid(obs: DataFrame, keys: Iterable[str] = (), entity: str = ENTITY,
     by ``sequence`` over period indexes instead of a Cartesian product.
     """
     keys = list(keys)
-    pidx = F.broadcast(period_index(obs, period))
+    pidx = small_side(period_index(obs, period))
     o = obs.join(pidx, period)
     firsts = o.groupBy(entity).agg(F.min(PERIOD_IDX).alias("_first"), F.max(N_PERIODS).alias("_n"),
                                    F.min(period).alias(FIRST_PERIOD))

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import math
 import os
+import re
 import tempfile
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Settings the library needs regardless of cluster size. Periods are cut from
 # timestamps, so the session time zone must be fixed; AQE coalesces the many
@@ -41,19 +42,20 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8,
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Apply the required settings to a session created elsewhere."""
+    """Apply the required settings to a session created elsewhere, and let go of
+    the frames that earlier queries of this session persisted."""
     for k, v in REQUIRED_CONF.items():
         spark.conf.set(k, v)
-    ensure_checkpoint_dir(spark)
+    release()
     return spark
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster the setting names a shared (HDFS/object store) folder and is
-    used as is. Only when it is unset -- tests, a laptop -- do we point it at a
-    fresh local folder.
+    On a cluster the setting must name a shared (HDFS/object store) folder. Only
+    a ``local`` master (tests, a laptop), where driver and executors are one
+    process, falls back to a fresh local folder; elsewhere its absence is an error.
     """
     try:
         sc = spark.sparkContext
@@ -62,15 +64,21 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     active = sc.getCheckpointDir() if sc is not None else None
     if active:
         return active
-    current = spark.conf.get("spark.checkpoint.dir", None)
-    if not current:
-        current = tempfile.mkdtemp(prefix="retentio-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", current)
+    master = sc.master if sc is not None else spark.conf.get("spark.master", "")
+    current = spark.conf.get("spark.checkpoint.dir", None) or local_fallback(master)
+    spark.conf.set("spark.checkpoint.dir", current)
     if sc is not None:
         sc.setCheckpointDir(current)
     return current
 
 
+def local_fallback(master: str) -> str:
+    """A fresh machine-local folder, for local masters only."""
+    if not re.match(r"local(\[|$)", master):
+        raise RuntimeError("spark.checkpoint.dir is not set: it must name a folder that all executors share")
+    return tempfile.mkdtemp(prefix="retentio-ckpt-")
+
+
 def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     """Reliable checkpoint into the shared checkpoint folder.
 
@@ -81,9 +89,23 @@ def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager=eager)
 
 
+_KEPT: list[DataFrame] = []
+
+
 def keep(df: DataFrame) -> DataFrame:
-    """Persist a frame that several actions reuse (recomputable from lineage)."""
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
+    """Persist a frame that several actions of one query reuse (recomputable from lineage)."""
+    out = df.persist(StorageLevel.MEMORY_AND_DISK)
+    _KEPT.append(out)
+    return out
+
+
+def release() -> None:
+    """Unpersist what :func:`keep` holds. A frame still in use is only recomputed."""
+    while _KEPT:
+        try:
+            _KEPT.pop().unpersist()
+        except Exception:  # noqa: BLE001 -- the frame's session has been stopped
+            pass
 
 
 def keep_fanout(df: DataFrame) -> DataFrame:
@@ -98,21 +120,10 @@ def keep_fanout(df: DataFrame) -> DataFrame:
     return keep(df)
 
 
-def default_sf_dir() -> str:
-    return os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
-
+# A side is broadcast only when counting it gave at most this many (narrow) rows.
+BROADCAST_ROWS = 200_000
 
-# Rows per task for the inputs of iterative MLlib fits: every iteration is a
-# job over the cached input, so tiny partitions only add scheduling cost.
-ROWS_PER_TASK = 1_000_000
 
-
-def sized_for_iterations(df: DataFrame, rows: int | None = None) -> DataFrame:
-    """Persisted copy of an iterative fit's input with ``ceil(rows / ROWS_PER_TASK)``
-    partitions (never more than it has): one task on a laptop sample,
-    thousands on a cluster. ``coalesce`` merges partitions without a shuffle."""
-    n = df.count() if rows is None else rows
-    parts = max(1, min(df.rdd.getNumPartitions(), math.ceil(n / ROWS_PER_TASK)))
-    out = keep(df.coalesce(parts))
-    out.count()
-    return out
+def small_side(df: DataFrame) -> DataFrame:
+    """``df`` with a broadcast hint if it was counted small; beyond that the join shuffles."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
