@@ -1,27 +1,31 @@
 """Descriptive statistics and audits.
 
 ``describe`` gives pandas' count / mean / std / min / quartiles / max per
-numeric column. Exact quartiles without holding a column in one task: the
-column is reduced to ``(value, count)`` pairs (partial aggregation), ranks
-come from bucketed running sums, and only the pairs whose rank range holds a
-needed order statistic are kept; quartiles interpolate linearly between
-ranks ``floor(h)`` and ``floor(h) + 1`` with ``h = (n - 1) q``.
+numeric column. Quartiles are exact and interpolate linearly between ranks ``floor(h)`` and
+``floor(h) + 1`` with ``h = (n - 1) q``. They are found in three scans with small shuffles:
+moments and approximate quantiles of all columns in one aggregate; the exact
+number of rows between those bounds; and the values of the few stretches
+that hold a needed rank.
 """
 
 from __future__ import annotations
 
+import math
+from bisect import bisect_right
 from collections.abc import Iterable, Sequence
+from itertools import accumulate
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import keep_fanout
-from .cumulative import running_sums
+from .binning import number, snapped
 
 STAT_DIGITS = 9
 # mean / std depend on the order of floating additions; kept to 6 decimals.
 MOMENT_DIGITS = 6
 QUARTILES = (0.25, 0.5, 0.75)
+# Approximate quantiles that cut each column into stretches.
+STRETCHES = 200
 
 
 def null_audit(df: DataFrame) -> DataFrame:
@@ -31,48 +35,72 @@ def null_audit(df: DataFrame) -> DataFrame:
 
 
 def value_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Counts per value, to be shown in descending count order."""
-    return df.groupBy(*cols).agg(F.count(F.lit(1)).alias("n"))
+    """Counts per value, in descending count order."""
+    return df.groupBy(*cols).agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), *cols)
 
 
 def describe(df: DataFrame, columns: Iterable[str], qs: Sequence[float] = QUARTILES) -> DataFrame:
-    """(measure, count, mean, std, min, p25, p50, p75, max) per column (long form).
-
-    The data is read once, into ``(measure, value, count)`` (partial
-    aggregation; persisted, it is read by every branch below). Moments are
-    computed from it in two passes (mean, then squared deviations), so the
-    standard deviation does not suffer from cancellation.
-    """
-    cols = list(columns)
-    long = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).unpivot(
-        [], cols, "measure", "x").where(F.col("x").isNotNull())
-    vc = keep_fanout(long.groupBy("measure", "x").agg(F.count(F.lit(1)).alias("c")))
-    first = vc.groupBy("measure").agg(
-        F.sum("c").alias("count"), F.min("x").alias("min"), F.max("x").alias("max"),
-        (F.sum(F.col("x") * F.col("c")) / F.sum("c")).alias("_mean"))
-    dev = vc.join(F.broadcast(first.select("measure", "_mean")), "measure").groupBy("measure").agg(
-        F.sum(F.col("c") * (F.col("x") - F.col("_mean")) * (F.col("x") - F.col("_mean"))).alias("_ss"))
-    basic = first.join(F.broadcast(dev), "measure").select(
-        "measure", "count", F.round("_mean", MOMENT_DIGITS).alias("mean"),
-        F.round(F.when(F.col("count") > 1, F.sqrt(F.col("_ss") / (F.col("count") - 1))), MOMENT_DIGITS).alias("std"),
-        "min", "max")
-    basic = keep_fanout(basic)
-    ranked = running_sums(vc, ["measure"], "x", ["c"])          # rows [cum_c - c, cum_c - 1]
-    need = basic.select("measure", F.col("count").alias("n")).select(
-        "measure", F.explode(F.array(*[F.lit(float(q)) for q in qs])).alias("q"), "n")
-    need = need.withColumn("h", (F.col("n") - 1).cast("double") * F.col("q"))
-    need = need.withColumns({"lo": F.floor("h").cast("long")}).withColumn(
-        "hi", F.least(F.col("lo") + 1, F.col("n") - 1))
-    ranks = need.select("measure", F.explode(F.array("lo", "hi")).alias("r")).distinct()
-    pos = ranked.join(F.broadcast(ranks), "measure").where(
-        (F.col("r") >= F.col("cum_c") - F.col("c")) & (F.col("r") <= F.col("cum_c") - 1)).select(
-        "measure", "r", "x")
-    lo = pos.select("measure", F.col("r").alias("lo"), F.col("x").alias("x_lo"))
-    hi = pos.select("measure", F.col("r").alias("hi"), F.col("x").alias("x_hi"))
-    qv = need.join(lo, ["measure", "lo"]).join(hi, ["measure", "hi"])
-    qv = qv.withColumn("v", F.round(F.col("x_lo") + (F.col("h") - F.col("lo")) * (F.col("x_hi") - F.col("x_lo")),
-                                    STAT_DIGITS))
-    names = {q: f"p{int(round(q * 100))}" for q in qs}
-    piv = qv.groupBy("measure").agg(*[F.max(F.when(F.col("q") == q, F.col("v"))).alias(n) for q, n in names.items()])
-    return basic.join(piv, "measure").select("measure", "count", "mean", "std", "min",
-                                              *names.values(), "max")
+    """(measure, count, mean, std, min, p25, p50, p75, max) per column (long form)."""
+    cols, spark = list(columns), df.sparkSession
+    x = df.select(*[number(c).alias(c) for c in cols])
+    probs = [i / STRETCHES for i in range(1, STRETCHES)]
+    one = x.agg(*[f.alias(f"{n}{i}") for i, c in enumerate(cols) for n, f in (
+        ("n", F.count(c)), ("mean", F.avg(c)), ("std", F.stddev_samp(c)), ("lo", F.min(c)), ("hi", F.max(c)),
+        ("q", F.percentile_approx(c, probs, 10 * STRETCHES)))]).first()
+    ends = {c: sorted({*one[f"q{i}"], one[f"lo{i}"], one[f"hi{i}"]}) for i, c in enumerate(cols) if one[f"n{i}"]}
+    quantiles = exact_ranks(x, ends, {c: [(one[f"n{i}"] - 1) * q for q in qs] for i, c in enumerate(cols) if c in ends})
+    rounded = lambda v, d: None if v is None or math.isnan(v) else round_half_up(v, d)
+    rows = []
+    for i, c in enumerate(cols):
+        if c in ends:
+            found = [rounded(v, STAT_DIGITS) for v in quantiles[c]]
+            rows.append((c, one[f"n{i}"], rounded(one[f"mean{i}"], MOMENT_DIGITS), rounded(one[f"std{i}"], MOMENT_DIGITS),
+                         one[f"lo{i}"], *found, one[f"hi{i}"]))
+    names = [f"p{int(round(q * 100))}" for q in qs]
+    schema = "measure string, count long, mean double, std double, min double, " + "".join(f"{n} double, " for n in names) + "max double"
+    return spark.createDataFrame(rows, schema)
+
+
+def round_half_up(v: float, digits: int) -> float:
+    """SQL's ROUND of a double."""
+    from decimal import ROUND_HALF_UP, Decimal
+    return float(Decimal(repr(v)).quantize(Decimal(1).scaleb(-digits), ROUND_HALF_UP))
+
+
+def exact_ranks(x: DataFrame, ends: dict[str, list[float]], wanted: dict[str, list[float]]) -> dict[str, list[float]]:
+    """The interpolated order statistics ``h`` (fractional ranks from 0) of each column.
+
+    ``ends`` cut a column into right-closed stretches. Their exact row counts tell which stretch holds a rank; only the values of
+    those stretches are counted one by one, and their running counts (per stretch) give the value."""
+    cols = list(ends)
+    counted = x.select(*[snapped(F.col(c), ends[c]).alias(c) for c in cols]).unpivot([], cols, "measure", "stop")
+    sizes = {(r.measure, r.stop): r.n for r in counted.where("stop IS NOT NULL").groupBy("measure", "stop").agg(F.count("*").alias("n")).collect()}
+    need: dict[tuple[str, float], list[int]] = {}
+    for c in cols:
+        before = [0, *accumulate(sizes.get((c, e), 0) for e in ends[c])]
+        for h in wanted[c]:
+            for r in {math.floor(h), min(math.floor(h) + 1, before[-1] - 1)}:
+                at = bisect_right(before, r) - 1
+                need.setdefault((c, ends[c][at]), []).append(r - before[at])
+    stops = {c: F.array(*[F.lit(e) for m, e in need if m == c]) for c in cols}
+    held = x.select(*[F.when(F.array_contains(stops[c], snapped(F.col(c), ends[c])),
+                             F.struct(snapped(F.col(c), ends[c]).alias("stop"), F.col(c).alias("x"))).alias(c) for c in cols])
+    values = (held.unpivot([], cols, "measure", "v").where("v IS NOT NULL")
+              .groupBy("measure", "v.stop", "v.x").agg(F.count("*").alias("n")))
+    upto = F.sum("n").over(Window.partitionBy("measure", "stop").orderBy("x").rowsBetween(Window.unboundedPreceding, 0))
+    ranks = x.sparkSession.createDataFrame([(c, e, r) for (c, e), rs in need.items() for r in sorted(set(rs))], "measure string, stop double, r long")
+    found = (values.withColumn("upto", upto).join(F.broadcast(ranks), ["measure", "stop"])
+             .where((F.col("r") < F.col("upto")) & (F.col("r") >= F.col("upto") - F.col("n"))))
+    at = {(r.measure, r.stop, r.r): r.x for r in found.select("measure", "stop", "r", "x").collect()}
+    out: dict[str, list[float]] = {}
+    for c in cols:
+        before = [0, *accumulate(sizes.get((c, e), 0) for e in ends[c])]
+        def value(r):
+            i = bisect_right(before, r) - 1
+            return at[c, ends[c][i], r - before[i]]
+        out[c] = []
+        for h in wanted[c]:
+            lo = math.floor(h)
+            low, high = value(lo), value(min(lo + 1, before[-1] - 1))
+            out[c].append(low + (h - lo) * (high - low))
+    return out

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import LOG_DIGITS, ieee_log_ratio, ratio
-from .binning import bin_edges, bin_of, value_ranges
+from .binning import bin_edges, bin_of, edge_list, number, snapped
 from .scalars import attach
 
 LABEL = "not_churn_1w"
@@ -73,39 +73,52 @@ def woe_from_counts(counts: DataFrame, group: Sequence[str], per_level: bool = T
 
 
 def woe_discrete(df: DataFrame, var: str, label: str = LABEL) -> DataFrame:
-    """V1: WoE table of one categorical column (level column keeps its name)."""
-    return woe_from_counts(level_counts(df, [var], label), []).select(var, *WOE_COLUMNS)
+    """V1: WoE table of one categorical column (level column keeps its name). Rows without a level
+    take no part, as in the reference's grouping."""
+    return woe_from_counts(level_counts(df.where(F.col(var).isNotNull()), [var], label), []).select(var, *WOE_COLUMNS)
 
 
 def woe_continuous(df: DataFrame, var: str, label: str = LABEL, k: int = 50) -> DataFrame:
     """V4: equal-width fine classing into k bins, then V1 (bins without rows are not emitted)."""
-    counts = binned_counts(long_values(df, [var], label), [k])
+    counts = binned_counts(df, [var], [k], label)
     out = woe_from_counts(counts, ["var", "k"])
     return out.select(F.col("bin").alias(f"{var}_fine_classing"), F.col("bin_lo"), F.col("bin_hi"), *WOE_COLUMNS)
 
 
-def long_values(df: DataFrame, columns: Iterable[str], label: str = LABEL) -> DataFrame:
-    """Unpivot numeric candidates to (var, x, y) and pre-aggregate per distinct value.
+def interval_counts(df: DataFrame, columns: Iterable[str], ks: Iterable[int],
+                    label: str = LABEL) -> tuple[DataFrame, DataFrame]:
+    """(var, x, n_obs, n_good) per elementary interval, and (var, mn, mx).
 
-    The partial aggregation after the Expand collapses hot values map-side;
-    the result has one row per (variable, distinct value).
+    One aggregate gives the range of every column. The edges of all candidate k of a column, merged
+    and sorted, cut it into elementary intervals (at most the sum of k + 1);
+    each value is replaced by the upper end of its interval, so the partial
+    aggregation collapses a task's rows to that many per variable whatever the
+    number of distinct values. NULL and NaN values take no part.
     """
-    cols = list(columns)
-    long = df.select(label, *[F.col(c).cast("double").alias(c) for c in cols]).unpivot(
-        label, cols, "var", "x")
-    return level_counts(long, ["var", "x"], label)
-
-
-def binned_counts(values: DataFrame, ks: Iterable[int]) -> DataFrame:
+    cols, ks = list(columns), list(ks)
+    spark = df.sparkSession
+    lows = df.agg(*[f(number(c)).alias(f"{n}{i}") for i, c in enumerate(cols) for n, f in (("lo", F.min), ("hi", F.max))]).first()
+    ranges = [(c, lows[f"lo{i}"], lows[f"hi{i}"]) for i, c in enumerate(cols) if lows[f"lo{i}"] is not None]
+    merged = {c: sorted({e for k in ks for e in edge_list(lo, hi, k)}) for c, lo, hi in ranges}
+    bounds = spark.createDataFrame(ranges, "var string, mn double, mx double")
+    if not ranges:
+        return spark.createDataFrame([], "var string, x double, n_obs long, n_good long"), bounds
+    long = df.select(label, *[snapped(number(c), merged[c]).alias(c) for c in merged]).unpivot(
+        label, list(merged), "var", "x").where(F.col("x").isNotNull())
+    return level_counts(long, ["var", "x"], label), bounds
+
+
+def binned_counts(df: DataFrame, columns: Iterable[str], ks: Iterable[int], label: str = LABEL) -> DataFrame:
     """(var, k, bin, bin_lo, bin_hi, n_obs, n_good) for every candidate k.
 
-    Edges per (var, k) are a small broadcast table; every distinct value is
-    binned for every k, then counts are re-aggregated per bin.
+    The interval counts (a few hundred rows per variable) are rolled up to the bins of each k; an
+    interval lies inside one bin of every k, so the bins are exact.
     """
-    edges = bin_edges(value_ranges(values), ks)
+    ks = list(ks)
+    values, ranges = interval_counts(df, columns, ks, label)
+    edges = bin_edges(ranges, ks)
     b = values.join(F.broadcast(edges), "var").withColumn("bin", bin_of(F.col("x"), F.col("edges")))
-    b = b.withColumns({"bin_lo": F.element_at("edges", F.col("bin")),
-                       "bin_hi": F.element_at("edges", F.col("bin") + 1)})
+    b = b.withColumns({"bin_lo": F.get("edges", F.col("bin") - 1), "bin_hi": F.get("edges", F.col("bin"))})
     return b.groupBy("var", "k", "bin", "bin_lo", "bin_hi").agg(
         F.sum("n_obs").alias("n_obs"), F.sum("n_good").alias("n_good"))
 
@@ -113,7 +126,7 @@ def binned_counts(values: DataFrame, ks: Iterable[int]) -> DataFrame:
 def iv_by_class_count(df: DataFrame, columns: Iterable[str], label: str = LABEL,
                       lo: int = 3, hi: int = 20) -> DataFrame:
     """(var, k, IV, IV_adjusted) for k in [lo, hi) -- all variables and k at once."""
-    counts = binned_counts(long_values(df, columns, label), range(lo, hi))
+    counts = binned_counts(df, columns, range(lo, hi), label)
     return woe_from_counts(counts, ["var", "k"], per_level=False).select("var", "k", "IV", "IV_adjusted")
 
 
@@ -142,7 +155,7 @@ def iv_rank_discrete(df: DataFrame, columns: Iterable[str], label: str = LABEL)
     """
     cols = list(columns)
     long = df.select(label, *[F.col(c).cast("string").alias(c) for c in cols]).unpivot(
-        label, cols, "var", "level")
+        label, cols, "var", "level").where(F.col("level").isNotNull())
     counts = level_counts(long, ["var", "level"], label)
     w = woe_from_counts(counts, ["var"], per_level=False)
     return w.select(F.col("var").alias("DISCRETE_COL"), F.col("n_levels").alias("DISTINCT"), "IV",
@@ -150,6 +163,6 @@ def iv_rank_discrete(df: DataFrame, columns: Iterable[str], label: str = LABEL)
 
 
 def rank_order(df: DataFrame, name_col: str, tie_col: str) -> DataFrame:
-    """O2: the reference's display order plus a name tie-break."""
-    return df.orderBy(F.col("IV_ADJUSTED").desc_nulls_last(), F.col("IV").asc(), F.col(tie_col).asc(),
-                      F.col(name_col).asc())
+    """O2: the reference's display order plus a name tie-break, as ``rank_no`` (one row per variable)."""
+    order = [F.col("IV_ADJUSTED").desc_nulls_last(), F.col("IV").asc(), F.col(tie_col).asc(), F.col(name_col).asc()]
+    return df.withColumn("rank_no", F.row_number().over(Window.orderBy(*order))).orderBy("rank_no")

@@ -5,6 +5,8 @@ import math
 import numpy as np
 import pandas as pd
 
+from pyspark.sql import functions as F
+
 from retentio.operators import woe as V
 
 
@@ -75,3 +77,24 @@ def test_rank_discrete_counts_levels(spark):
     df = spark.createDataFrame(rows, "a int, b int, not_churn_1w int")
     got = {r.DISCRETE_COL: r.DISTINCT for r in V.iv_rank_discrete(df, ["a", "b"]).collect()}
     assert got == {"a": 3, "b": 2}
+
+
+def test_nulls_and_nan_have_no_bin(spark):
+    rows = [(None, 1), (float("nan"), 0), (1.0, 1), (2.0, 0), (2.0, 1), (10.0, 0)]
+    df = spark.createDataFrame(rows, "x double, not_churn_1w int")
+    out = V.woe_continuous(df, "x", k=3).collect()
+    assert sum(r.n_obs for r in out) == 4
+    lv = spark.createDataFrame([(None, 1), ("a", 0), ("a", 1), ("b", 1)], "lvl string, not_churn_1w int")
+    assert {r.lvl for r in V.woe_discrete(lv, "lvl").collect()} == {"a", "b"}
+    assert V.iv_rank_discrete(lv, ["lvl"]).first().DISTINCT == 2
+
+
+def test_interval_counts_keep_every_bin_exact(spark):
+    from retentio.operators.binning import edge_list, snapped
+    rng = np.random.default_rng(5)
+    ks = range(3, 20)
+    for x in (rng.gamma(2.0, 100.0, 300), np.round(rng.normal(0, 3, 300)), np.array([5.0] * 4), np.array([0.0, 1e-9, 1e9])):
+        merged = sorted({e for k in ks for e in edge_list(float(x.min()), float(x.max()), k)})
+        got = [r.s for r in spark.createDataFrame([(float(v),) for v in x], "x double").select(snapped(F.col("x"), merged).alias("s")).collect()]
+        assert got == [merged[np.searchsorted(merged, v)] for v in x]
+    assert V.interval_counts(spark.createDataFrame([(float(v), 1) for v in rng.normal(size=2000)], "x double, not_churn_1w int"), ["x"], ks)[0].count() <= 190
