@@ -34,10 +34,6 @@ def ieee_log_ratio(num: Column | str, den: Column | str) -> Column:
             .when((n == 0) & (d > 0), F.lit(float("-inf"))))
 
 
-def ln_rounded(x: Column | str) -> Column:
-    return F.round(F.log(col_of(x).cast("double")), LOG_DIGITS)
-
-
 def strict_threshold(score: Column | str, threshold: Column | float) -> Column:
     """1 when score > threshold else 0 (strict, as the reference)."""
     t = threshold if isinstance(threshold, Column) else F.lit(float(threshold))

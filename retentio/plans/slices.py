@@ -1,6 +1,7 @@
 """Analytic base tables of the six reference variants (T4, T5).
 
-Each slice is one lazy plan: densify -> (trailing mean) -> guarded next/previous
+A slice is described by a :class:`Spec` and built over any :class:`Activity` source (one
+row per entity and observed period, with its step, measures and attributes). Each slice is one lazy plan: densify -> (trailing mean) -> guarded next/previous
 flags -> rule segment -> warm-up cut -> out-of-time split. All window steps
 partition on the entity key, so the plan shuffles the observations once.
 
@@ -20,22 +21,110 @@ slice       attrs      window    label       prev flag  warm-up
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+from dataclasses import dataclass, field
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.rules import SEGMENT, SEGMENT_FILL, VEHICLE_MODEL_FILL
 from ..operators import panel as P
-from ..sources.fixtures import DAILY_ATTRS, DAILY_MEASURES, activity_daily, daily_periods
+from ..sources.fixtures import (DAILY_ATTRS, DAILY_MEASURES, WEEKLY_MEASURES, activity_daily, activity_weekly,
+                                daily_periods)
 
 LABEL = "not_churn_1w"
 PREV = "not_churn_pre_1w"
 FLAG = "not_churn"
 
 
-def source_1p(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Observations with static attributes and the model-name fill."""
-    src = activity_daily(spark, sf_dir)
-    return src.na.fill({"vehicle_model": VEHICLE_MODEL_FILL})
+@dataclass(frozen=True)
+class Activity:
+    """Observations with the reference's shape: unique (entity, period), measures, a 0/1 activity
+    flag and, for the variants that keep them, attributes and the source's segment."""
+
+    rows: DataFrame
+    measures: tuple
+    attrs: tuple = ()
+    step: int = 1
+    entity: str = "entity_id"
+    period: str = "period"
+    periods: DataFrame | None = None    # distinct periods, where a cheaper plan gives them
+    fills: Mapping[str, object] = field(default_factory=dict)
+
+
+@dataclass(frozen=True)
+class Spec:
+    """Parameters of a variant: attributes kept ('carry'), joined on ('key') or dropped; trailing window; label
+    join; previous-period flag; warm-up cut ('entity' or 'global', periods); segment re-derived from sum_sh."""
+
+    attrs: str | None = None
+    window: int = 1
+    label: str = "filled"
+    prev: bool = False
+    warmup: tuple | None = None
+
+
+SPECS = {
+    "slice_1p": Spec(attrs="carry", label="inner"),
+    "slice_2p": Spec(window=2, warmup=("entity", 0)),
+    "slice_3p": Spec(window=3, prev=True, warmup=("entity", 1)),
+    "slice_1p_attrs": Spec(attrs="key"),
+    "slice_2p_global": Spec(window=2, warmup=("global", 1)),
+    "slice_3p_global": Spec(window=3, prev=True, warmup=("global", 2)),
+}
+
+
+def panel_of(a: Activity, spec: Spec) -> DataFrame:
+    """The gap-free panel of the spec: NULL and gap measures and flags are 0, gap and NULL segments 'Parttime'."""
+    fills = {**{m: 0.0 for m in a.measures}, FLAG: 0}
+    if spec.attrs is None:
+        rows = a.rows.select(a.entity, a.period, *a.measures, FLAG).na.fill(0, subset=list(a.measures))
+        return P.densify(rows, fills, a.entity, a.period, a.periods, a.step)
+    rows = a.rows.na.fill({k: v for k, v in a.fills.items() if k != "segment"})
+    fills |= {"segment": a.fills["segment"]} if "segment" in a.fills else {}
+    if spec.attrs == "key":
+        return P.densify_by_tuple(rows, fills, a.attrs, a.entity, a.period, a.periods, a.step)
+    return P.densify(rows, fills, a.entity, a.period, a.periods, a.step)
+
+
+def slice_of(a: Activity, spec: Spec) -> DataFrame:
+    """The analytic base table of ``spec`` over any activity source."""
+    at = {"entity": a.entity, "period": a.period, "step": a.step}
+    df = panel_of(a, spec)
+    df = P.trailing_mean(df, a.measures, spec.window, **at)
+    df = P.offset_flag(df, FLAG, LABEL, +1, how=spec.label, **at)
+    if spec.label == "filled":
+        df = P.drop_newest(df)
+    if spec.prev:
+        df = P.drop_oldest(P.offset_flag(df, FLAG, PREV, -1, how="filled", **at))
+    if spec.attrs is None:
+        df = df.withColumn("segment", SEGMENT.expr("sum_sh"))
+    if spec.warmup:
+        kind, k = spec.warmup
+        df = (P.warmup_entity(df, k, a.step, a.period) if kind == "entity"
+              else P.warmup_global_indexed(df, k, already_dropped=int(spec.prev)))
+    return P.drop_helpers(P.split_oot_indexed(df, "paired" if spec.label == "inner" else "labelled"))
+
+
+# ---------------------------------------------------------------- sources
+def daily(spark: SparkSession, sf_dir: str) -> Activity:
+    return Activity(activity_daily(spark, sf_dir), tuple(DAILY_MEASURES), tuple(DAILY_ATTRS), 1,
+                    periods=daily_periods(spark, sf_dir),
+                    fills={"vehicle_model": VEHICLE_MODEL_FILL, "segment": SEGMENT_FILL})
+
+
+def weekly(spark: SparkSession, sf_dir: str) -> Activity:
+    """All 23 measures of the reference's schema at a step of seven days."""
+    return Activity(activity_weekly(spark, sf_dir), tuple(WEEKLY_MEASURES), tuple(DAILY_ATTRS), 7,
+                    fills={"vehicle_model": VEHICLE_MODEL_FILL, "segment": SEGMENT_FILL})
+
+
+def csv_activity(rows: DataFrame) -> Activity:
+    """The reference's own input file (see ``sources.tables.read_activity_csv``)."""
+    from ..sources.tables import MEASURES
+    rows = rows.withColumn("week", F.col("week").cast("date")).drop("activated_date", "ftt_time")
+    return Activity(rows, tuple(MEASURES), tuple(DAILY_ATTRS), 7, entity="driver_id", period="week",
+                    fills={"vehicle_model": VEHICLE_MODEL_FILL, "segment": SEGMENT_FILL})
 
 
 def source_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,80 +133,29 @@ def source_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return src.select("entity_id", "period", *DAILY_MEASURES, FLAG).na.fill(0, subset=DAILY_MEASURES)
 
 
-def zero_fills(extra: dict | None = None) -> dict:
-    fills = {m: 0.0 for m in DAILY_MEASURES}
-    fills[FLAG] = 0
-    fills.update(extra or {})
-    return fills
-
-
 def panel_1p(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Dense panel with attributes; observed NULL and gap segments -> 'Parttime'."""
-    return P.densify(source_1p(spark, sf_dir), zero_fills({"segment": SEGMENT_FILL}),
-                     periods=daily_periods(spark, sf_dir))
+    """Dense daily panel with attributes."""
+    return panel_of(daily(spark, sf_dir), SPECS["slice_1p"])
 
 
 def panel_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.densify(source_measures(spark, sf_dir), zero_fills(), periods=daily_periods(spark, sf_dir))
-
-
-def _finish(df: DataFrame, newest: str = "labelled") -> DataFrame:
-    return P.drop_helpers(P.split_oot_indexed(df, newest))
-
-
-def slice_1p(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pn = panel_1p(spark, sf_dir)
-    lab = P.offset_flag(pn, FLAG, LABEL, +1, how="inner")
-    return _finish(lab, "paired")
-
-
-def _sliced(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
-    pn = panel_measures(spark, sf_dir)
-    tm = P.trailing_mean(pn, DAILY_MEASURES, n)
-    lab = P.drop_newest(P.offset_flag(tm, FLAG, LABEL, +1, how="filled"))
-    return lab
-
-
-def slice_2p(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lab = _sliced(spark, sf_dir, 2).withColumn("segment", SEGMENT.expr("sum_sh"))
-    return _finish(P.warmup_entity(lab, k=0))
+    return panel_of(daily(spark, sf_dir), SPECS["slice_2p"])
 
 
-def slice_3p(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lab = _sliced(spark, sf_dir, 3)
-    lab = P.drop_oldest(P.offset_flag(lab, FLAG, PREV, -1, how="filled"))
-    lab = lab.withColumn("segment", SEGMENT.expr("sum_sh"))
-    return _finish(P.warmup_entity(lab, k=1))
+def panel_attrs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return panel_of(daily(spark, sf_dir), SPECS["slice_1p_attrs"])
 
 
-def slice_1p_attrs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    src = source_1p(spark, sf_dir)
-    pn = P.densify_by_tuple(src, zero_fills({"segment": SEGMENT_FILL}), DAILY_ATTRS,
-                            periods=daily_periods(spark, sf_dir))
-    lab = P.drop_newest(P.offset_flag(pn, FLAG, LABEL, +1, how="filled"))
-    return _finish(lab)
+def _slice(name: str, source=daily):
+    def build(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return slice_of(source(spark, sf_dir), SPECS[name])
+    build.__name__ = name
+    return build
 
 
-def slice_2p_global(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lab = _sliced(spark, sf_dir, 2).withColumn("segment", SEGMENT.expr("sum_sh"))
-    return _finish(P.warmup_global_indexed(lab, 1))
-
-
-def slice_3p_global(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lab = _sliced(spark, sf_dir, 3)
-    lab = P.drop_oldest(P.offset_flag(lab, FLAG, PREV, -1, how="filled"))
-    lab = lab.withColumn("segment", SEGMENT.expr("sum_sh"))
-    return _finish(P.warmup_global_indexed(lab, 2, already_dropped=1))
-
-
-SLICES = {
-    "slice_1p": slice_1p,
-    "slice_2p": slice_2p,
-    "slice_3p": slice_3p,
-    "slice_1p_attrs": slice_1p_attrs,
-    "slice_2p_global": slice_2p_global,
-    "slice_3p_global": slice_3p_global,
-}
+SLICES = {name: _slice(name) for name in SPECS}
+WEEKLY_SLICES = {f"weekly_{name}": _slice(name, weekly) for name in ("slice_1p", "slice_2p", "slice_3p")}
+slice_1p, slice_2p, slice_3p = SLICES["slice_1p"], SLICES["slice_2p"], SLICES["slice_3p"]
 
 
 def labelled_daily(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.rules import SEGMENT
-from .tables import read_table
+from .tables import MEASURES, read_table
 
 ENTITY = "entity_id"
 PERIOD = "period"
@@ -23,6 +23,9 @@ QUARTERLY_ATTRS = ["c_nationkey", "c_mktsegment"]
 QUARTERLY_MEASURES = ["n_orders", "total_price", "n_urgent", "n_high", "n_medium",
                       "n_not_specified", "n_low"]
 
+# The reference's 23 measures, in its order.
+WEEKLY_MEASURES = list(MEASURES)
+
 # Fixed values of the fixture: event types counted as activity.
 ACTIVE_EVENTS = ("click", "view", "purchase")
 
@@ -118,3 +121,38 @@ def activity_quarterly(spark: SparkSession, sf_dir: str) -> DataFrame:
           ("n_urgent", "n_high", "n_medium", "n_not_specified", "n_low")],
         F.col("not_churn").cast("int").alias("not_churn"),
     )
+
+
+def activity_weekly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per (customer, week with orders) with the reference's 23 measures (step = 7 days).
+
+    Weeks start on Monday. Most customers order in few weeks, so the panel is sparse; attributes change
+    with the customer only, and money columns of weeks without a matching order stay NULL.
+    """
+    o = read_table(spark, sf_dir, "orders").select(
+        "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")
+    price, status, pr = _money(F.col("o_totalprice")), F.col("o_orderstatus"), F.col("o_orderpriority")
+    n = F.count(F.lit(1))
+    urgent, high = pr == "1-URGENT", pr == "2-HIGH"
+    agg = o.groupBy(F.col("o_custkey").alias(ENTITY), F.trunc("o_orderdate", "week").alias(PERIOD)).agg(
+        n.alias("n"), F.count_if(status == "F").alias("n_f"), F.count_if(status == "O").alias("n_o"), F.count_if(status == "P").alias("n_p"),
+        F.count_if(urgent).alias("n_urgent"), F.count_if(high).alias("n_high"), F.count_if(pr == "5-LOW").alias("n_low"),
+        F.sum(price).alias("p"), F.max(price).alias("p_max"), F.min(price).alias("p_min"),
+        F.sum(F.when(status == "F", price)).alias("p_f"), F.sum(F.when(status == "O", price)).alias("p_o"),
+        F.sum(F.when(urgent, price)).alias("p_urgent"), F.sum(F.when(high, price)).alias("p_high"))
+    uid, c = ENTITY, F.col
+    measures = {
+        "sum_sh": c("n") * 15, "completed_trip": c("n") * 9 + c("n_f") * 30, "total_dispatched_request": c("n") + c("n_urgent"),
+        "Valid_dispatch": c("n"), "accepted": c("n_f") + c("n_o"), "cancelled": c("n_p"), "rider_cancel": c("n_low"), "driver_cancel": c("n_high"),
+        "total_fare": c("p"), "gmv_aftertax": c("p_f"), "Trips_without_surge": c("n") - c("n_urgent"), "Trips_with_surge": c("n_urgent"),
+        "GB_without_surge": c("p_o"), "Surge_Organic_GB": c("p_urgent"), "Surge_Contri_GB": c("p_high"), "total_ETA": c("n_o") * 2,
+        "total_ATA": c("n_f") * 3, "trip_time_hour": c("n") * 2 + c("n_low"), "en_route_hour": c("n_low"), "distance_travelled": c("n") * 70,
+        "driver_trip_amount": c("p_max"), "weekly_amount": c("p") - c("p_min"), "loyalty_amount": c("p_min"),
+    }
+    return agg.select(
+        ENTITY, PERIOD, (c(uid) % 5).cast("int").alias("ops_city_id"), (c(uid) % 2).cast("int").alias("device_type"),
+        F.concat(F.lit("brand_"), (c(uid) % 3).cast("string")).alias("vehicle_brand"),
+        F.when(c(uid) % 4 != 0, F.concat(F.lit("model_"), (c(uid) % 7).cast("string"))).alias("vehicle_model"),
+        *[measures[m].cast("double").alias(m) for m in WEEKLY_MEASURES],
+        F.when(c("n_o") > 0, 1).otherwise(0).cast("int").alias("not_churn"),
+        F.when(c("n") > 1, SEGMENT.expr(c("n") * 15)).alias("segment"))

@@ -1,38 +1,27 @@
 """Scans and sinks.
 
 The reference reads one CSV with inferred types and coerces three columns to
-timestamps; it writes a few dozen rows of weekly rates back to CSV. Here the
-schema is declared up front (no inference pass over 100 TB), timestamp
-coercion is a projection, and the sink writes a handful of rows.
+timestamps; it writes a few dozen rows of weekly rates back to CSV. Here cells
+are read as text under the header's names and typed by projections (no inference pass
+over 100 TB, no binding by position), and the sink writes a handful of rows.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-# Input schema of one activity row (entity x observed period), section 1.2 of
-# the survey: static attributes, measures and the activity flag.
-ACTIVITY_CSV_SCHEMA = T.StructType([
-    T.StructField("week", T.StringType()),
-    T.StructField("driver_id", T.LongType()),
-    T.StructField("activated_date", T.StringType()),
-    T.StructField("ftt_time", T.StringType()),
-    T.StructField("ops_city_id", T.IntegerType()),
-    T.StructField("device_type", T.IntegerType()),
-    T.StructField("vehicle_brand", T.StringType()),
-    T.StructField("vehicle_model", T.StringType()),
-    T.StructField("segment", T.StringType()),
-    *[T.StructField(c, T.DoubleType()) for c in (
-        "sum_sh", "completed_trip", "total_dispatched_request", "Valid_dispatch",
-        "accepted", "cancelled", "rider_cancel", "driver_cancel", "total_fare",
-        "gmv_aftertax", "Trips_without_surge", "Trips_with_surge",
-        "GB_without_surge", "Surge_Organic_GB", "Surge_Contri_GB", "total_ETA",
-        "total_ATA", "trip_time_hour", "en_route_hour", "distance_travelled",
-        "driver_trip_amount", "weekly_amount", "loyalty_amount")],
-    T.StructField("not_churn", T.IntegerType()),
-])
+
+# The input file's columns (text, whole numbers, measures).
+TEXT_COLUMNS = ("week", "activated_date", "ftt_time", "vehicle_brand", "vehicle_model", "segment")
+INTEGER_COLUMNS = {"driver_id": "long", "ops_city_id": "int", "device_type": "int", "not_churn": "int"}
+MEASURES = (
+    "sum_sh", "completed_trip", "total_dispatched_request", "Valid_dispatch",
+    "accepted", "cancelled", "rider_cancel", "driver_cancel", "total_fare",
+    "gmv_aftertax", "Trips_without_surge", "Trips_with_surge",
+    "GB_without_surge", "Surge_Organic_GB", "Surge_Contri_GB", "total_ETA",
+    "total_ATA", "trip_time_hour", "en_route_hour", "distance_travelled",
+    "driver_trip_amount", "weekly_amount", "loyalty_amount")
+ACTIVITY_COLUMNS = (*TEXT_COLUMNS, *INTEGER_COLUMNS, *MEASURES)
 
 TIMESTAMP_COLUMNS = ("week", "activated_date", "ftt_time")
 
@@ -48,12 +37,35 @@ def coerce_timestamps(df: DataFrame, columns=TIMESTAMP_COLUMNS) -> DataFrame:
     return df.withColumns({c: F.try_to_timestamp(F.col(c)) for c in present})
 
 
-def read_activity_csv(spark: SparkSession, path: str,
-                      schema: T.StructType = ACTIVITY_CSV_SCHEMA) -> DataFrame:
-    """S1 + S2: header CSV with a declared schema, timestamps coerced."""
-    df = (spark.read.option("header", True).option("mode", "PERMISSIVE")
-          .schema(schema).csv(path))
-    return coerce_timestamps(df)
+def _text_rows(spark: SparkSession, path: str) -> DataFrame:
+    """All cells as text, columns by the header's names; files whose header
+    names or orders the columns differently from the first one are rejected."""
+    raw = spark.read.option("header", True).option("enforceSchema", False).csv(path)
+    missing = [c for c in ACTIVITY_COLUMNS if c not in raw.columns]
+    if missing:
+        raise ValueError(f"columns missing from the header of {path}: {missing}")
+    return raw.select(*[F.col(f"`{c}`") for c in ACTIVITY_COLUMNS])
+
+
+def _typed(c: str):
+    """A cell as its column's type; whole numbers may be written as 1.0. NULL if it is none."""
+    number = F.col(c).try_cast("double")
+    if c in INTEGER_COLUMNS:
+        return F.when(number == F.floor(number), F.coalesce(F.col(c).try_cast("long"), number.try_cast("long"))).cast(INTEGER_COLUMNS[c])
+    return number if c in MEASURES else F.try_to_timestamp(F.col(c)) if c in TIMESTAMP_COLUMNS else F.col(c)
+
+
+def read_activity_csv(spark: SparkSession, path: str) -> DataFrame:
+    """S1 + S2: header CSV, columns resolved by name, numbers parsed, timestamps coerced."""
+    return _text_rows(spark, path).select(*[_typed(c).alias(c) for c in ACTIVITY_COLUMNS])
+
+
+def bad_cells(spark: SparkSession, path: str) -> DataFrame:
+    """(column, n_bad): cells of the file that hold text their column's type cannot take."""
+    raw = _text_rows(spark, path)
+    typed = [c for c in ACTIVITY_COLUMNS if c not in TEXT_COLUMNS or c in TIMESTAMP_COLUMNS]
+    counts = raw.agg(*[F.count_if(F.col(c).isNotNull() & (F.trim(F.col(c)) != "") & _typed(c).isNull()).alias(c) for c in typed])
+    return counts.unpivot([], typed, "column", "n_bad").where("n_bad > 0")
 
 
 def write_small_csv(df: DataFrame, path: str) -> None:

@@ -1,31 +1,69 @@
-"""CSV source with declared schema (S1/S2), small CSV sink (S3), streaming report."""
+"""CSV source resolved by header name (S1/S2), small CSV sink (S3), views (S4), CSV to CSV end to end."""
 
 import datetime as dt
 import glob
 import os
+import random
 import tempfile
 
+import pytest
 from pyspark.sql import functions as F
 
-from retentio.operators.evaluate import rates_by_period
-from retentio.sources.tables import ACTIVITY_CSV_SCHEMA, read_activity_csv, write_small_csv
-from retentio.streaming.rates_monitor import RESULT_SCHEMA, start_rates_monitor
+from retentio.plans import slices as S
+from retentio.plans import variants as VR
+from retentio.sources.tables import (ACTIVITY_COLUMNS, MEASURES, bad_cells, read_activity_csv, register_views,
+                                     write_small_csv)
 
 
-def test_activity_csv_declared_schema_and_timestamps(spark):
+def write_csv(rows: list[dict], columns=ACTIVITY_COLUMNS) -> str:
     d = tempfile.mkdtemp(prefix="retentio-csv-")
-    header = ",".join(f.name for f in ACTIVITY_CSV_SCHEMA.fields)
-    n_meas = len(ACTIVITY_CSV_SCHEMA.fields) - 10
-    row1 = "2023-11-06,342,2021-05-01,2021-05-03 10:00:00,7,1,Toyota,,Fulltime," + ",".join(["1.5"] * n_meas) + ",1"
-    row2 = "2023-11-13,342,not a date,,7,1,Toyota,Vios,," + ",".join([""] * n_meas) + ","
     with open(os.path.join(d, "driver.csv"), "w") as f:
-        f.write(header + "\n" + row1 + "\n" + row2 + "\n")
-    df = read_activity_csv(spark, d)
-    rows = df.orderBy("week").collect()
-    assert df.schema["week"].dataType.typeName() == "timestamp"
-    assert rows[0].week == dt.datetime(2023, 11, 6) and rows[0].ftt_time == dt.datetime(2021, 5, 3, 10)
-    assert rows[1].activated_date is None           # unparsable -> NULL, not a failed job
-    assert rows[0].vehicle_model is None and rows[0].sum_sh == 1.5 and rows[1].sum_sh is None
+        f.write(",".join(columns) + "\n")
+        f.writelines(",".join(str(r.get(c, "")) for c in columns) + "\n" for r in rows)
+    return d
+
+
+def test_columns_are_found_by_name_whatever_their_order(spark):
+    row = {"week": "2023-11-06", "driver_id": "342", "activated_date": "2021-05-01", "ftt_time": "2021-05-03 10:00:00",
+           "ops_city_id": "7.0", "device_type": "1.0", "not_churn": "1.0", "vehicle_brand": "Toyota", "sum_sh": "22", "completed_trip": "11"}
+    odd = {"week": "2023-11-13", "driver_id": "342.0", "activated_date": "not a date", "not_churn": "x", "sum_sh": "12 h", "ops_city_id": "1.5"}
+    columns = list(ACTIVITY_COLUMNS)
+    random.Random(1).shuffle(columns)
+    path = write_csv([row, odd], [*columns, "unused"])
+    a, b = read_activity_csv(spark, path).orderBy("week").collect()
+    assert a.week == dt.datetime(2023, 11, 6) and a.ftt_time == dt.datetime(2021, 5, 3, 10)
+    assert (a.driver_id, a.ops_city_id, a.device_type, a.not_churn, a.sum_sh, a.completed_trip) == (342, 7, 1, 1, 22.0, 11.0)
+    assert a.vehicle_model is None and b.driver_id == 342 and b.not_churn is None and b.ops_city_id is None
+    assert {r.column: r.n_bad for r in bad_cells(spark, path).collect()} == {"activated_date": 1, "not_churn": 1, "sum_sh": 1, "ops_city_id": 1}
+
+
+def test_missing_column_is_an_error(spark):
+    with pytest.raises(ValueError, match="total_ETA"):
+        read_activity_csv(spark, write_csv([{}], [c for c in ACTIVITY_COLUMNS if c != "total_ETA"]))
+
+
+def test_csv_to_csv(spark):
+    """The reference's file in, its weekly rates out, through slice, fit and scores at a step of seven days."""
+    rnd = random.Random(3)
+    rows = []
+    for driver in range(60):
+        for week in range(8):
+            if rnd.random() < 0.8:
+                active = int(rnd.random() < 0.4 + 0.5 * (driver % 3 == 0))
+                rows.append({"week": dt.date(2023, 11, 6) + dt.timedelta(7 * week), "driver_id": driver, "ops_city_id": f"{driver % 4}.0",
+                             "device_type": 1, "vehicle_brand": "b", "segment": ["Full-time", "Part-time"][driver % 2], "not_churn": f"{active}.0",
+                             **{m: rnd.choice(["", rnd.randint(0, 60)]) for m in MEASURES}})
+    a = S.csv_activity(read_activity_csv(spark, write_csv(rows)))
+    base = S.slice_of(a, S.SPECS["slice_1p"])
+    assert base.where("completed_trip IS NULL OR segment IS NULL").count() == 0
+    out = tempfile.mkdtemp(prefix="retentio-rates-")
+    paths = VR.export_rates(a, out, "1p")
+    for path in paths.values():
+        got = spark.read.option("header", True).csv(path)
+        assert got.columns == ["week", "churn_actual", "churn_predict"]
+        active = base.where("not_churn = 1").groupBy("week").agg((100 * F.avg(1 - F.col("not_churn_1w"))).alias("churn"))
+        want = {str(r.week): r.churn for r in active.collect()}
+        assert {r.week: round(float(r.churn_actual or 0), 6) for r in got.collect()} == {k: round(v, 6) for k, v in want.items()}
 
 
 def test_small_csv_sink_roundtrip(spark):
@@ -37,19 +75,6 @@ def test_small_csv_sink_roundtrip(spark):
     assert open(files[0]).read().splitlines()[0] == "period,churn_actual,churn_predict"
 
 
-def test_streaming_rates_match_batch(spark):
-    base = tempfile.mkdtemp(prefix="retentio-stream-")
-    src, rep, ck = f"{base}/in", f"{base}/report", f"{base}/ckpt"
-    d = dt.date
-    b1 = [(1, d(2024, 1, 1), 1, 1), (2, d(2024, 1, 1), 0, 1), (3, d(2024, 1, 2), 1, 0)]
-    b2 = [(4, d(2024, 1, 2), 0, 0), (5, d(2024, 1, 2), 1, 1), (6, d(2024, 1, 3), 0, 1)]
-    spark.createDataFrame(b1, RESULT_SCHEMA).write.parquet(f"{src}/part=1")
-    q = start_rates_monitor(spark, src, rep, ck, available_now=True)
-    q.awaitTermination(120)
-    spark.createDataFrame(b2, RESULT_SCHEMA).write.parquet(f"{src}/part=2")
-    q = start_rates_monitor(spark, src, rep, ck, available_now=True)
-    q.awaitTermination(120)
-    got = spark.read.option("header", True).schema("period date, churn_actual double, churn_predict double").csv(rep)
-    exp = rates_by_period(spark.createDataFrame(b1 + b2, RESULT_SCHEMA))
-    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, exp.collect()))
-    assert got.where(F.col("period") == d(2024, 1, 3)).count() == 0   # no label-1 row that day
+def test_views_by_name(spark, sf_small):
+    register_views(spark, sf_small, ["nation", "region"])
+    assert spark.sql("SELECT COUNT(*) AS n FROM nation JOIN region ON n_regionkey = r_regionkey").first().n > 0
