@@ -25,14 +25,18 @@ from .scalars import attach
 SCORE, LABEL = "score", "not_churn_1w"
 
 
+def _count(cond: Column, weight: str | None) -> Column:
+    """Rows that meet ``cond``, or their summed weight (rows that stand for many)."""
+    return F.count_if(cond) if weight is None else F.coalesce(F.sum(F.when(cond, F.col(weight))), F.lit(0)).cast("bigint")
+
+
 def score_histogram(df: DataFrame, keys: Sequence[str] = (), score: str = SCORE,
-                    label: str = LABEL) -> DataFrame:
+                    label: str = LABEL, weight: str | None = None) -> DataFrame:
     """(keys..., score, n_pos, n_neg). Persisted: every metric reads it from
     several branches, and without it each branch would re-run the whole
     upstream plan (the branches prune it differently, so exchanges are not reused)."""
     y = F.col(label)
-    return keep_fanout(df.groupBy(*keys, score).agg(F.count_if(y == 1).alias("n_pos"),
-                                             F.count_if(y == 0).alias("n_neg")))
+    return keep_fanout(df.groupBy(*keys, score).agg(_count(y == 1, weight).alias("n_pos"), _count(y == 0, weight).alias("n_neg")))
 
 
 def _totals(hist: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -85,6 +89,11 @@ def _report_cols(tp: Column, fp: Column, fn: Column, tn: Column) -> dict[str, Co
     }
 
 
+# Columns of one threshold's report in the sweep.
+SWEEP_COLUMNS = ["accuracy", *(f"{m}_{c}" for c in (0, 1) for m in ("precision", "recall", "f1", "support")),
+                 *(f"{a}_{m}" for a in ("macro", "weighted") for m in ("precision", "recall", "f1"))]
+
+
 def classification_report(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
     """D3: long form (keys..., row, precision, recall, f1_score, support)."""
     c = {k: F.col(k) for k in ("tp", "fp", "fn", "tn")}
@@ -109,17 +118,18 @@ def threshold_sweep(hist: DataFrame, keys: Sequence[str], thresholds: Sequence[f
     j = hist.withColumn("threshold", F.explode(F.array(*[F.lit(float(t)) for t in th])))
     counts = threshold_counts(j, [*keys, "threshold"], F.col("threshold"))
     cols = _report_cols(F.col("tp"), F.col("fp"), F.col("fn"), F.col("tn"))
-    return counts.select(*keys, "threshold", "tp", "fp", "fn", "tn",
-                         *[cols[k].alias(k) for k in ("accuracy", "precision_0", "recall_0", "f1_0",
-                                                       "precision_1", "recall_1", "f1_1")])
+    return counts.select(*keys, "threshold", "tp", "fp", "fn", "tn", *[cols[k].alias(k) for k in SWEEP_COLUMNS])
 
 
 def roc_points(hist: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """(keys..., threshold, fpr, tpr), one point per distinct score, highest first."""
+    """(keys..., threshold, fpr, tpr): the origin at threshold +inf, then one point per distinct score, highest first."""
+    totals = _totals(hist, keys)
     cum = running_sums(hist, keys, SCORE, ["n_pos", "n_neg"], descending=True)
-    cum = _attach(cum, _totals(hist, keys), keys)
-    return cum.select(*keys, F.col(SCORE).alias("threshold"),
-                      ratio("cum_n_neg", "N").alias("fpr"), ratio("cum_n_pos", "P").alias("tpr"))
+    cum = _attach(cum, totals, keys)
+    points = cum.select(*keys, F.col(SCORE).alias("threshold"),
+                        ratio("cum_n_neg", "N").alias("fpr"), ratio("cum_n_pos", "P").alias("tpr"))
+    zero = F.lit(0.0)
+    return points.unionByName(totals.select(*keys, F.lit(float("inf")).alias("threshold"), zero.alias("fpr"), zero.alias("tpr")))
 
 
 def auroc(hist: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -168,20 +178,27 @@ def ks(hist: DataFrame, keys: Sequence[str]) -> DataFrame:
     return g.groupBy(*keys).agg(*agg) if keys else g.agg(*agg)
 
 
-def psi_label(df: DataFrame, is_test: str = "is_test", label: str = LABEL) -> DataFrame:
+def psi_label(df: DataFrame, is_test: str = "is_test", label: str = LABEL, weight: str | None = None) -> DataFrame:
     """PSI pair of the churn share, development vs out-of-time."""
     y0 = F.col(label) == 0
-    s = df.agg(F.count_if(y0 & ~F.col(is_test)).alias("_d0"), F.count_if(~F.col(is_test)).alias("_dn"),
-               F.count_if(y0 & F.col(is_test)).alias("_t0"), F.count_if(F.col(is_test)).alias("_tn"))
+    test = F.col(is_test)
+    s = df.agg(_count(y0 & ~test, weight).alias("_d0"), _count(~test, weight).alias("_dn"),
+               _count(y0 & test, weight).alias("_t0"), _count(test, weight).alias("_tn"))
     d, t = ratio("_d0", "_dn"), ratio("_t0", "_tn")
+    one = F.lit(1.0)
     return s.select(
-        F.round((t - d) * F.log(t / d), LOG_DIGITS).alias("psi_churn"),
-        F.round((d - t) * F.log((F.lit(1.0) - t) / (F.lit(1.0) - d)), LOG_DIGITS).alias("psi_not_churn"),
+        psi_term(t, d, t - d).alias("psi_churn"), psi_term(one - t, one - d, d - t).alias("psi_not_churn"),
         d.alias("dev_churn_share"), t.alias("oot_churn_share"))
 
 
+def psi_term(a: Column, b: Column, diff: Column) -> Column:
+    """diff * ln(a / b) with IEEE limits: +inf if one share is 0, NaN if both are."""
+    return (F.when((a == 0) & (b == 0), F.lit(float("nan"))).when((a == 0) | (b == 0), F.lit(float("inf")))
+            .otherwise(F.round(diff * F.log(a / F.when(b != 0, b)), LOG_DIGITS)))
+
+
 def rates_by_period(result: DataFrame, period: str = "period", label: str = LABEL,
-                    pred: str = "predict") -> DataFrame:
+                    pred: str = "predict", weight: str | None = None) -> DataFrame:
     """Weekly actual vs predicted churn %, one conditional aggregation.
 
     Restates the reference's four-CTE left joins: only periods with at least
@@ -189,8 +206,8 @@ def rates_by_period(result: DataFrame, period: str = "period", label: str = LABE
     churn_predict is NULL unless the period has both predict-1 and predict-0.
     """
     y, p = F.col(label), F.col(pred)
-    g = result.groupBy(period).agg(F.count_if(y == 1).alias("_y1"), F.count_if(y == 0).alias("_y0"),
-                                   F.count_if(p == 1).alias("_p1"), F.count_if(p == 0).alias("_p0"))
+    g = result.groupBy(period).agg(_count(y == 1, weight).alias("_y1"), _count(y == 0, weight).alias("_y0"),
+                                   _count(p == 1, weight).alias("_p1"), _count(p == 0, weight).alias("_p0"))
     pct = F.lit(100.0)
     return g.where(F.col("_y1") > 0).select(
         period,

@@ -27,7 +27,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import keep, sized_for_iterations
+from ..session import ensure_checkpoint_dir, keep
 from .encode import design_array
 
 LABEL = "not_churn_1w"
@@ -67,15 +67,16 @@ def _f(v):
     return None if v is None or (isinstance(v, float) and math.isnan(v)) else float(v)
 
 
-def patterns(df: DataFrame, vocab_list, label: str = LABEL) -> DataFrame:
-    """(x array, label, w): distinct dummy patterns with their row counts."""
-    enc = df.select(design_array(vocab_list).alias("x"), F.col(label).cast("double").alias("label"))
-    return enc.groupBy("x", "label").agg(F.count(F.lit(1)).cast("double").alias("w"))
+def patterns(df: DataFrame, vocab_list, label: str = LABEL, weight: str | None = None) -> DataFrame:
+    """(x array, label, w): distinct dummy patterns with their row counts (or summed weights)."""
+    n = F.lit(1) if weight is None else F.col(weight)
+    enc = df.select(design_array(vocab_list).alias("x"), F.col(label).cast("double").alias("label"), n.alias("_n"))
+    return enc.groupBy("x", "label").agg(F.sum("_n").cast("double").alias("w"))
 
 
 def fit_logit(train: DataFrame, vocab_list, label: str = LABEL, C: float = 1.0,
-              max_iter: int = 1000) -> LogitFit:
-    pat = keep(patterns(train, vocab_list, label).withColumn("_features", array_to_vector("x")))
+              max_iter: int = 1000, weight: str | None = None) -> LogitFit:
+    pat = keep(patterns(train, vocab_list, label, weight).withColumn("_features", array_to_vector("x")))
     n = pat.agg(F.sum("w")).first()[0] or 0.0
     if n == 0:
         raise ValueError("empty training frame")
@@ -94,21 +95,39 @@ def wald_no_intercept(model, pat: DataFrame, coef, names):
     d = len(coef)
     sc = model.transform(pat).withColumn("_p", vector_to_array("probability")[1])
     wv = F.col("w") * F.col("_p") * (F.lit(1.0) - F.col("_p"))
-    outer = F.flatten(F.transform("x", lambda xi: F.transform("x", lambda xj: xi * xj)))
-    s = sc.select(array_to_vector(outer).alias("_o"), wv.alias("_wv"))
-    total = s.select(Summarizer.sum(F.col("_o"), F.col("_wv")).alias("s")).first()["s"]
-    fmat = np.array(total.toArray()).reshape(d, d)
-    try:
-        inv = np.linalg.inv(fmat)
-    except np.linalg.LinAlgError as e:
-        zero = [names[i] for i in range(d) if fmat[i, i] == 0]
-        raise ValueError(f"singular information matrix; check collinear or empty dummies {zero}") from e
+    fmat = information_matrix(sc.withColumn("_wv", wv), d)
+    dependent = dependent_columns(fmat, names)
+    if dependent:
+        raise ValueError(f"singular information matrix; collinear or empty dummies: {dependent}")
+    inv = np.linalg.inv(fmat)
     sigma = np.sqrt(np.diagonal(inv))
     z = coef / sigma
     p = np.array([math.erfc(abs(v) / math.sqrt(2.0)) for v in z])
     return sigma, z, p
 
 
+def information_matrix(rows: DataFrame, d: int, x: str = "x", weight: str = "_wv") -> np.ndarray:
+    """Distributed sum of weight * x x^T over the rows; only the d x d total reaches the driver."""
+    outer = F.flatten(F.transform(x, lambda xi: F.transform(x, lambda xj: xi * xj)))
+    s = rows.select(array_to_vector(outer).alias("_o"), F.col(weight).alias("_w"))
+    total = s.select(Summarizer.sum(F.col("_o"), F.col("_w")).alias("s")).first()["s"]
+    return np.array(total.toArray()).reshape(d, d)
+
+
+def dependent_columns(fmat: np.ndarray, names: Sequence[str], tol: float = 1e-10) -> list[str]:
+    """Names of the columns that a linear dependency involves: empty ones, and those with a
+    share in a null direction of the matrix scaled to unit diagonal."""
+    diag = np.diagonal(fmat)
+    empty = [n for n, v in zip(names, diag) if v <= 0]
+    keep_ = np.flatnonzero(diag > 0)
+    if not len(keep_):
+        return empty
+    scale = 1 / np.sqrt(diag[keep_])
+    values, vectors = np.linalg.eigh(fmat[np.ix_(keep_, keep_)] * scale[:, None] * scale[None, :])
+    share = np.abs(vectors[:, values < tol]).max(axis=1, initial=0.0)
+    return empty + [names[i] for i, s in zip(keep_, share) if s > 1e-6]
+
+
 # ------------------------------------------------------------------ forest ---
 def fit_forest(train: DataFrame, vocab_list, label: str = LABEL, num_trees: int = 100, seed: int = 42,
                max_depth: int = 30):
@@ -120,6 +139,7 @@ def fit_forest(train: DataFrame, vocab_list, label: str = LABEL, num_trees: int
     """
     # not coalesced: a forest level does heavy work per row (all trees' node statistics), so
     # it keeps the input's parallelism; the estimator caches its own bagged input
+    ensure_checkpoint_dir(train.sparkSession)
     x = train.select(array_to_vector(design_array(vocab_list)).alias("_features"),
                      F.col(label).cast("double").alias("label"))
     rf = RandomForestClassifier(featuresCol="_features", labelCol="label", numTrees=num_trees,
@@ -156,16 +176,19 @@ def sse_one_cluster(df: DataFrame, columns: Sequence[str]) -> float:
     return float(sum((r[c] or 0.0) for c in columns))
 
 
-def kmeans_tol(df: DataFrame, columns: Sequence[str], k: int, rel_tol: float = 1e-4) -> float:
+def mean_variance(df: DataFrame, columns: Sequence[str]) -> float:
+    r = df.agg(*[F.var_pop(F.col(c).cast("double")).alias(c) for c in columns]).first()
+    return sum((r[c] or 0.0) for c in columns) / max(1, len(columns))
+
+
+def kmeans_tol(mean_var: float, k: int, rel_tol: float = 1e-4) -> float:
     """Spark tolerance matching the reference's stopping rule.
 
     The reference stops when the summed squared centre shift is at most
     ``rel_tol * mean(feature variances)``; Spark stops when every centre moves
     less than ``tol``. ``tol = sqrt(rel_tol * mean_var / k)`` makes Spark's
-    rule imply the reference's (one small aggregate over the features).
+    rule imply the reference's.
     """
-    r = df.agg(*[F.var_pop(F.col(c).cast("double")).alias(c) for c in columns]).first()
-    mean_var = sum((r[c] or 0.0) for c in columns) / max(1, len(columns))
     return max(math.sqrt(rel_tol * mean_var / k), 1e-12)
 
 
@@ -176,15 +199,12 @@ def kmeans_elbow(df: DataFrame, columns: Sequence[str], ks=range(1, 11), restart
     The restarts are independent MLlib jobs over one persisted frame and are
     submitted concurrently from a small thread pool.
     """
-    x = sized_for_iterations(assemble(df, columns).select("_kfeatures"))
-
-    r = df.agg(*[F.var_pop(F.col(c).cast("double")).alias(c) for c in columns]).first()
-    mean_var = sum((r[c] or 0.0) for c in columns) / max(1, len(columns))
+    x = keep(assemble(df, columns).select("_kfeatures"))
+    mean_var = mean_variance(df, columns)
 
     def cost(args):
         k, s = args
-        tol = max(math.sqrt(1e-4 * mean_var / k), 1e-12)
-        m = KMeans(featuresCol="_kfeatures", k=k, maxIter=max_iter, seed=s, tol=tol,
+        m = KMeans(featuresCol="_kfeatures", k=k, maxIter=max_iter, seed=s, tol=kmeans_tol(mean_var, k),
                    initMode="k-means||").fit(x)
         return k, m.summary.trainingCost
 
@@ -199,14 +219,31 @@ def kmeans_elbow(df: DataFrame, columns: Sequence[str], ks=range(1, 11), restart
     return sorted(out.items())
 
 
+def fit_kmeans(df: DataFrame, columns: Sequence[str], k: int = 3, restarts: int = 10, seed: int = 0,
+               max_iter: int = 300, parallel: int = 8) -> np.ndarray:
+    """Centres of the best of ``restarts`` starts, ordered by norm: neither the seeds nor the
+    partitioning of the input decide which solution is returned or how it is numbered."""
+    x = keep(assemble(df, columns).select("_kfeatures"))
+    tol = kmeans_tol(mean_variance(df, columns), k)
+
+    def start(s):
+        m = KMeans(featuresCol="_kfeatures", k=k, maxIter=max_iter, seed=s, tol=tol).fit(x)
+        return m.summary.trainingCost, s, m.clusterCenters()
+
+    with ThreadPoolExecutor(max_workers=parallel) as pool:
+        best = min(pool.map(start, range(seed, seed + restarts)), key=lambda r: r[:2])
+    x.unpersist()
+    return np.array(sorted(best[2], key=lambda c: (float(np.linalg.norm(c)), tuple(c))))
+
+
+def nearest_centre(columns: Sequence[str], centres: np.ndarray):
+    """Number of the nearest centre (ties: the smaller number), as a row-local expression."""
+    far = [F.struct(sum((F.pow(F.col(c).cast("double") - F.lit(float(v)), F.lit(2)) for c, v in zip(columns, centre)), F.lit(0.0)).alias("d"),
+                    F.lit(i).alias("i")) for i, centre in enumerate(centres)]
+    return F.least(*far)["i"] if len(far) > 1 else F.lit(0)
+
+
 def kmeans_assign(df: DataFrame, columns: Sequence[str], k: int = 3, seed: int = 0, max_iter: int = 300,
-                  out: str = "cluster") -> DataFrame:
-    """M9: k-means labels, renumbered by centre norm so labels do not depend on the seed order."""
-    x = assemble(df, columns)
-    model = KMeans(featuresCol="_kfeatures", predictionCol="_c", k=k, maxIter=max_iter, seed=seed,
-                   tol=kmeans_tol(df, columns, k)).fit(sized_for_iterations(x.select("_kfeatures")))
-    centres = model.clusterCenters()
-    order = sorted(range(len(centres)), key=lambda i: (float(np.linalg.norm(centres[i])), i))
-    relabel = {old: new for new, old in enumerate(order)}
-    m = F.create_map(*[v for kv in relabel.items() for v in (F.lit(kv[0]), F.lit(kv[1]))])
-    return model.transform(x).withColumn(out, m[F.col("_c")]).drop("_c", "_kfeatures")
+                  out: str = "cluster", restarts: int = 10) -> DataFrame:
+    """M9: k-means labels, numbered by centre norm."""
+    return df.withColumn(out, nearest_centre(columns, fit_kmeans(df, columns, k, restarts, seed, max_iter)))

@@ -8,10 +8,59 @@ against the literal semantics. Tables are the driver's pre-registered views.
 
 from __future__ import annotations
 
-from ..functions.exprs import LOG_DIGITS, linspace_thresholds
-from ..functions.rules import (COMPLETED_TRIP, DISTANCE_TRAVELLED, SEGMENT, SEGMENT_FILL,
-                               TOTAL_ETA, TOTAL_FARE, VEHICLE_MODEL_FILL)
-from ..sources.fixtures import DAILY_MEASURES, QUARTERLY_MEASURES
+# Everything below is written out here and imports nothing from the engine, so that a wrong bound,
+# threshold or column list cannot pass on both sides.
+LOG_DIGITS = 9
+VEHICLE_MODEL_FILL, SEGMENT_FILL = "None", "Parttime"
+DAILY_MEASURES = ["sum_sh", "completed_trip", "total_dispatched_request", "accepted",
+                  "cancelled", "total_fare", "total_ETA", "distance_travelled"]
+QUARTERLY_MEASURES = ["n_orders", "total_price", "n_urgent", "n_high", "n_medium", "n_not_specified", "n_low"]
+THRESHOLDS = [0.0, 0.1, 0.2, 0.30000000000000004, 0.4, 0.5, 0.6000000000000001, 0.7000000000000001, 0.8, 0.9, 1.0]
+
+
+class Steps:
+    """A step function as SQL: ``(comparison with the bound, label)`` in order, and the label above all bounds."""
+
+    def __init__(self, source: str, steps: list[tuple[str, str]], otherwise: str) -> None:
+        self.source, self.steps, self.otherwise = source, steps, otherwise
+
+    def sql(self, col: str | None = None) -> str:
+        c = col or self.source
+        return "CASE " + " ".join(f"WHEN {c} {test} THEN '{label}'" for test, label in self.steps) + f" ELSE '{self.otherwise}' END"
+
+
+# Bin bounds and labels.
+COMPLETED_TRIP = Steps("completed_trip", [
+    ("<= 7.0", "0 - 7"),
+    ("<= 14.0", "7 - 14"),
+    ("<= 28.0", "14 - 28"),
+    ("<= 50.0", "28 - 50"),
+    ("<= 100.0", "50 - 100"),
+], ">100")
+TOTAL_FARE = Steps("total_fare", [
+    ("<= 100000.0", "< 100k"),
+    ("<= 1000000.0", "100k - 1 mil"),
+    ("<= 5000000.0", "1 - 5 mil"),
+], "> 5 mil")
+TOTAL_ETA = Steps("total_ETA", [
+    ("<= 1.0", "< 1 min"),
+    ("<= 60.0", "1 - 60 mins"),
+    ("<= 480.0", "60 - 480 mins"),
+], "> 480")
+DISTANCE_TRAVELLED = Steps("distance_travelled", [
+    ("< 1.0", "< 1 km"),
+    ("<= 10.0", "1 - 10km"),
+    ("<= 50.0", "10 - 50km"),
+    ("<= 100.0", "50 - 100km"),
+    ("<= 1000.0", "100 - 1000km"),
+], "> 1000km")
+SEGMENT = Steps("sum_sh", [
+    ("< 10.0", "Part-time"),
+    ("< 20.0", "Low-medium"),
+    ("< 40.0", "Medium"),
+    ("< 60.0", "Full-time"),
+], "High Full-time")
+
 
 M = DAILY_MEASURES
 ATTRS = "ops_city_id, device_type, vehicle_brand, vehicle_model"
@@ -168,6 +217,63 @@ def slice_sql(name: str) -> str:
     raise KeyError(name)
 
 
+# ---------------------------------------------------------------------------
+# Weekly panel with all 23 measures (step = 7 days)
+# ---------------------------------------------------------------------------
+WEEKLY = {
+    "sum_sh": "n * 15", "completed_trip": "n * 9 + n_f * 30", "total_dispatched_request": "n + n_urgent",
+    "Valid_dispatch": "n", "accepted": "n_f + n_o", "cancelled": "n_p", "rider_cancel": "n_low", "driver_cancel": "n_high",
+    "total_fare": "p", "gmv_aftertax": "p_f", "Trips_without_surge": "n - n_urgent", "Trips_with_surge": "n_urgent",
+    "GB_without_surge": "p_o", "Surge_Organic_GB": "p_urgent", "Surge_Contri_GB": "p_high", "total_ETA": "n_o * 2",
+    "total_ATA": "n_f * 3", "trip_time_hour": "n * 2 + n_low", "en_route_hour": "n_low", "distance_travelled": "n * 70",
+    "driver_trip_amount": "p_max", "weekly_amount": "p - p_min", "loyalty_amount": "p_min",
+}
+WEEKLY_RAW = """
+SELECT entity_id, period, CAST(entity_id % 5 AS INTEGER) AS ops_city_id, CAST(entity_id % 2 AS INTEGER) AS device_type,
+  'brand_' || CAST(entity_id % 3 AS VARCHAR) AS vehicle_brand,
+  CASE WHEN entity_id % 4 <> 0 THEN 'model_' || CAST(entity_id % 7 AS VARCHAR) END AS vehicle_model,
+  """ + ", ".join(f"CAST({v} AS DOUBLE) AS {k}" for k, v in WEEKLY.items()) + f""",
+  CAST(CASE WHEN n_o > 0 THEN 1 ELSE 0 END AS INTEGER) AS not_churn,
+  CASE WHEN n > 1 THEN {SEGMENT.sql("(n * 15)")} END AS segment
+FROM (
+  SELECT o_custkey AS entity_id, CAST(date_trunc('week', o_orderdate) AS DATE) AS period, COUNT(*) AS n,
+    COUNT(*) FILTER (WHERE o_orderstatus = 'F') AS n_f, COUNT(*) FILTER (WHERE o_orderstatus = 'O') AS n_o,
+    COUNT(*) FILTER (WHERE o_orderstatus = 'P') AS n_p, COUNT(*) FILTER (WHERE o_orderpriority = '1-URGENT') AS n_urgent,
+    COUNT(*) FILTER (WHERE o_orderpriority = '2-HIGH') AS n_high, COUNT(*) FILTER (WHERE o_orderpriority = '5-LOW') AS n_low,
+    SUM(price) AS p, MAX(price) AS p_max, MIN(price) AS p_min,
+    SUM(price) FILTER (WHERE o_orderstatus = 'F') AS p_f, SUM(price) FILTER (WHERE o_orderstatus = 'O') AS p_o,
+    SUM(price) FILTER (WHERE o_orderpriority = '1-URGENT') AS p_urgent, SUM(price) FILTER (WHERE o_orderpriority = '2-HIGH') AS p_high
+  FROM (SELECT *, CAST(o_totalprice AS DECIMAL(18,2)) AS price FROM orders) o GROUP BY 1, 2) w"""
+
+
+def weekly_slice_sql(name: str) -> str:
+    """The sliced variants at a step of seven days, by grid, left joins and self joins."""
+    ms = list(WEEKLY)
+    m_cols, flag = ", ".join(ms), "CAST(COALESCE({0}.not_churn, 0) AS INTEGER)"
+    if name == "slice_1p":
+        src = f"SELECT * REPLACE (COALESCE(vehicle_model, '{VEHICLE_MODEL_FILL}') AS vehicle_model) FROM ({WEEKLY_RAW}) d"
+        return W(*panel_ctes(src, ATTRS, ms, {"segment": SEGMENT_FILL}),
+                 ("lab", "SELECT n.*, f.not_churn AS not_churn_1w FROM panel n JOIN panel f ON n.entity_id = f.entity_id AND f.period = n.period + 7"),
+                 ("cut", f"SELECT entity_id, period, {ATTRS}, {m_cols}, not_churn, segment, not_churn_1w FROM lab"), body=split("cut"))
+    n = 2 if name == "slice_2p" else 3
+    src = "SELECT entity_id, period, " + ", ".join(f"COALESCE({m}, 0) AS {m}" for m in ms) + f", not_churn FROM ({WEEKLY_RAW}) r"
+    avgs = ", ".join(f"ROUND(AVG(p.{m}), 9) AS {m}" for m in ms)
+    ctes = panel_ctes(src, "", ms) + [
+        ("back", f"SELECT entity_id, period + CAST(7 * j AS INTEGER) AS at, {m_cols} FROM panel CROSS JOIN (SELECT unnest(range({n})) AS j) js"),
+        ("tm", f"SELECT c.entity_id, c.period, {avgs}, c.not_churn, c.first_period FROM panel c JOIN back p "
+               f"ON p.entity_id = c.entity_id AND p.at = c.period GROUP BY c.entity_id, c.period, c.not_churn, c.first_period"),
+        ("lab", f"SELECT n.*, {flag.format('f')} AS not_churn_1w FROM tm n LEFT JOIN panel f ON f.entity_id = n.entity_id "
+                f"AND f.period = n.period + 7 WHERE n.period < (SELECT MAX(period) FROM panel)")]
+    cols = f"entity_id, period, {m_cols}, not_churn, not_churn_1w, {SEG} AS segment"
+    if n == 2:
+        cut = f"SELECT {cols} FROM lab WHERE period > first_period"
+    else:
+        ctes.append(("pre", f"SELECT n.*, {flag.format('f')} AS not_churn_pre_1w FROM lab n LEFT JOIN panel f ON f.entity_id = n.entity_id "
+                            f"AND f.period = n.period - 7 WHERE n.period > (SELECT MIN(period) FROM panel)"))
+        cut = f"SELECT {cols}, not_churn_pre_1w FROM pre WHERE period > first_period + 7"
+    return W(*ctes, ("cut", cut), body=split("cut"))
+
+
 # labelled daily panel (filled label, newest dropped) and the deterministic score
 LABELLED = P1 + [("lab", next_label("panel"))]
 SCORED = LABELLED + [("scored", """
@@ -211,6 +317,18 @@ def panel_queries() -> dict[str, str]:
                        body="SELECT entity_id, period, not_churn_1w, is_test FROM s")
     for name in ("slice_1p", "slice_2p", "slice_3p", "slice_1p_attrs", "slice_2p_global", "slice_3p_global"):
         q[name] = slice_sql(name)
+    for name in ("slice_1p", "slice_2p", "slice_3p"):
+        q[f"weekly_{name}"] = weekly_slice_sql(name)
+    changing = ("SELECT entity_id, period, 'brand_' || CAST(day(period) // 11 AS VARCHAR) AS vehicle_brand, "
+                "CASE WHEN completed_trip > 0 THEN vehicle_model END AS vehicle_model, sum_sh, completed_trip, not_churn "
+                f"FROM ({DAILY}) d WHERE day(period) <> 11")
+    ch = ("vehicle_brand, vehicle_model", ["sum_sh", "completed_trip"])
+    cols = "entity_id, period, vehicle_brand, vehicle_model, sum_sh, completed_trip, not_churn"
+    q["panel_fanout"] = W(*panel_ctes(changing, *ch), body=f"SELECT {cols} FROM panel")
+    q["panel_densify_attrs_changing"] = W(*panel_ctes(changing, *ch, on_attrs=True), body=f"SELECT {cols} FROM panel")
+    gap = panel_ctes(changing, "", ch[1])
+    for how in ("inner", "filled"):
+        q[f"label_gap_{how}"] = W(*gap, ("lab", next_label("panel", how)), body="SELECT entity_id, period, not_churn, not_churn_1w FROM lab")
     q["churn_rate_ttc"] = W(*P1, ("lab", next_label("panel", "inner")), body=(
         "SELECT 1 - AVG(CAST(not_churn_1w AS DOUBLE)) AS churn_rate, COUNT(*) AS n_active FROM lab WHERE not_churn = 1"))
     nulls = " + ".join(f"COUNT(*) FILTER (WHERE {c} IS NULL)" for c in
@@ -283,8 +401,8 @@ def edges_sql(mn: str = "mn", mx: str = "mx", k: str = "k") -> str:
 
 def binned_ctes(src: str, cols: list[str], ks: list[int]) -> list[tuple[str, str]]:
     """Long (var, x, y) -> per-(var, k) edges -> counts per bin (oracle of V4/V5/V7)."""
-    unions = " UNION ALL ".join(f"SELECT '{c}' AS var, CAST({c} AS DOUBLE) AS x, not_churn_1w AS y FROM {src}"
-                                for c in cols)
+    unions = " UNION ALL ".join(f"SELECT '{c}' AS var, CAST({c} AS DOUBLE) AS x, not_churn_1w AS y FROM {src} "
+                                f"WHERE {c} IS NOT NULL" for c in cols)
     return [
         ("lng", unions),
         ("rng", "SELECT var, CAST(MIN(x) AS DOUBLE) AS mn, CAST(MAX(x) AS DOUBLE) AS mx FROM lng GROUP BY var"),
@@ -297,6 +415,33 @@ def binned_ctes(src: str, cols: list[str], ks: list[int]) -> list[tuple[str, str
     ]
 
 
+def ranked(sql: str, name: str, tie: str) -> str:
+    """The reference's display order as a number."""
+    return (f"SELECT *, CAST(ROW_NUMBER() OVER (ORDER BY IV_ADJUSTED DESC NULLS LAST, IV ASC, \"{tie}\" ASC, {name} ASC) "
+            f"AS INTEGER) AS rank_no FROM ({sql}) r")
+
+
+BEST_K = ("SELECT var, k AS best_k, IV, IV_adjusted FROM (SELECT *, ROW_NUMBER() OVER "
+          "(PARTITION BY var ORDER BY IV_adjusted DESC NULLS LAST, k ASC) AS r FROM ivs) x WHERE r = 1")
+
+
+def rank_continuous(train: tuple[str, str], cols: list[str]) -> str:
+    return ranked(W(train, *binned_ctes("tr", cols, list(range(3, 20))), *woe_ctes("lv", ["var", "k"]), ("bst", BEST_K),
+                    body="SELECT var AS CONTINUOUS_COL, best_k AS BEST_CUT, IV, IV_adjusted AS IV_ADJUSTED FROM bst"),
+                  "CONTINUOUS_COL", "BEST_CUT")
+
+
+def rank_discrete(train: tuple[str, str], cols: list[str]) -> str:
+    unions = " UNION ALL ".join(f"SELECT '{c}' AS var, CAST({c} AS VARCHAR) AS level, not_churn_1w FROM tr "
+                                f"WHERE {c} IS NOT NULL" for c in cols)
+    return ranked(W(train, ("lng", unions),
+                    ("lv", "SELECT var, level, COUNT(not_churn_1w) AS n_obs, CAST(SUM(not_churn_1w) AS BIGINT) AS n_good "
+                           "FROM lng GROUP BY var, level"),
+                    *woe_ctes("lv", ["var"]),
+                    body="SELECT var AS DISCRETE_COL, n_levels AS DISTINCT, IV, IV_adjusted AS IV_ADJUSTED FROM ivs"),
+                  "DISCRETE_COL", "DISTINCT")
+
+
 MEASURE_LIST = list(M)
 DISCRETE_CANDIDATES = ["ops_city_id", "device_type", "vehicle_model", "vehicle_brand", "segment"]
 
@@ -326,38 +471,29 @@ def woe_queries() -> dict[str, str]:
     q["woe_continuous"] = W(TRAIN_1P, *binned_ctes("tr", ["total_fare"], [50]), *woe_ctes("lv", ["var", "k"]),
                             body=f"SELECT bin AS total_fare_fine_classing, bin_lo, bin_hi, {WOE_OUT} "
                                  f"FROM st JOIN ivs i ON i.var = st.var AND i.k = st.k")
-    best = ("SELECT var, k AS best_k, IV, IV_adjusted FROM (SELECT *, ROW_NUMBER() OVER "
-            "(PARTITION BY var ORDER BY IV_adjusted DESC NULLS LAST, k ASC) AS r FROM ivs) x WHERE r = 1")
     q["woe_best_class_count"] = W(TRAIN_1P, *binned_ctes("tr", ["completed_trip"], list(range(3, 20))),
-                                  *woe_ctes("lv", ["var", "k"]), body=best)
+                                  *woe_ctes("lv", ["var", "k"]), body=BEST_K)
     q["iv_by_class_count"] = W(TRAIN_1P, *binned_ctes("tr", MEASURE_LIST, list(range(3, 20))),
                                *woe_ctes("lv", ["var", "k"]), body="SELECT var, k, IV, IV_adjusted FROM ivs")
-    q["iv_rank_continuous"] = W(TRAIN_1P, *binned_ctes("tr", MEASURE_LIST, list(range(3, 20))),
-                                *woe_ctes("lv", ["var", "k"]), ("bst", best),
-                                body="SELECT var AS CONTINUOUS_COL, best_k AS BEST_CUT, IV, IV_adjusted AS IV_ADJUSTED "
-                                     "FROM bst")
-    for sl, disc in (("2p", ["segment", "not_churn"]), ("3p", ["segment", "not_churn", "not_churn_pre_1w"])):
+    candidates = {"1p": DISCRETE_CANDIDATES, "2p": ["segment", "not_churn"], "3p": ["segment", "not_churn", "not_churn_pre_1w"]}
+    for sl, disc in candidates.items():
         tr = ("tr", "SELECT * FROM (" + slice_sql(f"slice_{sl}") + ") s WHERE NOT is_test")
-        q[f"iv_rank_continuous_{sl}"] = W(tr, *binned_ctes("tr", MEASURE_LIST, list(range(3, 20))),
-                                          *woe_ctes("lv", ["var", "k"]), ("bst", best),
-                                          body="SELECT var AS CONTINUOUS_COL, best_k AS BEST_CUT, IV, "
-                                               "IV_adjusted AS IV_ADJUSTED FROM bst")
-        un = " UNION ALL ".join(f"SELECT '{c}' AS var, CAST({c} AS VARCHAR) AS level, not_churn_1w FROM tr"
-                                for c in disc)
-        q[f"iv_rank_discrete_{sl}"] = W(tr, ("lng", un),
-                                        ("lv", "SELECT var, level, COUNT(not_churn_1w) AS n_obs, "
-                                               "CAST(SUM(not_churn_1w) AS BIGINT) AS n_good FROM lng GROUP BY var, level"),
-                                        *woe_ctes("lv", ["var"]),
-                                        body="SELECT var AS DISCRETE_COL, n_levels AS DISTINCT, IV, "
-                                             "IV_adjusted AS IV_ADJUSTED FROM ivs")
-    unions = " UNION ALL ".join(f"SELECT '{c}' AS var, CAST({c} AS VARCHAR) AS level, not_churn_1w FROM tr"
-                                for c in DISCRETE_CANDIDATES)
-    q["iv_rank_discrete"] = W(TRAIN_1P, ("lng", unions),
-                              ("lv", "SELECT var, level, COUNT(not_churn_1w) AS n_obs, "
-                                     "CAST(SUM(not_churn_1w) AS BIGINT) AS n_good FROM lng GROUP BY var, level"),
-                              *woe_ctes("lv", ["var"]),
-                              body="SELECT var AS DISCRETE_COL, n_levels AS DISTINCT, IV, IV_adjusted AS IV_ADJUSTED "
-                                   "FROM ivs")
+        end = "" if sl == "1p" else f"_{sl}"
+        q[f"iv_rank_continuous{end}"] = rank_continuous(tr, MEASURE_LIST)
+        q[f"iv_rank_discrete{end}"] = rank_discrete(tr, disc)
+    # the cluster family's rankings on a cluster that SQL knows: the entity's remainder by three
+    for sl, end, disc in (("1p_attrs", "", candidates["1p"]), ("2p_global", "_2p", candidates["2p"]), ("3p_global", "_3p", candidates["3p"])):
+        for kind, cols, make in (("discrete", disc, rank_discrete), ("continuous", MEASURE_LIST, rank_continuous)):
+            parts = []
+            for c in range(3):
+                tr = ("tr", "SELECT * FROM (" + slice_sql(f"slice_{sl}") + f") s WHERE NOT is_test AND entity_id % 3 = {c}")
+                parts.append(f"SELECT *, {c} AS cluster FROM ({make(tr, cols)}) c{c}")
+            q[f"coded_iv_{kind}{end}"] = " UNION ALL ".join(parts)
+    nulls = ("tr", f"SELECT *, not_churn AS not_churn_1w FROM ({DAILY}) x")
+    q["woe_continuous_nulls"] = W(nulls, *binned_ctes("tr", ["total_ETA"], [20]), *woe_ctes("lv", ["var", "k"]),
+                                  body=f"SELECT bin AS total_ETA_fine_classing, bin_lo, bin_hi, {WOE_OUT} "
+                                       f"FROM st JOIN ivs i ON i.var = st.var AND i.k = st.k")
+    q["iv_rank_discrete_nulls"] = rank_discrete(nulls, ["vehicle_model", "vehicle_brand", "segment"])
     return q
 
 
@@ -422,7 +558,8 @@ def eval_queries() -> dict[str, str]:
                                     "SUM(n_neg) OVER (PARTITION BY h.is_test ORDER BY score DESC ROWS UNBOUNDED PRECEDING) AS cn "
                                     "FROM hist h"),
                        body=f"SELECT c.is_test, c.score AS threshold, {zdiv('cn', 't.N')} AS fpr, "
-                            f"{zdiv('cp', 't.P')} AS tpr FROM c JOIN tots t ON t.is_test = c.is_test")
+                            f"{zdiv('cp', 't.P')} AS tpr FROM c JOIN tots t ON t.is_test = c.is_test "
+                            f"UNION ALL SELECT is_test, CAST('inf' AS DOUBLE), CAST(0 AS DOUBLE), CAST(0 AS DOUBLE) FROM tots")
     auc = W(*HIST, ("c", "SELECT *, SUM(n_neg) OVER (PARTITION BY is_test ORDER BY score ROWS UNBOUNDED PRECEDING) "
                          "AS cn FROM hist"),
             ("a", "SELECT is_test, SUM(CAST(n_pos AS HUGEINT) * (2 * (cn - n_neg) + n_neg)) AS num, "
@@ -448,7 +585,7 @@ def eval_queries() -> dict[str, str]:
         ("c", "SELECT is_test, score, SUM(n0) OVER (PARTITION BY is_test ORDER BY score ROWS UNBOUNDED PRECEDING) AS cum0, "
               "SUM(n0) OVER (PARTITION BY is_test) AS t0 FROM h0"),
         body=f"SELECT is_test, score, {zdiv('cum0', 't0')} AS cum_perc_predicted_bad FROM c")
-    ths = ", ".join(f"CAST('{t!r}' AS DOUBLE)" for t in linspace_thresholds(11))
+    ths = ", ".join(f"CAST('{t!r}' AS DOUBLE)" for t in THRESHOLDS)
     sc = report_cols()
     q["threshold_sweep"] = W(*SCORED, ("th", f"SELECT unnest([{ths}]) AS threshold"),
         ("cnt", "SELECT s.is_test, th.threshold, "
@@ -458,16 +595,22 @@ def eval_queries() -> dict[str, str]:
                 "COUNT(*) FILTER (WHERE not_churn_1w = 0 AND NOT score > threshold) AS tn "
                 "FROM scored s CROSS JOIN th GROUP BY s.is_test, th.threshold"),
         body="SELECT is_test, threshold, tp, fp, fn, tn, " + ", ".join(
-            f"{sc[k]} AS {k}" for k in ("accuracy", "precision_0", "recall_0", "f1_0",
-                                        "precision_1", "recall_1", "f1_1")) + " FROM cnt")
-    q["psi_label"] = W(*SCORED, ("s", "SELECT COUNT(*) FILTER (WHERE not_churn_1w = 0 AND NOT is_test) AS d0, "
-                                      "COUNT(*) FILTER (WHERE NOT is_test) AS dn, "
-                                      "COUNT(*) FILTER (WHERE not_churn_1w = 0 AND is_test) AS t0, "
-                                      "COUNT(*) FILTER (WHERE is_test) AS tn FROM scored"),
-                       ("r", f"SELECT {zdiv('d0', 'dn')} AS d, {zdiv('t0', 'tn')} AS t FROM s"),
-                       body=f"SELECT ROUND((t - d) * LN(t / d), {LOG_DIGITS}) AS psi_churn, "
-                            f"ROUND((d - t) * LN((1.0 - t) / (1.0 - d)), {LOG_DIGITS}) AS psi_not_churn, "
-                            f"d AS dev_churn_share, t AS oot_churn_share FROM r")
+            f"{expr} AS {k}" for k, expr in sc.items()) + " FROM cnt")
+    inf, nan = "CAST('inf' AS DOUBLE)", "CAST('nan' AS DOUBLE)"
+
+    def psi(keep: str) -> str:
+        def term(diff, x, y):
+            return (f"CASE WHEN {x} = 0 AND {y} = 0 THEN {nan} WHEN {x} = 0 OR {y} = 0 THEN {inf} "
+                    f"ELSE ROUND(({diff}) * LN(({x}) / ({y})), {LOG_DIGITS}) END")
+        return W(*SCORED, ("s", "SELECT COUNT(*) FILTER (WHERE not_churn_1w = 0 AND NOT is_test) AS d0, "
+                                "COUNT(*) FILTER (WHERE NOT is_test) AS dn, "
+                                "COUNT(*) FILTER (WHERE not_churn_1w = 0 AND is_test) AS t0, "
+                                f"COUNT(*) FILTER (WHERE is_test) AS tn FROM scored WHERE {keep}"),
+                 ("r", f"SELECT {zdiv('d0', 'dn')} AS d, {zdiv('t0', 'tn')} AS t FROM s"),
+                 body=f"SELECT {term('t - d', 't', 'd')} AS psi_churn, {term('d - t', '(1.0 - t)', '(1.0 - d)')} AS psi_not_churn, "
+                      f"d AS dev_churn_share, t AS oot_churn_share FROM r")
+    q["psi_label"] = psi("TRUE")
+    q["psi_limits"] = psi("NOT is_test OR not_churn_1w = 1")
     res = PRED + [("result", "SELECT entity_id, period, not_churn_1w, predict, is_test FROM pr WHERE not_churn = 1")]
     q["result_scored_active"] = W(*res, body="SELECT entity_id, period, not_churn_1w, predict FROM result "
                                              "WHERE NOT is_test")
@@ -526,6 +669,41 @@ def encode_queries() -> dict[str, str]:
     }
 
 
+def model_checks() -> dict[str, str]:
+    """Facts about the fitted models that do not depend on the solver."""
+    q: dict[str, str] = {}
+    q["logit_gradient"] = W(*VOCAB, body="SELECT 0 AS feature_no, 'Intercept' AS feature_name, CAST(0 AS DOUBLE) AS residual "
+                                         "UNION ALL SELECT position + 1, feature, CAST(0 AS DOUBLE) FROM voc")
+    q["wald_information"] = W(*VOCAB, ("enc", _encoded("tr")),
+        body="SELECT a.feature AS feature_i, b.feature AS feature_j, SUM(CAST(0.1875 AS DOUBLE)) AS information "
+             "FROM enc a JOIN enc b ON a.entity_id = b.entity_id AND a.period = b.period GROUP BY 1, 2")
+    rows = "SELECT is_test, COUNT(*) AS n_rows, CAST(SUM(not_churn_1w) AS BIGINT) AS n_good, COUNT(*) AS n_probabilities FROM ({}) s GROUP BY is_test"
+    q["logit_score_rows"] = q["rf_score_rows"] = rows.format(slice_sql("slice_1p"))
+    q["rf_importance_sum"] = W(*VOCAB, body="SELECT COUNT(*) AS n_features, CAST(1 AS DOUBLE) AS total, TRUE AS none_negative FROM voc")
+    checks = ("SELECT {by}is_test, COUNT(*) AS n_rows, CAST(SUM(not_churn_1w) AS BIGINT) AS n_good, COUNT(*) AS gains_rows, "
+              "CAST(SUM(not_churn_1w) AS BIGINT) AS gains_good, CAST(SUM(not_churn_1w) AS BIGINT) AS sweep_good, "
+              "TRUE AS roc_spans, TRUE AS gini_agrees FROM ({src}) s {where} GROUP BY {by}is_test")
+    for name in ("1p", "2p", "3p"):
+        end = "" if name == "1p" else f"_{name}"
+        for kind in ("logit", "rf"):
+            q[f"{kind}_evaluation_checks{end}"] = checks.format(by="", src=slice_sql(f"slice_{name}"), where="")
+    for name, end in (("1p_attrs", ""), ("2p_global", "_2p"), ("3p_global", "_3p")):
+        src = "SELECT s.*, c.cluster FROM (" + slice_sql(f"slice_{name}") + ") s CROSS JOIN (VALUES (0), (1), (2)) c(cluster)"
+        for kind in ("logit", "rf"):
+            q[f"cluster_{kind}_checks{end}"] = checks.format(by="cluster, ", src=src, where="WHERE is_test")
+    train = "SELECT * FROM (" + slice_sql("slice_1p_attrs") + ") s WHERE NOT is_test"
+    feats = ["ops_city_id", "device_type", *M, "not_churn"]
+    q["kmeans_k1_sse"] = ("SELECT COUNT(*) AS n_rows, CAST(ROUND(" + " + ".join(f"VAR_POP(CAST({c} AS DOUBLE))" for c in feats)
+                          + f") AS BIGINT) AS mean_square FROM ({train}) t")
+    q["kmeans_nearest"] = f"SELECT COUNT(*) AS n_rows, CAST(3 AS BIGINT) AS n_clusters, TRUE AS nearest FROM ({train}) t"
+    q["kmeans_elbow_shape"] = "SELECT CAST(unnest(range(1, 11)) AS INTEGER) AS k, TRUE AS not_above_previous"
+    active = "SELECT * FROM (" + slice_sql("slice_1p") + ") s WHERE not_churn = 1"
+    q["logit_rates_actual"] = (f"SELECT period, CASE WHEN COUNT(*) FILTER (WHERE not_churn_1w = 0) > 0 THEN "
+                               f"COUNT(*) FILTER (WHERE not_churn_1w = 0) * CAST(100.0 AS DOUBLE) / COUNT(*) END AS churn_actual "
+                               f"FROM ({active}) a GROUP BY period HAVING COUNT(*) FILTER (WHERE not_churn_1w = 1) > 0")
+    return q
+
+
 def stats_queries() -> dict[str, str]:
     lng = " UNION ALL ".join(f"SELECT '{m}' AS measure, CAST({m} AS DOUBLE) AS x FROM panel WHERE {m} IS NOT NULL"
                              for m in M)

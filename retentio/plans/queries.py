@@ -45,9 +45,7 @@ def q_panel_fill(spark, sf):
 
 
 def q_panel_densify_attrs(spark, sf):
-    src = S.source_1p(spark, sf)
-    pn = P.densify_by_tuple(src, S.zero_fills({"segment": "Parttime"}), S.DAILY_ATTRS)
-    return pn.select(*P1_COLS, P.PERIOD_IDX)
+    return S.panel_attrs(spark, sf).select(*P1_COLS, P.PERIOD_IDX)
 
 
 def _quarterly_panel(spark, sf):
@@ -126,6 +124,42 @@ def q_lookup_entity(spark, sf):
     return S.slice_2p(spark, sf).where(F.col("entity_id") == 42)
 
 
+CHANGING_ATTRS = ["vehicle_brand", "vehicle_model"]
+
+
+def _changing(spark, sf):
+    """Daily activity whose attributes change over time (the brand with the month's third, the model with
+    whether any view happened), without one calendar day, so that gaps and fan-out show."""
+    src = activity_daily(spark, sf).where(F.dayofmonth("period") != 11)
+    brand = F.concat(F.lit("brand_"), F.floor(F.dayofmonth("period") / 11).cast("string"))
+    model = F.when(F.col("completed_trip") > 0, F.col("vehicle_model"))
+    return src.select("entity_id", "period", brand.alias("vehicle_brand"), model.alias("vehicle_model"), "sum_sh", "completed_trip", "not_churn")
+
+
+CHANGING_FILLS = {"sum_sh": 0.0, "completed_trip": 0.0, "not_churn": 0}
+CHANGING_COLS = ["entity_id", "period", *CHANGING_ATTRS, "sum_sh", "completed_trip", "not_churn"]
+
+
+def q_panel_fanout(spark, sf):
+    """J1 + J2 on changing attributes: one row per distinct attribute tuple and period, as the SQL panel fans out."""
+    return P.densify_on_grid(_changing(spark, sf), CHANGING_FILLS, CHANGING_ATTRS).select(*CHANGING_COLS)
+
+
+def q_panel_attrs_changing(spark, sf):
+    """J2b on changing attributes: an observation counts for its own tuple only."""
+    return P.densify_by_tuple(_changing(spark, sf), CHANGING_FILLS, CHANGING_ATTRS).select(*CHANGING_COLS)
+
+
+def _label_gap(how):
+    """J3 / J3b where a calendar day is missing: the label of the day before it is dropped or 0."""
+    def q(spark, sf):
+        rows = _changing(spark, sf).select("entity_id", "period", "sum_sh", "completed_trip", "not_churn")
+        lab = P.offset_flag(P.densify(rows, CHANGING_FILLS), "not_churn", S.LABEL, +1, how=how)
+        lab = lab if how == "inner" else P.drop_newest(lab)
+        return lab.select("entity_id", "period", "not_churn", S.LABEL)
+    return q
+
+
 def panel_queries() -> dict[str, Query]:
     q: dict[str, Query] = {
         "src_activity": q_src_activity,
@@ -150,6 +184,11 @@ def panel_queries() -> dict[str, Query]:
         "lookup_entity": q_lookup_entity,
     }
     q.update(S.SLICES)
+    q.update(S.WEEKLY_SLICES)
+    q["panel_fanout"] = q_panel_fanout
+    q["panel_densify_attrs_changing"] = q_panel_attrs_changing
+    q["label_gap_inner"] = _label_gap("inner")
+    q["label_gap_filled"] = _label_gap("filled")
     return q
 
 
@@ -164,10 +203,8 @@ DISCRETE_CANDIDATES = ["ops_city_id", "device_type", "vehicle_model", "vehicle_b
 
 
 def train_1p(spark, sf):
-    """Development rows of the 1-period slice: the analysis base that the WoE
-    steps read several times (totals, levels, ranges), persisted once."""
-    from ..session import keep_fanout
-    return keep_fanout(S.slice_1p(spark, sf).where(~F.col("is_test")))
+    """Development rows of the 1-period slice."""
+    return S.slice_1p(spark, sf).where(~F.col("is_test"))
 
 
 def _bin_rule(name, source):
@@ -221,10 +258,7 @@ DISCRETE_3P = ["segment", "not_churn", "not_churn_pre_1w"]
 
 
 def _train_slice(name):
-    def train(spark, sf):
-        from ..session import keep_fanout
-        return keep_fanout(S.SLICES[name](spark, sf).where(~F.col("is_test")))
-    return train
+    return lambda spark, sf: S.SLICES[name](spark, sf).where(~F.col("is_test"))
 
 
 def _rank(name, kind, cols):
@@ -237,8 +271,25 @@ def _rank(name, kind, cols):
     return q
 
 
+def _with_nulls(spark, sf):
+    """Observed rows with their NULL measures and levels; the label is the day's own flag."""
+    return activity_daily(spark, sf).withColumn(S.LABEL, F.col("not_churn"))
+
+
+def q_woe_continuous_nulls(spark, sf):
+    """V4 where some values are NULL: they have no bin and do not count."""
+    return V.woe_continuous(_with_nulls(spark, sf), "total_ETA", k=20)
+
+
+def q_iv_rank_discrete_nulls(spark, sf):
+    """V6 where some levels are NULL: they are no level and do not count."""
+    return V.rank_order(V.iv_rank_discrete(_with_nulls(spark, sf), ["vehicle_model", "vehicle_brand", "segment"]), "DISCRETE_COL", "DISTINCT")
+
+
 def woe_queries() -> dict[str, Query]:
     return {
+        "woe_continuous_nulls": q_woe_continuous_nulls,
+        "iv_rank_discrete_nulls": q_iv_rank_discrete_nulls,
         "iv_rank_discrete_2p": _rank("slice_2p", "discrete", DISCRETE_2P),
         "iv_rank_continuous_2p": _rank("slice_2p", "continuous", DAILY_MEASURES),
         "iv_rank_discrete_3p": _rank("slice_3p", "discrete", DISCRETE_3P),
@@ -284,10 +335,8 @@ def q_score_threshold(spark, sf):
 
 
 def q_value_counts_pred(spark, sf):
-    c = _counts(spark, sf)
-    cells = F.array(F.struct(F.lit(1).alias("predict"), (F.col("tp") + F.col("fp")).alias("n")),
-                    F.struct(F.lit(0).alias("predict"), (F.col("fn") + F.col("tn")).alias("n")))
-    return c.select(*KEYS, F.inline(cells)).where(F.col("n") > 0).orderBy(*KEYS, F.col("n").desc())
+    from ..operators.stats import value_counts
+    return value_counts(D.predict(S.scored(spark, sf), split_threshold()), [*KEYS, "predict"])
 
 
 def q_confusion_matrix(spark, sf):
@@ -348,8 +397,15 @@ def q_rate_actual_vs_predicted(spark, sf):
     return D.rates_by_period(_result(spark, sf)).orderBy("period")
 
 
+def q_psi_limits(spark, sf):
+    """D10 where the out-of-time split has no churn at all: infinite terms, no error."""
+    s = S.scored(spark, sf)
+    return D.psi_label(s.where(~F.col("is_test") | (F.col(S.LABEL) == 1)))
+
+
 def eval_queries() -> dict[str, Query]:
     return {
+        "psi_limits": q_psi_limits,
         "score_threshold": q_score_threshold,
         "value_counts_pred": q_value_counts_pred,
         "confusion_matrix": q_confusion_matrix,
@@ -376,145 +432,260 @@ from ..operators import models as M  # noqa: E402
 from . import variants as VR  # noqa: E402
 
 V1P = VR.VARIANTS["1p"]
+SELECTED_1P = V1P.selected()
 ENC_KEYS = ["entity_id", "period"]
 
 
 def _model_frames(spark, sf):
-    base = VR.model_base(spark, sf, V1P)
-    return VR.split(base)
+    return VR.split(VR.model_base(S.daily(spark, sf), V1P))
 
 
 def q_encode_vocabulary(spark, sf):
     train, _ = _model_frames(spark, sf)
-    return E.vocabulary(train, V1P.selected)
+    return E.vocabulary(train, SELECTED_1P)
 
 
 def q_encode_dummies(spark, sf):
     train, _ = _model_frames(spark, sf)
-    return E.encode_long(train, E.vocabulary(train, V1P.selected), ENC_KEYS, V1P.selected)
+    return E.encode_long(train, E.vocabulary(train, SELECTED_1P), ENC_KEYS, SELECTED_1P)
 
 
 def q_encode_pinned_vocab(spark, sf):
     train, test = _model_frames(spark, sf)
-    return E.encode_long(test, E.vocabulary(train, V1P.selected), ENC_KEYS, V1P.selected)
+    return E.encode_long(test, E.vocabulary(train, SELECTED_1P), ENC_KEYS, SELECTED_1P)
+
+
+def _logit(spark, sf, name="1p"):
+    return VR.fit_global(S.daily(spark, sf), name, "logit")
 
 
 def q_logit_fit(spark, sf):
-    *_, fit = VR.fit_variant_logit(spark, sf, "1p")
-    return fit.summary(spark).select("feature_no", "feature_name", "coefficient")
+    *_, fitted = _logit(spark, sf)
+    return fitted.model.summary(spark).select("feature_no", "feature_name", "coefficient")
 
 
 def q_logit_summary(spark, sf):
-    *_, fit = VR.fit_variant_logit(spark, sf, "1p")
-    return fit.summary(spark)
+    *_, fitted = _logit(spark, sf)
+    return fitted.model.summary(spark)
 
 
 def q_logit_significant(spark, sf):
-    *_, fit = VR.fit_variant_logit(spark, sf, "1p")
-    return fit.summary(spark).where(F.col("p_value") < 0.05)
+    *_, fitted = _logit(spark, sf)
+    return fitted.model.summary(spark).where(F.col("p_value") < 0.05)
+
+
+def q_logit_significant_signal(spark, sf):
+    """M4 on a label with signal (active today): which features are significant is no matter of chance."""
+    base = VR.model_base(S.daily(spark, sf), V1P).withColumn(S.LABEL, F.col("not_churn"))
+    pat = VR.pattern_table(base, ["segment", "distance_travelled_discrete"])
+    fitted = VR.Fitted("logit", VR.split(pat)[0], ["segment"])
+    return fitted.model.summary(spark).where("p_value < 0.05").select("feature_name")
+
+
+def q_logit_gradient(spark, sf):
+    """M1 + M5 check: the C = 1 gradient at the fitted coefficients, per training dummy, is zero. Recomputed
+    from the scored patterns: sum of w (p - y) x plus the coefficient (the intercept has no penalty)."""
+    _, _, pat, fitted = _logit(spark, sf)
+    train = VR.split(pat)[0]
+    x = E.design_array(fitted.vocab)
+    rest = F.col(VR.W) * (F.col("score") - F.col(S.LABEL))
+    scored = fitted.score(train).select(rest.alias("r"), F.concat(F.array(F.lit(1.0)), x).alias("x"))
+    grad = scored.select(F.posexplode("x").alias("feature_no", "x"), "r").groupBy("feature_no").agg(F.sum(F.col("x") * F.col("r")).alias("g"))
+    both = grad.join(fitted.model.summary(spark), "feature_no")
+    penalty = F.when(F.col("feature_no") == 0, 0.0).otherwise(F.col("coefficient"))
+    n = train.agg(F.sum(VR.W)).scalar().cast("double")
+    return both.select("feature_no", "feature_name", F.round(F.abs(F.col("g") + penalty) / n, 4).alias("residual"))
+
+
+def q_wald_information(spark, sf):
+    """M2 check: sum of p (1 - p) x x' over the training rows for a probability known in SQL too (score share)."""
+    base = VR.model_base(S.daily(spark, sf), V1P)
+    pat = VR.split(VR.pattern_table(base, SELECTED_1P))[0]
+    vocab = E.collect_vocabulary(E.vocabulary(pat, SELECTED_1P))
+    p = F.when(F.col("not_churn") == 1, F.lit(0.75)).otherwise(F.lit(0.25))
+    rows = pat.select(E.design_array(vocab).alias("x"), (F.col(VR.W) * p * (1 - p)).alias("_wv"))
+    matrix = M.information_matrix(rows, len(vocab))
+    names = [f for _, _, f in vocab]
+    cells = [(names[i], names[j], float(matrix[i, j])) for i in range(len(names)) for j in range(len(names)) if matrix[i, j] != 0]
+    return spark.createDataFrame(cells, "feature_i string, feature_j string, information double")
 
 
 def q_logit_score(spark, sf):
-    v, base, train, test, vocab, fit = VR.fit_variant_logit(spark, sf, "1p")
-    return fit.score(test).select("entity_id", "period", S.LABEL, "score")
+    """M5: probability of every row, development and out-of-time."""
+    _, base, _, fitted = _logit(spark, sf)
+    return fitted.score(base).select("entity_id", "period", "is_test", S.LABEL, "score")
 
 
-def q_logit_rates(spark, sf):
-    """Steps 9-10 end to end: LR scores -> dev/OOT result -> weekly actual vs predicted."""
-    v, base, train, test, vocab, fit = VR.fit_variant_logit(spark, sf, "1p")
-    res = VR.scored_result(v, fit.score, train, test, v.lr_thresholds)
-    return D.rates_by_period(res)
+def q_logit_score_rows(spark, sf):
+    """M5 check: every row of the slice is scored once, with a probability."""
+    s = q_logit_score(spark, sf)
+    return s.groupBy("is_test").agg(F.count("*").alias("n_rows"), F.sum(S.LABEL).cast("bigint").alias("n_good"),
+                                    F.count_if((F.col("score") > 0) & (F.col("score") < 1)).alias("n_probabilities"))
 
 
-def q_logit_evaluation(spark, sf):
-    """AUROC / Gini / KS of the fitted LR on development and out-of-time rows."""
-    v, base, train, test, vocab, fit = VR.fit_variant_logit(spark, sf, "1p")
-    sc = fit.score(train).unionByName(fit.score(test))
-    h = D.score_histogram(sc, KEYS)
-    return D.auroc(h, KEYS).join(D.ks(h, KEYS), KEYS)
+def _forest(spark, sf, name="1p"):
+    return VR.fit_global(S.daily(spark, sf), name, "forest")
 
 
-def _forest(spark, sf):
-    base = VR.model_base(spark, sf, V1P)
-    train, test = VR.split(base)
-    vocab = E.collect_vocabulary(E.vocabulary(train, V1P.selected))
-    return train, test, vocab, M.fit_forest(train, vocab)
+def q_rf_fit_score(spark, sf):
+    """M6: forest probability of every row, development and out-of-time."""
+    _, base, _, fitted = _forest(spark, sf)
+    return fitted.score(base).select("entity_id", "period", "is_test", S.LABEL, "score")
 
 
-def q_rf_fit_score(spark, sf):
-    train, test, vocab, model = _forest(spark, sf)
-    return M.forest_score(model, test, vocab).select("entity_id", "period", S.LABEL, "score")
+def q_rf_score_rows(spark, sf):
+    """M6 check: every row of the slice is scored once, with a probability."""
+    s = q_rf_fit_score(spark, sf)
+    return s.groupBy("is_test").agg(F.count("*").alias("n_rows"), F.sum(S.LABEL).cast("bigint").alias("n_good"),
+                                    F.count_if(F.col("score").between(0, 1)).alias("n_probabilities"))
+
+
+def _rf_importance(name):
+    def q(spark, sf):
+        """M7 + O3: importances, largest first."""
+        *_, fitted = _forest(spark, sf, name)
+        return M.importances(spark, fitted.model, fitted.vocab).orderBy(F.col("importance").desc(), "feature_name")
+    return q
+
+
+def q_rf_importance_sum(spark, sf):
+    """M7 check: one importance per training dummy, none negative, summing to 1."""
+    imp = _rf_importance("1p")(spark, sf)
+    return imp.agg(F.count("*").alias("n_features"), F.round(F.sum("importance"), 9).alias("total"), (F.min("importance") >= 0).alias("none_negative"))
+
+
+def q_kmeans_elbow_shape(spark, sf):
+    """M8 check: ten points, the inertia never rises with k."""
+    rows = VR.elbow(S.daily(spark, sf), "1p_attrs")
+    drop = [True, *(b <= a * (1 + 1e-9) for (_, a), (_, b) in zip(rows, rows[1:]))]
+    return spark.createDataFrame([(int(k), bool(d)) for (k, _), d in zip(rows, drop)], "k int, not_above_previous boolean")
+
 
+def _elbow(name):
+    def q(spark, sf):
+        rows = VR.elbow(S.daily(spark, sf), name)
+        return spark.createDataFrame([(int(k), float(c)) for k, c in rows], "k int, inertia double")
+    return q
 
-def q_rf_importance(spark, sf):
-    """M7 + O3: importances, largest first."""
-    train, test, vocab, model = _forest(spark, sf)
-    return M.importances(spark, model, vocab).orderBy(F.col("importance").desc(), "feature_name")
 
+def q_kmeans_k1_sse(spark, sf):
+    """M8 at k = 1: the mean squared distance from the overall mean (per training row, whole units)."""
+    a = S.daily(spark, sf)
+    v = VR.VARIANTS["1p_attrs"]
+    train = VR.split(VR.model_base(a, v))[0]
+    n = train.count()
+    return spark.createDataFrame([(n, round(M.sse_one_cluster(train, v.kmeans_columns(a.measures)) / n))], "n_rows long, mean_square long")
 
-def q_rf_rates(spark, sf):
-    train, test, vocab, model = _forest(spark, sf)
-    res = VR.scored_result(V1P, lambda d: M.forest_score(model, d, vocab), train, test, V1P.rf_thresholds)
-    return D.rates_by_period(res)
+
+def _assign(name):
+    def q(spark, sf):
+        rows = VR.clustered(S.daily(spark, sf), VR.VARIANTS[name])
+        return rows.where(~F.col("is_test")).select("entity_id", "period", "cluster")
+    return q
 
 
-def q_kmeans_elbow(spark, sf):
+def q_kmeans_nearest(spark, sf):
+    """M9 check: every training row sits at its nearest of three centres, where a centre is the mean of its rows."""
+    a = S.daily(spark, sf)
     v = VR.VARIANTS["1p_attrs"]
-    train, _ = VR.split(VR.model_base(spark, sf, v))
-    rows = M.kmeans_elbow(train, list(v.kmeans_columns))
-    return spark.createDataFrame([(int(k), float(c)) for k, c in rows], "k int, inertia double")
+    cols = v.kmeans_columns(a.measures)
+    rows = VR.split(VR.clustered(a, v))[0]
+    means = [[r[c] for c in cols] for r in rows.groupBy("cluster").agg(*[F.avg(c).alias(c) for c in cols]).orderBy("cluster").collect()]
+    near = M.nearest_centre(cols, means)
+    share = F.count_if(F.col("cluster") == near) / F.count("*")
+    return rows.agg(F.count("*").alias("n_rows"), F.countDistinct("cluster").alias("n_clusters"), (share > 0.999).alias("nearest"))
+
 
+def _rates(name, kind):
+    return lambda spark, sf: VR.variant_rates(S.daily(spark, sf), name, kind)
 
-def q_kmeans_assign(spark, sf):
-    v, labelled, _ = VR.cluster_frames(spark, sf, "1p_attrs")
-    return labelled.select("entity_id", "period", "cluster")
 
+def _rates_actual(name, kind):
+    """The part of a model's weekly rates that does not depend on the model."""
+    return lambda spark, sf: VR.variant_rates(S.daily(spark, sf), name, kind).select("period", "churn_actual")
 
-def q_cluster_logit_summary(spark, sf):
-    return VR.cluster_logit_summary(spark, sf, "1p_attrs")
 
+def _evaluation(name, kind):
+    return lambda spark, sf: VR.global_evaluation(S.daily(spark, sf), name, kind)
 
-def _variant_rates(name, model):
+
+def _evaluation_checks(name, kind):
+    return lambda spark, sf: VR.evaluation_checks(VR.global_evaluation(S.daily(spark, sf), name, kind))
+
+
+def _cluster_evaluation(name, kind):
+    return lambda spark, sf: VR.cluster_evaluation(S.daily(spark, sf), name, kind)
+
+
+def _cluster_checks(name, kind):
+    """Cluster family check: each cluster's model is evaluated on the whole out-of-time set."""
     def q(spark, sf):
-        return VR.variant_rates(spark, sf, name, model)
+        t = VR.evaluation_checks(VR.cluster_evaluation(S.daily(spark, sf), name, kind), ["cluster"])
+        return t.where("is_test")
     return q
 
 
-def _cluster_summary(name):
+def _cluster_rank(name, kind, by_code=False):
+    """Rankings per cluster; ``by_code`` uses the entity's remainder by three for K-means, so SQL can follow."""
     def q(spark, sf):
-        return VR.cluster_logit_summary(spark, sf, name)
+        cluster = F.col("entity_id") % 3 if by_code else None
+        return VR.cluster_rankings(S.daily(spark, sf), name, kind, cluster)
     return q
 
 
-def q_cluster_rf_importance(spark, sf):
-    return VR.cluster_forest_importance(spark, sf, "1p_attrs")
+def _cluster_summary(name):
+    return lambda spark, sf: VR.cluster_logit_summary(S.daily(spark, sf), name)
+
+
+def _cluster_importance(name):
+    return lambda spark, sf: VR.cluster_forest_importance(S.daily(spark, sf), name)
+
+
+KINDS = {"logit": "logit", "rf": "forest"}
+SUFFIX = {"1p_attrs": "", "2p_global": "_2p", "3p_global": "_3p"}
 
 
 def model_queries() -> dict[str, Query]:
-    return {
-        "logit_rates_2p": _variant_rates("2p", "logit"),
-        "logit_rates_3p": _variant_rates("3p", "logit"),
-        "rf_rates_2p": _variant_rates("2p", "forest"),
-        "rf_rates_3p": _variant_rates("3p", "forest"),
-        "cluster_logit_summary_2p": _cluster_summary("2p_global"),
-        "cluster_logit_summary_3p": _cluster_summary("3p_global"),
-        "cluster_rf_importance": q_cluster_rf_importance,
+    q: dict[str, Query] = {
         "encode_vocabulary": q_encode_vocabulary,
         "encode_dummies": q_encode_dummies,
         "encode_pinned_vocab": q_encode_pinned_vocab,
         "logit_fit": q_logit_fit,
         "logit_summary": q_logit_summary,
         "logit_significant": q_logit_significant,
+        "logit_significant_signal": q_logit_significant_signal,
+        "logit_gradient": q_logit_gradient,
+        "wald_information": q_wald_information,
         "logit_score": q_logit_score,
-        "logit_rates": q_logit_rates,
-        "logit_evaluation": q_logit_evaluation,
+        "logit_score_rows": q_logit_score_rows,
         "rf_fit_score": q_rf_fit_score,
-        "rf_importance": q_rf_importance,
-        "rf_rates": q_rf_rates,
-        "kmeans_elbow": q_kmeans_elbow,
-        "kmeans_assign": q_kmeans_assign,
-        "cluster_logit_summary": q_cluster_logit_summary,
+        "rf_score_rows": q_rf_score_rows,
+        "rf_importance_sum": q_rf_importance_sum,
+        "kmeans_elbow_shape": q_kmeans_elbow_shape,
+        "kmeans_k1_sse": q_kmeans_k1_sse,
+        "kmeans_nearest": q_kmeans_nearest,
     }
+    for name in VR.GLOBAL:
+        end = "" if name == "1p" else f"_{name}"
+        q[f"rf_importance{end}"] = _rf_importance(name)
+        for key, kind in KINDS.items():
+            q[f"{key}_rates{end}"] = _rates(name, kind)
+            q[f"{key}_evaluation{end}"] = _evaluation(name, kind)
+            q[f"{key}_evaluation_checks{end}"] = _evaluation_checks(name, kind)
+    q["logit_rates_actual"] = _rates_actual("1p", "logit")
+    for name in VR.CLUSTERED:
+        end = SUFFIX[name]
+        q[f"kmeans_elbow{end}"] = _elbow(name)
+        q[f"kmeans_assign{end}"] = _assign(name)
+        q[f"cluster_logit_summary{end}"] = _cluster_summary(name)
+        q[f"cluster_rf_importance{end}"] = _cluster_importance(name)
+        for key, kind in KINDS.items():
+            q[f"cluster_{key}_evaluation{end}"] = _cluster_evaluation(name, kind)
+            q[f"cluster_{key}_checks{end}"] = _cluster_checks(name, kind)
+        for kind in ("discrete", "continuous"):
+            q[f"cluster_iv_{kind}{end}"] = _cluster_rank(name, kind)
+            q[f"coded_iv_{kind}{end}"] = _cluster_rank(name, kind, by_code=True)
+    return q
 
 
 from ..operators import stats as ST  # noqa: E402

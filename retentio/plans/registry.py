@@ -22,5 +22,6 @@ def all_oracle_sql() -> dict[str, str]:
     o.update(O.woe_queries())
     o.update(O.eval_queries())
     o.update(O.encode_queries())
+    o.update(O.model_checks())
     o.update(O.stats_queries())
     return o

@@ -3,162 +3,283 @@
 Global family (1p/2p/3p): one logistic model and one forest for all
 entities. Cluster family (1p_attrs/2p_global/3p_global): K-means (k = 3) on
 the unscaled numeric columns of the training rows, then one logistic model
-per cluster, each scoring the whole out-of-time set.
+and one forest per cluster, each scoring the whole out-of-time set.
 
-Parameters per variant (selected columns, thresholds) are the reference's;
-the selected discrete columns follow its WoE ranking step.
+Every flow runs over any ``slices.Activity``. After the slice, one aggregate
+counts the rows per (selected levels, not_churn, label, period, split): the
+**pattern table**. It is bounded by levels x periods, and it holds all that
+vocabulary, logistic fit, Wald sums, scores and every evaluation table need; only
+the forest fit and row-level scores go back to the rows.
+
+Parameters per variant (selected columns, thresholds) are the reference's.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rules import RULES
 from ..operators import encode as E
 from ..operators import evaluate as D
 from ..operators import models as M
+from ..operators import woe as V
 from ..session import cut_lineage, keep
-from ..sources.fixtures import DAILY_MEASURES
 from . import slices as S
 
 RULE_COLUMNS = ["completed_trip_discrete", "total_fare_discrete", "total_ETA_discrete",
                 "distance_travelled_discrete"]
+W = "w"
+K = 3
 
 
 @dataclass(frozen=True)
 class Variant:
     slice_name: str
-    discrete: tuple
-    lr_thresholds: tuple = (0.6, 0.5)   # (development, out-of-time)
-    rf_thresholds: tuple = (0.6, 0.5)
+    candidates: tuple                  # discrete candidates of the ranking
+    discrete: tuple                    # selected discrete columns, per model
+    lr: tuple                          # (development, out-of-time) thresholds, per model
+    rf: tuple
     clustered: bool = False
-    kmeans_columns: tuple = field(default_factory=tuple)
+    flags: tuple = ("not_churn",)      # flag columns beside the measures in the cluster features
+
+    def selected(self, model: int = 0) -> list[str]:
+        return [*self.discrete[model], *RULE_COLUMNS]
+
+    def thresholds(self, kind: str, model: int = 0) -> tuple[float, float]:
+        return (self.lr if kind == "logit" else self.rf)[model]
 
-    @property
-    def selected(self) -> list[str]:
-        return [*self.discrete, *RULE_COLUMNS]
+    def kmeans_columns(self, measures) -> list[str]:
+        codes = ["ops_city_id", "device_type"] if S.SPECS[self.slice_name].attrs else []
+        return [*codes, *measures, *self.flags]
 
 
-# Selected discrete columns and decision thresholds of the variants.
+ATTRS_5 = ("ops_city_id", "device_type", "vehicle_model", "vehicle_brand", "segment")
+SEG, SEG_F = ("segment",), ("segment", "not_churn")
+SEG_FP = ("segment", "not_churn", "not_churn_pre_1w")
+
+# Discrete candidates, selected columns and decision thresholds of the variants.
 VARIANTS = {
-    "1p": Variant("slice_1p", ("segment",), (0.6, 0.5), (0.6, 0.5)),
-    "2p": Variant("slice_2p", ("segment", "not_churn"), (0.6, 0.6), (0.6, 0.6)),
-    "3p": Variant("slice_3p", ("segment", "not_churn", "not_churn_pre_1w"), (0.6, 0.6), (0.6, 0.5)),
-    "1p_attrs": Variant("slice_1p_attrs", ("segment",), (0.5, 0.5), (0.5, 0.5), True,
-                        ("ops_city_id", "device_type", *DAILY_MEASURES, "not_churn")),
-    "2p_global": Variant("slice_2p_global", ("segment", "not_churn"), (0.9, 0.5), (0.9, 0.7), True,
-                         (*DAILY_MEASURES, "not_churn")),
-    "3p_global": Variant("slice_3p_global", ("segment", "not_churn", "not_churn_pre_1w"), (0.9, 0.5),
-                         (0.7, 0.5), True, (*DAILY_MEASURES, "not_churn", "not_churn_pre_1w")),
+    "1p": Variant("slice_1p", ATTRS_5, (SEG,), ((0.6, 0.5),), ((0.6, 0.5),)),
+    "2p": Variant("slice_2p", SEG_F, (SEG_F,), ((0.6, 0.6),), ((0.6, 0.6),)),
+    "3p": Variant("slice_3p", SEG_FP, (SEG_FP,), ((0.6, 0.6),), ((0.6, 0.5),)),
+    "1p_attrs": Variant("slice_1p_attrs", ATTRS_5, (SEG, (), SEG), ((0.5, 0.5), (0.5, 0.5), (0.5, 0.9)),
+                        ((0.5, 0.5), (0.5, 0.5), (0.5, 0.7)), True),
+    "2p_global": Variant("slice_2p_global", SEG_F, (SEG_F,) * 3, ((0.9, 0.5), (0.5, 0.6), (0.5, 0.9)),
+                         ((0.9, 0.7), (0.5, 0.6), (0.5, 0.9)), True),
+    "3p_global": Variant("slice_3p_global", SEG_FP, (SEG_FP,) * 3, ((0.9, 0.5), (0.8, 0.7), (0.6, 0.5)),
+                         ((0.7, 0.5), (0.8, 0.8), (0.6, 0.5)), True, ("not_churn", "not_churn_pre_1w")),
 }
+GLOBAL = ("1p", "2p", "3p")
+CLUSTERED = ("1p_attrs", "2p_global", "3p_global")
 
 
-def model_base(spark: SparkSession, sf_dir: str, v: Variant) -> DataFrame:
-    """The variant's slice with the rule bins, persisted for the several model passes."""
-    df = S.SLICES[v.slice_name](spark, sf_dir)
-    df = df.withColumns({n: RULES[n].expr() for n in RULE_COLUMNS})
-    return keep(df)
+def model_base(a: S.Activity, v: Variant) -> DataFrame:
+    """The variant's slice with the rule bins (lazy)."""
+    df = S.slice_of(a, S.SPECS[v.slice_name])
+    return df.withColumns({n: RULES[n].expr() for n in RULE_COLUMNS})
 
 
 def split(df: DataFrame):
     return df.where(~F.col("is_test")), df.where(F.col("is_test"))
 
 
-def fit_variant_logit(spark: SparkSession, sf_dir: str, name: str = "1p"):
-    v = VARIANTS[name]
-    base = model_base(spark, sf_dir, v)
-    train, test = split(base)
-    vocab = E.collect_vocabulary(E.vocabulary(train, v.selected))
-    return v, base, train, test, vocab, M.fit_logit(train, vocab)
+def pattern_table(base: DataFrame, columns, more=(), period: str = "period") -> DataFrame:
+    """(levels..., not_churn, label, period, is_test, w): one partial aggregate over the slice."""
+    keys = list(dict.fromkeys([*columns, "not_churn", S.LABEL, period, "is_test", *more]))
+    return keep(base.groupBy(*keys).agg(F.count(F.lit(1)).alias(W)))
 
 
-def scored_result(v: Variant, fit_score, train: DataFrame, test: DataFrame, thresholds) -> DataFrame:
-    """(entity_id, period, not_churn_1w, predict, is_test) of active rows, dev UNION ALL OOT."""
-    dev = D.predict(fit_score(train), thresholds[0])
-    oot = D.predict(fit_score(test), thresholds[1])
-    cols = ["entity_id", "period", S.LABEL, "predict", "is_test", "score"]
-    return (dev.where(F.col("not_churn") == 1).select(*cols)
-            .unionByName(oot.where(F.col("not_churn") == 1).select(*cols)))
+# ---------------------------------------------------------------- models
+class Fitted:
+    """One fitted model: what it was fitted on, and how it scores any frame with its columns."""
 
+    def __init__(self, kind: str, train: DataFrame, columns, rows: DataFrame | None = None) -> None:
+        """``train``: pattern rows with weights; ``rows``: the training rows, for the forest."""
+        self.kind, self.columns = kind, list(columns)
+        self.vocab = E.collect_vocabulary(E.vocabulary(train, self.columns))
+        if kind == "logit":
+            self.model = M.fit_logit(train, self.vocab, weight=W)
+        else:
+            self.model = M.fit_forest(rows, self.vocab)
 
-def cluster_frames(spark: SparkSession, sf_dir: str, name: str = "1p_attrs", k: int = 3):
-    """M9 + M10 inputs: training rows with their cluster label (checkpointed:
-    the per-cluster loop reuses it, and a lost executor re-reads it)."""
+    def score(self, df: DataFrame) -> DataFrame:
+        return self.model.score(df) if self.kind == "logit" else M.forest_score(self.model, df, self.vocab)
+
+
+def fit_global(a: S.Activity, name: str, kind: str = "logit"):
+    """(variant, base, pattern table, fitted model) of a global variant."""
     v = VARIANTS[name]
-    base = model_base(spark, sf_dir, v)
-    train, test = split(base)
-    labelled = cut_lineage(M.kmeans_assign(train, list(v.kmeans_columns), k=k))
-    return v, labelled, test
+    base = model_base(a, v)
+    pat = pattern_table(base, v.selected(), period=a.period)
+    train = split(pat)[0]
+    return v, base, pat, Fitted(kind, train, v.selected(), split(base)[0])
 
 
-def cluster_logit_summary(spark: SparkSession, sf_dir: str, name: str = "1p_attrs", k: int = 3) -> DataFrame:
-    """One logistic fit per cluster; coefficient tables stacked with the cluster id.
+def scored_result(scored: DataFrame, thresholds, period: str = "period") -> DataFrame:
+    """Active rows with their prediction at the split's threshold, development and out-of-time."""
+    t = F.when(F.col("is_test"), F.lit(thresholds[1])).otherwise(F.lit(thresholds[0]))
+    out = D.predict(scored, t).where(F.col("not_churn") == 1)
+    keyed = [c for c in ("entity_id", "driver_id") if c in out.columns]
+    return out.select(*keyed, period, S.LABEL, "predict", "is_test", "score", *[W] * (W in out.columns))
 
-    Each cluster's model scores the whole out-of-time set (as the reference);
-    the AUROC of that scoring is attached to every row of its table.
-    """
-    v, labelled, test = cluster_frames(spark, sf_dir, name, k)
-    out = None
-    for c in range(k):
-        tr = labelled.where(F.col("cluster") == c)
-        vocab = E.collect_vocabulary(E.vocabulary(tr, v.selected))
-        vocab = _non_empty(tr, vocab)
-        fit = M.fit_logit(tr, vocab)
-        auc = D.auroc(D.score_histogram(fit.score(test)), []).first()["auroc"]
-        t = fit.summary(spark).select(F.lit(c).alias("cluster"), "*", F.lit(auc).alias("oot_auroc"))
-        out = t if out is None else out.unionByName(t)
-    return out
 
+def variant_rates(a: S.Activity, name: str, kind: str = "logit") -> DataFrame:
+    """Steps 8-10 of a global variant: weekly actual vs predicted from the scored pattern table."""
+    v, _, pat, fitted = fit_global(a, name, kind)
+    return D.rates_by_period(scored_result(fitted.score(pat), v.thresholds(kind), a.period), a.period, weight=W)
 
-def variant_rates(spark: SparkSession, sf_dir: str, name: str, model: str = "logit") -> DataFrame:
-    """Steps 8-10 of a global variant: fit on development rows, score dev and
-    out-of-time rows with the variant's thresholds, weekly actual vs predicted."""
-    v = VARIANTS[name]
-    base = model_base(spark, sf_dir, v)
-    train, test = split(base)
-    vocab = E.collect_vocabulary(E.vocabulary(train, v.selected))
-    if model == "logit":
-        fit = M.fit_logit(train, _non_empty(train, vocab))
-        res = scored_result(v, fit.score, train, test, v.lr_thresholds)
-    else:
-        rf = M.fit_forest(train, vocab)
-        res = scored_result(v, lambda d: M.forest_score(rf, d, vocab), train, test, v.rf_thresholds)
-    return D.rates_by_period(res)
-
-
-def export_rates(spark: SparkSession, sf_dir: str, out_dir: str, name: str = "1p") -> dict[str, str]:
+
+def export_rates(a: S.Activity, out_dir: str, name: str = "1p") -> dict[str, str]:
     """S3: the reference's ``logistic_<n>w.csv`` / ``rf_<n>w.csv`` reports."""
     from ..sources.tables import write_small_csv
     paths = {}
-    for model, stem in (("logit", "logistic"), ("forest", "rf")):
+    for kind, stem in (("logit", "logistic"), ("forest", "rf")):
         path = f"{out_dir.rstrip('/')}/{stem}_{name}.csv"
-        write_small_csv(variant_rates(spark, sf_dir, name, model).orderBy("period"), path)
-        paths[model] = path
+        write_small_csv(variant_rates(a, name, kind).orderBy(a.period), path)
+        paths[kind] = path
     return paths
 
 
-def cluster_forest_importance(spark: SparkSession, sf_dir: str, name: str = "1p_attrs", k: int = 3) -> DataFrame:
-    """M6/M7 per cluster: one forest per cluster, importances stacked with the cluster id."""
-    v, labelled, test = cluster_frames(spark, sf_dir, name, k)
+# ---------------------------------------------------------------- evaluation
+EVALUATION = "section string, is_test boolean, threshold double, item string, value double"
+
+
+def evaluation(hist: DataFrame, thresholds, psi: DataFrame) -> DataFrame:
+    """All evaluation tables of one model from its score histogram ``(is_test, score, n_pos, n_neg)``, stacked as
+    ``(section, is_test, threshold, item, value)``: confusion, report, roc, gains, predicted_bad, summary, sweep, psi."""
+    keys = ["is_test"]
+    t = F.when(F.col("is_test"), F.lit(thresholds[1])).otherwise(F.lit(thresholds[0]))
+    counts = D.threshold_counts(hist, keys, t)
+    none = F.lit(None).cast("double")
+
+    def long(df, section, at, items):
+        cells = F.array(*[F.struct(F.lit(n).alias("item"), c.cast("double").alias("value")) for n, c in items])
+        return df.select(F.lit(section).alias("section"), "is_test", at.alias("threshold"), F.inline(cells))
+
+    col = F.col
+    report = D.classification_report(counts, keys)
+    out = [
+        long(counts, "confusion", t, [(c, col(c)) for c in ("tn", "fp", "fn", "tp")]),
+        report.select(F.lit("report").alias("section"), "is_test", t.alias("threshold"), F.inline(F.array(*[
+            F.struct(F.concat_ws(" ", "row", F.lit(c)).alias("item"), col(c).cast("double").alias("value"))
+            for c in ("precision", "recall", "f1_score", "support")]))),
+        long(D.roc_points(hist, keys), "roc", col("threshold"), [("fpr", col("fpr")), ("tpr", col("tpr"))]),
+        long(D.gains(hist, keys), "gains", col("score"), [(c, col(c)) for c in (
+            "cum_n_population", "cum_n_good", "cum_n_bad", "cum_perc_population", "cum_perc_good", "cum_perc_bad")]),
+        long(D.gains_predicted_bad(hist, keys, t), "predicted_bad", col("score"), [("cum_perc_predicted_bad", col("cum_perc_predicted_bad"))]),
+        long(D.auroc(hist, keys).join(D.ks(hist, keys), keys), "summary", none, [(c, col(c)) for c in ("auroc", "gini", "ks")]),
+        long(D.threshold_sweep(hist, keys), "sweep", col("threshold"), [(c, col(c)) for c in D.SWEEP_COLUMNS]),
+        long(psi.withColumn("is_test", F.lit(True)), "psi", none, [(c, col(c)) for c in ("psi_churn", "psi_not_churn")]),
+    ]
+    whole = out[0]
+    for part in out[1:]:
+        whole = whole.unionByName(part)
+    return whole
+
+
+def global_evaluation(a: S.Activity, name: str, kind: str) -> DataFrame:
+    v, _, pat, fitted = fit_global(a, name, kind)
+    hist = D.score_histogram(fitted.score(pat), ["is_test"], weight=W)
+    return evaluation(hist, v.thresholds(kind), D.psi_label(pat, weight=W))
+
+
+def evaluation_checks(table: DataFrame, by=()) -> DataFrame:
+    """What an evaluation must agree on with the data, whatever the model: the confusion cells add up to the rows
+    and goods of the split, the gains curve ends at them, the ROC runs from (0,0) to (1,1) without falling."""
+    item, value, section = F.col("item"), F.col("value"), F.col("section")
+    pick = lambda s, i: F.when((section == s) & item.isin(*i), value)
+    near_one = lambda s, i: F.round(F.max(pick(s, [i])), 9) == 1.0
+    return table.where(section != "psi").groupBy(*by, "is_test").agg(
+        F.sum(pick("confusion", ["tn", "fp", "fn", "tp"])).cast("bigint").alias("n_rows"),
+        F.sum(pick("confusion", ["fn", "tp"])).cast("bigint").alias("n_good"),
+        F.max(pick("gains", ["cum_n_population"])).cast("bigint").alias("gains_rows"),
+        F.max(pick("gains", ["cum_n_good"])).cast("bigint").alias("gains_good"),
+        F.max(pick("sweep", ["support_1"])).cast("bigint").alias("sweep_good"),
+        (near_one("roc", "tpr") & near_one("roc", "fpr") & (F.min(pick("roc", ["tpr"])) == 0)).alias("roc_spans"),
+        (F.round(F.max(pick("summary", ["gini"])) - 2 * F.max(pick("summary", ["auroc"])), 9) == -1.0).alias("gini_agrees"))
+
+
+# ---------------------------------------------------------------- cluster family
+def cluster_centres(a: S.Activity, v: Variant, k: int = K):
+    train = split(model_base(a, v))[0]
+    return M.fit_kmeans(train, v.kmeans_columns(a.measures), k)
+
+
+def clustered(a: S.Activity, v: Variant, k: int = K, cluster=None) -> DataFrame:
+    """The variant's rows with their cluster; ``cluster`` may give it as an expression instead of K-means.
+    The label is a row-local expression over the fitted centres, so nothing needs to be written to keep it."""
+    base = model_base(a, v)
+    if cluster is None:
+        cluster = M.nearest_centre(v.kmeans_columns(a.measures), cluster_centres(a, v, k))
+    return base.withColumn("cluster", cluster.cast("int"))
+
+
+def cluster_rankings(a: S.Activity, name: str, kind: str, cluster=None, k: int = K) -> DataFrame:
+    """Step 6 per cluster: IV ranking of the training rows of each cluster."""
+    v = VARIANTS[name]
+    train = split(clustered(a, v, k, cluster))[0]
     out = None
     for c in range(k):
-        tr = labelled.where(F.col("cluster") == c)
-        vocab = E.collect_vocabulary(E.vocabulary(tr, v.selected))
-        rf = M.fit_forest(tr, vocab)
-        t = M.importances(spark, rf, vocab).select(F.lit(c).alias("cluster"), "*")
+        rows = train.where(F.col("cluster") == c)
+        ranked = (V.rank_order(V.iv_rank_discrete(rows, v.candidates), "DISCRETE_COL", "DISTINCT") if kind == "discrete"
+                  else V.rank_order(V.iv_rank_continuous(rows, a.measures), "CONTINUOUS_COL", "BEST_CUT"))
+        ranked = ranked.withColumn("cluster", F.lit(c))
+        out = ranked if out is None else out.unionByName(ranked)
+    return out
+
+
+def cluster_fits(a: S.Activity, name: str, kind: str, k: int = K, cluster=None):
+    """(cluster, variant, patterns, fitted model) of each cluster with training rows. The pattern table covers all
+    clusters; only the forest goes back to rows, of which just its columns are checkpointed."""
+    v = VARIANTS[name]
+    rows = clustered(a, v, k, cluster)
+    columns = sorted({c for i in range(k) for c in v.selected(i)})
+    pat = pattern_table(rows, columns, ["cluster"], a.period)
+    train = split(pat)[0]
+    if kind == "forest":
+        rows = cut_lineage(split(rows)[0].select(*columns, S.LABEL, "cluster"))
+    have = {r.cluster for r in train.select("cluster").distinct().collect()}
+    for c in sorted(have):
+        mine = train.where(F.col("cluster") == c)
+        yield c, v, pat, Fitted(kind, mine, v.selected(c), rows.where(F.col("cluster") == c))
+
+
+def cluster_evaluation(a: S.Activity, name: str, kind: str, k: int = K) -> DataFrame:
+    """Step 9 per cluster: evaluation of each cluster's model on its training rows and on the whole out-of-time set."""
+    out = None
+    for c, v, pat, fitted in cluster_fits(a, name, kind, k):
+        mine = pat.where(F.col("is_test") | (F.col("cluster") == c))
+        hist = D.score_histogram(fitted.score(mine), ["is_test"], weight=W)
+        table = evaluation(hist, v.thresholds(kind, c), D.psi_label(mine, weight=W)).withColumn("cluster", F.lit(c))
+        out = table if out is None else out.unionByName(table)
+    return out
+
+
+def cluster_logit_summary(a: S.Activity, name: str = "1p_attrs", k: int = K) -> DataFrame:
+    """Coefficient tables of the clusters' models, each with the AUROC of its out-of-time scoring."""
+    out = None
+    for c, _, pat, fitted in cluster_fits(a, name, "logit", k):
+        hist = D.score_histogram(fitted.score(split(pat)[1]), weight=W)
+        auc = D.auroc(hist, []).first()["auroc"]
+        t = fitted.model.summary(pat.sparkSession).select(F.lit(c).alias("cluster"), "*", F.lit(auc).alias("oot_auroc"))
+        out = t if out is None else out.unionByName(t)
+    return out
+
+
+def cluster_forest_importance(a: S.Activity, name: str = "1p_attrs", k: int = K) -> DataFrame:
+    """M6/M7 per cluster: one forest per cluster, importances stacked with the cluster id."""
+    out = None
+    for c, _, pat, fitted in cluster_fits(a, name, "forest", k):
+        t = M.importances(pat.sparkSession, fitted.model, fitted.vocab).select(F.lit(c).alias("cluster"), "*")
         out = t if out is None else out.unionByName(t)
     return out
 
 
-def _non_empty(train: DataFrame, vocab):
-    """Drop dummies constant within a cluster (they make the information matrix singular)."""
-    if not vocab:
-        return vocab
-    arr = E.design_array(vocab)
-    sums = train.select(arr.alias("x")).select(
-        *[F.sum(F.col("x")[i]).alias(f"s{i}") for i in range(len(vocab))]).first()
-    n = train.count()
-    return [v for i, v in enumerate(vocab) if 0 < (sums[f"s{i}"] or 0) < n]
+def elbow(a: S.Activity, name: str) -> list[tuple[int, float]]:
+    v = VARIANTS[name]
+    return M.kmeans_elbow(split(model_base(a, v))[0], v.kmeans_columns(a.measures))
+
+

@@ -74,3 +74,25 @@ def test_elbow_non_increasing_and_k1_is_total_ss(spark):
     sizes = sorted(r["count"] for r in lab.groupBy("cluster").count().collect())
     assert sizes == [40, 40, 40]
     assert lab.agg(F.min("cluster"), F.max("cluster")).first() == (0, 2)
+
+
+def test_kmeans_does_not_depend_on_the_partitioning(spark):
+    rng = np.random.default_rng(8)
+    pts = np.vstack([rng.normal(c, 1.2, (150, 2)) for c in (0, 4, 9)])
+    df = spark.createDataFrame([(float(x), float(z)) for x, z in pts], "x double, z double")
+    sizes = [sorted((r.cluster, r["count"]) for r in M.kmeans_assign(df.repartition(n), ["x", "z"]).groupBy("cluster").count().collect()) for n in (1, 3, 7)]
+    assert sizes[0] == sizes[1] == sizes[2]
+
+
+def test_collinear_dummies_are_named(spark):
+    import pytest
+    rows = [("a", "x", 1), ("a", "x", 0), ("b", "y", 1), ("b", "y", 0), ("c", "z", 1), ("c", "z", 0)] * 5
+    df = spark.createDataFrame(rows, "ca string, cb string, not_churn_1w int")
+    with pytest.raises(ValueError, match="ca:a.*cb:x"):
+        M.fit_logit(df, E.collect_vocabulary(E.vocabulary(df, ["ca", "cb"])))
+
+
+def test_vocabulary_has_no_bound(spark):
+    df = spark.createDataFrame([(f"l{i:05d}", "b") for i in range(12_000)], "ca string, cb string")
+    vocab = E.vocabulary(df, ["ca", "cb"])
+    assert vocab.count() == 11_999 and E.encode_long(df.withColumn("id", F.col("ca")), vocab, ["id"], ["ca"]).count() == 11_999
