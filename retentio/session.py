@@ -47,9 +47,23 @@ def configure(spark: SparkSession) -> SparkSession:
     for k, v in REQUIRED_CONF.items():
         spark.conf.set(k, v)
     release()
+    importable(spark)
     return spark
 
 
+def importable(spark: SparkSession) -> None:
+    """Let Python workers started from now on import this package, also when the driver found it
+    by ``sys.path`` alone. On a cluster with the package installed this changes nothing."""
+    try:
+        env = spark.sparkContext.environment
+    except Exception:  # noqa: BLE001 -- Spark Connect: the server owns its workers
+        return
+    here = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    known = [x for x in env.get("PYTHONPATH", "").split(os.pathsep) if x]
+    if here not in known:
+        env["PYTHONPATH"] = os.pathsep.join([here, *known])
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
