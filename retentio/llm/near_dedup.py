@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from retentio.llm.common import BROADCAST_ROWS, LAST_ID, packed, real_id, saved, small_batches
+from retentio.llm.common import LAST_ID, joined_small, packed, real_id, saved, small_batches
 from retentio.llm.minhash import band_keys, parity_map
 from retentio.llm.tokens import mix, shingle_set
 
@@ -64,11 +64,6 @@ def signed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.mapInArrow(run, "_id long, n long, s1 long, s2 long, bands array<long>, map binary")
 
 
-def joined_small(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
-    """Join with a written table: broadcast if it was counted small, else by shuffle."""
-    return left.join(F.broadcast(right) if right.count() <= BROADCAST_ROWS else right, on, how)
-
-
 def components(links: DataFrame) -> DataFrame:
     """``(node, component)`` for every end of a link ``(a, b)``; the component is its smallest node.
 

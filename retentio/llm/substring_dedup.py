@@ -10,8 +10,9 @@ offset below ``PERIOD`` at which both have an anchor, with the same words. Six i
 that share no anchor share no window. Around anchors found in several documents the match is then extended: all
 full windows over the anchor get a 128-bit hash, and the smallest id of each hash decides.
 
-Plan: anchor rows and window rows are each dealt once by hash; a hash slice that is too full for one task takes the
-pre-aggregated path of :func:`retentio.llm.common.with_span`. Texts move twice, by id; no pairs of documents are formed.
+Plan: exact copies are decided on digests of the texts first. Anchor rows and window rows are each dealt once by hash; a hash slice
+that is too full for one task takes the pre-aggregated path of :func:`retentio.llm.common.with_span`. Only texts with shared anchors
+move to where their windows are hashed; no pairs of documents are formed.
 
 Defined cases: a null text has no words; texts shorter than a window keep everything; null ids count as the largest id;
 rows with equal ids are one document, so they never remove from each other; exact copies lose all
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from retentio.llm.common import LAST_ID, real_id, saved, small_batches, with_span
+from retentio.llm.common import LAST_ID, joined_small, real_id, saved, small_batches, with_span
 from retentio.llm.tokens import mix, split, word_hashes
 
 WINDOW = 50
@@ -128,11 +129,18 @@ def spots(rows: DataFrame) -> DataFrame:
     return rows.groupBy("_id", salt.alias("_salt")).agg(F.collect_list("at").alias("spots"))
 
 
+def later_copies(rows: DataFrame) -> DataFrame:
+    """``(_id, _salt)`` of the documents whose whole text a smaller id holds, by 128-bit digests of the texts."""
+    digests_ = rows.select("_id", "_salt", F.xxhash64("_text").alias("h1"), F.xxhash64(F.lit("text"), F.col("_text")).alias("h2"))
+    return saved(with_span(saved(digests_), ["h1", "h2"]).where("_id > first_id").select("_id", "_salt").distinct())
+
+
 def repeated_windows(rows: DataFrame) -> DataFrame:
     """``(_id, _salt, runs)``: the starts of the windows that an earlier document holds, as runs ``(start, stop)``."""
     found = with_span(saved(anchors(rows)), ["h1"])
     shared = saved(spots(found.where("first_id < last_id").select("_id", "at")))
-    texts = rows.join(shared, ["_id", "_salt"]).dropDuplicates(["_id", "_salt"]).select("_id", "_salt", "_text", "spots")
+    texts = joined_small(rows, saved(shared.select("_id", "_salt")), ["_id", "_salt"], "left_semi")
+    texts = texts.join(shared, ["_id", "_salt"]).dropDuplicates(["_id", "_salt"]).select("_id", "_salt", "_text", "spots")
     later = with_span(saved(windows(texts)), ["h1", "h2"]).where("_id > first_id").select("_id", "at")
     w = Window.partitionBy("_id").orderBy("at")
     runs = (later.withColumn("island", F.col("at") - F.row_number().over(w))
@@ -142,20 +150,35 @@ def repeated_windows(rows: DataFrame) -> DataFrame:
         F.sort_array(F.collect_list(F.struct((F.col("start") - salt).alias("start"), (F.col("stop") - salt).alias("stop")))).alias("runs"))
 
 
+def marked_rows(rows: DataFrame) -> DataFrame:
+    """``(_id, _text, copy, start, stop)`` per row: whether it copies an earlier text, else its repeated runs.
+
+    Every window of a copy starts in the earlier document too, so copies need no windows; and as they have the
+    windows of their first text, none is missed without them. Texts without marks stay where they are while the marked ones are counted few."""
+    copies = later_copies(rows)
+    runs = saved(repeated_windows(joined_small(rows, copies, ["_id", "_salt"], "left_anti")))
+    marks = saved(runs.withColumn("copy", F.lit(False)).unionByName(copies.withColumn("copy", F.lit(True)), allowMissingColumns=True))
+    keys = ["_id", "_salt"]
+    touched = marks.select(*keys)
+    moved = joined_small(rows, touched, keys, "left_semi").join(marks, keys)
+    still = joined_small(rows, touched, keys, "left_anti").withColumns({"copy": F.lit(False), "runs": F.lit(None).cast(marks.schema["runs"].dataType)})
+    return moved.unionByName(still.select(*moved.columns)).select("_id", "_text", "copy", "runs.start", "runs.stop")
+
+
 def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per input row: ``id_col``, ``n_words``, ``n_removed``, ``kept_text`` (kept words joined by
     one space) and the removed word ranges ``array<struct<start, stop>>``, ``stop`` excluded."""
     small_batches(docs.sparkSession)
-    rows = rows_of(docs, id_col, text_col)
-    marked = rows.join(saved(repeated_windows(rows)), ["_id", "_salt"], "left").select("_id", "_text", "runs.start", "runs.stop")
     kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
 
     def run(batches):
         for batch in batches:
             ids, n_words, n_removed, texts, ranges = batch.column(0), [], [], [], []
-            for text, starts, stops in zip(*(c.to_pylist() for c in batch.columns[1:])):
+            for text, copy, starts, stops in zip(*(c.to_pylist() for c in batch.columns[1:])):
                 words = split(text)
                 gone: list[dict] = []
+                if copy and len(words) >= WINDOW:
+                    gone.append({"start": 0, "stop": len(words)})
                 for lo, hi in zip(starts or (), stops or ()):
                     if gone and lo <= gone[-1]["stop"]:
                         gone[-1]["stop"] = hi + WINDOW
@@ -173,7 +196,8 @@ def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             yield pa.RecordBatch.from_arrays([ids, pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()),
                                               pa.array(texts, pa.string()), pa.array(ranges, kind)], ["_id", "n_words", "n_removed", "kept_text", "removed"])
 
-    out = marked.mapInArrow(run, "_id long, n_words long, n_removed long, kept_text string, removed array<struct<start: long, stop: long>>")
+    schema = "_id long, n_words long, n_removed long, kept_text string, removed array<struct<start: long, stop: long>>"
+    out = marked_rows(rows_of(docs, id_col, text_col)).mapInArrow(run, schema)
     return out.select(real_id().alias(id_col), "n_words", "n_removed", "kept_text", "removed")
 
 
