@@ -81,13 +81,15 @@ def _next_index(w, entity: str) -> Column:
 
 
 def densify(obs: DataFrame, fills: Mapping[str, object], entity: str = ENTITY,
-            period: str = PERIOD, periods: DataFrame | None = None, step: int = 1) -> DataFrame:
+            period: str = PERIOD, periods: DataFrame | None = None, step: int = 1,
+            latest: Iterable[str] = ()) -> DataFrame:
     """J1 + J2 + J4 + P10 in one pass: gap-free panel from each entity's first period.
 
     ``fills`` maps each measure/flag column to the value of a gap row; observed
     NULLs in those columns get the same value (the reference's blanket fill).
-    Every other column is carried from the entity's preceding observation
-    (static attributes). Adds ``period_idx``, ``n_periods``, ``first_period``,
+    The ``latest`` columns (attributes) take the value of the entity's newest
+    observation on every row, so an entity keeps one row per period when they change; any other column
+    is carried from the entity's preceding observation. Adds ``period_idx``, ``n_periods``, ``first_period``,
     ``last_paired_idx``.
 
     ``periods`` may give the distinct periods from a cheaper plan (e.g. one
@@ -99,6 +101,7 @@ def densify(obs: DataFrame, fills: Mapping[str, object], entity: str = ENTITY,
     o = o.withColumns({
         "_next": _next_index(w, entity),
         FIRST_PERIOD: F.min(period).over(w),
+        **{c: F.last(c).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)) for c in latest},
     })
     q = F.explode(F.sequence(F.col(PERIOD_IDX), F.greatest(F.col(PERIOD_IDX), F.col("_next") - 1)))
     g = o.withColumn("_q", q)

@@ -327,6 +327,9 @@ def panel_queries() -> dict[str, str]:
     q["panel_fanout"] = W(*panel_ctes(changing, *ch), body=f"SELECT {cols} FROM panel")
     q["panel_densify_attrs_changing"] = W(*panel_ctes(changing, *ch, on_attrs=True), body=f"SELECT {cols} FROM panel")
     gap = panel_ctes(changing, "", ch[1])
+    q["panel_latest_attrs"] = W(*gap, ("newest", "SELECT * FROM src QUALIFY ROW_NUMBER() OVER (PARTITION BY entity_id ORDER BY period DESC) = 1"),
+        body="SELECT p.entity_id, p.period, n.vehicle_brand, n.vehicle_model, p.sum_sh, p.completed_trip, p.not_churn "
+             "FROM panel p JOIN newest n ON n.entity_id = p.entity_id")
     for how in ("inner", "filled"):
         q[f"label_gap_{how}"] = W(*gap, ("lab", next_label("panel", how)), body="SELECT entity_id, period, not_churn, not_churn_1w FROM lab")
     q["churn_rate_ttc"] = W(*P1, ("lab", next_label("panel", "inner")), body=(

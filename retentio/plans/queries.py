@@ -145,6 +145,11 @@ def q_panel_fanout(spark, sf):
     return P.densify_on_grid(_changing(spark, sf), CHANGING_FILLS, CHANGING_ATTRS).select(*CHANGING_COLS)
 
 
+def q_panel_latest_attrs(spark, sf):
+    """J2 on changing attributes, the default: one row per period with the entity's newest attributes."""
+    return P.densify(_changing(spark, sf), CHANGING_FILLS, latest=CHANGING_ATTRS).select(*CHANGING_COLS)
+
+
 def q_panel_attrs_changing(spark, sf):
     """J2b on changing attributes: an observation counts for its own tuple only."""
     return P.densify_by_tuple(_changing(spark, sf), CHANGING_FILLS, CHANGING_ATTRS).select(*CHANGING_COLS)
@@ -186,6 +191,7 @@ def panel_queries() -> dict[str, Query]:
     q.update(S.SLICES)
     q.update(S.WEEKLY_SLICES)
     q["panel_fanout"] = q_panel_fanout
+    q["panel_latest_attrs"] = q_panel_latest_attrs
     q["panel_densify_attrs_changing"] = q_panel_attrs_changing
     q["label_gap_inner"] = _label_gap("inner")
     q["label_gap_filled"] = _label_gap("filled")

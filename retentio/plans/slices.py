@@ -54,7 +54,7 @@ class Activity:
 
 @dataclass(frozen=True)
 class Spec:
-    """Parameters of a variant: attributes kept ('carry'), joined on ('key') or dropped; trailing window; label
+    """Parameters of a variant: attributes kept ('latest' per entity), joined on ('key') or dropped; trailing window; label
     join; previous-period flag; warm-up cut ('entity' or 'global', periods); segment re-derived from sum_sh."""
 
     attrs: str | None = None
@@ -65,7 +65,7 @@ class Spec:
 
 
 SPECS = {
-    "slice_1p": Spec(attrs="carry", label="inner"),
+    "slice_1p": Spec(attrs="latest", label="inner"),
     "slice_2p": Spec(window=2, warmup=("entity", 0)),
     "slice_3p": Spec(window=3, prev=True, warmup=("entity", 1)),
     "slice_1p_attrs": Spec(attrs="key"),
@@ -84,7 +84,7 @@ def panel_of(a: Activity, spec: Spec) -> DataFrame:
     fills |= {"segment": a.fills["segment"]} if "segment" in a.fills else {}
     if spec.attrs == "key":
         return P.densify_by_tuple(rows, fills, a.attrs, a.entity, a.period, a.periods, a.step)
-    return P.densify(rows, fills, a.entity, a.period, a.periods, a.step)
+    return P.densify(rows, fills, a.entity, a.period, a.periods, a.step, latest=a.attrs)
 
 
 def slice_of(a: Activity, spec: Spec) -> DataFrame:
