@@ -6,7 +6,7 @@ import numpy as np
 import xxhash
 
 # Words whose hashes a worker keeps before it starts afresh.
-MAX_WORDS = 500_000
+MAX_WORDS = 100_000
 WIDTH = 5
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _S30, _S27, _S31 = np.uint64(30), np.uint64(27), np.uint64(31)

@@ -36,7 +36,7 @@ MIN_EXAMPLES = 3        # examples of class 1 that hold a selected term, at leas
 NEIGHBOURS = 25
 SHRINK = 0.1            # weight of the prior in a vote
 BLOCK = 64              # examples per block of the index
-MAX_WORDS = 500_000     # words whose terms a worker remembers
+MAX_WORDS = 150_000     # words whose terms a worker remembers
 THRESHOLD = 0.3
 WORD = re.compile(r"[^\W\d_]+")
 
