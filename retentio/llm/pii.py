@@ -10,7 +10,7 @@ still hold, and those that did not still do not; given names keep the gender of
 
 Distinctness: the distinct entities of the corpus form a table. Surrogates that two entities of a kind share, or
 that are themselves an entity of the corpus, are found by grouping; all but the first entity draw again, until none
-collide.
+collide. An entity that finds no free surrogate of its own length gets a longer one.
 
 Plan: one scan finds the entities; only documents that have some go on, written once. Entities are pre-aggregated before they
 move; the surrogates come back by a join on the entity that adaptive execution splits where one entity fills a
@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -34,8 +35,8 @@ from pyspark.sql import functions as F
 
 from retentio.llm.common import keyed, packed, real_id, saved, small_batches
 
-# Rounds of drawing again before a kind's space of surrogates counts as used up.
-MAX_ROUNDS = 64
+# Attempts that draw in the entity's own length; every later one draws from a space at least ten times as large.
+SAME_LENGTH = 8
 
 # Forms of address by gender, and given names and surname parts by script.
 ADDRESS = {
@@ -69,7 +70,7 @@ IP = re.compile(r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-
 IBAN = re.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b")
 CARD = re.compile(r"(?<!\d)(?<!\d[ .-])\d(?:[ -]?\d){12,18}(?![ .-]?\d)")
 PHONE = re.compile(r"(?<![\w+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,5}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{2,5}\)[ .-]?\d{3,4}[ .-]\d{3,4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\d)")
-SECRET = re.compile(r"(?i)\b(?:password|passwd|pwd|token|secret|api[_-]?key|access[_-]?key)\b[\"']?\s*[:=]\s*[\"']?([A-Za-z0-9_+/.=-]{8,})")
+SECRET = re.compile(r"(?i)\b(?:password|passwd|pwd|token|secret|api[_-]?key|access[_-]?key)\b[\"']?\s*[:=]\s*[\"']?((?=[_+/.=-]*[A-Za-z0-9])[A-Za-z0-9_+/.=-]{8,})")
 HEX = re.compile(r"(?<![0-9A-Za-z])(?=[0-9]*[A-Fa-f])(?:[0-9a-f]{32,}|[0-9A-F]{32,})(?![0-9A-Za-z])")
 
 
@@ -166,49 +167,56 @@ class Draw:
 
 
 def surrogate(key: bytes, kind: str, norm: str, attempt: int) -> str:
-    """The normal form that stands for ``norm``."""
+    """The normal form that stands for ``norm``. From attempt ``SAME_LENGTH`` on it is drawn longer and longer (addresses:
+    past their range, then past valid ones), so that no number of entities uses the space up."""
     draw = Draw(key, kind, norm, attempt)
+    more = max(0, attempt + 1 - SAME_LENGTH)
     if kind == "email":
         local, domain = norm.rsplit("@", 1)
         labels = domain.split(".")
         keep = 2 if labels[-2:-1] == ["example"] else 1  # the reserved example domain stays as it is
         named = Draw(key, "domain", domain)  # one domain, one surrogate domain
-        return draw.like(local) + "@" + ".".join([named.like(x) for x in labels[:-keep]] + labels[-keep:])
+        return draw.like(local + "a" * more) + "@" + ".".join([named.like(x) for x in labels[:-keep]] + labels[-keep:])
     if kind == "ip":
         first = int(norm.split(".")[0])
+        if more > SAME_LENGTH:  # no valid address is one of these
+            return ".".join(str(256 + draw.below(744)) for _ in range(4))
+        if more:
+            first = 1 + draw.below(223)
         rest = [str(draw.below(256)) for _ in range(2)] + [str(1 + draw.below(254))]
         return ".".join([str(first) if first in (10, 127) else str(11 + draw.below(112)) if first < 128 else str(128 + draw.below(96)), *rest])
     if kind == "card":
-        body = norm[0] + "".join(str(draw.below(10)) for _ in norm[1:-1])
+        body = norm[0] + "".join(str(draw.below(10)) for _ in norm[1:-1] + "0" * more)
         right = next(c for c in "0123456789" if luhn(body + c))
         return body + (right if luhn(norm) else str((int(right) + 1 + draw.below(9)) % 10))
     if kind == "iban":
-        body = draw.like(norm[4:])
+        body = draw.like(norm[4:] + "0" * more)
         rest = int("".join(str(int(c, 36)) for c in body + norm[:2] + "00")) % 97
         return norm[:2] + f"{98 - rest:02d}" + body
     if kind == "phone":
         keep = 2 if norm[0] == "+" else 0  # the plus sign and the first digit of the country code
-        return norm[:keep] + "".join(str(draw.below(10)) for _ in norm[keep:])
+        return norm[:keep] + "".join(str(draw.below(10)) for _ in norm[keep:] + "0" * more)
     if kind.startswith("name-"):
         part, script = kind.split("-", 1)[1].rsplit("-", 1)
         if part.startswith("given-"):
             names = GIVEN[script, part[-1]]
-            # Where the list does not suffice, further given names keep people apart.
-            more = [names[draw.below(len(names))] for _ in range(1 + attempt // 3)]
-            return "-".join(more).casefold()
+            # Where the list does not suffice, further given names keep people apart, and then a made-up one.
+            given = [names[draw.below(len(names))] for _ in range(1 + min(attempt, SAME_LENGTH) // 3)]
+            made = "".join(SYLLABLES[script][draw.below(len(SYLLABLES[script]))] for _ in range(more))
+            return "-".join([*given, *[made] * bool(made)]).casefold()
         parts = SYLLABLES[script]
-        return ("".join(parts[draw.below(len(parts))] for _ in range(2 + attempt // 8)) + ENDINGS[script][draw.below(len(ENDINGS[script]))]).casefold()
-    return draw.like(norm)
+        return ("".join(parts[draw.below(len(parts))] for _ in range(2 + more)) + ENDINGS[script][draw.below(len(ENDINGS[script]))]).casefold()
+    return draw.like(norm + next(c for c in norm if c.isalnum()) * more)
 
 
 def write_like(mention: str, kind: str, norm: str) -> str:
     """The surrogate's normal form in the format of the mention."""
     if kind in ("card", "phone"):
         digits = iter(digits_of(norm))
-        return "".join(next(digits, "") if c.isdigit() else c for c in mention)
+        return "".join([next(digits, "") if c.isdigit() else c for c in mention]) + "".join(digits)
     if kind == "iban":
         chars = iter(norm)
-        return "".join(c if c == " " else next(chars, "") for c in mention)
+        return "".join([c if c == " " else next(chars, "") for c in mention]) + "".join(chars)
     if kind == "email" or kind.startswith("name-"):
         if mention.isupper() and len(mention) > 1:
             return norm.upper()
@@ -251,9 +259,10 @@ def draw_all(entities: DataFrame, key: bytes, attempt: int) -> DataFrame:
 
 def surrogates(entities: DataFrame, key: bytes) -> DataFrame:
     """``(kind, norm, surrogate)`` with one surrogate per entity and one entity per surrogate; no surrogate is an
-    entity of the corpus. Each round settles who drew a free surrogate and lets the others draw again."""
+    entity of the corpus. Each round settles who drew a free surrogate and lets the others draw again; as the space
+    grows with the attempts, the number of rounds grows with the logarithm of the number of entities."""
     settled, open_ = None, entities
-    for attempt in range(MAX_ROUNDS):
+    for attempt in itertools.count():
         drawn = draw_all(open_, key, attempt)
         taken = entities.select("kind", F.col("norm").alias("surrogate"))
         if settled is not None:
@@ -264,7 +273,6 @@ def surrogates(entities: DataFrame, key: bytes) -> DataFrame:
         open_ = saved(open_.join(won.select("kind", "norm"), ["kind", "norm"], "left_anti"))
         if open_.isEmpty():
             return settled
-    raise RuntimeError("surrogates are used up for: " + ", ".join(sorted(r.kind for r in open_.select("kind").distinct().collect())))
 
 
 def replaced(docs: DataFrame, key: bytes, id_col: str, text_col: str) -> DataFrame:

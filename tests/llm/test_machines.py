@@ -196,6 +196,20 @@ def test_surrogates_stay_distinct_when_draws_collide(spark, monkeypatch):
     assert len(got) == 6 == len({r.surrogate for r in got}) and not {r.surrogate for r in got} & {str(i) for i in range(6)}
 
 
+def test_small_surrogate_spaces_widen(spark):
+    assert pii.find("Password: ________ and secret = ----------") == []
+    norms = [("email", f"{c}@example.com") for c in "abcdefghijklmnopqrstuvwxyz0123456789"] + [("secret", f"_______{i}") for i in range(10)]
+    norms += [("name-given-n-greek", f"{c}{d}ρης") for c in "αβγδε" for d in "αβγδε"]
+    got = pii.surrogates(spark.createDataFrame(norms, "kind string, norm string"), KEY).collect()
+    assert {(r.kind, r.norm) for r in got} == set(norms)
+    assert len({(r.kind, r.surrogate) for r in got}) == len(norms) and not {(r.kind, r.surrogate) for r in got} & set(norms)
+    for kind, norm in [("card", "4111111111111111"), ("card", "4111111111111112"), ("phone", "+1234567"), ("iban", "DE89370400440532013000"), ("ip", "10.0.0.7")]:
+        far = [pii.surrogate(KEY, kind, norm, a) for a in (0, 12, 24)]
+        assert kind == "ip" or [len(x) - len(norm) for x in far] == [0, 5, 17]
+        assert [pii.luhn(x) for x in far] == [pii.luhn(norm)] * 3 if kind == "card" else kind != "iban" or all(map(pii.iban_holds, far))
+        assert kind == "ip" or [pii.write_like(norm, kind, x) for x in far] == far
+
+
 # ---------------------------------------------------------------- top-k
 
 def test_topk_equals_brute_force(spark):
