@@ -17,7 +17,8 @@ move; the surrogates come back by a join on the entity that adaptive execution s
 third of the mentions; texts are rewritten next to their mentions.
 
 Defined cases: null, empty and entity-free texts give no row in :func:`pseudonymised` and pass :func:`rewrite` unchanged;
-overlapping finds keep the earliest, then the longest; null ids stay null; repeated rows are each
+adjacent numbers are told apart by their groupings and checksums, and
+overlapping finds that remain keep the earliest, then the longest; null ids stay null; repeated rows are each
 rewritten alike; an empty table gives an empty result.
 """
 
@@ -68,8 +69,12 @@ NAMES = re.compile(r"\b(" + "|".join(sorted((t for ts in ADDRESS.values() for t
 EMAIL = re.compile(r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}")
 IP = re.compile(r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?!\.?\d)")
 IBAN = re.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b")
-CARD = re.compile(r"(?<!\d)(?<!\d[ .-])\d(?:[ -]?\d){12,18}(?![ .-]?\d)")
+DIGITS = re.compile(r"(?<!\d)\d(?:[ -]?\d){12,}")
 PHONE = re.compile(r"(?<![\w+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,5}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{2,5}\)[ .-]?\d{3,4}[ .-]\d{3,4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\d)")
+NANP = re.compile(r"(?<![\w+])\+1[ .-]?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]?\d{4}(?!\d)")
+# Lengths of the digit groups that cards are written in, besides 13 to 19 digits in one.
+GROUPS = [(4, 4, 4, 4, 3), (4, 4, 4, 4, 2), (4, 4, 4, 4, 1), (4, 4, 4, 4), (4, 6, 5), (4, 4, 4, 3), (4, 6, 4), (4, 4, 4, 2), (4, 4, 4, 1)]
+USUAL = [(4, 4, 4, 4), (4, 6, 5), (4, 6, 4)]
 SECRET = re.compile(r"(?i)\b(?:password|passwd|pwd|token|secret|api[_-]?key|access[_-]?key)\b[\"']?\s*[:=]\s*[\"']?((?=[_+/.=-]*[A-Za-z0-9])[A-Za-z0-9_+/.=-]{8,})")
 HEX = re.compile(r"(?<![0-9A-Za-z])(?=[0-9]*[A-Fa-f])(?:[0-9a-f]{32,}|[0-9A-F]{32,})(?![0-9A-Za-z])")
 
@@ -96,21 +101,101 @@ def script_of(name: str) -> str:
     return "cyrillic" if "Ѐ" <= c <= "ӿ" else "greek" if "Ͱ" <= c <= "Ͽ" or "ἀ" <= c <= "῿" else "latin"
 
 
+def _ibans(text: str) -> Iterator[tuple[int, int]]:
+    """Account numbers whose checksum holds; a following word that the pattern takes along is left out again."""
+    pos = 0
+    while m := IBAN.search(text, pos):
+        start, stop, pos = m.start(), m.end(), m.start() + 1
+        while stop - start >= 12:
+            bare = text[start:stop].replace(" ", "")
+            if len(bare) >= 12 and iban_holds(bare):
+                yield start, stop
+                pos = stop
+                break
+            stop = text.rfind(" ", start, stop)
+
+
+def _cards(text: str, others: list[tuple[int, int]]) -> Iterator[tuple[int, int, bool]]:
+    """Card and account numbers among the digit groups that touch none of ``others``, and whether their grouping
+    marks them as such. Of adjacent groups, cards in a known grouping whose checksum holds go first, then solid numbers,
+    then what is left over if it is as long as a card, then cards in the usual groupings."""
+
+    def solid(piece, i):
+        return 1 if 13 <= piece[i][1] - piece[i][0] <= 19 else 0
+
+    def grouped(piece, i, shapes):
+        lengths = tuple(b - a for a, b in piece[i:i + 5])
+        return (len(s) for s in shapes if lengths[:len(s)] == s)
+
+    def valid(piece, i):
+        found = [*[1] * solid(piece, i), *grouped(piece, i, GROUPS)]
+        return next((k for k in found if luhn(digits_of(text[piece[i][0]:piece[i + k - 1][1]]))), 0)
+
+    def whole(piece, i):
+        return len(piece) if i == 0 and 13 <= sum(b - a for a, b in piece) <= 19 else 0
+
+    def usual(piece, i):
+        return next(grouped(piece, i, USUAL), 0)
+
+    for m in DIGITS.finditer(text):
+        groups = [(g.start(), g.end()) for g in re.compile(r"\d+").finditer(text, m.start(), m.end())]
+        pieces: list[list[tuple[int, int]]] = [[]]
+        for a, b in groups:
+            # Parts of decimals and of versions are no cards, nor is what belongs to another find.
+            if (text[a - 1:a] == "." and text[a - 2:a - 1].isdigit() or text[b:b + 1] == "." and text[b + 1:b + 2].isdigit()
+                    or any(x < b and a < y for x, y in others)):
+                pieces.append([])
+            else:
+                pieces[-1].append((a, b))
+        for rule in (valid, solid, whole, usual):
+            rest = []
+            for piece in pieces:
+                start = i = 0
+                while i < len(piece):
+                    if k := rule(piece, i):
+                        yield piece[i][0], piece[i + k - 1][1], rule is not whole
+                        rest.append(piece[start:i])
+                        start = i = i + k
+                    else:
+                        i += 1
+                rest.append(piece[start:])
+            pieces = [x for x in rest if x]
+
+
+def _phones(text: str, stops: list[int]) -> Iterator[tuple[int, int]]:
+    """Telephone numbers, cut at the first of ``stops`` if what is left is one. After +1 come ten digits."""
+    pos = 0
+    while m := PHONE.search(text, pos):
+        start, pos = m.span()
+        if exact := NANP.match(text, start):
+            pos = exact.end()
+        elif at := next((x for x in stops if start < x < pos), 0):
+            short = PHONE.match(text, start, at)
+            if short and len(digits_of(short.group())) >= 7:
+                pos = short.end()
+        if len(digits_of(text[start:pos])) >= 7:
+            yield start, pos
+
+
 def _finds(text: str) -> Iterator[tuple[int, int, str, str]]:
+    others = []
     if "@" in text:
         for m in EMAIL.finditer(text):
+            others.append(m.span())
             yield m.start(), m.end(), "email", m.group().lower()
     for m in IP.finditer(text):
+        others.append(m.span())
         yield m.start(), m.end(), "ip", m.group()
-    for m in IBAN.finditer(text):
-        bare = m.group().replace(" ", "")
-        if iban_holds(bare):
-            yield m.start(), m.end(), "iban", bare
-    for m in CARD.finditer(text):
-        yield m.start(), m.end(), "card", digits_of(m.group())
-    for m in PHONE.finditer(text):
-        if len(digits_of(m.group())) >= 7:
-            yield m.start(), m.end(), "phone", ("+" if m.group()[0] == "+" else "") + digits_of(m.group())
+    for a, b in _ibans(text):
+        others.append((a, b))
+        yield a, b, "iban", text[a:b].replace(" ", "")
+    stops = [a for a, _ in others]
+    others += [m.span() for m in NANP.finditer(text)] if "+1" in text else []
+    for a, b, marked in _cards(text, others):
+        stops += [a] * marked
+        yield a, b, "card", digits_of(text[a:b])
+    for a, b in _phones(text, sorted(stops)):
+        yield a, b, "phone", ("+" if text[a] == "+" else "") + digits_of(text[a:b])
     if ":" in text or "=" in text:
         for m in SECRET.finditer(text):
             yield m.start(1), m.end(1), "secret", m.group(1)

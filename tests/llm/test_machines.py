@@ -171,6 +171,19 @@ def test_detection_and_formats():
     assert pii.find("v 1.2.3 at 12:30, version 10.20.30.40.50, id 123456, in 2024-01-02") == [] and pii.find(None) == []
 
 
+@pytest.mark.parametrize("parts", [
+    ["7536784127813050", "4845168114407329"], ["7536 7841 2781 3050", "4845-1681-1440-7329", "12 34"], ["12 34", "4111 1111 1111 1111", "12 34"],
+    ["3782 822463 10005", "4111 1111 1111 1111"], ["4111 1111 1111 1112", "4111 1111 1111 1112"], ["190.137.223.4", "7536784127813050", "190.137.223.4"],
+    ["+1 (826) 555-4081", "190.137.223.4"], ["+49 30 1234567", "190.137.223.4"], ["+1 (826) 555-4081", "7536 7841 2781 3050"], ["826-555-4081", "7536784127813050"],
+    ["DE89 3704 0044 0532 0130 00", "BIC"], ["GB82 WEST 1234 5698 7654 32", "BIC", "4111 1111 1111 1111"], ["FR14 2004 1010 0505 0001 3M02 606", "DE89 3704 0044 0532 0130 00"],
+    ["GB29 NWBK 6016 1331 9268 19", "4111 1111 1111 1111"], ["1234 567 8901 23"], ["AB12 CDEF", "DE89 3704 0044 0532 0130 00"],
+])
+def test_adjacent_entities(parts):
+    text = "see " + " ".join(parts) + " end"
+    want = [x for x in parts if x not in ("BIC", "12 34", "AB12 CDEF")]
+    assert [text[a:b] for a, b, _, _ in pii.find(text)] == want
+
+
 def test_pseudonymised_documents(spark, no_docs):
     docs = [(i, f"mail u{i % 7}@mail{i % 3}.example.com now, u1@mail1.example.com again") for i in range(60)] + [(70, LETTER), (71, "clean"), (72, None), (None, LETTER)]
     frame = spark.createDataFrame(docs, "doc_id long, text string")
