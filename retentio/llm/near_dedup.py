@@ -19,7 +19,7 @@ adaptive execution splits; buckets of more than ``CHUNK`` members are dealt as p
 again only for classes that share a bucket. Components come from large-star / small-star rounds over written tables.
 
 Defined cases: texts without words (null, empty, blank) have an empty set and are linked with nothing; null ids count as the largest id;
-rows that share an id are one document; equal similarity needs no tie rule, as components are sets; an
+rows that share an id are one document (in :func:`one_of_each`, rows that share id and text); equal similarity needs no tie rule, as components are sets; an
 empty table gives an empty result.
 """
 
@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from retentio.llm.common import LAST_ID, joined_small, packed, real_id, saved, small_batches
+from retentio.llm.common import LAST_ID, WHITE, joined_small, keyed, packed, real_id, saved, small_batches
 from retentio.llm.minhash import band_keys, parity_map
 from retentio.llm.tokens import mix, shingle_set
 
@@ -233,7 +233,35 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with all columns, less the documents that are near-duplicates of one with a smaller id."""
-    rows, known = classes(docs, id_col, text_col)
-    gone = rows.join(known, ["s1", "s2"]).where("_id > component").select("_id").distinct()
-    return packed(docs, id_col, text_col).join(saved(gone), "_id", "left_anti").select(*[F.col("_row")[c].alias(c) for c in docs.columns])
+    """``docs`` with all columns, one row of each group of near-duplicates: one with the smallest id.
+
+    Rows are told apart by id and text: where an id is null or repeated, each of its texts is a document of its own
+    (its node is a hash; the nodes of other documents are their ids), and of rows equal in both one stays."""
+    ids, whole = keyed(docs, id_col, text_col), packed(docs, id_col, text_col)
+    several = ids.groupBy("_id").agg(F.count("*").alias("n")).where((F.col("n") > 1) | (F.col("_id") == LAST_ID))
+    several = saved(several.select("_id", F.lit(True).alias("_several")))
+    unique = several.isEmpty()
+    if not unique:
+        ids, whole = (joined_small(x, several, ["_id"], "left") for x in (ids, whole))
+    node = F.col("_id") if unique else F.when(F.col("_several"), F.xxhash64("_id", "_th")).otherwise(F.col("_id"))
+    ids = ids.withColumn("node", node)
+
+    rows, known = classes(ids.select("node", "_text"), "node", "_text")
+    grouped = saved(rows.join(known, ["s1", "s2"]).select(F.col("_id").alias("node"), "component").distinct())
+    groups = saved(grouped.groupBy("component").agg(F.count("*").alias("n")).where("n > 1").select("component"))
+    members = saved(grouped.join(groups, "component"))
+    keys = saved(joined_small(ids.select("node", "_id", "_th"), members, ["node"]).distinct())
+    first = saved(keys.groupBy("component").agg(F.min(F.struct("_id", "_th")).alias("x")).select("component", "x._id", "x._th"))
+    gone = saved(keys.join(first, ["component", "_id", "_th"], "left_anti").select("_id", "_th").distinct())
+
+    def kept(x: DataFrame) -> DataFrame:
+        return x.join(gone, ["_id", "_th"], "left_anti").select("_id", "_th", "_row")
+
+    if unique:
+        left = kept(whole)
+    else:  # texts without words are no copies of each other
+        words_ = F.coalesce(F.length(F.btrim(F.col("_row")[text_col], F.lit(WHITE))) > 0, F.lit(False))
+        alike = F.coalesce("_several", F.lit(False)) & words_
+        once = kept(whole.where(alike)).groupBy("_id", "_th").agg(F.first("_row").alias("_row"))
+        left = kept(whole.where(~alike)).unionByName(once)
+    return left.select(*[F.col("_row")[c].alias(c) for c in docs.columns])

@@ -188,6 +188,18 @@ def test_one_of_each_keeps_rows_whole(odd_docs):
     assert {r.doc_id for r in out.collect()} == {1, 2, 3, 4, 5, 6, 8, None}
 
 
+def test_one_of_each_tells_null_and_repeated_ids_apart(spark):
+    text = {c: " ".join(f"{c}{k}" for k in range(60)) for c in "abcdef"}
+    rows = [(1, text["a"]), (None, text["a"] + " end"), (None, text["b"]), (2, text["c"]), (3, text["c"] + " end"), (3, text["d"]),
+            (None, text["e"]), (None, text["e"]), (None, text["e"] + " end"), (4, text["f"]), (4, text["f"]), (5, None), (5, None), (None, " "), (None, " ")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [tuple(r) for r in near_dedup.one_of_each(frame).collect()]
+    e = [r for r in got if r[1] and r[1].startswith("e0")]
+    assert len(e) == 1 and e[0][0] is None
+    assert Counter(r for r in got if r not in e) == Counter(
+        [(1, text["a"]), (None, text["b"]), (2, text["c"]), (3, text["d"]), (4, text["f"]), (5, None), (5, None), (None, " "), (None, " ")])
+
+
 def test_components_of_a_path(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, 200), (200, 150)]
     got = dict(map(tuple, near_dedup.components(spark.createDataFrame(edges, "a long, b long")).collect()))
