@@ -1,7 +1,8 @@
 """Personal data replaced by keyed surrogates of the same type, format, script and gender.
 
 Kinds: e-mail addresses, telephone numbers, IPv4 addresses, payment card and account numbers, IBANs, secrets (values assigned
-to password- or token-like names, long hexadecimal strings), and the parts of personal names after a form of address.
+to password- or token-like names, long hexadecimal strings), and the parts of personal names after a form of address, also
+where they stand without one in the same text.
 An entity's normal form (lower case, bare digits, ...) is what two mentions must share to be the same entity. Its
 surrogate is drawn by HMAC from the key, the kind and the normal form, so the same entity gets the same surrogate in
 every document and every run with that key, and nothing can be recovered without it. The surrogate is then written
@@ -177,6 +178,40 @@ def _phones(text: str, stops: list[int]) -> Iterator[tuple[int, int]]:
             yield start, pos
 
 
+def _names(text: str) -> Iterator[tuple[int, int, str, str]]:
+    """The parts of names after a form of address, and wherever else in the text they stand, as written there, capitalised
+    or in capitals. A neutral form of address takes the gender that another one gives the same name in this text."""
+    found, genders, last_parts = [], {}, set()
+    for m in NAMES.finditer(text):
+        gender, at = _TITLE[m.group(1).casefold()], m.start(2)
+        parts = [(p.start() + at, p.group()) for p in re.finditer(r"[^ -]+", m.group(2))]
+        found.append((gender, parts))
+        for _, part in parts[:-1]:
+            genders.setdefault(part.casefold(), set()).add(gender)
+        if len(parts) > 1:
+            last_parts.add(parts[-1][1].casefold())
+    if not found:
+        return
+    forms: dict[str, tuple[str, str]] = {}
+    titled = set()
+    for gender, parts in found:
+        for k, (start, part) in enumerate(parts):
+            norm = part.casefold()
+            given = k < len(parts) - 1 or len(parts) == 1 and norm in genders and norm not in last_parts
+            if given and gender == "n" and len(genders[norm] - {"n"}) == 1:
+                gender_ = next(iter(genders[norm] - {"n"}))
+            else:
+                gender_ = gender
+            kind = f"name-{'given-' + gender_ if given else 'surname'}-{script_of(part)}"
+            titled.add(start)
+            for form in (part, part.upper(), part[:1] + part[1:].lower()):
+                forms.setdefault(form, (kind, norm))
+            yield start, start + len(part), kind, norm
+    for m in re.finditer(r"[^\W\d_]+", text):
+        if m.group() in forms and m.start() not in titled and not re.match(r"[\d_]", text[m.end():m.end() + 1]) and not re.match(r"[\d_]", text[m.start() - 1:m.start()]):
+            yield m.start(), m.end(), *forms[m.group()]
+
+
 def _finds(text: str) -> Iterator[tuple[int, int, str, str]]:
     others = []
     if "@" in text:
@@ -201,13 +236,7 @@ def _finds(text: str) -> Iterator[tuple[int, int, str, str]]:
             yield m.start(1), m.end(1), "secret", m.group(1)
     for m in HEX.finditer(text):
         yield m.start(), m.end(), "secret", m.group()
-    for m in NAMES.finditer(text):
-        gender, at = _TITLE[m.group(1).casefold()], m.start(2)
-        parts = [(p.start() + at, p.group()) for p in re.finditer(r"[^ -]+", m.group(2))]
-        for k, (start, part) in enumerate(parts):
-            last = k == len(parts) - 1
-            kind = f"name-{'surname' if last else 'given-' + gender}-{script_of(part)}"
-            yield start, start + len(part), kind, part.casefold()
+    yield from _names(text)
 
 
 def find(text: str | None) -> list[tuple[int, int, str, str]]:
@@ -360,11 +389,31 @@ def surrogates(entities: DataFrame, key: bytes) -> DataFrame:
             return settled
 
 
+def gendered(entities: DataFrame) -> DataFrame:
+    """``(kind, norm, as_kind)`` of the given names after a neutral form of address only, in their text, whose gender
+    other texts tell: the gender they go by, if it is one."""
+    part, script = F.regexp_extract("kind", "^name-given-([mfn])-", 1), F.regexp_extract("kind", "([a-z]+)$", 1)
+    given = entities.where(part != "").select("kind", "norm", script.alias("script"), part.alias("gender"))
+    known = given.where("gender <> 'n'").groupBy("script", "norm").agg(F.min("gender").alias("lo"), F.max("gender").alias("hi")).where("lo = hi")
+    return given.where("gender = 'n'").join(known, ["script", "norm"]).select(
+        "kind", "norm", F.concat_ws("-", F.lit("name-given"), "lo", "script").alias("as_kind"))
+
+
+def drawn_table(entities: DataFrame, key: bytes) -> DataFrame:
+    """``(kind, norm, surrogate)``: :func:`surrogates`, with names of one gender drawn once."""
+    alike = saved(gendered(entities))
+    if alike.isEmpty():
+        return surrogates(entities, key)
+    own = surrogates(saved(entities.join(alike.select("kind", "norm"), ["kind", "norm"], "left_anti")), key)
+    same = alike.join(own.withColumnRenamed("kind", "as_kind"), ["as_kind", "norm"]).select("kind", "norm", "surrogate")
+    return own.unionByName(same)
+
+
 def replaced(docs: DataFrame, key: bytes, id_col: str, text_col: str) -> DataFrame:
     """``(_id, _th, text, entities)`` of the documents with entities, one per distinct row key."""
     found = saved(mentions(docs, id_col, text_col).dropDuplicates(["_id", "_th"]))
     spans = found.select("_id", "_th", F.explode("spans").alias("s")).select("_id", "_th", "s.*")
-    table = saved(surrogates(saved(spans.groupBy("kind", "norm").agg(F.count("*").alias("n"))), key))
+    table = saved(drawn_table(saved(spans.groupBy("kind", "norm").agg(F.count("*").alias("n"))), key))
     drawn = saved(spans.select("_id", "_th", "start", "kind", "norm")).join(table, ["kind", "norm"])
     by_doc = drawn.groupBy("_id", "_th").agg(F.sort_array(F.collect_list(F.struct("start", "surrogate"))).alias("drawn"))
 

@@ -209,6 +209,18 @@ def test_surrogates_stay_distinct_when_draws_collide(spark, monkeypatch):
     assert len(got) == 6 == len({r.surrogate for r in got}) and not {r.surrogate for r in got} & {str(i) for i in range(6)}
 
 
+def test_names_go_on_without_their_title(spark):
+    text = "Mr. John Smith came. John Smith left, and Smith's friend SMITH met Smithers. Frau Anna Weber saw Dr. Anna Weber and Anna, Mr John too."
+    names = [(text[a:b], k) for a, b, k, _ in pii.find(text)]
+    assert names == [(x, f"name-{'given-' + g if g else 'surname'}-latin") for x, g in [
+        ("John", "m"), ("Smith", ""), ("John", "m"), ("Smith", ""), ("Smith", ""), ("SMITH", ""),
+        ("Anna", "f"), ("Weber", ""), ("Anna", "f"), ("Weber", ""), ("Anna", "f"), ("John", "m")]]
+    docs = [(1, text), (2, "Dr. Anna Weber wrote"), (3, "Dr. Robin Weber, Frau Robin Kant"), (4, "Prof. Robin Kant, Herr Robin Kant"), (5, "Dr. Robin Kant")]
+    got = {r.doc_id: [e.surrogate for e in r.entities] for r in pii.pseudonymised(spark.createDataFrame(docs, "doc_id long, text string"), KEY).collect()}
+    assert got[2] == [got[1][6], got[1][7]] and len({x.lower() for x in got[1]}) == 4
+    assert got[3][0] == got[3][2] and got[4][0] == got[4][2] and got[5][0] not in (got[3][0], got[4][0])
+
+
 def test_small_surrogate_spaces_widen(spark):
     assert pii.find("Password: ________ and secret = ----------") == []
     norms = [("email", f"{c}@example.com") for c in "abcdefghijklmnopqrstuvwxyz0123456789"] + [("secret", f"_______{i}") for i in range(10)]
