@@ -17,7 +17,8 @@ Plan: one scan finds the entities; only documents that have some go on, written
 move; the surrogates come back by a join on the entity that adaptive execution splits where one entity fills a
 third of the mentions; texts are rewritten next to their mentions.
 
-Defined cases: null, empty and entity-free texts give no row in :func:`pseudonymised` and pass :func:`rewrite` unchanged;
+Defined cases: null, empty and entity-free texts give no row in :func:`pseudonymised` and pass :func:`rewrite` and
+:func:`pseudonymised_rows` unchanged;
 adjacent numbers are told apart by their groupings and checksums, and
 overlapping finds that remain keep the earliest, then the longest; null ids stay null; repeated rows are each
 rewritten alike; an empty table gives an empty result.
@@ -443,6 +444,16 @@ def pseudonymised(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col:
     return out.select(real_id().alias(id_col), F.size("entities").cast("long").alias("n_entities"), "entities", "text")
 
 
+def pseudonymised_rows(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(id_col, n_entities, entities, text)`` of every row, rewritten; without personal data, ``n_entities`` is 0, ``entities``
+    empty and the text as it was."""
+    new = saved(replaced(docs, key, id_col, text_col).select("_id", "_th", F.col("text").alias("_new"), "entities"))
+    joined = keyed(docs, id_col, text_col).join(new, ["_id", "_th"], "left")
+    entities = F.coalesce("entities", F.array().cast(new.schema["entities"].dataType))
+    return joined.select(real_id().alias(id_col), F.size(entities).cast("long").alias("n_entities"), entities.alias("entities"),
+                         F.coalesce("_new", "_text").alias("text"))
+
+
 def rewrite(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All rows and columns of ``docs``, personal data in ``text_col`` replaced."""
     new = saved(replaced(docs, key, id_col, text_col).select("_id", "_th", F.col("text").alias("_new")))

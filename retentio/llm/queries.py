@@ -33,7 +33,7 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonymised(table(spark, sf_dir, "documents"), KEY)
+    return pii.pseudonymised_rows(table(spark, sf_dir, "documents"), KEY)
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

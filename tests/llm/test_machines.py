@@ -202,6 +202,16 @@ def test_pseudonymised_documents(spark, no_docs):
     assert pii.pseudonymised(no_docs, KEY).count() == 0
 
 
+def test_registered_query_covers_every_row(spark, tmp_path):
+    from retentio.llm.queries import op4_pii_surrogates
+    docs = [(1, LETTER), (1, LETTER), (2, "clean"), (2, "clean"), (3, None), (None, ""), (None, LETTER)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = op4_pii_surrogates(spark, str(tmp_path)).collect()
+    assert Counter((r.doc_id, r.n_entities, len(r.entities)) for r in got) == Counter((i, len(pii.find(t)), len(pii.find(t))) for i, t in docs)
+    assert {(r.doc_id, r.text) for r in got if not r.n_entities} == {(2, "clean"), (3, None), (None, "")}
+    assert len({r.text for r in got if r.n_entities}) == 1
+
+
 def test_surrogates_stay_distinct_when_draws_collide(spark, monkeypatch):
     monkeypatch.setattr(pii, "surrogate", lambda key, kind, norm, attempt: f"{(len(norm) * 7 + int(norm, 36) + attempt * 5) % 12}")
     entities = spark.createDataFrame([("k", str(i)) for i in range(6)], "kind string, norm string")
