@@ -8,7 +8,8 @@ one per partition, so any file system that Spark writes to will do and a lost ta
 Reader. An archive is read member by member (or, where it is not compressed, record by record). Each record is checked:
 member checksum, version line, header block, content length, closing line feeds, payload digest. After a failed check
 the reader looks for the next place where a whole valid member or version line begins, goes on from there, and logs the
-bytes in between as a quarantined gap with its offsets and reason.
+bytes in between as a quarantined gap with its offsets and reason. The same goes for the records inside a member, also
+for what came out of one before it was cut off or did not inflate.
 
 Defined cases: a null payload is empty; payloads below ``min_bytes`` are always responses; a null id is kept as null and
 comes after all others; rows that repeat the smallest id with the same payload are all responses; a null url becomes
@@ -66,7 +67,8 @@ class Damaged(ValueError):
 
 @dataclass
 class Entry:
-    """A record, or (``kind`` gap) the bytes ``start`` to ``stop`` that hold no valid one."""
+    """A record, or (``kind`` gap) the bytes ``start`` to ``stop`` that hold no valid one; ``inner`` is where the gap lies
+    in the content of the member at ``start``, if that holds valid records too."""
 
     kind: str
     start: int
@@ -75,6 +77,7 @@ class Entry:
     fields: dict[str, str] | None = None
     payload: bytes = b""
     payload_bytes: int | None = None
+    inner: tuple[int, int] | None = None
 
 
 def parse_record(data: bytes, at: int, ends_with_data: bool) -> tuple[dict[str, str], bytes, int]:
@@ -117,31 +120,77 @@ def checked(fields: dict[str, str], block: bytes, start: int, stop: int) -> Entr
     return Entry("record", start, stop, None, fields, payload, size)
 
 
-def inflate(data: memoryview, at: int) -> tuple[bytes, int]:
-    """The content of the gzip member at ``at`` and where it ends."""
-    machine, out, pos = zlib.decompressobj(31), [], at
-    try:
-        while not machine.eof:
-            if pos >= len(data):
-                raise Damaged("member is cut off")
-            out.append(machine.decompress(data[pos:pos + CHUNK]))
-            pos = min(pos + CHUNK, len(data))
-    except zlib.error as e:
-        raise Damaged("member does not inflate") from e
-    return b"".join(out), pos - len(machine.unused_data)
+def inflate(data: memoryview, at: int) -> tuple[bytes, int, str]:
+    """The content of the gzip member at ``at``, where it ends, and what is wrong with it; then the content is what came
+    out before the error."""
+    machine, out, pos, step = zlib.decompressobj(31), [], at, CHUNK
+    while not machine.eof:
+        if pos >= len(data):
+            return b"".join(out), pos, "member is cut off"
+        try:
+            out.append(machine.decompress(data[pos:pos + step]))
+        except zlib.error as e:
+            if step == 1:
+                return b"".join(out), pos, "member checksum differs" if "check" in str(e) else "member does not inflate"
+            # Up to here once more, and then byte by byte to the error.
+            machine, step = zlib.decompressobj(31), 1
+            out = [machine.decompress(data[k:min(k + CHUNK, pos)]) for k in range(at, pos, CHUNK)]
+            continue
+        pos = min(pos + step, len(data))
+    return b"".join(out), pos - len(machine.unused_data), ""
+
+
+def proved(fields: dict[str, str], payload: bytes) -> bool:
+    """Whether the record states a payload digest that can be checked (:func:`checked` has then done so)."""
+    return fields.get("warc-type") != "revisit" and fields.get("warc-payload-digest", "").startswith("sha256:")
+
+
+def member_entries(content: bytes, at: int, stop: int, wrong: str) -> list[Entry]:
+    """The valid records of a member's content, and a gap for each run of it that holds none. Where the content may be
+    damaged unnoticed, that is, in a member with an error other than its being cut off, only records with a digest count."""
+    found, pos, bad, reason = [], 0, -1, ""
+
+    def gap(end: int) -> Entry:
+        return Entry("gap", at, stop, f"{reason} (content {bad} to {end})", inner=(bad, end))
+
+    while pos < len(content):
+        try:
+            fields, block, end = parse_record(content, pos, False)
+            entry = checked(fields, block, at, stop)
+            if wrong not in ("", "member is cut off") and not proved(fields, entry.payload):
+                raise Damaged(f"{wrong} and the record has no digest")
+        except Damaged as e:
+            if bad < 0:
+                bad, reason = pos, str(e)
+            pos = content.find(b"WARC/1.", pos + 1)
+            if pos < 0:
+                break
+            continue
+        if bad >= 0:
+            found.append(gap(pos))
+            bad = -1
+        found.append(entry)
+        pos = end
+    if bad >= 0:
+        found.append(gap(len(content)))
+    return found
 
 
-def entries_at(data: bytes, view: memoryview, at: int) -> tuple[list[Entry], int]:
-    """The records that begin at ``at`` (of one member, or one record of plain text) and the end of it all."""
+def entries_at(data: bytes, view: memoryview, at: int) -> tuple[list[Entry], int, str]:
+    """The records that begin at ``at`` (of one member, or one record of plain text), the end of it all, and what is
+    wrong with the member if its end is not known."""
     if data.startswith(GZIP, at):
-        content, stop = inflate(view, at)
-        found, pos = [], 0
-        while pos < len(content):
-            fields, block, pos = parse_record(content, pos, False)
-            found.append(checked(fields, block, at, stop))
-        return found, stop
+        content, stop, wrong = inflate(view, at)
+        found = member_entries(content, at, stop, wrong)
+        gaps = [e for e in found if e.kind == "gap"]
+        # A member that holds nothing valid is a gap as a whole; so is one whose damage lies anywhere.
+        if gaps and len(gaps) == len(found):
+            raise Damaged(wrong or gaps[0].reason)
+        if wrong and (not found or wrong == "member checksum differs" and not gaps):
+            raise Damaged(wrong)
+        return found, stop, wrong
     fields, block, stop = parse_record(data, at, False)
-    return [checked(fields, block, at, stop)], stop
+    return [checked(fields, block, at, stop)], stop, ""
 
 
 def salvage(data: bytes) -> Iterator[Entry]:
@@ -149,7 +198,7 @@ def salvage(data: bytes) -> Iterator[Entry]:
     view, pos, bad, reason = memoryview(data), 0, -1, ""
     while pos < len(data):
         try:
-            found, stop = entries_at(data, view, pos)
+            found, stop, wrong = entries_at(data, view, pos)
         except Damaged as e:
             if bad < 0:
                 bad, reason = pos, str(e)
@@ -160,6 +209,10 @@ def salvage(data: bytes) -> Iterator[Entry]:
             yield Entry("gap", bad, pos, reason)
             bad = -1
         yield from found
+        if wrong:  # where the member ends is not known; the next one may begin before the error showed
+            bad, reason = pos, f"{wrong}, records of it were read"
+            marks = [x for x in (data.find(GZIP, pos + 1), data.find(b"WARC/1.", stop)) if x >= 0]
+            stop = min(marks, default=len(data))
         pos = stop
     if bad >= 0:
         yield Entry("gap", bad, len(data), reason)

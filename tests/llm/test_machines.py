@@ -119,6 +119,30 @@ def test_salvage_checks_digests():
     assert [e.kind for e in entries] == ["gap", "record"] and "digest" in entries[0].reason
 
 
+def test_salvage_inside_a_member():
+    _, records = pieces(5)
+    bad = records[2].replace(b"page 2", b"PAGE 2", 1)
+    data = gzip.compress(b"".join([*records[:2], bad, *records[3:]]), mtime=0)
+    got = list(warc.salvage(data))
+    begin = len(records[0]) + len(records[1])
+    assert [e.fields["warc-record-id"][-2] if e.fields else e.inner for e in got] == ["0", "1", (begin, begin + len(bad)), "3", "4"]
+    assert got[2].start == 0 and "digest" in got[2].reason
+    many = [warc.record(f"urn:page:{i}", "response", "http://x/", random.Random(i).randbytes(3000)) for i in range(40)]
+    whole = gzip.compress(b"".join(many), mtime=0)
+    cut = [e for e in warc.salvage(whole[:len(whole) // 2]) if e.kind == "record"]
+    assert [e.fields["warc-record-id"] for e in cut] == [f"<urn:page:{i}>" for i in range(len(cut))] and 18 <= len(cut) <= 20
+    after = list(warc.salvage(whole[:len(whole) // 2] + gzip.compress(records[0], mtime=0)))
+    ids = [e.fields["warc-record-id"] for e in after if e.fields]
+    assert ids == [*(f"<urn:page:{i}>" for i in range(len(ids) - 1)), "<urn:page:0>"] and len(ids) >= 18 and "gap" in {e.kind for e in after}
+    hurt = bytearray(whole)
+    hurt[len(hurt) // 2] ^= 0xFF
+    ids = [e.fields["warc-record-id"] for e in warc.salvage(bytes(hurt)) if e.fields]
+    assert len(ids) >= 15 and ids[:15] == [f"<urn:page:{i}>" for i in range(15)]
+    hurt = bytearray(gzip.compress(records[0], mtime=0))
+    hurt[-6] ^= 0xFF
+    assert [e.kind for e in warc.salvage(bytes(hurt))] == ["gap"]
+
+
 def test_warc_round_trip(spark, tmp_path):
     same = "<html>" + "x" * 200
     rows = [(5, "http://a/ü\r\nX: y", same), (3, None, same), (9, "http://c", same), (9, "http://c", same), (1, "u", "short"), (2, "u", "short"), (4, "n", None), (None, "q", same), (7, "e", "")]
