@@ -150,5 +150,65 @@ SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(component_id, doc_id) AS c
 FROM cut LEFT JOIN sizes USING (doc_id) LEFT JOIN groups USING (doc_id)
 """
 
+# Periodic runs: pairs of equal words at most a quarter of the text apart, grouped to stretches by distance.
+OP11 = r"""
+WITH RECURSIVE bits(k, b, v) AS (
+  SELECT 0, b, b FROM range(256) r(b)
+  UNION ALL
+  SELECT k + 1, b, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END FROM bits WHERE k < 8
+), crc_table AS (SELECT list(v ORDER BY b) AS x FROM bits WHERE k = 8),
+cut AS (
+  SELECT doc_id, w, len(w) AS n,
+         xor(list_reduce(list_transform(range(strlen(doc_id::VARCHAR)), lambda i: ascii(substr(doc_id::VARCHAR, i + 1, 1))::BIGINT),
+                         lambda c, b: xor(c >> 8, x[(xor(c, b) & 255) + 1]), 4294967295), 4294967295) AS h
+  FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents), crc_table
+), parts AS (
+  SELECT doc_id, w, n, CASE WHEN h % 10 = 0 AND n > 0 THEN (h // 10) % n ELSE n END AS a, h // 10 AS g FROM cut
+), words AS MATERIALIZED (
+  SELECT doc_id, n, i, w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + g % 8)) END] AS word
+  FROM (SELECT doc_id, w, n, a, g, unnest(range(n)) AS i FROM parts)
+), agree AS (
+  SELECT x.doc_id, y.i - x.i AS d, x.i FROM words x JOIN words y
+  ON x.doc_id = y.doc_id AND x.word = y.word AND y.i > x.i AND 4 * (y.i - x.i) <= x.n
+), stretches AS (
+  SELECT doc_id, d, min(i) AS start, count(*) + d AS length
+  FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, d ORDER BY i) AS island FROM agree)
+  GROUP BY doc_id, d, island HAVING count(*) + d >= greatest(6, 4 * d)
+), runs AS MATERIALIZED (
+  SELECT doc_id, start, length, min(d) AS period FROM stretches GROUP BY doc_id, start, length
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM runs
+), collapsed AS (
+  SELECT words.doc_id, string_agg(word, ' ' ORDER BY words.i) AS t
+  FROM words LEFT JOIN gone ON gone.doc_id = words.doc_id AND gone.i = words.i WHERE gone.i IS NULL GROUP BY words.doc_id
+), told AS (
+  SELECT doc_id, count(*) AS n_runs, first({'s': start, 'l': length, 'p': period} ORDER BY length DESC, start, period) AS top,
+         string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines
+  FROM runs GROUP BY doc_id
+)
+SELECT cut.doc_id, coalesce(n_runs, 0) AS n_runs, top.s::BIGINT AS start, top.l::BIGINT AS length, top.p::BIGINT AS period,
+       (1000 * top.l // top.p)::BIGINT AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(t, '')) AS collapsed_sha256
+FROM cut LEFT JOIN told ON told.doc_id = cut.doc_id LEFT JOIN collapsed ON collapsed.doc_id = cut.doc_id
+"""
+
+OP12 = r"""
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS MATERIALIZED (
+  SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, list_inner_product(a.v, b.v)::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id
+), p AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT p.anchor_id, positive_id, row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id)::INT AS rank,
+       vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+QUALIFY rank <= 10
+"""
+
 ORACLES = {"op1_sharding": OP1, "op2_line_dedup": OP2, "op3_warc": OP3, "op6_topk": OP6, "op7_substring_dedup": OP7,
-           "op8_decontaminate": OP8, "op10_near_dedup": OP10}
+           "op8_decontaminate": OP8, "op10_near_dedup": OP10, "op11_periodic_runs": OP11, "op12_hard_negatives": OP12}

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retentio.llm import bpe, decontaminate, line_dedup, near_dedup, pii, sharding, substring_dedup, topk, toxicity, warc
+from retentio.llm import bpe, decontaminate, language, line_dedup, near_dedup, negatives, pii, runs, sharding, substring_dedup, topk, toxicity, warc
 from retentio.llm.common import table
 
 # The key of the surrogates; a caller with real data passes a secret of its own.
@@ -62,7 +62,23 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    planted = runs.with_planted_tails(table(spark, sf_dir, "documents"))
+    return runs.summary(runs.periodic_runs(planted))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(table(spark, sf_dir, "embeddings").withColumn("label", moved))
+
+
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = language.identify(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS))
+    return found.select("doc_id", "held_out", "lang_pred", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_sharding, op2_line_dedup, op3_warc, op4_pii_surrogates, op5_toxicity, op6_topk,
-                             op7_substring_dedup, op8_decontaminate, op9_byte_bpe, op10_near_dedup)
+                             op7_substring_dedup, op8_decontaminate, op9_byte_bpe, op10_near_dedup, op11_periodic_runs,
+                             op12_hard_negatives, op13_language_id)
 }
