@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+import uuid
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -103,6 +104,14 @@ def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager=eager)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """Write ``df`` as Parquet under the shared checkpoint folder and read it back: for narrow frames that several
+    scans of one query share. A lost executor re-reads the table; scans take only the columns they need."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/retentio-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 _KEPT: list[DataFrame] = []
 
 
@@ -113,13 +122,30 @@ def keep(df: DataFrame) -> DataFrame:
     return out
 
 
+_SET: list[tuple[SparkSession, str, str | None]] = []
+
+
+def set_for_query(spark: SparkSession, key: str, value: str) -> None:
+    """Set a session setting that the frames of the current query need when they run; :func:`release` puts it back."""
+    before = spark.conf.get(key, None)
+    if before != value:
+        _SET.append((spark, key, before))
+        spark.conf.set(key, value)
+
+
 def release() -> None:
-    """Unpersist what :func:`keep` holds. A frame still in use is only recomputed."""
+    """Unpersist what :func:`keep` holds and put back what :func:`set_for_query` set. A frame still in use is only recomputed."""
     while _KEPT:
         try:
             _KEPT.pop().unpersist()
         except Exception:  # noqa: BLE001 -- the frame's session has been stopped
             pass
+    while _SET:
+        spark, key, before = _SET.pop()
+        try:
+            spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+        except Exception:  # noqa: BLE001 -- the session has been stopped
+            pass
 
 
 def keep_fanout(df: DataFrame) -> DataFrame:

@@ -24,3 +24,14 @@ def test_broadcast_only_what_was_counted_small(spark, monkeypatch):
     assert "broadcast" in session.small_side(spark.range(3))._jdf.queryExecution().logical().toString().lower()
     monkeypatch.setattr(session, "BROADCAST_ROWS", 2)
     assert "broadcast" not in session.small_side(spark.range(3))._jdf.queryExecution().logical().toString().lower()
+
+
+def test_settings_of_a_query_are_put_back(spark):
+    from retentio.session import configure, set_for_query
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    set_for_query(spark, key, "123")
+    set_for_query(spark, key, "7")
+    assert spark.conf.get(key) == "7"
+    configure(spark)
+    assert spark.conf.get(key) == before
