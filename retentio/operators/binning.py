@@ -82,11 +82,11 @@ def snapped(x: Column, edges: list[float]) -> Column:
     return F.when(x.isNotNull(), F.get(F.filter(near, lambda e: e >= x), 0))
 
 
-def bin_edges(ranges: DataFrame, ks: Iterable[int], var: str = "var") -> DataFrame:
-    """(var, k, edges) for every variable and candidate bin count."""
+def bin_edges(ranges: DataFrame, ks: Iterable[int], keys: Iterable[str] = ("var",)) -> DataFrame:
+    """(keys..., k, edges) for every variable (of every group) and candidate bin count."""
     ks = [int(k) for k in ks]
     return (ranges.withColumn("k", F.explode(F.array(*[F.lit(k) for k in ks])))
-            .select(var, "k", edges_expr(F.col("mn"), F.col("mx"), F.col("k")).alias("edges")))
+            .select(*keys, "k", edges_expr(F.col("mn"), F.col("mx"), F.col("k")).alias("edges")))
 
 
 def equal_width(df: DataFrame, column: str, k: int = 50, out: str | None = None) -> DataFrame:

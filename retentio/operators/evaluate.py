@@ -39,11 +39,6 @@ def score_histogram(df: DataFrame, keys: Sequence[str] = (), score: str = SCORE,
     return keep_fanout(df.groupBy(*keys, score).agg(_count(y == 1, weight).alias("n_pos"), _count(y == 0, weight).alias("n_neg")))
 
 
-def _totals(hist: DataFrame, keys: Sequence[str]) -> DataFrame:
-    agg = [F.sum("n_pos").alias("P"), F.sum("n_neg").alias("N")]
-    return hist.groupBy(*keys).agg(*agg) if keys else hist.agg(*agg)
-
-
 def _attach(df: DataFrame, small: DataFrame, keys: Sequence[str]) -> DataFrame:
     return attach(df, small, keys)
 
@@ -121,24 +116,38 @@ def threshold_sweep(hist: DataFrame, keys: Sequence[str], thresholds: Sequence[f
     return counts.select(*keys, "threshold", "tp", "fp", "fn", "tn", *[cols[k].alias(k) for k in SWEEP_COLUMNS])
 
 
+def curve(hist: DataFrame, keys: Sequence[str], threshold: Column | None = None) -> DataFrame:
+    """The histogram with everything that curves are made of: running sums by ascending score (population, good, bad and,
+    with ``threshold``, rows predicted 0) beside the totals P, N and T. One pass serves ROC, AUROC, gains, KS."""
+    h = hist.withColumns({"n_all": F.col("n_pos") + F.col("n_neg"),
+                          "n_pred0": F.lit(0) if threshold is None else F.when(F.col(SCORE) > threshold, F.lit(0)).otherwise(F.col("n_pos") + F.col("n_neg"))})
+    agg = [F.sum("n_pos").alias("P"), F.sum("n_neg").alias("N"), F.sum("n_pred0").alias("T")]
+    totals = h.groupBy(*keys).agg(*agg) if keys else h.agg(*agg)
+    return _attach(running_sums(h, keys, SCORE, ["n_all", "n_pos", "n_neg", "n_pred0"]), totals, keys)
+
+
 def roc_points(hist: DataFrame, keys: Sequence[str]) -> DataFrame:
     """(keys..., threshold, fpr, tpr): the origin at threshold +inf, then one point per distinct score, highest first."""
-    totals = _totals(hist, keys)
-    cum = running_sums(hist, keys, SCORE, ["n_pos", "n_neg"], descending=True)
-    cum = _attach(cum, totals, keys)
-    points = cum.select(*keys, F.col(SCORE).alias("threshold"),
-                        ratio("cum_n_neg", "N").alias("fpr"), ratio("cum_n_pos", "P").alias("tpr"))
+    return roc_of(curve(hist, keys), keys)
+
+
+def roc_of(c: DataFrame, keys: Sequence[str]) -> DataFrame:
+    points = c.select(*keys, F.col(SCORE).alias("threshold"), ratio(F.col("N") - F.col("cum_n_neg") + F.col("n_neg"), "N").alias("fpr"),
+                      ratio(F.col("P") - F.col("cum_n_pos") + F.col("n_pos"), "P").alias("tpr"))
     zero = F.lit(0.0)
-    return points.unionByName(totals.select(*keys, F.lit(float("inf")).alias("threshold"), zero.alias("fpr"), zero.alias("tpr")))
+    origin = c.select(*keys).distinct() if keys else c.agg(F.count("*")).select()
+    return points.unionByName(origin.select(*keys, F.lit(float("inf")).alias("threshold"), zero.alias("fpr"), zero.alias("tpr")))
 
 
 def auroc(hist: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """D5 (+D6): AUROC with tied scores at half weight, and Gini = 2*AUROC - 1.
+    """D5 (+D6): AUROC with tied scores at half weight, and Gini = 2*AUROC - 1."""
+    return auroc_of(running_sums(hist, keys, SCORE, ["n_neg"]), keys)
+
 
-    2 * P * N * AUROC = sum over scores of n_pos * (2 * negatives below + n_neg),
+def auroc_of(cum: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """2 * P * N * AUROC = sum over scores of n_pos * (2 * negatives below + n_neg),
     an exact integer (DECIMAL(38,0) so it cannot overflow at scale).
     """
-    cum = running_sums(hist, keys, SCORE, ["n_neg"])
     term = (F.col("n_pos").cast("decimal(38,0)")
             * (F.lit(2) * (F.col("cum_n_neg") - F.col("n_neg")) + F.col("n_neg")).cast("decimal(38,0)"))
     agg = [F.sum(term).alias("_num"), F.sum("n_pos").alias("P"), F.sum("n_neg").alias("N")]
@@ -150,10 +159,11 @@ def auroc(hist: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def gains(hist: DataFrame, keys: Sequence[str]) -> DataFrame:
     """D7 (W2-W4): cumulative population / good / bad, ascending score, per distinct score."""
-    cum = running_sums(hist.withColumn("n_all", F.col("n_pos") + F.col("n_neg")), keys, SCORE,
-                       ["n_all", "n_pos", "n_neg"])
-    cum = _attach(cum, _totals(hist, keys), keys)
-    return cum.select(*keys, SCORE,
+    return gains_of(curve(hist, keys), keys)
+
+
+def gains_of(c: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return c.select(*keys, SCORE,
                       F.col("cum_n_all").alias("cum_n_population"), F.col("cum_n_pos").alias("cum_n_good"),
                       F.col("cum_n_neg").alias("cum_n_bad"),
                       ratio("cum_n_all", F.col("P") + F.col("N")).alias("cum_perc_population"),
@@ -163,31 +173,34 @@ def gains(hist: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def gains_predicted_bad(hist: DataFrame, keys: Sequence[str], threshold: Column) -> DataFrame:
     """Running share of rows predicted 0 (score <= t), ascending score."""
-    h = hist.withColumn("n_pred0", F.when(F.col(SCORE) > threshold, F.lit(0))
-                        .otherwise(F.col("n_pos") + F.col("n_neg")))
-    cum = running_sums(h, keys, SCORE, ["n_pred0"])
-    tot = h.groupBy(*keys).agg(F.sum("n_pred0").alias("_T")) if keys else h.agg(F.sum("n_pred0").alias("_T"))
-    cum = _attach(cum, tot, keys)
-    return cum.select(*keys, SCORE, ratio("cum_n_pred0", "_T").alias("cum_perc_predicted_bad"))
+    return predicted_bad_of(curve(hist, keys, threshold), keys)
+
+
+def predicted_bad_of(c: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return c.select(*keys, SCORE, ratio("cum_n_pred0", "T").alias("cum_perc_predicted_bad"))
 
 
 def ks(hist: DataFrame, keys: Sequence[str]) -> DataFrame:
     """max(cum % bad - cum % good) over the distinct-score curve."""
-    g = gains(hist, keys)
+    return ks_of(curve(hist, keys), keys)
+
+
+def ks_of(c: DataFrame, keys: Sequence[str]) -> DataFrame:
+    g = gains_of(c, keys)
     agg = [F.max(F.col("cum_perc_bad") - F.col("cum_perc_good")).alias("ks")]
     return g.groupBy(*keys).agg(*agg) if keys else g.agg(*agg)
 
 
-def psi_label(df: DataFrame, is_test: str = "is_test", label: str = LABEL, weight: str | None = None) -> DataFrame:
-    """PSI pair of the churn share, development vs out-of-time."""
+def psi_label(df: DataFrame, is_test: str = "is_test", label: str = LABEL, weight: str | None = None, by: Sequence[str] = ()) -> DataFrame:
+    """PSI pair of the churn share, development vs out-of-time (per group)."""
     y0 = F.col(label) == 0
     test = F.col(is_test)
-    s = df.agg(_count(y0 & ~test, weight).alias("_d0"), _count(~test, weight).alias("_dn"),
+    s = (df.groupBy(*by) if by else df).agg(_count(y0 & ~test, weight).alias("_d0"), _count(~test, weight).alias("_dn"),
                _count(y0 & test, weight).alias("_t0"), _count(test, weight).alias("_tn"))
     d, t = ratio("_d0", "_dn"), ratio("_t0", "_tn")
     one = F.lit(1.0)
     return s.select(
-        psi_term(t, d, t - d).alias("psi_churn"), psi_term(one - t, one - d, d - t).alias("psi_not_churn"),
+        *by, psi_term(t, d, t - d).alias("psi_churn"), psi_term(one - t, one - d, d - t).alias("psi_not_churn"),
         d.alias("dev_churn_share"), t.alias("oot_churn_share"))
 
 

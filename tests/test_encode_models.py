@@ -55,12 +55,93 @@ def test_logit_is_the_c1_ridge_optimum_and_wald_matches_numpy(spark):
     assert all(0 < r.score < 1 for r in sc)
 
 
+def test_newton_steps_arrive_where_the_estimator_does(spark):
+    df, *_ = toy(spark)
+    vocab = E.collect_vocabulary(E.vocabulary(df, ["ca", "cb"]))
+    fit = M.fit_logit(df, vocab)
+    est = M.estimated(df, vocab, "not_churn_1w", 1.0, df.count(), None)
+    assert np.allclose(np.r_[fit.intercept, fit.coef], est, atol=1e-5)
+
+
+def test_models_fitted_together_are_the_models_fitted_alone(spark):
+    df, *_ = toy(spark, 600, 5)
+    df = df.withColumn("g", F.when(F.col("cb") == "b0", 0).otherwise(1)).withColumn("cc", F.concat(F.lit("x"), F.length("ca") + F.col("not_churn_1w")))
+    parts = {g: df.where(F.col("g") == g) for g in (0, 1)}
+    vocabs = E.vocabularies(df, {0: ["ca"], 1: ["ca", "cc"]}, "g")
+    assert vocabs == {g: E.collect_vocabulary(E.vocabulary(parts[g], c)) for g, c in ((0, ["ca"]), (1, ["ca", "cc"]))}
+    both = M.fit_logits({g: (parts[g], vocabs[g]) for g in (0, 1)})
+    for g in (0, 1):
+        alone = M.fit_logit(parts[g], vocabs[g])
+        assert np.allclose(both[g].coef, alone.coef, atol=1e-9) and np.allclose(both[g].p, alone.p, atol=1e-9)
+
+
+def test_weights_stand_for_rows(spark):
+    df, *_ = toy(spark)
+    vocab = E.collect_vocabulary(E.vocabulary(df, ["ca", "cb"]))
+    pat = df.groupBy("ca", "cb", "not_churn_1w").agg(F.count("*").alias("w"))
+    a, b = M.fit_logit(df, vocab), M.fit_logit(pat, vocab, weight="w")
+    assert np.allclose(a.coef, b.coef, atol=1e-9) and np.allclose(a.sigma, b.sigma, atol=1e-9)
+
+
+def test_one_class_and_empty_frames_are_errors(spark):
+    import pytest
+    df, *_ = toy(spark)
+    vocab = E.collect_vocabulary(E.vocabulary(df, ["ca", "cb"]))
+    with pytest.raises(ValueError, match="singular"):
+        M.fit_logit(df.where("not_churn_1w = 1"), vocab)
+    with pytest.raises(ValueError, match="empty"):
+        M.fit_logit(df.limit(0), vocab)
+
+
+def test_a_column_of_many_levels_encodes_and_fits(spark):
+    """5,000 levels: the plan's text does not grow with them, and the fit is the sparse one."""
+    rows = spark.range(20_000).select(F.format_string("l%05d", F.col("id") % 5000).alias("ca"), (F.xxhash64("id") % 2 == 0).cast("int").alias("not_churn_1w"))
+    vocab = E.collect_vocabulary(E.vocabulary(rows, ["ca"]))
+    x = E.with_vector(rows, vocab)
+    assert len(vocab) == 4999 and x.first()["_features"].size == 4999 and x.where("ca = 'l04999'").first()["_features"].numNonzeros() == 0
+    few = E.with_vector(rows, vocab[:3])
+    size = lambda df: len(df._jdf.queryExecution().optimizedPlan().toString())
+    assert size(x) < 1.2 * size(few)
+    fit = M.fit_logit(rows, vocab)
+    p = rows.groupBy("ca").agg(F.avg("not_churn_1w").alias("y")).join(fit.score(rows).groupBy("ca").agg(F.first("score").alias("p")), "ca")
+    assert p.where("y = 1").agg(F.min("p")).first()[0] > 0.5 > p.where("y = 0").agg(F.max("p")).first()[0]
+    assert len(fit.sigma) == 4999 and (fit.sigma > 0).all()
+
+
+def test_positions_of_unseen_null_and_baseline_levels(spark):
+    df = spark.createDataFrame([("a", 1), ("b", 2), ("z", 9), (None, None)], "g string, n int")
+    vocab = [("g", "a", "g:a"), ("g", "b", "g:b"), ("n", "2", "n:2")]
+    assert [r.at for r in E.with_positions(df, vocab, "at").collect()] == [[0], [1, 2], [], []]
+    assert [r.v.toArray().tolist() for r in E.with_vector(df, vocab, "v").collect()] == [[1, 0, 0], [0, 1, 1], [0, 0, 0], [0, 0, 0]]
+    assert E.with_positions(df, [], "at").first().at == [] and E.with_vector(df, [], "v").first().v.size == 0
+
+
+def test_forest_on_lots_scores_like_the_forest_on_rows(spark):
+    """Out-of-time AUROC of resamples of patterns in lots against the row bootstrap."""
+    from retentio.operators import evaluate as D
+    rng = np.random.default_rng(11)
+    n = 9000
+    cols = {c: rng.integers(0, k, n) for c, k in (("ca", 6), ("cb", 4), ("cc", 3))}
+    eta = 0.5 * (cols["ca"] > 2) - 0.8 * (cols["cb"] == 1) + 0.6 * (cols["cc"] == 2) * (cols["ca"] == 5)
+    y = (rng.random(n) < 1 / (1 + np.exp(-eta))).astype(int)
+    df = spark.createDataFrame([(f"a{a}", f"b{b}", f"c{c}", int(t), i % 3 == 0) for i, (a, b, c, t) in enumerate(zip(*cols.values(), y))],
+                               "ca string, cb string, cc string, not_churn_1w int, is_test boolean")
+    train, test = df.where("NOT is_test"), df.where("is_test")
+    vocab = E.collect_vocabulary(E.vocabulary(train, ["ca", "cb", "cc"]))
+    auc = []
+    for lots in (10**9, 600):
+        model = M.fit_forest(train, vocab, num_trees=40, bag_rows=lots)
+        auc.append(D.auroc(D.score_histogram(M.forest_score(model, test, vocab)), []).first()["auroc"])
+    assert auc[0] > 0.55 and abs(auc[0] - auc[1]) < 0.01
+
+
 def test_forest_importances_sum_to_one(spark):
     df, *_ = toy(spark, 300, 2)
     vocab = E.collect_vocabulary(E.vocabulary(df, ["ca", "cb"]))
     model = M.fit_forest(df, vocab, num_trees=20)
     imp = M.importances(spark, model, vocab).collect()
     assert abs(sum(r.importance for r in imp) - 1) < 1e-9
+    assert [r.rank_no for r in imp] == [1, 2, 3] and imp == sorted(imp, key=lambda r: (-r.importance, r.feature_name))
 
 
 def test_elbow_non_increasing_and_k1_is_total_ss(spark):
@@ -84,6 +165,28 @@ def test_kmeans_does_not_depend_on_the_partitioning(spark):
     assert sizes[0] == sizes[1] == sizes[2]
 
 
+def test_scaled_clusters_see_small_columns(spark):
+    """H8: with ``scale`` a column of small numbers counts as much as one of large numbers."""
+    rng = np.random.default_rng(2)
+    rows = [(float(rng.normal(0, 1e6)), float(side + rng.normal(0, 0.01)), side) for side in (0, 1) for _ in range(150)]
+    df = spark.createDataFrame(rows, "big double, small double, side int")
+    split = lambda **kw: M.kmeans_assign(df, ["big", "small"], k=2, **kw).groupBy("side").agg(F.countDistinct("cluster").alias("n")).collect()
+    assert [r.n for r in split(scale=True)] == [1, 1] and [r.n for r in split()] == [2, 2]
+    assert M.kmeans_elbow(df, ["big", "small"], ks=[1, 2], restarts=2, scale=True)[0][1] == __import__("pytest").approx(600, rel=1e-9)
+
+
+def test_cluster_features_must_not_be_null_and_repeat_as_weights(spark):
+    import pytest
+    df = spark.createDataFrame([(0.0, 0.0)] * 500 + [(5.0, 1.0)] * 3 + [(9.0, 2.0)], "x double, z double")
+    rows = M.weighted_rows(df, ["x", "z"])
+    assert {(tuple(r.x), r.w) for r in rows.collect()} == {((0.0, 0.0), 500.0), ((5.0, 1.0), 3.0), ((9.0, 2.0), 1.0)}
+    centres = M.fit_kmeans(df, ["x", "z"], 2)
+    assert np.allclose(centres, [[0, 0], [6, 1.25]])
+    assert M.kmeans_elbow(df, ["x", "z"], ks=[3], restarts=2)[0][1] == pytest.approx(0, abs=1e-12)
+    with pytest.raises(Exception, match="NULL in a cluster feature"):
+        M.fit_kmeans(df.unionByName(spark.createDataFrame([(None, 1.0)], "x double, z double")), ["x", "z"])
+
+
 def test_collinear_dummies_are_named(spark):
     import pytest
     rows = [("a", "x", 1), ("a", "x", 0), ("b", "y", 1), ("b", "y", 0), ("c", "z", 1), ("c", "z", 0)] * 5

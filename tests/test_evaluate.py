@@ -89,3 +89,21 @@ def test_rates_edge_weeks(spark):
     got = {str(r.period): (r.churn_actual, r.churn_predict) for r in D.rates_by_period(res).collect()}
     assert got == {"2024-01-01": (None, 50.0), "2024-01-15": (50.0, None)}
     assert math.isfinite(50.0)
+
+
+def test_evaluation_by_cluster_is_the_evaluation_of_each_cluster(spark):
+    import random
+
+    from retentio.operators import evaluate as D
+    from retentio.plans import variants as VR
+    rnd = random.Random(9)
+    rows = [(c, t, round(rnd.random(), 1 + c), int(rnd.random() < 0.5)) for c in (0, 1) for t in (False, True) for _ in range(80)]
+    df = spark.createDataFrame(rows, "cluster int, is_test boolean, score double, not_churn_1w int")
+    limits = {0: (0.3, 0.5), 1: (0.6, 0.2)}
+    both = VR.evaluation(D.score_histogram(df, ["cluster", "is_test"]), limits, D.psi_label(df, by=["cluster"]), ["cluster"])
+    got = {tuple(r) for r in both.collect()}
+    want = set()
+    for c, pair in limits.items():
+        mine = df.where(f"cluster = {c}")
+        want |= {(c, *r) for r in VR.evaluation(D.score_histogram(mine, ["is_test"]), pair, D.psi_label(mine)).collect()}
+    assert got == want and len({r[1] for r in got}) == 8

@@ -98,3 +98,15 @@ def test_interval_counts_keep_every_bin_exact(spark):
         got = [r.s for r in spark.createDataFrame([(float(v),) for v in x], "x double").select(snapped(F.col("x"), merged).alias("s")).collect()]
         assert got == [merged[np.searchsorted(merged, v)] for v in x]
     assert V.interval_counts(spark.createDataFrame([(float(v), 1) for v in rng.normal(size=2000)], "x double, not_churn_1w int"), ["x"], ks)[0].count() <= 190
+
+
+def test_rankings_by_group_are_the_rankings_of_each_group(spark):
+    import random
+    rnd = random.Random(3)
+    rows = [(g, rnd.choice("xyz"), rnd.choice([None, "u", "v"]), rnd.gauss(g, 1 + g), None if rnd.random() < 0.1 else rnd.random() * 10 ** g, int(rnd.random() < 0.3 + 0.2 * g))
+            for g in range(3) for _ in range(300)] + [(3, "x", None, None, None, 1)]
+    df = spark.createDataFrame(rows, "g int, a string, b string, m double, n double, not_churn_1w int")
+    for rank, cols, name, tie in ((V.iv_rank_discrete, ["a", "b"], "DISCRETE_COL", "DISTINCT"), (V.iv_rank_continuous, ["m", "n"], "CONTINUOUS_COL", "BEST_CUT")):
+        together = {tuple(r) for r in V.rank_order(rank(df, cols, by=["g"]), name, tie, ["g"]).collect()}
+        alone = {(g, *r) for g in range(4) for r in V.rank_order(rank(df.where(f"g = {g}"), cols), name, tie).collect()}
+        assert together == alone and len({r[0] for r in together}) >= 3
