@@ -24,6 +24,7 @@ from __future__ import annotations
 import base64
 from array import array
 from collections.abc import Iterable, Iterator
+from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
@@ -31,13 +32,20 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from retentio.llm.common import small_batches
+from retentio.llm.common import only, small_batches
 
-# Looked-up entries kept per worker before a table is started afresh.
-MAX_PIECES = 150_000
-MAX_STEPS = 250_000
+# Memory (bytes, estimated) that looked-up entries may take per worker before a table is started afresh: pieces met before
+# (each of two generations), transitions with their states, pairs of tokens with their spines, and the decoder's steps.
+# Where other work has filled the executors, a caller takes a share of it.
+PIECES_BYTES = 48 << 20
+STATES_BYTES = 192 << 20
+PAIRS_BYTES = 64 << 20
+STEPS_BYTES = 4 << 20
 # Bytes read before settled tokens are emitted; above twice the longest token, so some always are.
 LOOKAHEAD = 4096
+# A place in the trie and the token before it, or two tokens, are one number: the second has so many bits (and is counted from 1, 0 being none).
+TOKEN_BITS = 24
+TOKEN = (1 << TOKEN_BITS) - 1
 # Texts up to this many characters are cut in one call; longer ones piece by piece.
 WHOLE_CHARS = 1 << 20
 
@@ -48,13 +56,13 @@ def parse_ranks(data: bytes) -> dict[bytes, int]:
 
 
 class Transducer:
-    """Bytes to token ids. A state holds one ``(node, token)`` per boundary that a later token may
+    """Bytes to token ids. A state holds one ``node, token`` (as one number) per boundary that a later token may
     still start from: the place in the vocabulary trie that the bytes since the boundary have
     reached, and the token that ends at the boundary. Its output on a byte is the last token of
     the bytes read so far; tokens settle once all boundaries held lead back through them."""
 
-    def __init__(self, ranks: dict[bytes, int]) -> None:
-        self.ranks = ranks
+    def __init__(self, ranks: dict[bytes, int], share: float = 1.0) -> None:
+        self.ranks, self.share = ranks, share
         self.bytes_of = {v: k for k, v in ranks.items()}
         self.length = {v: len(k) for k, v in ranks.items()}
         self.child: list[dict[int, int]] = [{}]
@@ -71,14 +79,19 @@ class Transducer:
                     self.depth.append(self.depth[node] + 1)
                 node = nxt
             self.token_at[node] = rank
-        self.spines: dict[tuple[int, bool], list[tuple[bytes, int, int]] | None] = {}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.forget()
         self.restart()
 
+    def forget(self) -> None:
+        self.spines: dict[tuple[int, bool], list[tuple[bytes, int, int]] | None] = {}
+        self.pairs: dict[int, bool] = {}
+        self.pairs_bytes = 0
+
     def restart(self) -> None:
-        self.states: list[tuple] = [((0, -1),)]
+        self.states: list[tuple[int, ...]] = [(0,)]
         self.index = {self.states[0]: 0}
         self.steps: dict[int, tuple[int, int]] = {}
+        self.states_bytes = 0
 
     def spine(self, token: int, right: bool) -> list[tuple[bytes, int, int]] | None:
         """The parts at one edge of ``token`` while it is merged from bytes: ``(part, born, gone)``,
@@ -100,12 +113,14 @@ class Transducer:
                 born = now
             parts[i:i + 2] = [parts[i] + parts[i + 1]]
         known = self.spines[token, right] = [*out, (parts[edge], born, none)] if len(parts) == 1 else None
+        self.pairs_bytes += 250 + 200 * len(out)
         return known
 
     def adjoin(self, a: int, b: int) -> bool:
         """May ``b`` follow ``a``? (``a`` of -1: may ``b`` stand first?) Not if a part at the end of ``a``
         and one at the start of ``b`` would have been merged with each other while both were there."""
-        known = self.pairs.get((a, b))
+        key = a + 1 << TOKEN_BITS | b
+        known = self.pairs.get(key)
         if known is None:
             left, right = self.spine(a, True) if a >= 0 else [], self.spine(b, False)
             known = right is not None and left is not None
@@ -116,32 +131,38 @@ class Transducer:
                         if rank is not None and max(rank, x_born) < x_gone and max(rank, y_born) <= y_gone \
                                 and x_born < y_gone and y_born < x_gone and max(rank, y_born) < x_gone and max(rank, x_born) <= y_gone:
                             known = False
-            if len(self.pairs) > MAX_STEPS:
-                self.pairs.clear()
-            self.pairs[a, b] = known
+            if self.pairs_bytes > PAIRS_BYTES * self.share:
+                self.forget()
+            self.pairs[key] = known
+            self.pairs_bytes += 140
         return known
 
     def step(self, state: int, byte: int) -> tuple[int, int]:
         """Work out a transition: the next state and the last token so far."""
+        child, token_at, pairs = self.child, self.token_at, self.pairs
         live, end = [], -1
-        for node, token in self.states[state]:
-            node = self.child[node].get(byte)
+        for at in self.states[state]:
+            node = child[at >> TOKEN_BITS].get(byte)
             if node is not None:
-                if end < 0 and (t := self.token_at[node]) >= 0 and self.adjoin(token, t):
-                    end = t
-                if self.child[node]:
-                    live.append((node, token))
-        live.append((0, end))
+                if end < 0 and (t := token_at[node]) >= 0:
+                    may = pairs.get((at & TOKEN) << TOKEN_BITS | t)
+                    if may if may is not None else self.adjoin((at & TOKEN) - 1, t):
+                        end = t
+                        pairs = self.pairs
+                if child[node]:
+                    live.append(node << TOKEN_BITS | at & TOKEN)
+        live.append(end + 1)
         key = tuple(live)
         nxt = self.index.get(key)
         if nxt is None:
             nxt = self.index[key] = len(self.states)
             self.states.append(key)
+            self.states_bytes += 260 + 48 * len(key)
         return nxt, end
 
     def settled(self, ends: list[int], state: int) -> int:
         """How many of the bytes read are covered by tokens that nothing to come can change."""
-        back = [len(ends) - self.depth[node] for node, _ in self.states[state]]
+        back = [len(ends) - self.depth[at >> TOKEN_BITS] for at in self.states[state]]
         while (top := max(back)) != min(back):
             back = [x - self.length[ends[x - 1]] if x == top else x for x in back]
         return back[0]
@@ -159,7 +180,7 @@ class Transducer:
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
-        if len(self.steps) > MAX_STEPS:
+        if self.states_bytes > STATES_BYTES * self.share:
             self.restart()
         out: list[int] = []
         ends: list[int] = []
@@ -169,6 +190,7 @@ class Transducer:
             known = steps.get(key)
             if known is None:
                 known = steps[key] = self.step(state, byte)
+                self.states_bytes += 220
             state, end = known
             ends.append(end)
             if len(ends) == LOOKAHEAD:
@@ -185,25 +207,26 @@ class Pieces(dict):
 
     def __init__(self, transducer: Transducer) -> None:
         super().__init__()
-        self.transducer, self.old = transducer, {}
+        self.transducer, self.old, self.bytes = transducer, {}, 0
 
     def __missing__(self, piece: str) -> bytes:
         ids = self.old.get(piece)
         if ids is None:
             ids = array("i", self.transducer.encode_piece(piece.encode())).tobytes()
-        if len(self) >= MAX_PIECES:
-            self.old = dict(self)
+        if self.bytes > PIECES_BYTES * self.transducer.share:
+            self.old, self.bytes = dict(self), 0
             self.clear()
         self[piece] = ids
+        self.bytes += 240 + 2 * len(piece) + len(ids)
         return ids
 
 
 class Encoder:
     """Text to ids: cut by the pattern, each piece through the transducer or the table of pieces met before."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
+    def __init__(self, ranks: dict[bytes, int], pattern: str, share: float = 1.0) -> None:
         self.pattern = regex.compile(pattern)
-        self.pieces = Pieces(Transducer(ranks))
+        self.pieces = Pieces(Transducer(ranks, share))
 
     def encode(self, text: str) -> np.ndarray:
         if len(text) <= WHOLE_CHARS:
@@ -240,15 +263,19 @@ class Decoder:
 
     def __init__(self, ranks: dict[bytes, int]) -> None:
         self.bytes_of = {v: k for k, v in ranks.items()}
-        self.table: dict[tuple, tuple] = {}
-        # From one character's end to the next: tokens of complete characters only, known without a walk.
-        self.complete = {}
+        self.forget()
+        # From one character's end to the next: tokens of complete characters only, known without a walk; None for the others.
+        self.complete: list[str | None] = [None] * (max(self.bytes_of, default=-1) + 1)
         for i, token in self.bytes_of.items():
             state, held, text = self.walk(self.START, b"", token)
             if not held:
                 self.complete[i] = text
         self.reset()
 
+    def forget(self) -> None:
+        self.table: dict[tuple, tuple] = {}
+        self.table_bytes = 0
+
     def reset(self) -> None:
         self.state, self.held = self.START, b""
 
@@ -276,9 +303,10 @@ class Decoder:
             step = self.table.get(key)
             if step is None:
                 step = self.walk(self.state, self.held, self.bytes_of[i])
-                if len(self.table) > MAX_STEPS:
-                    self.table.clear()
+                if self.table_bytes > STEPS_BYTES:
+                    self.forget()
                 self.table[key] = step
+                self.table_bytes += 500
             self.state, self.held, text = step
             yield text
 
@@ -290,9 +318,11 @@ class Decoder:
     def decode(self, ids: Iterable[int]) -> str:
         self.reset()
         ids = list(ids)
+        if min(ids, default=0) < 0 or max(ids, default=0) >= len(self.complete):
+            raise KeyError("an id that the ranks do not hold")
         try:
             return "".join(map(self.complete.__getitem__, ids))
-        except KeyError:
+        except TypeError:  # a token that is no whole number of characters
             return "".join(self.feed(ids)) + self.finish()
 
 
@@ -319,6 +349,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     data = _read(ranks_path)
 
     def run(batches):
+        only("bpe", _MACHINES.clear)
         encoder = _machine(Encoder, data, pattern)
         for batch in batches:
             ids = [encoder.encode(t or "") for t in batch.column(1).to_pylist()]
@@ -338,6 +369,7 @@ def decode(tokens: DataFrame, ranks_path: str, id_col: str = "doc_id", ids_col:
     data = _read(ranks_path)
 
     def run(batches):
+        only("bpe", _MACHINES.clear)
         decoder = _machine(Decoder, data)
         for batch in batches:
             texts = [decoder.decode(x.values.to_numpy().tolist() if x.is_valid else ()) for x in batch.column(1)]
@@ -348,6 +380,41 @@ def decode(tokens: DataFrame, ranks_path: str, id_col: str = "doc_id", ids_col:
     return out.withColumnsRenamed({"id": id_col, "ids": ids_col})
 
 
+def coded(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text",
+          with_ids: bool = False, share: float = 1.0) -> DataFrame:
+    """:func:`encode`, :func:`decode` and the digests of both results, in one Arrow pass, so that one Python worker per task
+    holds the machines (in ``share`` of the memory they may take) and no decoded text goes back: ``(id_col, [ids,] n_tokens, ids_sha256, decoded_sha256)`` per row."""
+    small_batches(docs.sparkSession)
+    data = _read(ranks_path)
+
+    def run(batches):
+        only("bpe", _MACHINES.clear)
+        encoder, decoder = _machine(Encoder, data, pattern, share), _machine(Decoder, data)
+        decimals = _machine(Decimals, data).of
+        for batch in batches:
+            ids, shas, texts = [], [], []
+            for text in batch.column(1).to_pylist():
+                found = encoder.encode(text or "")
+                listed = found.tolist()
+                ids.append(found)
+                shas.append(sha256(",".join(map(decimals, listed)).encode()).hexdigest())
+                texts.append(sha256(decoder.decode(listed).encode()).hexdigest())
+            more = [lists(ids)] if with_ids else []
+            yield pa.RecordBatch.from_arrays([batch.column(0), *more, pa.array(map(len, ids), pa.int64()), pa.array(shas, pa.string()), pa.array(texts, pa.string())],
+                                             ["id", *["ids"] * with_ids, "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    schema = "id long, " + "ids array<int>, " * with_ids + "n_tokens long, ids_sha256 string, decoded_sha256 string"
+    return rows.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+
+
+class Decimals:
+    """Ids as decimal texts."""
+
+    def __init__(self, ranks: dict[bytes, int]) -> None:
+        self.of = [str(i) for i in range(max(ranks.values(), default=-1) + 1)].__getitem__
+
+
 def digests(coded: DataFrame, id_col: str = "doc_id", *more: str) -> DataFrame:
     return coded.select(
         id_col, *more, F.size("ids").cast("long").alias("n_tokens"),

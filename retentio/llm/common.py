@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from retentio.session import ensure_checkpoint_dir
+from retentio.session import ensure_checkpoint_dir, set_for_query
 
 # White space of every text contract here: [\x20\x09-\x0D].
 WHITE = " \t\n\x0b\x0c\r"
@@ -45,7 +46,19 @@ def partitions(spark: SparkSession) -> int:
 
 
 def small_batches(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    """Short Arrow batches for the frames of this query; the next query's start puts the setting back."""
+    set_for_query(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+
+
+_HELD: dict[str, Callable[[], object]] = {}
+
+
+def only(operator: str, drop: Callable[[], object]) -> None:
+    """Called where a Python task starts: Spark reuses its workers, so what other operators remember in this one goes
+    (``drop`` forgets this operator's tables), and a worker never holds more than one operator's."""
+    for other in [k for k in _HELD if k != operator]:
+        _HELD.pop(other)()
+    _HELD[operator] = drop
 
 
 def ascii_lower(c: Column) -> Column:

@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from retentio.llm.common import BROADCAST_ROWS, keyed, packed, real_id, saved, words
+from retentio.llm.common import BROADCAST_ROWS, joined_small, keyed, packed, real_id, saved, words
 
 WIDTH = 5
 PERCENT = 75
@@ -104,5 +104,5 @@ def find_contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id"
 def without_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that no item contaminates, with all their columns."""
     bad = contaminations(keyed(docs, id_col, text_col), items).select("_id", "_th").distinct()
-    clean = packed(docs, id_col, text_col).join(saved(bad), ["_id", "_th"], "left_anti")
+    clean = joined_small(packed(docs, id_col, text_col), saved(bad), ["_id", "_th"], "left_anti")
     return clean.select(*[F.col("_row")[c].alias(c) for c in docs.columns])

@@ -6,8 +6,8 @@ more documents keeps its lines in the smallest id that holds it and loses them
 everywhere else.
 
 Plan: each document is split once into ``(128-bit key hash, id, position)``
-rows. The hashes are range-partitioned and sorted by document and position; a
-window streams over each hash and its first row names the document that keeps
+rows. The hashes are range-partitioned and sorted by document (which line of the document comes first does not
+matter, as all of them share its fate); a window streams over each hash and its first row names the document that keeps
 the line. Hashes whose slice of the hash space is too large for one task (a
 line that a third of the corpus shares) take the same decision by a pre-aggregated
 minimum, joined back on a key that adaptive execution splits. What comes
@@ -88,9 +88,15 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def without_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                           min_chars: int = MIN_CHARS) -> DataFrame:
-    """``docs`` with all its columns and the kept lines as its text (unchanged where nothing goes)."""
+                           min_chars: int = MIN_CHARS, drop_emptied: bool = False) -> DataFrame:
+    """``docs`` with all its columns and the kept lines as its text (unchanged where nothing goes).
+
+    With ``drop_emptied``, a row that loses lines and keeps none of at least ``min_chars`` code points goes as a
+    whole: all it said is in earlier documents. Rows that lose no line always stay."""
     marked = packed(docs, id_col, text_col).join(drop_runs(keyed(docs, id_col, text_col), min_chars), ["_id", "_th"], "left")
     old = F.col("_row")[text_col]
-    text = F.when(F.col("runs").isNull(), old).otherwise(kept_text(old, F.col("runs")))
-    return marked.select(*[text.alias(c) if c == text_col else F.col("_row")[c].alias(c) for c in docs.columns])
+    marked = marked.withColumn("left", F.when(F.col("runs").isNull(), old).otherwise(kept_text(old, F.col("runs"))))
+    if drop_emptied:
+        says = F.exists(lines_of(F.col("left")), lambda x: F.char_length(F.btrim(x, F.lit(WHITE))) >= min_chars)
+        marked = marked.where(F.col("runs").isNull() | says)
+    return marked.select(*[(F.col("left") if c == text_col else F.col("_row")[c]).alias(c) for c in docs.columns])

@@ -15,29 +15,33 @@ Two documents are linked when their sets' similarity is at least 75 %; groups ar
    leave over is confirmed on the full sets too, so stars lose no link that a bucket holds.
 
 Plan: buckets are counted before they are joined, minima are pre-aggregated, hot keys meet only in joins of two tables, which
-adaptive execution splits; buckets of more than ``CHUNK`` members are dealt as pairs of chunks. Sets are built
+adaptive execution splits; buckets of more than ``CHUNK`` members are dealt as pairs of chunks of sizes that may be linked. Sets are built
 again only for classes that share a bucket. Components come from large-star / small-star rounds over written tables.
 
-Defined cases: texts without words (null, empty, blank) have an empty set and are linked with nothing; null ids count as the largest id;
-rows that share an id are one document (in :func:`one_of_each`, rows that share id and text); equal similarity needs no tie rule, as components are sets; an
+Defined cases: texts without words (null, empty, blank) have an empty set and are linked with nothing; rows without an id are documents of
+their own, told apart by text, and never name a group; rows that share an id are one document (in :func:`one_of_each`, rows that share id and text); equal similarity needs no tie rule, as components are sets; an
 empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+from math import log
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from retentio.llm.common import LAST_ID, WHITE, joined_small, keyed, packed, real_id, saved, small_batches
+from retentio.llm.common import LAST_ID, WHITE, joined_small, keyed, only, packed, saved, small_batches
 from retentio.llm.minhash import band_keys, parity_map
-from retentio.llm.tokens import mix, shingle_set
+from retentio.llm.tokens import forget_words, mix, shingle_set
 
 # Linked: 100 * |A and B| >= 75 * |A or B|.
 PERCENT = 75
 # Members of a bucket that one task looks at; larger buckets are dealt as pairs of chunks.
 CHUNK = 512
+# Ratio of set sizes within a size class; more than the 4 / 3 by which linked sets may differ.
+SPAN = 1.34
 _SECOND = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -46,6 +50,7 @@ def signed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     small_batches(docs.sparkSession)
 
     def run(batches):
+        only("words", forget_words)
         for batch in batches:
             n, s1, s2, bands, maps = [], [], [], [], []
             for text in batch.column(1).to_pylist():
@@ -89,6 +94,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> D
     """``(_id, shingles binary)`` of the documents in ``wanted``."""
 
     def run(batches):
+        only("words", forget_words)
         for batch in batches:
             sets = [shingle_set(t).tobytes() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["_id", "shingles"])
@@ -172,17 +178,29 @@ def still_possible(rows: DataFrame) -> DataFrame:
 
 
 def chunked(members: DataFrame) -> DataFrame:
-    """Adds ``_bucket`` and ``_side``. A bucket of at most ``CHUNK`` members is one task's (side 2: all against all);
-    a larger one becomes pairs of chunks, in which side 0 meets side 1."""
-    m = F.ceil(F.col("size") / CHUNK).cast("int")
-    own = F.pmod(F.xxhash64("rep"), m).cast("int")
+    """Adds ``_bucket`` and ``_side``. A bucket of at most ``CHUNK`` members is one task's (side 2: all against all).
+
+    A larger one is cut by set size first: linked sets lie in the same size class or in neighbouring ones (a class
+    spans a factor of ``SPAN``, more than sizes may differ), so a member meets chunks of its own class and of the two beside it, and nothing
+    else. In a pair of chunks side 0 meets side 1."""
     whole = members.where(F.col("size") <= CHUNK).withColumns({"_bucket": F.xxhash64("key"), "_side": F.lit(2)})
-    large = members.where(F.col("size") > CHUNK).withColumn("own", own)
-    large = large.withColumn("other", F.explode(F.sequence(F.lit(0), m - 1)))
-    large = large.withColumns({
-        "_bucket": F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")),
-        "_side": F.when(F.col("own") == F.col("other"), 2).otherwise((F.col("own") > F.col("other")).cast("int"))})
-    return whole.unionByName(large.drop("own", "other"))
+    large = members.where(F.col("size") > CHUNK).withColumn("_class", F.floor(F.ln(F.col("n").cast("double")) / F.lit(log(SPAN))).cast("int"))
+    chunks = saved(large.groupBy("key", "_class").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("_chunks")))
+    own = F.pmod(F.xxhash64("rep"), F.col("_chunks")).cast("int")
+    large = joined_small(large, chunks, ["key", "_class"]).withColumn("_own", own)
+
+    def beside(shift: int) -> DataFrame:
+        """Each member beside every chunk of the class ``shift`` away."""
+        there = chunks.select("key", (F.col("_class") - shift).alias("_class"), F.col("_chunks").alias("_there"))
+        return joined_small(large, there, ["key", "_class"]).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_there") - 1)))
+
+    same = beside(0).withColumns({
+        "_bucket": F.xxhash64("key", F.lit(0), "_class", F.least("_own", "_other"), F.greatest("_own", "_other")),
+        "_side": F.when(F.col("_own") == F.col("_other"), 2).otherwise((F.col("_own") > F.col("_other")).cast("int"))})
+    lower = beside(1).withColumns({"_bucket": F.xxhash64("key", F.lit(1), "_class", "_own", "_other"), "_side": F.lit(0)})
+    upper = beside(-1).withColumns({"_bucket": F.xxhash64("key", F.lit(1), F.col("_class") - 1, "_other", "_own"), "_side": F.lit(1)})
+    cols = whole.columns
+    return whole.unionByName(same.select(*cols)).unionByName(lower.select(*cols)).unionByName(upper.select(*cols))
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -225,11 +243,26 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id_col, n_shingles, component_id, kept)`` per input row; the smallest id of each group is kept."""
-    rows, known = classes(docs, id_col, text_col)
-    out = rows.join(known, ["s1", "s2"], "left").withColumn("component", F.coalesce("component", "_id"))
-    return out.select(real_id().alias(id_col), F.col("n").alias("n_shingles"), real_id("component").alias("component_id"),
-                      (F.col("_id") == F.col("component")).alias("kept"))
+    """``(id_col, n_shingles, component_id, kept)`` per input row; the smallest id of each group is kept.
+
+    Rows without an id are documents of their own, told apart by their texts: they link others, but never
+    give a group its id. A group of such rows alone has a null ``component_id``, and one of its texts is kept."""
+    if docs.where(F.col(id_col).isNull()).isEmpty():
+        rows, known = classes(docs, id_col, text_col)
+        out = rows.join(known, ["s1", "s2"], "left").withColumn("component", F.coalesce("component", "_id"))
+        return out.select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"),
+                          (F.col("_id") == F.col("component")).alias("kept"))
+    # The node of a row is its id or, without one, a hash of its text.
+    nameless = F.xxhash64(F.lit("no id"), F.col(text_col))
+    ids = docs.select(F.coalesce(F.col(id_col).cast("long"), nameless).alias("node"), F.col(id_col).isNull().alias("nameless"), F.col(text_col).alias("_text"))
+    without = saved(ids.where("nameless").select("node", "nameless").distinct())
+    rows, known = classes(ids.select("node", "_text"), "node", "_text")
+    placed = joined_small(rows.join(known, ["s1", "s2"], "left"), without.withColumnRenamed("node", "_id"), ["_id"], "left")
+    out = saved(placed.withColumns({"component": F.coalesce("component", "_id"), "real": F.when(F.col("nameless").isNull(), F.col("_id"))}))
+    named = out.groupBy("component").agg(F.min("real").alias("component_id"), F.min("_id").alias("first"))
+    out = out.join(saved(named), "component")
+    kept = F.when(F.col("real").isNotNull(), F.col("real") == F.col("component_id")).otherwise(F.col("component_id").isNull() & (F.col("_id") == F.col("first")))
+    return out.select(F.col("real").alias(id_col), F.col("n").alias("n_shingles"), "component_id", kept.alias("kept"))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -255,7 +288,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     gone = saved(keys.join(first, ["component", "_id", "_th"], "left_anti").select("_id", "_th").distinct())
 
     def kept(x: DataFrame) -> DataFrame:
-        return x.join(gone, ["_id", "_th"], "left_anti").select("_id", "_th", "_row")
+        return joined_small(x, gone, ["_id", "_th"], "left_anti").select("_id", "_th", "_row")
 
     if unique:
         left = kept(whole)

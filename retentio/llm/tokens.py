@@ -25,6 +25,10 @@ class WordHashes(dict):
 _WORDS = WordHashes()
 
 
+def forget_words() -> None:
+    _WORDS.clear()
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection on 64 bits that spreads every input bit."""
     x = (x ^ (x >> _S30)) * _M1

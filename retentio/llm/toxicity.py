@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from retentio.llm.common import saved, small_batches
+from retentio.llm.common import only, saved, small_batches
 
 PER_CLASS = 512         # labelled examples taken of each class
 PREFIXES = (4, 6)       # first letters of a word that are terms beside the word
@@ -47,8 +47,8 @@ BLOCK = 64              # examples per block of the index
 COMMON = 1 / 32         # share of the examples from which a term is a column instead of a list
 TOGETHER = 256          # documents whose common terms are multiplied out together
 PIVOTS = 24             # examples around which alike ones are put into the same blocks
-MAX_WORDS = 200_000     # words whose terms a worker remembers
-MAX_SCORES = 20_000     # texts whose scores a worker remembers
+MAX_WORDS = 150_000     # words whose terms a worker remembers
+MAX_SCORES = 5_000      # texts whose scores a worker remembers
 THRESHOLD = 0.3
 LETTER = re.compile(r"[^\W\d_]")
 # ASCII other than letters ends a word; all other characters are part of one.
@@ -133,7 +133,8 @@ def frequencies(docs: DataFrame, terms: list[bytes], text_col: str) -> tuple[np.
     """In how many rows each term stands, and the number of rows."""
 
     def run(batches):
-        ids, df, n = TermIds(terms), np.zeros(len(terms) + 1, np.int64), 0
+        only("toxicity", Index.built.clear)
+        ids, df = TermIds(terms), np.zeros(len(terms) + 1, np.int64)
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 df[ids.of(text)[0]] += 1
@@ -374,6 +375,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("toxic", pa.int32())]))
 
     def run(batches):
+        only("toxicity", Index.built.clear)
         ids, known = TermIds(model.terms), {}
         for batch in batches:
             out = scores(model, batch.column(1).to_pylist(), ids, known)
@@ -394,6 +396,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     at = docs.columns.index(text_col)
 
     def run(batches):
+        only("toxicity", Index.built.clear)
         ids, known = TermIds(model.terms), {}
         for batch in batches:
             good = [s < THRESHOLD for s, _ in scores(model, batch.column(at).to_pylist(), ids, known)]

@@ -182,6 +182,32 @@ def test_links_past_the_hub(spark, monkeypatch):
     assert len({r.component_id for r in got}) == 1
 
 
+def test_rows_without_an_id_link_but_are_not_one_document(spark):
+    text = {c: " ".join(f"{c}{k}" for k in range(60)) for c in "abcd"}
+    rows = [(1, text["a"]), (2, text["b"]), (None, text["a"] + " end"), (None, text["b"] + " end"), (None, text["c"]), (None, text["c"]),
+            (None, text["c"] + " end"), (None, None), (2**63 - 1, text["d"]), (None, "few words")]
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.component_id, r.kept) for r in got if r.doc_id is not None} == {(1, 1, True), (2, 2, True), (2**63 - 1, 2**63 - 1, True)}
+    nameless = Counter((r.n_shingles, r.component_id, r.kept) for r in got if r.doc_id is None)
+    kept_c = [r for r in got if r.doc_id is None and r.component_id is None and r.n_shingles > 10 and r.kept]
+    assert nameless[57, 1, False] == nameless[57, 2, False] == 1 and nameless[0, None, True] == 1 and nameless[1, None, True] == 1
+    assert len({r.n_shingles for r in kept_c}) == 1 and sum(nameless.values()) == 7
+
+
+def test_chunks_meet_only_where_sizes_allow_a_link(spark, monkeypatch):
+    """A crowded bucket of unlike sizes: every pair that sizes allow shares one chunk pair, and few others do."""
+    monkeypatch.setattr(near_dedup, "CHUNK", 16)
+    sizes = [5 + i * 2 for i in range(500)]
+    members = spark.createDataFrame([(7, 500, i, n) for i, n in enumerate(sizes)], "key long, size long, rep long, n long")
+    seen = {}
+    for r in near_dedup.chunked(members).collect():
+        seen.setdefault(r._bucket, []).append((r.rep, r._side))
+    met = Counter(tuple(sorted((a, b))) for rows in seen.values() for (a, x), (b, y) in itertools.combinations(rows, 2) if x != y or x == 2)
+    possible = {(a, b) for a, b in itertools.combinations(range(500), 2) if 100 * min(sizes[a], sizes[b]) >= 75 * max(sizes[a], sizes[b])}
+    assert possible <= set(met) and set(met.values()) == {1}
+    assert len(met) < 3 * len(possible) and sum(map(len, seen.values())) < 500 * 500 / 16
+
+
 def test_one_of_each_keeps_rows_whole(odd_docs):
     out = near_dedup.one_of_each(odd_docs)
     assert out.columns == odd_docs.columns
