@@ -1,7 +1,7 @@
 """Language identification by segmentation-marginalised unigrams.
 
 The pieces are those of a fixed public byte-level vocabulary. Each language has a probability for every piece; the probability of a word (a
-space and its lower-cased letters) is the sum over all ways to cut it into pieces, found by the forward
+space and a run of lower-cased letters) is the sum over all ways to cut it into pieces, found by the forward
 algorithm, and a text's is the product over its words. Piece probabilities are learnt by expectation-maximisation: the
 forward and backward sums of each word give the expected number of times each piece is used.
 
@@ -22,8 +22,10 @@ rescaling; repeated rows are predicted alike; an empty table gives an empty resu
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from retentio.llm.bpe import _read, parse_ranks
-from retentio.llm.common import saved, small_batches
+from retentio.llm.common import only, saved, small_batches
 
 ROUNDS = 2
 SMOOTH = 0.01                # pseudo-count of each piece
@@ -39,15 +41,18 @@ SAMPLE = 2000
 FOLDS = 5                    # documents whose crc32 is divisible by this are held out
 CHUNK = 8192                 # words of one length that go through the lattice at once
 SPAN = 12                    # positions after which sums are rescaled
-LONG = 1024                  # letters of a word that are learnt together; the rest of a longer one is learnt as further words
+LONG = 1024                  # bytes of a word that are learnt together; the rest of a longer one is learnt as further words
 COUNTED = 150_000            # different words a task counts before it hands them on
-MAX_WORDS = 300_000          # words whose sums a worker remembers
+MAX_WORDS = 400_000          # words whose sums a worker remembers
 PART = 150_000               # words of texts that are looked up together
-WORD = re.compile(r"[^\W\d_]+")
+LETTER = re.compile(r"[^\W\d_]")
+# ASCII other than letters ends a word; all other characters are part of one.
+ENDS = bytes(b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
 
 
-def words_of(text: str | None) -> list[str]:
-    return WORD.findall((text or "").lower())
+def words_of(text: str | None) -> list[bytes]:
+    """The words of the lower-cased text in UTF-8: runs of ASCII letters and of characters beyond ASCII. None if the text holds no letter."""
+    return (text or "").lower().encode().translate(ENDS).split() if text and LETTER.search(text) else []
 
 
 def held_out(id_col: str) -> Column:
@@ -144,9 +149,9 @@ def rescale(sums: np.ndarray, logs: np.ndarray, at: int, first: int, last: int,
     logs[block] = logs[block - step] + np.log(by)
 
 
-def by_length(words: list[str], columns: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def by_length(words: list[bytes], columns: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """``(positions, byte matrix)`` of words of one length, at most ``CHUNK`` (fewer of long ones) at a time."""
-    coded = [b" " + w.encode() for w in words]
+    coded = [b" " + w for w in words]
     sizes = np.fromiter(map(len, coded), np.int64, len(coded))
     for size in np.unique(sizes).tolist():
         at = np.flatnonzero(sizes == size)
@@ -156,7 +161,7 @@ def by_length(words: list[str], columns: int) -> Iterator[tuple[np.ndarray, np.n
             yield part, np.frombuffer(b"".join([coded[i] for i in part.tolist()]), np.uint8).reshape(len(part), size)
 
 
-def log_sums(pieces: Pieces, words: list[str], p: np.ndarray) -> np.ndarray:
+def log_sums(pieces: Pieces, words: list[bytes], p: np.ndarray) -> np.ndarray:
     """Log-probability of each word under each column of ``p``: the forward sums at its end."""
     out = np.zeros((len(words), p.shape[1]))
     for at, matrix in by_length(words, p.shape[1]):
@@ -166,7 +171,7 @@ def log_sums(pieces: Pieces, words: list[str], p: np.ndarray) -> np.ndarray:
     return out
 
 
-def expected(pieces: Pieces, words: list[str], often: np.ndarray, p: np.ndarray) -> np.ndarray:
+def expected(pieces: Pieces, words: list[bytes], often: np.ndarray, p: np.ndarray) -> np.ndarray:
     """How many times each piece is expected to be used in these words, ``p`` being one language's probabilities."""
     out = np.zeros(pieces.size + 1)
     p = p[:, None]
@@ -203,25 +208,28 @@ def word_counts(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> D
 
         def out():
             for lang, c in counts.items():
+                for word in [w for w in c if len(w) > LONG]:
+                    n = c.pop(word)
+                    c.update({part: n * k for part, k in Counter(word[i:i + LONG] for i in range(0, len(word), LONG)).items()})
                 if c:
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(c), pa.string()), pa.array(list(c.keys()), pa.string()), pa.array(list(c.values()), pa.int64())], ["lang", "word", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(c), pa.string()), pa.array(list(c.keys()), pa.binary()), pa.array(list(c.values()), pa.int64())], ["lang", "word", "n"])
             counts.clear()
 
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                counts.setdefault(lang, Counter()).update(w[i:i + LONG] for w in words_of(text) for i in range(0, len(w), LONG))
+                counts.setdefault(lang, Counter()).update(words_of(text))
             if sum(map(len, counts.values())) > COUNTED:
                 yield from out()
         yield from out()
 
-    return rows.mapInArrow(run, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    return rows.mapInArrow(run, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
 class Model:
     """Languages, their piece probabilities (a column each), log-shares of the learnt documents, and the temperature."""
 
     def __init__(self, langs: list[str], p: np.ndarray, prior: np.ndarray, temperature: float = 1.0) -> None:
-        self.langs, self.p, self.prior, self.temperature = langs, p, prior, temperature
+        self.langs, self.p, self.prior, self.temperature, self.key = langs, p, prior, temperature, uuid.uuid4().hex
 
     def posterior(self, sums: np.ndarray) -> np.ndarray:
         x = (sums + self.prior) / self.temperature
@@ -235,33 +243,28 @@ class Scorer(dict):
     def __init__(self, model: Model, pieces: Pieces) -> None:
         super().__init__()
         self.model, self.pieces = model, pieces
-        self.sums = np.zeros((0, len(model.langs)))
-
-    def of(self, words: list[str]) -> np.ndarray:
-        """Log-probability of all these words together, per language. A very long text is summed in parts."""
-        total = np.zeros(len(self.model.langs))
-        for lo in range(0, len(words), PART):
-            part = words[lo:lo + PART]
-            self.learn(part)
-            total += self.known(part)
-        return total
-
-    def known(self, words: list[str]) -> np.ndarray:
-        return self.sums[np.fromiter(map(self.__getitem__, words), np.int64, len(words))].sum(axis=0)
-
-    def learn(self, words: list[str]) -> None:
-        new = [w for w in dict.fromkeys(words) if w not in self]
-        if not new:
-            return
-        if len(self) + len(new) > MAX_WORDS:
-            self.clear()
-            self.sums = self.sums[:0]
-            new = list(dict.fromkeys(words))
-        self.update(zip(new, range(len(self), len(self) + len(new))))
-        self.sums = np.concatenate([self.sums, log_sums(self.pieces, new, self.model.p)])
+        self.sums, self.used = np.zeros((1024, len(model.langs))), 0
+
+    def rows(self, words: list[bytes]) -> np.ndarray:
+        """The words' rows of ``sums``; new ones are summed first."""
+        at = np.fromiter(map(self.get, words, repeat(-1)), np.int64, len(words))
+        missing = np.flatnonzero(at < 0).tolist()
+        if missing:
+            new = list(dict.fromkeys(words[i] for i in missing))
+            if len(self) + len(new) > MAX_WORDS:
+                self.clear()
+                self.used, missing, new = 0, range(len(words)), list(dict.fromkeys(words))
+            self.update(zip(new, range(self.used, self.used + len(new))))
+            if self.used + len(new) > len(self.sums):
+                self.sums = np.concatenate([self.sums, np.zeros((max(len(self.sums), len(new)), self.sums.shape[1]))])
+            self.sums[self.used:self.used + len(new)] = log_sums(self.pieces, new, self.model.p)
+            self.used += len(new)
+            at[missing] = [self[words[i]] for i in missing]
+        return at
 
     def texts(self, texts: list[str | None]) -> Iterator[np.ndarray | None]:
-        """Log-probabilities per text, None without a letter. New words of several texts go through the lattice together."""
+        """Log-probability of each text per language, None without a word. New words of several texts go through the lattice together;
+        a very long text is summed in parts."""
         cut = [words_of(t) for t in texts]
         lo = 0
         while lo < len(cut):
@@ -270,13 +273,31 @@ class Scorer(dict):
                 size += len(cut[hi])
                 hi += 1
             if size <= PART:
-                self.learn([w for x in cut[lo:hi] for w in x])
-                yield from (self.known(x) if x else None for x in cut[lo:hi])
+                at, end = self.rows([w for x in cut[lo:hi] for w in x]), 0
+                for x in cut[lo:hi]:
+                    start, end = end, end + len(x)
+                    yield self.sums[at[start:end]].sum(axis=0) if x else None
             else:
-                yield self.of(cut[lo])
+                yield sum(self.sums[self.rows(cut[lo][i:i + PART])].sum(axis=0) for i in range(0, size, PART))
             lo = hi
 
 
+_SCORERS: dict[str, Scorer] = {}
+
+
+def forget() -> None:
+    _SCORERS.clear()
+    _PIECES.clear()
+
+
+def scorer_of(model: Model, vocabulary: bytes) -> Scorer:
+    """The worker's scorer of a model; only the newest model's is kept."""
+    if model.key not in _SCORERS:
+        _SCORERS.clear()
+        _SCORERS[model.key] = Scorer(model, pieces_of(vocabulary))
+    return _SCORERS[model.key]
+
+
 def learn(docs: DataFrame, vocabulary: bytes, id_col: str, text_col: str, lang_col: str) -> Model | None:
     """The model of the documents that may be learnt from; None if no language can be."""
     small_batches(docs.sparkSession)
@@ -309,6 +330,7 @@ def expected_counts(counts: DataFrame, vocabulary: bytes, langs: list[str], p: n
     at = {x: i for i, x in enumerate(langs)}
 
     def run(batches):
+        only("language", forget)
         pieces, total = pieces_of(vocabulary), np.zeros(p.shape)
         for batch in batches:
             lang = np.array([at[x] for x in batch.column(0).to_pylist()])
@@ -350,7 +372,8 @@ def log_probabilities(rows: DataFrame, model: Model, vocabulary: bytes, more: tu
     """``(id, sums array<double>, *more)`` per row ``(id, text, *more)``; null without a letter."""
 
     def run(batches):
-        scorer = Scorer(model, pieces_of(vocabulary))
+        only("language", forget)
+        scorer = scorer_of(model, vocabulary)
         for batch in batches:
             found = [None if x is None else x.tolist() for x in scorer.texts(batch.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.float64())), *batch.columns[2:]], ["id", "sums", *more])
@@ -367,11 +390,11 @@ def identify(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text
     schema = "id long, lang_pred string, score double, posterior map<string, double>"
 
     def run(batches):
-        scorer = Scorer(model, pieces_of(vocabulary)) if model is not None else None
+        only("language", forget)
         for batch in batches:
             texts = batch.column(1).to_pylist()
             langs, scores, shares = [], [], []
-            for sums in scorer.texts(texts) if scorer is not None else [None] * len(texts):
+            for sums in scorer_of(model, vocabulary).texts(texts) if model is not None else [None] * len(texts):
                 share = model.posterior(sums) if sums is not None else np.zeros(0)
                 langs.append(model.langs[int(share.argmax())] if len(share) else "und")
                 scores.append(float(share.max(initial=0)))
