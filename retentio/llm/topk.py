@@ -4,13 +4,15 @@ Components become ``floor(1024 * x)``. Vectors are put in order of descending le
 into blocks; queries are packed into blocks too. An orthogonal rotation from the singular vectors of the whole table
 (its d x d Gram matrix) moves most of every inner product into the leading coordinates.
 
-Each query first meets the longest vectors, which gives it a score that its k-th best cannot be below. By Cauchy-Schwarz
-no vector shorter than that score over the query's length can be among its best, so a query block is only sent to
+The ranges are met in rounds, the longest vectors first, each round four times as many as the one before. After a round a query
+knows a score that its k-th best cannot be below. By Cauchy-Schwarz
+no vector shorter than that score over the query's length can be among its best, so a query goes on only to
 the ranges that reach that length. Inside a pair of blocks the leading rotated coordinates are summed and the rest is bounded
 by the product of the residual lengths; only pairs whose bound reaches the query's score are multiplied out, in integers.
 
-Plan: blocks are rows of bounded size; (query block, range) pairs are joined to the blocks of the range by the range's number,
-and the best k of each pair of blocks go on to a per-query top k. The driver holds the Gram matrix and one
+Plan: blocks are rows of bounded size; (queries of a block, range) pairs are joined to the blocks of the range by the range's number,
+and the best k of each pair of blocks go on to a per-query top k, a written table after each round. The rounds grow with the
+logarithm of the ranges. The driver holds the Gram matrix and one
 length per range (as many as there are partitions).
 
 Defined cases: vectors that are null, empty, or hold null or non-finite components, and rows without an id, take no part; shorter vectors count
@@ -122,6 +124,42 @@ def best_of(q_ids, q, floor, x_ids, x, basis: np.ndarray, k: int) -> list[tuple[
     return out
 
 
+def best_so_far(found: DataFrame, k: int) -> DataFrame:
+    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def rounds(ranges: list[int]) -> list[list[int]]:
+    """The ranges in order, in groups of 1, 4, 16, ..."""
+    out, at, size = [], 0, 1
+    while at < len(ranges):
+        out.append(ranges[at:at + size])
+        at, size = at + size, size * 4
+    return out
+
+
+def routed(asked: DataFrame, floors: DataFrame | None, to: list[tuple[int, float]], d: int) -> DataFrame:
+    """``(range, q_ids, q_data, floor)``: the queries of each block that may have one of their best in a range of ``to`` (its number
+    and longest vector). ``floors``: ``(block, known array<struct<query_id, floor>>)``."""
+
+    def run(batches):
+        for batch in batches:
+            for ids, data, known in zip(*(c.to_pylist() for c in batch.columns)):
+                q_ids, q = unpack(ids, data, d)
+                given = {r["query_id"]: r["floor"] for r in known or ()}
+                floor = np.array([given.get(i, -np.inf) for i in q_ids.tolist()])
+                need = np.where(floor > 0, floor / np.maximum(np.linalg.norm(q, axis=1), 1e-9), 0.0) * (1 - 1e-9)
+                for number, longest in to:
+                    goes = need <= longest
+                    if goes.any():
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array([number], pa.int32()), pa.array([q_ids[goes].tobytes()], pa.binary()),
+                             pa.array([q[goes].tobytes()], pa.binary()), pa.array([floor[goes].tobytes()], pa.binary())], ["range", "q_ids", "q_data", "floor"])
+
+    rows = asked.withColumn("known", F.lit(None).cast("array<struct<query_id: long, floor: double>>")) if floors is None else asked.join(floors, "block", "left")
+    return rows.select("ids", "data", "known").mapInArrow(run, "range int, q_ids binary, q_data binary, floor binary")
+
+
 def search(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", k: int = K, every: int = EVERY) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: each query's ``k`` best rows other than itself."""
     spark = vectors.sparkSession
@@ -129,32 +167,14 @@ def search(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding
     d = rows.agg(F.max(F.size("v")).alias("d")).first().d or 1
     basis = rotation(rows, d)
     packed = saved(blocks(rows, d, BLOCK))
-    asked = saved(blocks(rows.where(F.col("vec_id") % every == 0), d, QUERIES))
+    asked = saved(blocks(rows.where(F.col("vec_id") % every == 0), d, QUERIES).select("ids", "data", F.monotonically_increasing_id().alias("block")))
     reach = {r.range: r.longest for r in packed.groupBy("range").agg(F.max("longest").alias("longest")).collect()}
 
-    first = packed.orderBy(F.col("longest").desc(), "range").select("ids", "data").limit(1).collect()
-    seed = (first[0]["ids"], first[0]["data"]) if first else (b"", b"")
-
-    def floors(batches):
-        """The k-th best score among the longest vectors, and the length that a better vector needs."""
-        x_ids, x = unpack(*seed, d)
+    def members(batches):
         for batch in batches:
-            out = [[], [], [], []]
-            for ids, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                q_ids, q = unpack(ids, data, d)
-                floor = np.full(len(q_ids), -np.inf)
-                found: dict[int, list[int]] = {}
-                for i, _, s in best_of(q_ids, q, floor, x_ids, x, basis, k):
-                    found.setdefault(i, []).append(s)
-                for n, i in enumerate(q_ids.tolist()):
-                    if len(found.get(i, ())) == k:
-                        floor[n] = found[i][-1]
-                length = np.linalg.norm(q, axis=1)
-                need = np.where(floor > 0, floor / np.maximum(length, 1e-9), 0.0)
-                for c, v in zip(out, (ids, data, floor.tobytes(), float(need.min(initial=np.inf)) * (1 - 1e-9))):
-                    c.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.binary()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.binary()),
-                                              pa.array(out[3], pa.float64())], ["q_ids", "q_data", "floor", "need"])
+            for ids, block in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                i = np.frombuffer(ids, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(np.full(len(i), block))], ["query_id", "block"])
 
     def score(batches):
         for batch in batches:
@@ -168,15 +188,15 @@ def search(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding
     before = spark.conf.get(name)
     spark.conf.set(name, "8")
     try:
-        ready = saved(asked.select("ids", "data").mapInArrow(floors, "q_ids binary, q_data binary, floor binary, need double"))
-        ranges = F.array(*[F.struct(F.lit(r).alias("range"), F.lit(v).alias("longest")) for r, v in sorted(reach.items())]) if reach else None
-        if ranges is None:
-            pairs = ready.withColumn("range", F.lit(0)).limit(0)
-        else:
-            pairs = ready.withColumn("range", F.explode(F.filter(ranges, lambda x: x["longest"] >= F.col("need"))["range"]))
-        found = saved(pairs.join(packed, "range").select("q_ids", "q_data", "floor", "ids", "data")
-                      .mapInArrow(score, "query_id long, vec_id long, score long"))
+        places = saved(asked.select("ids", "block").mapInArrow(members, "query_id long, block long"))
+        best, floors = saved(spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")), None
+        for group in rounds(sorted(reach, key=lambda r: (-reach[r], r))):
+            pairs = saved(routed(asked, floors, [(r, reach[r]) for r in group], d))
+            found = (pairs.join(packed.select("range", "ids", "data"), "range").select("q_ids", "q_data", "floor", "ids", "data")
+                     .mapInArrow(score, "query_id long, vec_id long, score long"))
+            best = saved(best_so_far(found.unionByName(best.drop("rank")), k))
+            whole = best.where(F.col("rank") == k).select("query_id", F.col("score").cast("double").alias("floor"))
+            floors = saved(whole.join(places, "query_id").groupBy("block").agg(F.collect_list(F.struct("query_id", "floor")).alias("known")))
     finally:
         spark.conf.set(name, before)
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return best

@@ -77,6 +77,22 @@ def test_encode_and_decode_frames(odd_docs, no_docs):
     assert digest[1].ids_sha256 == hashlib.sha256(",".join(map(str, THEIRS.encode_ordinary(odd_docs.where("doc_id = 1").first().text))).encode()).hexdigest()
     assert digest[3].ids_sha256 == digest[3].decoded_sha256 == hashlib.sha256(b"").hexdigest()
     assert bpe.decode(bpe.encode(no_docs, PATH, public_tokenizers.PATTERN), PATH).count() == 0
+    once = bpe.coded(odd_docs, PATH, public_tokenizers.PATTERN, with_ids=True)
+    assert Counter(map(str, once.collect())) == Counter(map(str, bpe.digests(coded, "doc_id", "ids").collect()))
+    assert bpe.coded(no_docs, PATH, public_tokenizers.PATTERN).count() == 0
+
+
+def test_tables_that_start_afresh_change_nothing(monkeypatch):
+    for name in ("PIECES_BYTES", "STATES_BYTES", "PAIRS_BYTES", "STEPS_BYTES"):
+        monkeypatch.setattr(bpe, name, 2000)
+    encoder, decoder, rnd = bpe.Encoder(RANKS, public_tokenizers.PATTERN), bpe.Decoder(RANKS), random.Random(7)
+    for _ in range(30):
+        text = " ".join("".join(rnd.choice("aeénrst漢😀") for _ in range(rnd.randint(1, 12))) for _ in range(40))
+        ids = encoder.encode(text).tolist()
+        assert ids == THEIRS.encode_ordinary(text) and decoder.decode(ids) == text
+    assert max(encoder.pieces.bytes, encoder.pieces.transducer.pairs_bytes) < 10_000
+    with pytest.raises(KeyError):
+        decoder.decode([len(RANKS) + 7])
 
 
 # ---------------------------------------------------------------- WARC
@@ -290,6 +306,32 @@ def test_topk_equals_brute_force(spark):
     assert topk.search(frame.where("vec_id < 4")).count() == 3
 
 
+def test_later_rounds_meet_fewer_ranges(spark, monkeypatch):
+    """Lengths that fall off: after the first rounds' scores most queries need no shorter vectors."""
+    monkeypatch.setattr(topk, "BLOCK", 16)
+    monkeypatch.setattr(topk, "QUERIES", 4)
+    rng = np.random.default_rng(4)
+    rows = [(i, (rng.normal(size=6) * 4 / (1 + i % 97)).tolist()) for i in range(400)]
+    frame = spark.createDataFrame(rows + [(500, [0.0] * 6), (520, [])], "vec_id long, embedding array<double>").selectExpr("*", "1 AS rank", "'x' AS block")
+    sent, whole = [], topk.routed
+
+    def counting(asked, floors, to, d):
+        out = whole(asked, floors, to, d)
+        sent.append((len(to), sum(len(r.q_ids) // 8 for r in out.collect())))
+        return out
+
+    monkeypatch.setattr(topk, "routed", counting)
+    got = topk.search(frame, every=20).collect()
+    v = {i: [int(np.floor(1024 * c)) for c in x] for i, x in rows + [(500, [0.0] * 6)]}
+    want = Counter()
+    for q in (i for i in v if i % 20 == 0):
+        ranked = sorted((-sum(a * b for a, b in zip(v[q], v[i])), i) for i in v if i != q)[:10]
+        want.update((q, n, i, -s) for n, (s, i) in enumerate(ranked, 1))
+    assert Counter(map(tuple, got)) == want
+    queries = sum(i % 20 == 0 for i in v)
+    assert [n for n, _ in sent][:2] == [1, 4] and sent[0][1] == queries and sent[-1][1] < 0.7 * queries * sent[-1][0]
+
+
 # ---------------------------------------------------------------- toxicity
 
 def test_nearest_is_exact():
@@ -338,3 +380,43 @@ def test_toxicity_on_held_out_labels(spark, no_docs):
     assert clean.columns == frame.columns and {r.doc_id for r in clean.collect()} == {r.doc_id for r in got if not r.predicted}
     assert toxicity.toxicity(no_docs, marks).count() == 0
     assert {r.score for r in toxicity.toxicity(frame, marks.limit(0)).collect()} == {0.0}
+    odd = frame.selectExpr("doc_id", "text", "'x' AS score", "1 AS doc", "2 AS label", "3 AS th")
+    assert toxicity.without_toxic(odd, marks).columns == odd.columns
+
+
+def test_toxicity_scores_equal_brute_force(spark):
+    """Whole scores: a dense matrix of all terms, every cosine, the same votes and curve."""
+    rnd = random.Random(11)
+    word = lambda: "".join(rnd.choice(["an", "er", "on", "ti", "re", "ha", "é"]) for _ in range(rnd.randint(1, 5)))
+    docs = [(i, " ".join([word() for _ in range(rnd.randint(1, 50))] + ["vile"] * (i % 4 == 0))) for i in range(260)] + [(260, "7 8"), (261, "qqq " * 30_000)]
+    docs += [(3, "another text of the third id"), (5, docs[5][1])]
+    marks = [(i, 1, int(i % 4 == 0)) for i in range(261)]
+    frame, labels = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+    model = toxicity.fit(frame, labels)
+    number = {t: i for i, t in enumerate(model.terms)}
+    counted = [toxicity.term_counts(t) for _, t in docs]
+    df = np.array([sum(t in c for c in counted) for t in model.terms])
+    examples = {i: toxicity.term_counts(t) for i, t in docs if i in set(model.docs.tolist()) and i != 3}
+    assert len(model.docs) == len(set(model.docs.tolist())) and {t for c in examples.values() for t in c} <= set(number)
+
+    def dense(c):
+        x = np.zeros(len(number))
+        for t, n in c.items():
+            if t in number:
+                x[number[t]] = (1 + np.log(n)) * model.weight[number[t]]
+        return x / (np.linalg.norm(x) or 1)
+
+    assert np.allclose(model.weight / np.log((2 + len(docs)) / (1 + df)), np.clip(model.weight / np.log((2 + len(docs)) / (1 + df)), toxicity.FLOOR, 1))
+    third = next(t for t in (docs[3][1], docs[262][1]) if abs(dense(toxicity.term_counts(t)) @ dense(toxicity.term_counts(t)) - 1) < 1e-9
+                 and set(toxicity.term_counts(t)) <= set(number)) if 3 in model.docs else None
+    matrix = np.array([dense(examples[i] if i != 3 else toxicity.term_counts(third)) for i in model.docs.tolist()])
+    for (i, text), c in list(zip(docs, counted))[::7] + list(zip(docs, counted))[-5:]:
+        (got, seen), = toxicity.scores(model, [text], toxicity.TermIds(model.terms), {})
+        if not toxicity.LETTER.search(text):
+            assert got == model.empty
+            continue
+        cosines = matrix @ dense(c)
+        best = [j for j in np.lexsort((np.arange(len(cosines)), -cosines.round(12)))[:toxicity.NEIGHBOURS] if cosines[j] > 0]
+        a, b = model.curve
+        want = 1 / (1 + np.exp(-(a * toxicity.logit(model.vote(np.array(best, int), cosines[best])) + b)))
+        assert abs(got - want) < 1e-6 and np.allclose([e["cosine"] for e in seen], cosines[best[:3]])
