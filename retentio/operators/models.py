@@ -242,7 +242,9 @@ def fit_forest(train: DataFrame, vocab_list, label: str = LABEL, num_trees: int
                                 impurity="gini", featureSubsetStrategy="sqrt", maxDepth=max_depth,
                                 minInstancesPerNode=1, bootstrap=True, subsamplingRate=1.0, seed=seed,
                                 cacheNodeIds=True, checkpointInterval=10)
-    model = rf.fit(x)
+    # The fitted model carries a summary of the training frame and with it the session, which cannot be sent to the
+    # executors once a frame was observed; a copy holds the trees alone.
+    model = rf.fit(x).copy()
     pat.unpersist()
     return model
 

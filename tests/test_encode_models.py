@@ -144,6 +144,16 @@ def test_forest_importances_sum_to_one(spark):
     assert [r.rank_no for r in imp] == [1, 2, 3] and imp == sorted(imp, key=lambda r: (-r.importance, r.feature_name))
 
 
+def test_forest_scores_in_a_session_that_has_observed_a_frame(spark):
+    from pyspark.sql import Observation
+    df, *_ = toy(spark, 100, 3)
+    seen = Observation()
+    df.observe(seen, F.count("*").alias("n")).collect()
+    vocab = E.collect_vocabulary(E.vocabulary(df, ["ca", "cb"]))
+    model = M.fit_forest(df, vocab, num_trees=3)
+    assert M.forest_score(model, df, vocab).where("score BETWEEN 0 AND 1").count() == seen.get["n"] == 100
+
+
 def test_elbow_non_increasing_and_k1_is_total_ss(spark):
     rng = np.random.default_rng(4)
     pts = np.vstack([rng.normal(c, 0.3, (40, 2)) for c in (0, 5, 10)])
