@@ -33,7 +33,9 @@ N_PERIODS = "n_periods"
 FIRST_PERIOD = "first_period"
 # index of the newest period whose calendar successor (one step later) exists
 LAST_PAIRED = "last_paired_idx"
-HELPER_COLUMNS = (PERIOD_IDX, N_PERIODS, FIRST_PERIOD, LAST_PAIRED)
+# what the preceding observations and the calendar tell about a panel row (see ``densify``)
+RUN, CALENDAR = "_run", "_calendar"
+HELPER_COLUMNS = (PERIOD_IDX, N_PERIODS, FIRST_PERIOD, LAST_PAIRED, RUN, CALENDAR)
 
 # Decimals kept on trailing means (order-independent results across engines).
 MEAN_DIGITS = 9
@@ -82,7 +84,8 @@ def _next_index(w, entity: str) -> Column:
 
 def densify(obs: DataFrame, fills: Mapping[str, object], entity: str = ENTITY,
             period: str = PERIOD, periods: DataFrame | None = None, step: int = 1,
-            latest: Iterable[str] = ()) -> DataFrame:
+            latest: Iterable[str] = (), trail: tuple[Iterable[str], int] | None = None,
+            flags: Iterable[str] = ()) -> DataFrame:
     """J1 + J2 + J4 + P10 in one pass: gap-free panel from each entity's first period.
 
     ``fills`` maps each measure/flag column to the value of a gap row; observed
@@ -94,10 +97,19 @@ def densify(obs: DataFrame, fills: Mapping[str, object], entity: str = ENTITY,
 
     ``periods`` may give the distinct periods from a cheaper plan (e.g. one
     pruned column of the raw table); by default they come from ``obs``.
+
+    A panel has many times the rows of its observations. With ``trail`` (measures, periods) and ``flags`` the rows also carry the sums
+    of the observations before them and the neighbouring flags, taken on the observations; from these
+    :func:`trailing_mean` and :func:`offset_flag` find the same values row by row, without sorting the panel. Both then
+    speak of the columns as ``densify`` left them.
     """
-    pidx = small_side(period_index(obs if periods is None else periods, period, step=step))
+    idx = period_index(obs if periods is None else periods, period, step=step)
+    near = trail is not None or bool(list(flags))
+    pidx = small_side(with_calendar(idx, period, step, trail[1] if trail else 1) if near else idx)
     o = obs.join(pidx, period)
     w = Window.partitionBy(entity).orderBy(PERIOD_IDX)
+    if near:
+        o = o.withColumn(RUN, _run(o, w, fills, trail, list(flags), step))
     o = o.withColumns({
         "_next": _next_index(w, entity),
         FIRST_PERIOD: F.min(period).over(w),
@@ -108,11 +120,50 @@ def densify(obs: DataFrame, fills: Mapping[str, object], entity: str = ENTITY,
     is_obs = F.col("_q") == F.col(PERIOD_IDX)
     filled = {c: F.when(is_obs, F.coalesce(F.col(c), F.lit(v))).otherwise(F.lit(v)).cast(obs.schema[c].dataType)
               for c, v in fills.items()}
-    g = g.withColumns(filled).drop(period, PERIOD_IDX, N_PERIODS, LAST_PAIRED, "_next")
+    g = g.withColumns(filled).drop(period, PERIOD_IDX, N_PERIODS, LAST_PAIRED, "_next", CALENDAR)
     # the same period table maps the generated index back to its period
     out = g.join(pidx.alias("_pi"), F.col("_q") == F.col(f"_pi.{PERIOD_IDX}")).drop("_q")
     return out.select(entity, period, *[c for c in obs.columns if c not in (entity, period)],
-                      PERIOD_IDX, N_PERIODS, FIRST_PERIOD, LAST_PAIRED)
+                      PERIOD_IDX, N_PERIODS, FIRST_PERIOD, LAST_PAIRED, *[RUN, CALENDAR] * near)
+
+
+def with_calendar(idx: DataFrame, period: str, step: int, n_periods: int) -> DataFrame:
+    """Adds ``_calendar`` to the period table: the period's ordinal, whether the periods one step before and after it are there, and how
+    many periods its trailing range of ``n_periods`` steps holds."""
+    o = _ord(idx, period)
+    whole = Window.partitionBy(F.lit(0)).orderBy(o)
+    return idx.withColumn(CALENDAR, F.struct(
+        o.cast("long").alias("at"),
+        F.coalesce(F.lag(o).over(whole) == o - step, F.lit(False)).alias("has_last"),
+        F.coalesce(F.lead(o).over(whole) == o + step, F.lit(False)).alias("has_next"),
+        F.count(F.lit(1)).over(whole.rangeBetween(-(n_periods - 1) * step, 0)).alias(f"wide_{n_periods}_{step}")))
+
+
+def _run(o: DataFrame, w, fills: Mapping[str, object], trail, flags: list[str], step: int) -> Column:
+    """What an observation hands on to its panel rows: its index, the next one's and the entity's first one, the ordinals and sums
+    of the last 0, 1, ... observations up to it (oldest first, as a window adds them), and its neighbours' flags."""
+    at, idx = F.col(f"{CALENDAR}.at"), F.col(PERIOD_IDX)
+    of = lambda c: F.coalesce(F.col(c), F.lit(fills[c]).cast(o.schema[c].dataType))
+    parts = [idx.alias("own"), F.lag(idx).over(w).alias("last"), F.lead(idx).over(w).alias("next"), F.min(idx).over(w).alias("first")]
+    if trail:
+        measures, n = list(trail[0]), trail[1]
+        if any(fills[m] != 0 or o.schema[m].dataType.simpleString() != "double" for m in measures):
+            raise ValueError("trailing sums are carried for double measures that gap rows fill with 0")
+        before = [[F.lag(of(m), k).over(w) if k else of(m) for k in range(n)] for m in measures]
+        sums = [F.array(*[sum(reversed(v[:k]), F.lit(0.0)) for v in before]) for k in range(n + 1)]
+        parts += [F.array(*[F.lag(at, k).over(w) if k else at for k in range(n)]).alias("ats"), F.array(*sums).alias(_sums(measures, n, step))]
+    for c in flags:
+        parts.append(F.struct(F.lag(of(c)).over(w).alias("last"), of(c).alias("own"), F.lead(of(c)).over(w).alias("next"),
+                              F.lit(fills[c]).cast(o.schema[c].dataType).alias("gap")).alias(f"flag_{step}_{c}"))
+    return F.struct(*parts)
+
+
+def _sums(measures: Iterable[str], n_periods: int, step: int) -> str:
+    return "_".join(["sums", str(n_periods), str(step), *measures])
+
+
+def _carries(panel: DataFrame, part: str) -> bool:
+    return RUN in panel.columns and part in panel.schema[RUN].dataType.names
 
 
 def densify_by_tuple(obs: DataFrame, fills: Mapping[str, object], attrs: Iterable[str],
@@ -200,8 +251,12 @@ def trailing_mean(panel: DataFrame, measures: Iterable[str], n_periods: int, ste
     One RANGE window per entity replaces the reference's loop of per-period
     merges; with n = 1 it is the identity on the measures. Means are rounded
     to ``digits`` decimals so the value does not depend on the order in which
-    an engine adds the frame's rows (``None`` keeps the raw double).
+    an engine adds the frame's rows (``None`` keeps the raw double). A panel
+    that carries the sums of its observations (see :func:`densify`) is not sorted for it.
     """
+    measures = list(measures)
+    if n_periods > 1 and _carries(panel, _sums(measures, n_periods, step)):
+        return _carried_mean(panel, measures, n_periods, step, digits)
     w = (Window.partitionBy(entity).orderBy(_ord(panel, period))
          .rangeBetween(-(n_periods - 1) * step, 0))
     if n_periods == 1:
@@ -212,6 +267,22 @@ def trailing_mean(panel: DataFrame, measures: Iterable[str], n_periods: int, ste
     return panel.withColumns({m: mean(m) for m in measures})
 
 
+def _carried_mean(panel: DataFrame, measures: list[str], n: int, step: int, digits: int | None) -> DataFrame:
+    """The range holds the last few observations and gap rows of 0, back to the entity's first period at most."""
+    cal, run, at = F.col(CALENDAR), F.col(RUN), F.col(f"{CALENDAR}.at")
+    held = sum((F.coalesce((run["ats"][k] >= at - (n - 1) * step).cast("int"), F.lit(0)) for k in range(n)), F.lit(0))
+    count = F.least(cal[f"wide_{n}_{step}"], F.col(PERIOD_IDX) - run["first"] + 1).cast("double")
+    x = panel.withColumns({"_held": held, "_count": count})
+
+    def mean(total):
+        a = total / F.col("_count")
+        return a if digits is None else F.round(a, digits)
+    # one array, so that the generated code does not grow with the measures
+    means = F.transform(run[_sums(measures, n, step)][F.col("_held")], mean)
+    x = x.withColumn("_means", F.when(F.col("_held") > 0, means).otherwise(F.array(*[F.lit(0.0)] * len(measures))))
+    return x.withColumns({m: F.col("_means")[i] for i, m in enumerate(measures)}).drop("_held", "_count", "_means")
+
+
 def offset_flag(panel: DataFrame, col: str, out: str, offset: int = 1, step: int = 1,
                 how: str = "filled", fill=0, entity: str = ENTITY, period: str = PERIOD) -> DataFrame:
     """Value of ``col`` at period + offset*step of the same entity.
@@ -223,11 +294,21 @@ def offset_flag(panel: DataFrame, col: str, out: str, offset: int = 1, step: int
     """
     if offset not in (1, -1):
         raise ValueError("offset must be +1 (next period) or -1 (previous period)")
-    o = _ord(panel, period)
-    w = Window.partitionBy(entity).orderBy(o)
-    nb = F.lead if offset > 0 else F.lag
-    matched = nb(o, 1).over(w) == o + offset * step
-    val = nb(F.col(col), 1).over(w)
+    if _carries(panel, f"flag_{step}_{col}"):
+        run, flag, at = F.col(RUN), F.col(RUN)[f"flag_{step}_{col}"], F.col(PERIOD_IDX)
+        if offset > 0:
+            matched = F.col(f"{CALENDAR}.has_next")
+            val = F.when(run["next"] == at + 1, flag["next"]).otherwise(flag["gap"])
+        else:
+            matched = F.col(f"{CALENDAR}.has_last") & (at > run["first"])
+            val = (F.when(run["own"] == at - 1, flag["own"]).when((run["own"] == at) & (run["last"] == at - 1), flag["last"])
+                   .otherwise(flag["gap"]))
+    else:
+        o = _ord(panel, period)
+        w = Window.partitionBy(entity).orderBy(o)
+        nb = F.lead if offset > 0 else F.lag
+        matched = nb(o, 1).over(w) == o + offset * step
+        val = nb(F.col(col), 1).over(w)
     if how == "inner":
         return (panel.withColumns({"_m": matched, out: val}).where(F.col("_m")).drop("_m"))
     if how == "filled":

@@ -75,16 +75,18 @@ SPECS = {
 
 
 def panel_of(a: Activity, spec: Spec) -> DataFrame:
-    """The gap-free panel of the spec: NULL and gap measures and flags are 0, gap and NULL segments 'Parttime'."""
+    """The gap-free panel of the spec: NULL and gap measures and flags are 0, gap and NULL segments 'Parttime'. Its rows carry
+    what trailing means and neighbouring flags need, so that the panel itself is never sorted."""
     fills = {**{m: 0.0 for m in a.measures}, FLAG: 0}
+    near = {"trail": (a.measures, spec.window) if spec.window > 1 else None, "flags": [FLAG]}
     if spec.attrs is None:
         rows = a.rows.select(a.entity, a.period, *a.measures, FLAG).na.fill(0, subset=list(a.measures))
-        return P.densify(rows, fills, a.entity, a.period, a.periods, a.step)
+        return P.densify(rows, fills, a.entity, a.period, a.periods, a.step, **near)
     rows = a.rows.na.fill({k: v for k, v in a.fills.items() if k != "segment"})
     fills |= {"segment": a.fills["segment"]} if "segment" in a.fills else {}
     if spec.attrs == "key":
         return P.densify_by_tuple(rows, fills, a.attrs, a.entity, a.period, a.periods, a.step)
-    return P.densify(rows, fills, a.entity, a.period, a.periods, a.step, latest=a.attrs)
+    return P.densify(rows, fills, a.entity, a.period, a.periods, a.step, latest=a.attrs, **near)
 
 
 def slice_of(a: Activity, spec: Spec) -> DataFrame:

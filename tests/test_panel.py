@@ -155,3 +155,34 @@ def test_repeated_observation_fails(spark):
     obs = spark.createDataFrame(rows, "entity_id long, period date, not_churn int")
     with pytest.raises(Exception, match="repeated observation"):
         P.densify(obs, {"not_churn": 0}).collect()
+
+
+def test_carried_sums_and_flags_are_those_of_the_windows(spark):
+    """Means and flags taken on the observations are those that windows over the panel give, and the panel is not sorted for them."""
+    import random
+    rng = random.Random(5)
+    days = [dt.date(2024, 1, 1) + dt.timedelta(days=7 * i) for i in range(12) if i not in (4, 8)]
+    rows = [(e, d, rng.choice([None, -0.0, 0.1 * rng.randrange(9)]), float(rng.randrange(5)), rng.choice([0, 1, None]))
+            for e in [*range(30), None] for d in rng.sample(days, rng.randrange(1, 8))]
+    obs = spark.createDataFrame(rows, "entity_id long, period date, a double, b double, flag int")
+    filled = {"a": 0.0, "b": 0.0, "flag": 0}
+
+    def features(pn, n, how):
+        df = P.offset_flag(P.trailing_mean(pn, ["a", "b"], n, step=7), "flag", "y", +1, step=7, how=how)
+        return P.drop_helpers(P.offset_flag(df, "flag", "before", -1, step=7))
+
+    for n, how in ((2, "filled"), (3, "filled"), (3, "inner"), (1, "inner")):
+        plain = features(P.densify(obs, filled, step=7), n, how)
+        near = features(P.densify(obs, filled, step=7, trail=(["a", "b"], n), flags=["flag"]), n, how)
+        assert near.columns == plain.columns and near.dtypes == plain.dtypes
+        key = lambda r: tuple(map(repr, r))
+        assert sorted(map(key, near.collect())) == sorted(map(key, plain.collect()))
+        text = near._jdf.queryExecution().optimizedPlan().toString()
+        assert text.index("Generate explode") < text.index("windowspecdefinition(entity_id")
+
+
+def test_a_weekly_slice_sorts_observations_only(spark, sf_small):
+    from retentio.plans import slices as S
+    for name in ("weekly_slice_1p", "weekly_slice_2p", "weekly_slice_3p"):
+        text = S.WEEKLY_SLICES[name](spark, sf_small)._jdf.queryExecution().optimizedPlan().toString()
+        assert text.index("Generate explode") < text.index("windowspecdefinition(entity_id")
