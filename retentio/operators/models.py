@@ -288,27 +288,54 @@ def sse_one_cluster(df: DataFrame, columns: Sequence[str]) -> float:
     return float(sum(v or 0.0 for v in df.agg(*aggs).first()))
 
 
-def step_sums(rows: DataFrame, centres: Mapping[int, np.ndarray]) -> dict[int, np.ndarray]:
-    """One scan for all starts: per start and centre the sum of its rows, their weight and their squared distances ``(k, d + 2)``."""
+# Rows whose distances to all centres are held at a time.
+CHUNK_ROWS = 1024
+
+
+def nearest_of(x: np.ndarray, points: np.ndarray, cuts: Sequence[int]) -> np.ndarray:
+    """``(centre, row)``: 1 where the centre is its start's nearest one to the row (ties: the first). Centres of one start lie between two cuts.
+
+    One product gives all squared distances up to rounding; where that cannot tell the nearest from the second, the differences decide."""
+    mid = points.mean(axis=0)
+    xs, ps = x - mid, points - mid
+    x2, p2 = (xs * xs).sum(axis=1), (ps * ps).sum(axis=1)
+    far = p2[:, None] - 2 * (ps @ xs.T)
+    # Sums of d products round by less than this; the shift adds some more.
+    tol = 8 * (x.shape[1] + 8) * np.finfo(float).eps * (x2 + p2.max() + (x * x).sum(axis=1) + (mid * mid).sum())
+    own = np.empty(far.shape)
+    for lo, hi in zip(cuts, cuts[1:]):
+        own[lo:hi] = far[lo:hi] <= far[lo:hi].min(axis=0) + tol
+        close = np.flatnonzero(own[lo:hi].sum(axis=0) != 1)
+        if len(close):
+            exact = np.stack([((x[close] - p) ** 2).sum(axis=1) for p in points[lo:hi]])
+            own[lo:hi, close] = exact.argmin(axis=0) == np.arange(hi - lo)[:, None]
+    return own
+
+
+def step_sums(rows: DataFrame, centres: Mapping[int, np.ndarray], distances: bool = True) -> dict[int, np.ndarray]:
+    """One scan for all starts: per start and centre the sum of its rows, their weight and, if asked for, their squared distances ``(k, d + 2)``."""
     d = next(iter(centres.values())).shape[1]
+    points = np.concatenate(list(centres.values()))
+    cuts = np.cumsum([0, *map(len, centres.values())])
 
     def run(batches):
-        total = {s: np.zeros((len(c), d + 2)) for s, c in centres.items()}
+        total = np.zeros((len(points), d + 2))
         for batch in batches:
-            x, w = batch.column(0).flatten().to_numpy().reshape(-1, d), batch.column(1).to_numpy()
-            wx = np.c_[x * w[:, None], w]
-            for s, c in centres.items():
-                far = np.stack([((x - point) ** 2).sum(axis=1) for point in c], axis=1)
-                near = far.argmin(axis=1)
-                own = (near[:, None] == np.arange(len(c))[None, :]).astype(float)
-                total[s][:, :d + 1] += own.T @ wx
-                total[s][:, d + 1] += own.T @ (far[np.arange(len(x)), near] * w)
+            whole, weights = batch.column(0).flatten().to_numpy().reshape(-1, d), batch.column(1).to_numpy()
+            for at in range(0, len(whole), CHUNK_ROWS):
+                x, w = whole[at:at + CHUNK_ROWS], weights[at:at + CHUNK_ROWS]
+                own = nearest_of(x, points, cuts)
+                total[:, :d + 1] += own @ np.c_[x * w[:, None], w]
+                if distances:
+                    for lo, hi in zip(cuts, cuts[1:]):
+                        near = lo + own[lo:hi].argmax(axis=0)
+                        total[:, d + 1] += np.bincount(near, ((x - points[near]) ** 2).sum(axis=1) * w, len(points))
         at = [(s, i) for s, c in centres.items() for i in range(len(c))]
         yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in at], pa.int32()), pa.array([i for _, i in at], pa.int32()),
-                                          pa.array([total[s][i].tolist() for s, i in at], pa.list_(pa.float64()))], ["s", "i", "v"])
+                                          pa.array(total.tolist(), pa.list_(pa.float64()))], ["s", "i", "v"])
 
     parts = rows.select("x", "w").mapInArrow(run, "s int, i int, v array<double>")
-    if rows.rdd.getNumPartitions() * sum(map(len, centres.values())) > PARTIALS:
+    if rows.rdd.getNumPartitions() * len(points) > PARTIALS:
         parts = parts.groupBy("s", "i").agg(F.array(*[F.sum(F.col("v")[j]) for j in range(d + 2)]).alias("v"))
     out = {s: np.zeros((len(c), d + 2)) for s, c in centres.items()}
     for r in parts.collect():
@@ -348,7 +375,7 @@ def lloyd(rows: DataFrame, ks: Sequence[int], restarts: int, seed: int, max_iter
     for _ in range(max_iter):
         if not active:
             break
-        for i, total in step_sums(rows, active).items():
+        for i, total in step_sums(rows, active, distances=False).items():
             new = np.where(total[:, -2:-1] > 0, total[:, :-2] / np.where(total[:, -2:-1] > 0, total[:, -2:-1], 1), active[i])
             shift = float(((new - active[i]) ** 2).sum())
             active[i] = centres[i] = new

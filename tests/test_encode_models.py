@@ -175,6 +175,21 @@ def test_kmeans_does_not_depend_on_the_partitioning(spark):
     assert sizes[0] == sizes[1] == sizes[2]
 
 
+def test_nearest_centres_by_products_are_those_by_differences():
+    """Rows far from the origin, equal and nearly equal distances: the first of the nearest, as the differences tell it; and held at once
+    are the distances of a few rows, not of a batch."""
+    rng = np.random.default_rng(6)
+    for scale, offset in ((1.0, 0.0), (1e-3, 1e7), (1e6, -1e8)):
+        x = offset + scale * rng.integers(0, 6, (500, 3)).astype(float)
+        points = np.concatenate([x[:4], x[:4] + scale * 1e-9, [x[0]] * 3, offset + scale * rng.random((5, 3)) * 6])
+        cuts = [0, 4, 8, 11, 16]
+        own = M.nearest_of(x, points, cuts)
+        for lo, hi in zip(cuts, cuts[1:]):
+            want = np.stack([((x - p) ** 2).sum(axis=1) for p in points[lo:hi]]).argmin(axis=0)
+            assert (own[lo:hi].sum(axis=0) == 1).all() and (own[lo:hi].argmax(axis=0) == want).all()
+    assert M.CHUNK_ROWS * 540 * 8 < 10_000_000
+
+
 def test_scaled_clusters_see_small_columns(spark):
     """H8: with ``scale`` a column of small numbers counts as much as one of large numbers."""
     rng = np.random.default_rng(2)
