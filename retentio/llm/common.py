@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -59,6 +61,15 @@ def only(operator: str, drop: Callable[[], object]) -> None:
     for other in [k for k in _HELD if k != operator]:
         _HELD.pop(other)()
     _HELD[operator] = drop
+    give_back()
+
+
+def give_back() -> None:
+    """What this worker has freed goes back to the system, for the executor's other processes: else Arrow's pool and the
+    C library keep it for this worker (the latter knows ``malloc_trim`` with glibc only)."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
 
 
 def ascii_lower(c: Column) -> Column:

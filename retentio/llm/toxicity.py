@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from retentio.llm.common import only, saved, small_batches
+from retentio.llm.common import give_back, only, saved, small_batches
 
 PER_CLASS = 512         # labelled examples taken of each class
 PREFIXES = (4, 6)       # first letters of a word that are terms beside the word
@@ -80,15 +80,15 @@ class TermIds(dict):
         self.whole = {t: i for i, t in enumerate(terms) if t[-1:] != b"*"}
         self.first = [(n, {t[:-1]: i for i, t in enumerate(terms) if t[-1:] == b"*" and len(t) == n + 1}) for n in PREFIXES]
 
-    def __missing__(self, word: bytes) -> list[int]:
+    def __missing__(self, word: bytes) -> tuple[int, ...]:
         if len(self) >= MAX_WORDS:
             self.clear()
         found = [self.whole[word]] if word in self.whole else []
         for n, known in self.first:
             if len(word) > n and (i := known.get(word[:n])) is not None:
                 found.append(i)
-        self[word] = found
-        return found
+        out = self[word] = tuple(found)
+        return out
 
     def of(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """The indexed terms of a text, in order, and how often each stands in it."""
@@ -139,6 +139,8 @@ def frequencies(docs: DataFrame, terms: list[bytes], text_col: str) -> tuple[np.
             for text in batch.column(0).to_pylist():
                 df[ids.of(text)[0]] += 1
             df[-1] += batch.num_rows
+        del ids
+        give_back()
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(df[at], pa.int64())], ["term", "n"])
 
@@ -213,7 +215,8 @@ class Index:
         slices = term.astype(np.int64) * self.blocks + who // BLOCK
         order = np.lexsort((who, slices))
         self.who, self.weight, slices = who[order], weight[order], slices[order]
-        self.start = np.searchsorted(slices, np.arange(self.n_terms * self.blocks + 1)).astype(np.int32)
+        self.start = np.zeros(self.n_terms * self.blocks + 1, np.int32)
+        np.cumsum(np.bincount(slices, minlength=self.n_terms * self.blocks), out=self.start[1:])
         used, first = np.unique(slices, return_index=True)
         self.most = np.zeros(self.n_terms * self.blocks, np.float32)
         if len(used):
@@ -381,6 +384,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
             out = scores(model, batch.column(1).to_pylist(), ids, known)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s for s, _ in out], pa.float64()), pa.array([e for _, e in out], kind)],
                                              ["doc", "score", "evidence"])
+        del ids, known
+        give_back()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     scored = rows.mapInArrow(run, "doc long, score double, evidence array<struct<doc_id: long, cosine: double, toxic: int>>")
@@ -401,5 +406,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
         for batch in batches:
             good = [s < THRESHOLD for s, _ in scores(model, batch.column(at).to_pylist(), ids, known)]
             yield batch.filter(pa.array(good, pa.bool_()))
+        del ids, known
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)

@@ -3,8 +3,11 @@
 import gzip
 import hashlib
 import random
+import subprocess
+import sys
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -420,3 +423,30 @@ def test_toxicity_scores_equal_brute_force(spark):
         a, b = model.curve
         want = 1 / (1 + np.exp(-(a * toxicity.logit(model.vote(np.array(best, int), cosines[best])) + b)))
         assert abs(got - want) < 1e-6 and np.allclose([e["cosine"] for e in seen], cosines[best[:3]])
+
+
+# ---------------------------------------------------------------- workers
+
+GIVES_BACK = """
+import resource
+from retentio.llm.common import only
+
+def held():
+    return int(open("/proc/self/statm").read().split()[1]) * resource.getpagesize() >> 20
+
+tables = {}
+only("one", tables.clear)
+start = held()
+for i in range(200_000):
+    tables[i] = bytes(600)
+last = bytes(600)  # above the tables in the heap, so that freeing them alone shrinks nothing
+full = held()
+only("two", dict)
+print(full - start, held() - start)
+"""
+
+
+def test_a_worker_gives_back_what_the_operator_before_held():
+    out = subprocess.run([sys.executable, "-c", GIVES_BACK], cwd=Path(__file__).parents[2], capture_output=True, text=True, check=True)
+    full, left = map(int, out.stdout.split())
+    assert full > 100 and left < 20
