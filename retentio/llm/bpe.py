@@ -32,7 +32,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from retentio.llm.common import only, small_batches
+from retentio.llm.common import only, small_batches, tidied
 
 # Memory (bytes, estimated) that looked-up entries may take per worker before a table is started afresh: pieces met before
 # (each of two generations), transitions with their states, pairs of tokens with their spines, and the decoder's steps.
@@ -329,6 +329,11 @@ class Decoder:
 _MACHINES: dict = {}
 
 
+def forget_machines() -> None:
+    """For :func:`only`: a function travels to the workers by name; ``_MACHINES.clear`` would clear a copy of the dict there."""
+    _MACHINES.clear()
+
+
 def _machine(kind: type, data: bytes, *more):
     """One machine per worker: its tables serve all tasks of the worker."""
     key = (kind.__name__, hash(data), *more)
@@ -349,7 +354,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     data = _read(ranks_path)
 
     def run(batches):
-        only("bpe", _MACHINES.clear)
+        only("bpe", forget_machines)
         encoder = _machine(Encoder, data, pattern)
         for batch in batches:
             ids = [encoder.encode(t or "") for t in batch.column(1).to_pylist()]
@@ -369,7 +374,7 @@ def decode(tokens: DataFrame, ranks_path: str, id_col: str = "doc_id", ids_col:
     data = _read(ranks_path)
 
     def run(batches):
-        only("bpe", _MACHINES.clear)
+        only("bpe", forget_machines)
         decoder = _machine(Decoder, data)
         for batch in batches:
             texts = [decoder.decode(x.values.to_numpy().tolist() if x.is_valid else ()) for x in batch.column(1)]
@@ -388,10 +393,10 @@ def coded(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id"
     data = _read(ranks_path)
 
     def run(batches):
-        only("bpe", _MACHINES.clear)
+        only("bpe", forget_machines)
         encoder, decoder = _machine(Encoder, data, pattern, share), _machine(Decoder, data)
         decimals = _machine(Decimals, data).of
-        for batch in batches:
+        for batch in tidied(batches):
             ids, shas, texts = [], [], []
             for text in batch.column(1).to_pylist():
                 found = encoder.encode(text or "")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -36,7 +36,9 @@ def saved(df: DataFrame) -> DataFrame:
 
     Cuts the lineage: a lost executor re-reads the shared table instead of
     replaying the plan, and columnar files are smaller than a row checkpoint.
+    What the driver's Python has freed before goes back to the system first.
     """
+    give_back()
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/retentio-{uuid.uuid4().hex}"
     df.write.parquet(path)
@@ -65,13 +67,21 @@ def only(operator: str, drop: Callable[[], object]) -> None:
 
 
 def give_back() -> None:
-    """What this worker has freed goes back to the system, for the executor's other processes: else Arrow's pool and the
-    C library keep it for this worker (the latter knows ``malloc_trim`` with glibc only)."""
+    """What this Python process (a worker, or the driver's) has freed goes back to the system, for the JVM beside it: else
+    Arrow's pool and the C library keep it (the latter knows ``malloc_trim`` with glibc only)."""
     pa.default_memory_pool().release_unused()
     if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
         trim(0)
 
 
+def tidied(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches; what one took goes back before the next is read, and before a worker waits for its next task."""
+    for batch in batches:
+        yield batch
+        del batch
+        give_back()
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-case A-Z only. ``lower`` does just that on ASCII text, at a fraction of the cost."""
     return F.when(F.octet_length(c) == F.char_length(c), F.lower(c)).otherwise(F.translate(c, UPPER, LOWER))

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from retentio.llm.common import LAST_ID, WHITE, joined_small, keyed, only, packed, saved, small_batches
+from retentio.llm.common import LAST_ID, WHITE, joined_small, keyed, only, packed, saved, small_batches, tidied
 from retentio.llm.minhash import band_keys, parity_map
 from retentio.llm.tokens import forget_words, mix, shingle_set
 
@@ -51,7 +51,7 @@ def signed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     def run(batches):
         only("words", forget_words)
-        for batch in batches:
+        for batch in tidied(batches):
             n, s1, s2, bands, maps = [], [], [], [], []
             for text in batch.column(1).to_pylist():
                 s = shingle_set(text)
@@ -95,7 +95,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> D
 
     def run(batches):
         only("words", forget_words)
-        for batch in batches:
+        for batch in tidied(batches):
             sets = [shingle_set(t).tobytes() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["_id", "shingles"])
 

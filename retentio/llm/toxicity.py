@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from retentio.llm.common import give_back, only, saved, small_batches
+from retentio.llm.common import give_back, only, saved, small_batches, tidied
 
 PER_CLASS = 512         # labelled examples taken of each class
 PREFIXES = (4, 6)       # first letters of a word that are terms beside the word
@@ -135,7 +135,7 @@ def frequencies(docs: DataFrame, terms: list[bytes], text_col: str) -> tuple[np.
     def run(batches):
         only("toxicity", Index.built.clear)
         ids, df = TermIds(terms), np.zeros(len(terms) + 1, np.int64)
-        for batch in batches:
+        for batch in tidied(batches):
             for text in batch.column(0).to_pylist():
                 df[ids.of(text)[0]] += 1
             df[-1] += batch.num_rows
@@ -145,9 +145,9 @@ def frequencies(docs: DataFrame, terms: list[bytes], text_col: str) -> tuple[np.
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(df[at], pa.int64())], ["term", "n"])
 
     counts = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "term long, n long")
+    found = counts.groupBy("term").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(len(terms) + 1, np.int64)
-    for r in counts.groupBy("term").agg(F.sum("n").alias("n")).collect():
-        out[r["term"]] = r["n"]
+    out[found["term"].to_numpy()] = found["n"].to_numpy()
     return out[:-1], int(out[-1])
 
 
@@ -325,7 +325,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     small_batches(docs.sparkSession)
     chosen, totals = sample(labels, label_id, label_col)
     rows = examples_of(docs, chosen, id_col, text_col)
-    return built(rows, totals, lambda terms: frequencies(docs, terms, text_col))
+    model = built(rows, totals, lambda terms: frequencies(docs, terms, text_col))
+    # The driver needs no index beside the model's own, nor the sample's texts' terms.
+    Index.built.clear()
+    del rows
+    give_back()
+    return model
 
 
 def built(rows: list, totals: list[int], counted: Callable[[list[bytes]], tuple[np.ndarray, int]]) -> Model:
@@ -380,7 +385,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     def run(batches):
         only("toxicity", Index.built.clear)
         ids, known = TermIds(model.terms), {}
-        for batch in batches:
+        for batch in tidied(batches):
             out = scores(model, batch.column(1).to_pylist(), ids, known)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s for s, _ in out], pa.float64()), pa.array([e for _, e in out], kind)],
                                              ["doc", "score", "evidence"])
@@ -403,7 +408,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     def run(batches):
         only("toxicity", Index.built.clear)
         ids, known = TermIds(model.terms), {}
-        for batch in batches:
+        for batch in tidied(batches):
             good = [s < THRESHOLD for s, _ in scores(model, batch.column(at).to_pylist(), ids, known)]
             yield batch.filter(pa.array(good, pa.bool_()))
         del ids, known

@@ -11,13 +11,14 @@ from pathlib import Path
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from retentio.llm import bpe, pii, topk, toxicity, warc
+from retentio.llm import bpe, common, pii, topk, toxicity, warc
 
 PATH = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 RANKS = bpe.parse_ranks(open(PATH, "rb").read())
@@ -450,3 +451,16 @@ def test_a_worker_gives_back_what_the_operator_before_held():
     out = subprocess.run([sys.executable, "-c", GIVES_BACK], cwd=Path(__file__).parents[2], capture_output=True, text=True, check=True)
     full, left = map(int, out.stdout.split())
     assert full > 100 and left < 20
+
+
+def test_a_worker_drops_the_bpe_machines_for_another_operator(spark):
+    docs = spark.range(8).selectExpr("id AS doc_id", "concat('some text ', id) AS text").repartition(2)
+    assert bpe.encode(docs, PATH, public_tokenizers.PATTERN).count() == 8
+
+    def held(batches):
+        common.only("another", dict)
+        yield pa.RecordBatch.from_arrays([pa.array([len(bpe._MACHINES)], pa.int64())], ["n"])
+        for _ in batches:
+            pass
+
+    assert {r.n for r in docs.mapInArrow(held, "n long").collect()} == {0}
