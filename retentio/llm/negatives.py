@@ -29,7 +29,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from retentio.llm.common import partitions, saved
-from retentio.llm.topk import EXACT, matrix, rotation
+from retentio.llm.products import EXACT
+from retentio.llm.topk import matrix, rotation
 
 SCALE = 256
 EVERY = 100                     # anchors: ids divisible by this

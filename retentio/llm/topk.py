@@ -7,12 +7,13 @@ into blocks; queries are packed into blocks too. An orthogonal rotation from the
 The ranges are met in rounds, the longest vectors first, each round four times as many as the one before. After a round a query
 knows a score that its k-th best cannot be below. By Cauchy-Schwarz
 no vector shorter than that score over the query's length can be among its best, so a query goes on only to
-the ranges that reach that length. Inside a pair of blocks the leading rotated coordinates are summed and the rest is bounded
-by the product of the residual lengths; only pairs whose bound reaches the query's score are multiplied out, in integers.
+the ranges that reach that length. Inside a range the leading rotated coordinates are summed and the rest is bounded
+by the product of the residual lengths, as long as that rules queries out; the queries whose bound reaches their score are multiplied out with
+the block, exactly: in single precision while no sum can reach 2^24, else in double precision, else in integers.
 
-Plan: blocks are rows of bounded size; (queries of a block, range) pairs are joined to the blocks of the range by the range's number,
-and the best k of each pair of blocks go on to a per-query top k, a written table after each round. The rounds grow with the
-logarithm of the ranges. The driver holds the Gram matrix and one
+Plan: blocks are rows of bounded size; a task gets the queries of a group that concern a range and the blocks of the range
+(:mod:`retentio.llm.products`; no join), keeps each query's best k while the blocks go by, and the best k of each cell go on to a per-query top k, a
+written table after each round. The rounds grow with the logarithm of the ranges. The driver holds the Gram matrix and one
 length per range (as many as there are partitions).
 
 Defined cases: vectors that are null, empty, or hold null or non-finite components, and rows without an id, take no part; shorter vectors count
@@ -28,14 +29,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from retentio.llm.common import partitions, saved
+from retentio.llm.products import (NARROW, TILE, Best, dealt, first_columns, kind, longest, lowest, many_groups, many_ranges, narrow, products, rounds,
+                                   threshold, unpack)
 
 K = 10
 SCALE = 1024
 EVERY = 100          # queries: ids divisible by this
 BLOCK, QUERIES = 2048, 512
 LEAD = 0.25          # share of the rotated coordinates that is summed first
-EXACT = 2**53        # integers below are exact as doubles
-PACKED = "range int, n int, longest double, ids binary, data binary"
+RARELY = 31          # tiles that go without the leading bound after one that it left most queries of
+PACKED = "range int, n int, longest double, first long, ids binary, data binary"
 
 
 def quantised(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -75,8 +78,8 @@ def rotation(rows: DataFrame, d: int) -> np.ndarray:
     return basis[:, ::-1]
 
 
-def blocks(rows: DataFrame, d: int, size: int) -> DataFrame:
-    """Blocks of at most ``size`` rows in order of descending length inside each range (schema ``PACKED``)."""
+def blocks(rows: DataFrame, d: int, size: int, parts: int) -> DataFrame:
+    """Blocks of at most ``size`` rows, in order of id inside ranges of descending length (schema ``PACKED``)."""
 
     def pack(batches):
         for batch in batches:
@@ -86,42 +89,58 @@ def blocks(rows: DataFrame, d: int, size: int) -> DataFrame:
                 part = slice(lo, lo + size)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([int(at[lo])], pa.int32()), pa.array([len(ids[part])], pa.int32()), pa.array([float(length[part].max())]),
-                     pa.array([ids[part].astype(np.int64).tobytes()], pa.binary()), pa.array([data[part].tobytes()], pa.binary())],
+                     pa.array([int(ids[lo])], pa.int64()), pa.array([ids[part].astype(np.int64).tobytes()], pa.binary()), pa.array([narrow(data[part])], pa.binary())],
                     [x.split()[0] for x in PACKED.split(", ")])
 
-    order = [F.col("length").desc(), F.col("vec_id")]
-    parts = max(1, min(partitions(rows.sparkSession), -(-rows.count() // size)))
-    dealt = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    return dealt.select(F.spark_partition_id().alias("range"), "vec_id", "v", "length").mapInArrow(pack, PACKED)
-
-
-def unpack(ids: bytes, data: bytes, d: int) -> tuple[np.ndarray, np.ndarray]:
-    return np.frombuffer(ids, np.int64), np.frombuffer(data, np.int64).reshape(-1, d)
-
-
-def inner(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Integer inner products of matching rows; Python integers where 64 bits might not do."""
-    top = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * a.shape[1]
-    if top < 2**62:
-        return np.einsum("ij,ij->i", a, b)
-    return (a.astype(object) * b.astype(object)).sum(axis=1)
-
-
-def best_of(q_ids, q, floor, x_ids, x, basis: np.ndarray, k: int) -> list[tuple[int, int, int]]:
-    """``(query_id, vec_id, score)``: the best ``k`` of the block for each query, as far as they reach its floor."""
-    lead = max(1, int(q.shape[1] * LEAD))
-    qr, xr = q @ basis, x @ basis
-    bound = qr[:, :lead] @ xr[:, :lead].T
-    bound += np.linalg.norm(qr[:, lead:], axis=1)[:, None] * np.linalg.norm(xr[:, lead:], axis=1)[None, :]
-    slack = 1 + 1e-9 * np.linalg.norm(q, axis=1).max(initial=0) * np.linalg.norm(x, axis=1).max(initial=0)
-    near = (bound + slack >= floor[:, None]) & (q_ids[:, None] != x_ids[None, :])
-    out = []
-    for i in range(len(q_ids)):
-        j = np.flatnonzero(near[i])
-        scores = inner(np.broadcast_to(q[i], (len(j), q.shape[1])), x[j])
-        for at in np.lexsort((x_ids[j], -scores))[:k]:
-            out.append((int(q_ids[i]), int(x_ids[j[at]]), int(scores[at])))
-    return out
+    even = rows.repartitionByRange(parts, F.col("length").desc(), F.col("vec_id")).sortWithinPartitions("vec_id")
+    return even.select(F.spark_partition_id().alias("range"), "vec_id", "v", "length").mapInArrow(pack, PACKED)
+
+
+def best_of(q_ids, q, floor, met, reach: float, basis: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(query_id, vec_id, score)``: each query's best ``k`` of the blocks ``met`` (``(ids, vectors)``, ascending ids, vectors no longer than ``reach``),
+    as far as they reach its floor."""
+    lead, top = max(1, int(q.shape[1] * LEAD)), longest(q) * reach
+    t = kind(top)
+    rough, slack = (np.float32, 1 + 1e-5 * top) if t is np.float32 else (np.float64, 1 + 1e-9 * top)
+
+    def leading(x):
+        rotated = x.astype(float) @ basis
+        return np.column_stack([rotated[:, :lead], np.linalg.norm(rotated[:, lead:], axis=1)]).astype(rough)
+
+    q, q_lead, best, above, without = q.astype(t), leading(q), Best(len(q), k, t), threshold(floor, t), 0
+    for x_ids, x in met:
+        x_lead, x = leading(x), x.astype(t)
+        own = np.minimum(np.searchsorted(x_ids, q_ids), len(x_ids) - 1)
+        itself = x_ids[own] == q_ids
+        for lo in range(0, len(q), TILE):
+            rows = np.arange(lo, min(lo + TILE, len(q)))
+            if without:
+                without -= 1
+            else:
+                near = (q_lead[rows] @ x_lead.T).max(axis=1) + slack > above[rows]
+                without = RARELY if 2 * near.sum() > len(rows) else 0
+                rows = rows[near]
+                if not len(rows):
+                    continue
+            scores = products(q[rows], x, t)
+            mine = np.flatnonzero(itself[rows])
+            scores[mine, own[rows[mine]]] = lowest(t)
+            hot = np.flatnonzero(scores.max(axis=1) > above[rows])
+            if not len(hot):
+                continue
+            rows, scores = rows[hot], scores[hot]
+            fit = scores > above[rows, None]
+            crowded = np.flatnonzero(fit.sum(axis=1) > 4 * k)
+            if len(crowded):
+                fit[crowded] = first_columns(scores[crowded], fit[crowded], k)
+            i, j = np.nonzero(fit)
+            best.add(rows[i], x_ids[j], scores[i, j])
+            if best.count > best.many:
+                # Later ids are larger, so a score equal to the k-th does not displace it.
+                changed = best.merge()
+                above[changed] = np.maximum(above[changed], best.scores[changed, -1])
+    lists, ids, scores = best.found()
+    return q_ids[lists], ids, scores
 
 
 def best_so_far(found: DataFrame, k: int) -> DataFrame:
@@ -129,35 +148,27 @@ def best_so_far(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def rounds(ranges: list[int]) -> list[list[int]]:
-    """The ranges in order, in groups of 1, 4, 16, ..."""
-    out, at, size = [], 0, 1
-    while at < len(ranges):
-        out.append(ranges[at:at + size])
-        at, size = at + size, size * 4
-    return out
-
-
 def routed(asked: DataFrame, floors: DataFrame | None, to: list[tuple[int, float]], d: int) -> DataFrame:
-    """``(range, q_ids, q_data, floor)``: the queries of each block that may have one of their best in a range of ``to`` (its number
+    """``(range, part, reach, q_ids, q_data, floor)``: the queries of each block that may have one of their best in a range of ``to`` (its number
     and longest vector). ``floors``: ``(block, known array<struct<query_id, floor>>)``."""
 
     def run(batches):
         for batch in batches:
-            for ids, data, known in zip(*(c.to_pylist() for c in batch.columns)):
+            for ids, data, part, known in zip(*(c.to_pylist() for c in batch.columns)):
                 q_ids, q = unpack(ids, data, d)
                 given = {r["query_id"]: r["floor"] for r in known or ()}
                 floor = np.array([given.get(i, -np.inf) for i in q_ids.tolist()])
-                need = np.where(floor > 0, floor / np.maximum(np.linalg.norm(q, axis=1), 1e-9), 0.0) * (1 - 1e-9)
+                need = np.where(floor > 0, floor / np.maximum(np.linalg.norm(q.astype(float), axis=1), 1e-9), 0.0) * (1 - 1e-9)
                 for number, longest in to:
                     goes = need <= longest
                     if goes.any():
                         yield pa.RecordBatch.from_arrays(
-                            [pa.array([number], pa.int32()), pa.array([q_ids[goes].tobytes()], pa.binary()),
-                             pa.array([q[goes].tobytes()], pa.binary()), pa.array([floor[goes].tobytes()], pa.binary())], ["range", "q_ids", "q_data", "floor"])
+                            [pa.array([number], pa.int32()), pa.array([part], pa.int32()), pa.array([longest]), pa.array([q_ids[goes].tobytes()], pa.binary()),
+                             pa.array([q[goes].tobytes()], pa.binary()), pa.array([floor[goes].tobytes()], pa.binary())],
+                            ["range", "part", "reach", "q_ids", "q_data", "floor"])
 
     rows = asked.withColumn("known", F.lit(None).cast("array<struct<query_id: long, floor: double>>")) if floors is None else asked.join(floors, "block", "left")
-    return rows.select("ids", "data", "known").mapInArrow(run, "range int, q_ids binary, q_data binary, floor binary")
+    return rows.select("ids", "data", "part", "known").mapInArrow(run, "range int, part int, reach double, q_ids binary, q_data binary, floor binary")
 
 
 def search(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", k: int = K, every: int = EVERY) -> DataFrame:
@@ -166,9 +177,12 @@ def search(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding
     rows = saved(quantised(vectors, id_col, vec_col))
     d = rows.agg(F.max(F.size("v")).alias("d")).first().d or 1
     basis = rotation(rows, d)
-    packed = saved(blocks(rows, d, BLOCK))
-    asked = saved(blocks(rows.where(F.col("vec_id") % every == 0), d, QUERIES).select("ids", "data", F.monotonically_increasing_id().alias("block")))
+    packed = saved(blocks(rows, d, BLOCK, many_ranges(spark, rows.count(), BLOCK, every)))
+    chosen = rows.where(F.col("vec_id") % every == 0)
+    asked = blocks(chosen, d, QUERIES, max(1, min(partitions(spark), -(-chosen.count() // QUERIES))))
+    asked = saved(asked.select("ids", "data", F.col("range").alias("part"), F.monotonically_increasing_id().alias("block")))
     reach = {r.range: r.longest for r in packed.groupBy("range").agg(F.max("longest").alias("longest")).collect()}
+    groups = many_groups(spark, len(reach), asked.count(), QUERIES)
 
     def members(batches):
         for batch in batches:
@@ -176,27 +190,24 @@ def search(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding
                 i = np.frombuffer(ids, np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(np.full(len(i), block))], ["query_id", "block"])
 
-    def score(batches):
-        for batch in batches:
-            for q_ids, q_data, floor, ids, data in zip(*(c.to_pylist() for c in batch.columns)):
-                found = best_of(*unpack(q_ids, q_data, d), np.frombuffer(floor), *unpack(ids, data, d), basis, k)
-                cols = list(zip(*found)) or [(), (), ()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["query_id", "vec_id", "score"])
-
-    # Block rows are about a megabyte, so few of them make a batch.
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, "8")
+    def score(asked, met):
+        q_ids, q = (np.concatenate(x) for x in zip(*(unpack(r["q_ids"], r["q_data"], d) for r in asked)))
+        floor = np.concatenate([np.frombuffer(r["floor"]) for r in asked])
+        found = best_of(q_ids, q, floor, (unpack(r["ids"], r["data"], d) for r in met), asked[0]["reach"], basis, k)
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in found], ["query_id", "vec_id", "score"])
+
+    # Block rows are about a quarter of a megabyte, so few of them make a batch.
+    before = spark.conf.get(NARROW)
+    spark.conf.set(NARROW, "8")
     try:
         places = saved(asked.select("ids", "block").mapInArrow(members, "query_id long, block long"))
         best, floors = saved(spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")), None
         for group in rounds(sorted(reach, key=lambda r: (-reach[r], r))):
-            pairs = saved(routed(asked, floors, [(r, reach[r]) for r in group], d))
-            found = (pairs.join(packed.select("range", "ids", "data"), "range").select("q_ids", "q_data", "floor", "ids", "data")
-                     .mapInArrow(score, "query_id long, vec_id long, score long"))
+            sent = routed(asked, floors, [(r, reach[r]) for r in group], d)
+            found = dealt(spark, sent, packed.select("range", "first", "ids", "data"), group, groups, score, "query_id long, vec_id long, score long")
             best = saved(best_so_far(found.unionByName(best.drop("rank")), k))
             whole = best.where(F.col("rank") == k).select("query_id", F.col("score").cast("double").alias("floor"))
             floors = saved(whole.join(places, "query_id").groupBy("block").agg(F.collect_list(F.struct("query_id", "floor")).alias("known")))
     finally:
-        spark.conf.set(name, before)
+        spark.conf.set(NARROW, before)
     return best
