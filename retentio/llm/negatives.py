@@ -7,14 +7,14 @@ best rows of the same label; for each of them the best rows of other labels are
 Every row stores its length and its angles to a few reference directions (the leading singular vectors of all rows). By the triangle
 inequality on the sphere the angle between anchor and row is at least ``|alpha - theta|`` and at most ``alpha + theta`` (folded at
 pi) for each direction; the tightest of these give an interval of the cosine, and times both lengths, rounded outwards, an interval that holds
-the integer score. Only pairs whose interval meets what is wanted (the positives found so far, or one of the
-anchor's windows) are multiplied out, exactly.
+the integer score. Rows are cut into ranges by label and nearest direction; an anchor is multiplied out, exactly, with the blocks of those ranges whose interval, by the
+spread of their angles, meets what is wanted (the positives found so far, or one of the anchor's windows, above the negatives found so far).
 
-Plan: rows are range-partitioned by label and nearest direction and packed into blocks, anchors too. One summary row per
-range (labels, longest length, spread of each angle; as many as there are partitions) tells which ranges a block of anchors can
-concern, by the same bounds; (anchor block, range) pairs meet the blocks of the range in a join on its number, and only the
-best rows per pair of blocks go on. Labels are no join key, so a label that a third of all rows carry is spread like any other.
-A pair of blocks costs hundreds of operations per byte shuffled. Beyond the summary the driver holds the directions.
+Plan: one summary row per range (labels, longest length, spread of each angle; as many as there are partitions) tells which ranges a block of
+anchors can concern. A task gets the anchors of a group that concern a range and the blocks of the range (:mod:`retentio.llm.products`; no
+join), keeps what is best while the blocks go by, and only the best rows per cell go on. For the negatives the ranges are met in rounds of 1, 4, 16, ...,
+taken from all labels in turn; after a round an anchor knows a score that the last row of each window cannot be below. Labels are no key, so a label that a third of all rows
+carry is spread like any other. Beyond the summary the driver holds the directions.
 
 Defined cases: rows without an id, with a null label, a null vector, or a null or non-finite component take no part; an
 empty vector is a zero vector and shorter vectors count as padded with zeros; rows that repeat an id count once (the smallest label, then vector);
@@ -29,7 +29,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from retentio.llm.common import partitions, saved
-from retentio.llm.products import EXACT
+from retentio.llm.products import (NARROW, TILE, Best, dealt, first_columns, kind, longest, lowest, many_groups, many_ranges, narrow, products, rounds,
+                                   threshold, unpack)
 from retentio.llm.topk import matrix, rotation
 
 SCALE = 256
@@ -37,11 +38,15 @@ EVERY = 100                     # anchors: ids divisible by this
 POSITIVES, NEGATIVES = 5, 10
 LOW, HIGH = 30, 90              # percent of the positive's score
 DIRECTIONS = 8
+ORDER = ("label", "near", "vec_id")
 BLOCK, ANCHORS = 2048, 512
 ANGLE_SLACK = 1e-6              # radians; arccos is good to about 2e-8
-PACKED = ("range int, n int, low_label long, high_label long, longest double, low array<double>, high array<double>, "
+PACKED = ("range int, n int, first long, low_label long, high_label long, longest double, low array<double>, high array<double>, "
           "ids binary, labels binary, data binary, lengths binary, angles binary, positives binary, scores binary")
 NAMES = [x.split()[0] for x in PACKED.split(", ")]
+SENT = ("range int, part int, spread binary, ids binary, labels binary, data binary, lengths binary, angles binary, positives binary, scores binary, "
+        "floors binary")
+FOUND = "anchor_id long, positive_id long, negative_id long, positive_score long, negative_score long"
 
 
 def quantised(vectors: DataFrame, id_col: str, vec_col: str, label_col: str, scale: int) -> DataFrame:
@@ -71,8 +76,8 @@ def measured(rows: DataFrame, directions: np.ndarray) -> DataFrame:
     return rows.select("vec_id", "label", "v").mapInArrow(run, "vec_id long, label long, v array<long>, length double, angles array<double>, near int")
 
 
-def blocks(rows: DataFrame, d: int, size: int) -> DataFrame:
-    """Blocks of at most ``size`` rows in order of label and nearest direction inside each range (schema ``PACKED``).
+def blocks(rows: DataFrame, d: int, size: int, parts: int, inside: tuple[str, ...]) -> DataFrame:
+    """Blocks of at most ``size`` rows in the order ``inside`` ranges by label and nearest direction (schema ``PACKED``).
     Rows may carry ``positives array<struct<vec_id, score>>``, at most ``POSITIVES`` each."""
 
     def pack(batches):
@@ -91,41 +96,51 @@ def blocks(rows: DataFrame, d: int, size: int) -> DataFrame:
             scores[~kept] = np.nan
             for lo in range(0, len(ids), size):
                 part = slice(lo, lo + size)
-                row = [int(at[lo]), len(ids[part]), int(labels[part].min()), int(labels[part].max()), float(length[part].max()),
+                row = [int(at[lo]), len(ids[part]), int(ids[lo]), int(labels[part].min()), int(labels[part].max()), float(length[part].max()),
                        angles[part].min(axis=0).tolist(), angles[part].max(axis=0).tolist(),
-                       *(np.ascontiguousarray(x[part]).tobytes() for x in (ids, labels, data, length, angles, positives, scores))]
+                       *(np.ascontiguousarray(x[part]).tobytes() for x in (ids, labels)), narrow(data[part]),
+                       *(np.ascontiguousarray(x[part]).tobytes() for x in (length, angles, positives, scores))]
                 yield pa.RecordBatch.from_pylist([dict(zip(NAMES, row))], schema=ARROW)
 
-    order = ["label", "near", "vec_id"]
-    parts = max(1, min(partitions(rows.sparkSession), -(-rows.count() // size)))
-    dealt = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    even = rows.repartitionByRange(parts, *ORDER).sortWithinPartitions(*inside)
     none = F.lit(None).cast("array<struct<vec_id: long, score: double>>")
     given = F.col("positives") if "positives" in rows.columns else none
-    return dealt.select(F.spark_partition_id().alias("range"), "vec_id", "v", "label", "length", "angles", given.alias("positives")).mapInArrow(pack, PACKED)
+    return even.select(F.spark_partition_id().alias("range"), "vec_id", "v", "label", "length", "angles", given.alias("positives")).mapInArrow(pack, PACKED)
 
 
-ARROW = pa.schema([(n, {"int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "array<double>": pa.list_(pa.float64()), "binary": pa.binary()}[t])
-                   for n, t in (x.split() for x in PACKED.split(", "))])
+def arrow(schema: str) -> pa.Schema:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "array<double>": pa.list_(pa.float64()), "binary": pa.binary()}
+    return pa.schema([(n, kinds[t]) for n, t in (x.split() for x in schema.split(", "))])
 
 
-class Block:
-    """A packed block as arrays."""
+ARROW = arrow(PACKED)
 
-    def __init__(self, row: dict, d: int) -> None:
-        self.ids, self.labels = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["labels"], np.int64)
-        self.data = np.frombuffer(row["data"], np.int64).reshape(-1, d)
-        self.length = np.frombuffer(row["lengths"])
-        self.angles = np.frombuffer(row["angles"]).reshape(len(self.ids), -1)
-        self.positives = np.frombuffer(row["positives"], np.int64).reshape(-1, POSITIVES)
-        self.scores = np.frombuffer(row["scores"]).reshape(-1, POSITIVES)
+
+class Anchors:
+    """Packed blocks of anchors as arrays."""
+
+    def __init__(self, rows: list[dict], d: int) -> None:
+        def joined(name: str, t: type, width: int) -> np.ndarray:
+            return np.concatenate([np.frombuffer(r[name], t).reshape(-1, width) for r in rows])
+
+        self.ids, self.labels, self.length = (joined(*x, 1)[:, 0] for x in (("ids", np.int64), ("labels", np.int64), ("lengths", float)))
+        self.data = np.concatenate([unpack(r["ids"], r["data"], d)[1] for r in rows])
+        self.angles, self.positives = joined("angles", float, DIRECTIONS), joined("positives", np.int64, POSITIVES)
+        self.scores = joined("scores", float, POSITIVES)
+        self.floors = joined("floors", float, POSITIVES) if rows[0].get("floors") is not None else np.full(self.scores.shape, -np.inf)
 
     def windows(self) -> tuple[np.ndarray, np.ndarray]:
-        """Smallest and largest score that any window of each anchor admits (empty windows: inf and -inf)."""
-        p = np.where(self.scores >= 0, self.scores, np.nan)
-        some = ~np.isnan(p).all(axis=1)
-        low, high = np.full(len(p), np.inf), np.full(len(p), -np.inf)
-        low[some], high[some] = np.nanmin(p[some], axis=1) * LOW / 100, np.nanmax(p[some], axis=1) * HIGH / 100
-        return low, high
+        """Smallest and largest integer score that each positive admits (1 and 0 where there is none or its score is negative)."""
+        p = np.where(self.scores >= 0, self.scores, 0).astype(np.int64)  # a missing positive is NaN
+        low, high = p // 100 * LOW - -(p % 100 * LOW) // 100, p // 100 * HIGH + p % 100 * HIGH // 100
+        return np.where(self.scores >= 0, low, 1), np.where(self.scores >= 0, high, 0)
+
+    def bounds(self, spread: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """Bounds of each anchor's scores with the rows of a range."""
+        top, low, high = np.split(np.frombuffer(spread), [1, 1 + DIRECTIONS])
+        lower, upper = intervals(self.length, self.angles, self.angles, top, low[None, :], high[None, :])
+        # Shorter vectors move the product towards 0.
+        return np.minimum(lower[:, 0], -1.0), np.maximum(upper[:, 0], 1.0)
 
 
 def intervals(a_length, a_low, a_high, x_length, x_low, x_high) -> tuple[np.ndarray, np.ndarray]:
@@ -144,86 +159,119 @@ def intervals(a_length, a_low, a_high, x_length, x_low, x_high) -> tuple[np.ndar
     return np.floor(np.cos(most) * size - slack), np.ceil(np.cos(least) * size + slack)
 
 
-def pair_bounds(a: Block, x: Block) -> tuple[np.ndarray, np.ndarray]:
-    return intervals(a.length, a.angles, a.angles, x.length, x.angles, x.angles)
-
-
-def integer_scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Exact inner products; Python integers where doubles might round."""
-    if float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * max(1, len(q)) < EXACT:
-        return x.astype(float) @ q.astype(float)
-    return (x.astype(object) * q.astype(object)[None, :]).sum(axis=1).astype(np.int64)
-
-
-def best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
-    return np.lexsort((ids, -scores))[:k]
-
-
-def positives_of(a: Block, x: Block) -> list[tuple[int, int, int]]:
-    """``(anchor_id, vec_id, score)``: the best rows of the anchor's label in the block."""
-    _, upper = pair_bounds(a, x)
-    out = []
-    for i in range(len(a.ids)):
-        j = np.flatnonzero((x.labels == a.labels[i]) & (x.ids != a.ids[i]))
-        if len(j) > POSITIVES:  # those of the highest bounds set the score to reach
-            j = j[np.argsort(-upper[i, j], kind="stable")]
-            floor = integer_scores(a.data[i], x.data[j[:POSITIVES]]).min()
-            j = j[upper[i, j] >= floor]
-        s = integer_scores(a.data[i], x.data[j])
-        out += [(int(a.ids[i]), int(x.ids[j[at]]), int(s[at])) for at in best(x.ids[j], s, POSITIVES)]
-    return out
-
-
-def negatives_of(a: Block, x: Block) -> list[tuple[int, int, int, int, int]]:
-    """``(anchor_id, positive_id, negative_id, positive_score, negative_score)``: the best rows of other labels in each window."""
-    lower, upper = pair_bounds(a, x)
+def tiles(rows: np.ndarray):
+    return (rows[lo:lo + TILE] for lo in range(0, len(rows), TILE))
+
+
+def positives_of(a: Anchors, spread: bytes, met) -> tuple[np.ndarray, ...]:
+    """``(anchor_id, vec_id, score)``: the best rows of the anchor's label in the blocks ``met`` (``(ids, labels, vectors)``, ascending ids)."""
+    t = kind(longest(a.data) * np.frombuffer(spread)[0])
+    _, upper = a.bounds(spread)
+    data, best, above = a.data.astype(t), Best(len(a.ids), POSITIVES, t), np.full(len(a.ids), lowest(t))
+    for x_ids, x_labels, x in met:
+        labels, x = np.unique(x_labels), x.astype(t)
+        own = np.minimum(np.searchsorted(x_ids, a.ids), len(x_ids) - 1)
+        itself = x_ids[own] == a.ids
+        for rows in tiles(np.flatnonzero(np.isin(a.labels, labels) & (upper > above))):
+            scores = products(data[rows], x, t)
+            fit = scores > above[rows, None]
+            if len(labels) > 1:
+                fit &= a.labels[rows, None] == x_labels[None, :]
+            mine = np.flatnonzero(itself[rows])
+            fit[mine, own[rows[mine]]] = False
+            crowded = np.flatnonzero(fit.sum(axis=1) > 4 * POSITIVES)
+            if len(crowded):
+                fit[crowded] = first_columns(scores[crowded], fit[crowded], POSITIVES)
+            i, j = np.nonzero(fit)
+            best.add(rows[i], x_ids[j], scores[i, j])
+            if best.count > best.many:
+                # Later ids are larger, so a score equal to the last does not displace it.
+                changed = best.merge()
+                above[changed] = best.scores[changed, -1]
+    lists, ids, scores = best.found()
+    return a.ids[lists], ids, scores
+
+
+def negatives_of(a: Anchors, spread: bytes, met) -> tuple[np.ndarray, ...]:
+    """Columns of ``FOUND``: the best rows of other labels in each window, of the blocks ``met`` (``(ids, labels, vectors)``, ascending ids),
+    as far as they reach the window's floor."""
+    t = kind(longest(a.data) * np.frombuffer(spread)[0])
+    lower, upper = a.bounds(spread)
     low, high = a.windows()
-    out = []
-    for i in np.flatnonzero(low <= high):
-        j = np.flatnonzero((upper[i] >= low[i]) & (lower[i] <= high[i]) & (x.labels != a.labels[i]))
-        if not len(j):
-            continue
-        s = integer_scores(a.data[i], x.data[j])
-        for positive, p in zip(a.positives[i].tolist(), a.scores[i].tolist()):
-            if p >= 0:  # a missing positive is NaN
-                inside = np.flatnonzero((LOW * p <= 100 * s) & (100 * s <= HIGH * p))
-                for at in inside[best(x.ids[j[inside]], s[inside], NEGATIVES)]:
-                    out.append((int(a.ids[i]), positive, int(x.ids[j[at]]), int(p), int(s[at])))
-    return out
-
-
-def met(anchors: DataFrame, packed: DataFrame, d: int, concerns, score, schema: str) -> DataFrame:
-    """The rows that ``score(anchor block, block)`` gives for all pairs whose range ``concerns`` the anchor block."""
+    # One list for each positive; scores above ``above`` and up to ``high`` are wanted.
+    above = np.maximum(threshold(a.floors, t), (low - 1).astype(t))
+    above[low > high], high = np.iinfo(np.int64).max if t is np.int64 else np.inf, high.astype(t)
+    data, best, every = a.data.astype(t), Best(above.size, NEGATIVES, t), np.arange(POSITIVES)
+    for x_ids, x_labels, x in met:
+        only, x = x_labels[0] if (x_labels == x_labels[0]).all() else None, x.astype(t)
+        least, most = above.min(axis=1), high.max(axis=1)
+        wanted = (least < most) & (upper > least) & (lower <= most)
+        if only is not None:
+            wanted &= a.labels != only
+        for rows in tiles(np.flatnonzero(wanted)):
+            scores = products(data[rows], x, t)
+            fit = scores > least[rows, None]
+            fit &= scores <= most[rows, None]
+            crowded = fit.sum(axis=1) > 4 * NEGATIVES
+            if crowded.any():
+                some = np.flatnonzero(crowded)
+                fit[some] = False
+                part, other = scores[some], a.labels[rows[some], None] != x_labels[None, :]
+                for m in every:
+                    fits = (part > above[rows[some], m, None]) & (part <= high[rows[some], m, None]) & other
+                    i, j = np.nonzero(first_columns(part, fits, NEGATIVES))
+                    best.add(rows[some[i]] * POSITIVES + m, x_ids[j], part[i, j])
+            i, j = np.nonzero(fit)
+            if only is None:
+                other = a.labels[rows[i]] != x_labels[j]
+                i, j = i[other], j[other]
+            score = scores[i, j]
+            which, m = np.nonzero((score[:, None] > above[rows[i]]) & (score[:, None] <= high[rows[i]]))
+            best.add(rows[i[which]] * POSITIVES + m, x_ids[j[which]], score[which])
+            if best.count > best.many:
+                # Later ids are larger, so a score equal to the last does not displace it.
+                changed = best.merge()
+                above.reshape(-1)[changed] = np.maximum(above.reshape(-1)[changed], best.scores[changed, -1])
+                least = above.min(axis=1)
+    lists, ids, scores = best.found()
+    i, m = np.divmod(lists, POSITIVES)
+    return a.ids[i], a.positives[i, m], ids, a.scores[i, m].astype(np.int64), scores
+
+
+def summaries(packed: DataFrame) -> list[dict]:
+    """One row per range: its labels, longest length and spread of angles."""
     about = packed.groupBy("range").agg(
         F.min("low_label").alias("low_label"), F.max("high_label").alias("high_label"), F.max("longest").alias("longest"),
         *[F.min(F.col("low")[r]).alias(f"l{r}") for r in range(DIRECTIONS)], *[F.max(F.col("high")[r]).alias(f"h{r}") for r in range(DIRECTIONS)])
-    ranges = [r.asDict() for r in about.orderBy("range").collect()]
-    names, spark = [x.split()[0] for x in schema.split(", ")], packed.sparkSession
+    return [r.asDict() for r in about.orderBy("range").collect()]
 
-    def route(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                to = [r["range"] for r in ranges if concerns(Block(row, d), row, r)]
-                if to:
-                    yield pa.RecordBatch.from_pylist([{**row, "to": to}], schema=ARROW.append(pa.field("to", pa.list_(pa.int32()))))
 
-    def run(batches):
+def met(anchors: DataFrame, packed: DataFrame, d: int, ranges: list[dict], groups: int, concerns, score, schema: str) -> DataFrame:
+    """What ``score(anchors, spread, blocks)`` gives for the anchors of each group and each of the ``ranges`` that ``concerns`` their block. Anchor blocks may
+    carry ``known array<struct<anchor_id, positive_id, floor>>``."""
+    names, sent = [x.split()[0] for x in schema.split(", ")], arrow(SENT)
+
+    def route(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                found = score(Block(row["a"], d), Block(row["x"], d))
-                cols = list(zip(*found)) or [()] * len(names)
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names)
-
-    # Block rows are about a megabyte, so few of them make a batch.
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, "8")
-    try:
-        routed = saved(anchors.mapInArrow(route, PACKED + ", to array<int>"))
-        pairs = routed.select(F.explode("to").alias("range"), F.struct(*NAMES).alias("a")).join(packed.select("range", F.struct(*NAMES).alias("x")), "range")
-        return saved(pairs.select("a", "x").mapInArrow(run, schema))
-    finally:
-        spark.conf.set(name, before)
+                floors = {(r["anchor_id"], r["positive_id"]): r["floor"] for r in row["known"] or ()}
+                whole = Anchors([row], d)
+                if floors:
+                    whole.floors = np.array([[floors.get((i, p), -np.inf) for p in ps] for i, ps in zip(whole.ids.tolist(), whole.positives.tolist())])
+                for r in ranges:
+                    if concerns(whole, row, r):
+                        spread = np.array([r["longest"], *(r[f"l{i}"] for i in range(DIRECTIONS)), *(r[f"h{i}"] for i in range(DIRECTIONS))])
+                        given = {**row, "part": row["range"], "range": r["range"], "spread": spread.tobytes(), "floors": whole.floors.tobytes()}
+                        yield pa.RecordBatch.from_pylist([{n: given[n] for n in sent.names}], schema=sent)
+
+    def run(asked, blocks):
+        found = score(Anchors(asked, d), asked[0]["spread"], ((np.frombuffer(r["ids"], np.int64), np.frombuffer(r["labels"], np.int64), unpack(r["ids"], r["data"], d)[1]) for r in blocks))
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in found], names)
+
+    if "known" not in anchors.columns:
+        anchors = anchors.withColumn("known", F.lit(None).cast("array<struct<anchor_id: long, positive_id: long, floor: double>>"))
+    routed = anchors.select(*NAMES, "known").mapInArrow(route, SENT)
+    return dealt(anchors.sparkSession, routed, packed.select("range", "first", "ids", "labels", "data"), [r["range"] for r in ranges], groups, run, schema)
 
 
 def range_bounds(row: dict, r: dict) -> tuple[float, float]:
@@ -234,33 +282,71 @@ def range_bounds(row: dict, r: dict) -> tuple[float, float]:
     return min(float(lower[0, 0]), -1.0), max(float(upper[0, 0]), 1.0)
 
 
-def same_labels(a: Block, row: dict, r: dict) -> bool:
+def same_labels(a: Anchors, row: dict, r: dict) -> bool:
     return row["low_label"] <= r["high_label"] and r["low_label"] <= row["high_label"]
 
 
-def in_windows(a: Block, row: dict, r: dict) -> bool:
+def in_windows(a: Anchors, row: dict, r: dict) -> bool:
     low, high = a.windows()
     lower, upper = range_bounds(row, r)
-    return bool(((low <= high) & (upper >= low) & (lower <= high)).any())
+    return bool(((low <= high) & (upper >= np.maximum(low, a.floors)) & (lower <= high)).any())
+
+
+def in_turn(ranges: list[dict]) -> list[dict]:
+    """Any stretch of the result has ranges from all over the list."""
+    return [r for _, r in sorted(enumerate(ranges), key=lambda x: (x[0] * 0.6180339887498949 % 1, x[0]))]
+
+
+def best_so_far(found: DataFrame) -> DataFrame:
+    order = Window.partitionBy("anchor_id", "positive_id").orderBy(F.col("negative_score").desc(), "negative_id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= NEGATIVES)
 
 
 def mine(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label",
          scale: int = SCALE, every: int = EVERY) -> DataFrame:
     """``(anchor_id, positive_id, rank, negative_id, positive_score, negative_score)``."""
+    spark = vectors.sparkSession
     raw = saved(quantised(vectors, id_col, vec_col, label_col, scale))
     d = max(DIRECTIONS, raw.agg(F.max(F.size("v")).alias("d")).first().d or 1)
     rows = saved(measured(raw, rotation(raw, d)[:, :DIRECTIONS]))
-    packed = saved(blocks(rows, d, BLOCK))
-    asked = rows.where(F.col("vec_id") % every == 0)
+    packed = saved(blocks(rows, d, BLOCK, many_ranges(spark, rows.count(), BLOCK, every), ("vec_id",)))
+    ranges = summaries(packed)
+
+    def packed_anchors(chosen: DataFrame) -> tuple[DataFrame, int]:
+        parts = max(1, min(partitions(spark), -(-chosen.count() // ANCHORS)))
+        out = saved(blocks(chosen, d, ANCHORS, parts, ORDER).withColumn("block", F.monotonically_increasing_id()))
+        return out, many_groups(spark, len(ranges), out.count(), ANCHORS)
 
-    found = met(blocks(asked, d, ANCHORS), packed, d, same_labels, positives_of, "anchor_id long, vec_id long, score long")
+    def members(batches):
+        for batch in batches:
+            for ids, block in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                i = np.frombuffer(ids, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(np.full(len(i), block))], ["anchor_id", "block"])
+
+    chosen = rows.where(F.col("vec_id") % every == 0)
+    anchors, groups = packed_anchors(chosen)
+    # Block rows are about a third of a megabyte, so few of them make a batch.
+    before = spark.conf.get(NARROW)
+    spark.conf.set(NARROW, "8")
+    try:
+        found = saved(met(anchors, packed, d, ranges, groups, same_labels, positives_of, "anchor_id long, vec_id long, score long"))
+    finally:
+        spark.conf.set(NARROW, before)
     order = Window.partitionBy("anchor_id").orderBy(F.col("score").desc(), "vec_id")
     top = found.withColumn("at", F.row_number().over(order)).where(F.col("at") <= POSITIVES)
     given = top.groupBy("anchor_id").agg(F.sort_array(F.collect_list(F.struct("vec_id", F.col("score").cast("double").alias("score")))).alias("positives"))
-    asked = saved(asked.join(given, F.col("vec_id") == F.col("anchor_id")).drop("anchor_id"))
+    anchors, groups = packed_anchors(saved(chosen.join(given, F.col("vec_id") == F.col("anchor_id")).drop("anchor_id")))
 
-    schema = "anchor_id long, positive_id long, negative_id long, positive_score long, negative_score long"
-    found = met(blocks(asked, d, ANCHORS), packed, d, in_windows, negatives_of, schema)
-    order = Window.partitionBy("anchor_id", "positive_id").orderBy(F.col("negative_score").desc(), "negative_id")
-    return (found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= NEGATIVES)
-            .select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score"))
+    spark.conf.set(NARROW, "8")
+    try:
+        places = saved(anchors.select("ids", "block").mapInArrow(members, "anchor_id long, block long"))
+        best, asked = saved(spark.createDataFrame([], FOUND + ", rank int")), anchors
+        for group in rounds(in_turn(ranges)):
+            found = met(asked, packed, d, group, groups, in_windows, negatives_of, FOUND)
+            best = saved(best_so_far(found.unionByName(best.drop("rank"))))
+            last = best.where(F.col("rank") == NEGATIVES).select("anchor_id", "positive_id", F.col("negative_score").cast("double").alias("floor"))
+            floors = saved(last.join(places, "anchor_id").groupBy("block").agg(F.collect_list(F.struct("anchor_id", "positive_id", "floor")).alias("known")))
+            asked = anchors.join(floors, "block", "left")
+    finally:
+        spark.conf.set(NARROW, before)
+    return best.select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")

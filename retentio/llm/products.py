@@ -112,7 +112,7 @@ class Best:
         return at[0], self.ids[at], self.scores[at].astype(np.int64)
 
 
-def rounds(ranges: list[int]) -> list[list[int]]:
+def rounds(ranges: list) -> list[list]:
     """The ranges in order, in groups of 1, 4, 16, ..."""
     out, at, size = [], 0, 1
     while at < len(ranges):
