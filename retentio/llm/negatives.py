@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from retentio.llm.common import partitions, saved
 from retentio.llm.products import (NARROW, TILE, Best, dealt, first_columns, kind, longest, lowest, many_groups, many_ranges, narrow, products, rounds,
-                                   threshold, unpack)
+                                   spots, threshold, unpack)
 from retentio.llm.topk import matrix, rotation
 
 SCALE = 256
@@ -182,7 +182,7 @@ def positives_of(a: Anchors, spread: bytes, met) -> tuple[np.ndarray, ...]:
             crowded = np.flatnonzero(fit.sum(axis=1) > 4 * POSITIVES)
             if len(crowded):
                 fit[crowded] = first_columns(scores[crowded], fit[crowded], POSITIVES)
-            i, j = np.nonzero(fit)
+            i, j = spots(fit)
             best.add(rows[i], x_ids[j], scores[i, j])
             if best.count > best.many:
                 # Later ids are larger, so a score equal to the last does not displace it.
@@ -212,21 +212,21 @@ def negatives_of(a: Anchors, spread: bytes, met) -> tuple[np.ndarray, ...]:
             scores = products(data[rows], x, t)
             fit = scores > least[rows, None]
             fit &= scores <= most[rows, None]
-            crowded = fit.sum(axis=1) > 4 * NEGATIVES
+            i, j = spots(fit)
+            crowded = np.bincount(i, minlength=len(rows)) > 4 * NEGATIVES
             if crowded.any():
-                some = np.flatnonzero(crowded)
-                fit[some] = False
+                some, few = np.flatnonzero(crowded), ~crowded[i]
+                i, j = i[few], j[few]
                 part, other = scores[some], a.labels[rows[some], None] != x_labels[None, :]
                 for m in every:
                     fits = (part > above[rows[some], m, None]) & (part <= high[rows[some], m, None]) & other
-                    i, j = np.nonzero(first_columns(part, fits, NEGATIVES))
-                    best.add(rows[some[i]] * POSITIVES + m, x_ids[j], part[i, j])
-            i, j = np.nonzero(fit)
+                    at, column = spots(first_columns(part, fits, NEGATIVES))
+                    best.add(rows[some[at]] * POSITIVES + m, x_ids[column], part[at, column])
             if only is None:
                 other = a.labels[rows[i]] != x_labels[j]
                 i, j = i[other], j[other]
             score = scores[i, j]
-            which, m = np.nonzero((score[:, None] > above[rows[i]]) & (score[:, None] <= high[rows[i]]))
+            which, m = spots((score[:, None] > above[rows[i]]) & (score[:, None] <= high[rows[i]]))
             best.add(rows[i[which]] * POSITIVES + m, x_ids[j[which]], score[which])
             if best.count > best.many:
                 # Later ids are larger, so a score equal to the last does not displace it.

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from retentio.llm.common import partitions, saved
 from retentio.llm.products import (NARROW, TILE, Best, dealt, first_columns, kind, longest, lowest, many_groups, many_ranges, narrow, products, rounds,
-                                   threshold, unpack)
+                                   spots, threshold, unpack)
 
 K = 10
 SCALE = 1024
@@ -133,7 +133,7 @@ def best_of(q_ids, q, floor, met, reach: float, basis: np.ndarray, k: int) -> tu
             crowded = np.flatnonzero(fit.sum(axis=1) > 4 * k)
             if len(crowded):
                 fit[crowded] = first_columns(scores[crowded], fit[crowded], k)
-            i, j = np.nonzero(fit)
+            i, j = spots(fit)
             best.add(rows[i], x_ids[j], scores[i, j])
             if best.count > best.many:
                 # Later ids are larger, so a score equal to the k-th does not displace it.

@@ -154,3 +154,12 @@ def test_mining_a_cell_is_exact(scale, kind, many):
                  for (n, p), fits in windows.items() for j in fits}
         got = set(zip(*(c.tolist() for c in negatives.negatives_of(a, spread, met))))
         assert {r for r, f in whole.items() if r[4] >= f} <= got <= set(whole)
+
+
+def test_spots_are_what_nonzero_has():
+    rng = np.random.default_rng(11)
+    for shape in ((0, 5), (5, 0), (1, 1), (7, 9), (16, 24), (64, 128)):
+        for share in (0, 0.001, 0.05, 0.9, 1):
+            fit = rng.random(shape) < share
+            assert all((a == b).all() for a, b in zip(products.spots(fit), np.nonzero(fit), strict=True))
+            assert all((a == b).all() for a, b in zip(products.spots(fit.T), np.nonzero(fit.T), strict=True))
